@@ -5,12 +5,14 @@ from __future__ import annotations
 from vigil.llm.bpe_tree import op1_bpe_tree
 from vigil.llm.chunk_store import op4_chunk_store
 from vigil.llm.differencing import op9_differencing
+from vigil.llm.near_dup import op7_bayes_minhash
 from vigil.llm.url_cascade import op6_sql, op6_url_cascade
 
 QUERIES = {
     "op1_bpe_tree": op1_bpe_tree,
     "op4_chunk_store": op4_chunk_store,
     "op6_url_cascade": op6_url_cascade,
+    "op7_bayes_minhash": op7_bayes_minhash,
     "op9_differencing": op9_differencing,
 }
 
