@@ -4,20 +4,24 @@ from __future__ import annotations
 
 from vigil.llm.bpe_tree import op1_bpe_tree
 from vigil.llm.chunk_store import op4_chunk_store
+from vigil.llm.cosine_tiles import op2_cosine_tiles
 from vigil.llm.differencing import op9_differencing
 from vigil.llm.edit_match import op5_edit_match
 from vigil.llm.lang_mixture import op3_lang_mixture
 from vigil.llm.near_dup import op7_bayes_minhash
+from vigil.llm.toxic_crf import op10_toxic_crf
 from vigil.llm.url_cascade import op6_sql, op6_url_cascade
 
 QUERIES = {
     "op1_bpe_tree": op1_bpe_tree,
+    "op2_cosine_tiles": op2_cosine_tiles,
     "op3_lang_mixture": op3_lang_mixture,
     "op4_chunk_store": op4_chunk_store,
     "op5_edit_match": op5_edit_match,
     "op6_url_cascade": op6_url_cascade,
     "op7_bayes_minhash": op7_bayes_minhash,
     "op9_differencing": op9_differencing,
+    "op10_toxic_crf": op10_toxic_crf,
 }
 
 SQL = {"op6_url_cascade": op6_sql()}
