@@ -7,6 +7,7 @@ from vigil.llm.chunk_store import op4_chunk_store
 from vigil.llm.cosine_tiles import op2_cosine_tiles
 from vigil.llm.differencing import op9_differencing
 from vigil.llm.edit_match import op5_edit_match
+from vigil.llm.hidden_markov import op8_hidden_markov
 from vigil.llm.lang_mixture import op3_lang_mixture
 from vigil.llm.near_dup import op7_bayes_minhash
 from vigil.llm.toxic_crf import op10_toxic_crf
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_edit_match": op5_edit_match,
     "op6_url_cascade": op6_url_cascade,
     "op7_bayes_minhash": op7_bayes_minhash,
+    "op8_hidden_markov": op8_hidden_markov,
     "op9_differencing": op9_differencing,
     "op10_toxic_crf": op10_toxic_crf,
 }
