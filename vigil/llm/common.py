@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -58,6 +59,31 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of a few longs that may be broadcast; larger sides are joined with a shuffle.
+BROADCAST_ROWS = 2_000_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it was counted to be small."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def filtered(docs: DataFrame, keep) -> DataFrame:
+    """Rows of ``docs`` for which ``keep(list of UTF-8 texts)`` gives true; all columns stay as they are.
+
+    ``keep`` is made once for each task by calling the given factory.
+    """
+    names = docs.columns
+
+    def run(batches):
+        test = keep()
+        for b in batches:
+            texts = b.column(names.index("text")).cast(pa.string()).cast(pa.binary()).to_pylist()
+            yield b.filter(pa.array(test(texts), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def spread(df: DataFrame, *key: str) -> DataFrame:
     """Deal rows evenly over the shuffle partitions."""
     return df.repartition(partitions(df.sparkSession), *key)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import table
+from vigil.llm.common import filtered, table
 
 #: Errors that an item of n bytes may have: n // PER_ERROR.
 PER_ERROR = 14
@@ -155,5 +155,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, per_error: int = PER_ERROR, blo
     return out
 
 
+def keep_unleaked(docs: DataFrame, benchmark: DataFrame, per_error: int = PER_ERROR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` that hold no item, with all their columns."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    for some in blocks(items, block_bytes):
+
+        def make(some=some):
+            matcher = Matcher(some, per_error)
+            return lambda raws: [not (r and matcher.find(normal(r))) for r in raws]
+
+        docs = filtered(docs, make)
+    return docs
+
+
 def op5_edit_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

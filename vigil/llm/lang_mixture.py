@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import crc_mod, table
+from vigil.llm.common import crc_mod, filtered, table
 
 #: Learn about so many documents of each language.
 SAMPLE = 2_000
@@ -111,45 +111,50 @@ def infer(ll: np.ndarray, penalty: float = PENALTY) -> tuple[list[int], np.ndarr
     return some, pi, certain
 
 
-def _predict(langs: list[str], model: np.ndarray, step: int = 1 << 20):
+def predict(langs: list[str], model: np.ndarray, raws: list[bytes | None], step: int = 1 << 20) -> list[tuple[str, float, list[str]]]:
+    """(language, score, set) of each text."""
+    out: list[tuple[str, float, list[str]]] = []
+    at = 0
+    while at < len(raws):
+        size, end = 0, at
+        while end < len(raws) and (end == at or size < step):
+            size += len(raws[end] or b"")
+            end += 1
+        known = [r if langs and has_letter(r) else b"" for r in raws[at:end]]
+        at = end
+        hashes = [buckets(r) if r else np.empty(0, dtype=np.int64) for r in known]
+        starts, first, place = [], [0], 0
+        for h in hashes:
+            starts.append(np.arange(place, place + len(h), SEGMENT))
+            first.append(first[-1] + len(starts[-1]))
+            place += len(h)
+        if place:
+            ll = np.add.reduceat(model[np.concatenate(hashes)], np.concatenate(starts), axis=0)
+        for i, r in enumerate(known):
+            if not r:
+                out.append(("und", 0.0, []))
+                continue
+            some, pi, certain = infer(ll[first[i] : first[i + 1]])
+            lead = int(pi.argmax())
+            out.append((langs[some[lead]], float(min(1.0, pi[lead] * (certain if len(some) == 1 else 1.0))), [langs[k] for k in some]))
+    return out
+
+
+def _predict(langs: list[str], model: np.ndarray):
     def run(batches):
         for b in batches:
-            raws = b.column("text").cast(pa.binary()).to_pylist()
-            pred, score, names = [], [], []
-            at = 0
-            while at < len(raws):
-                size, end = 0, at
-                while end < len(raws) and (end == at or size < step):
-                    size += len(raws[end] or b"")
-                    end += 1
-                part = raws[at:end]
-                at = end
-                known = [r if langs and has_letter(r) else b"" for r in part]
-                hashes = [buckets(r) if r else np.empty(0, dtype=np.int64) for r in known]
-                starts, first = [], [0]
-                place = 0
-                for h in hashes:
-                    starts.append(np.arange(place, place + len(h), SEGMENT))
-                    first.append(first[-1] + len(starts[-1]))
-                    place += len(h)
-                if place:
-                    ll = np.add.reduceat(model[np.concatenate(hashes)], np.concatenate(starts), axis=0)
-                for i, r in enumerate(known):
-                    if not r:
-                        pred.append("und")
-                        score.append(0.0)
-                        names.append([])
-                        continue
-                    some, pi, certain = infer(ll[first[i] : first[i + 1]])
-                    lead = int(pi.argmax())
-                    pred.append(langs[some[lead]])
-                    score.append(float(min(1.0, pi[lead] * (certain if len(some) == 1 else 1.0))))
-                    names.append([langs[k] for k in some])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(names, pa.list_(pa.string()))], ["doc_id", "held_out", "lang_pred", "score", "langs"])
+            got = predict(langs, model, b.column("text").cast(pa.binary()).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.list_(pa.string()))], ["doc_id", "held_out", "lang_pred", "score", "langs"])
 
     return run
 
 
+def keep_certain(docs: DataFrame, least: float, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` that have a language with a score of ``least`` or more, with all their columns."""
+    langs, model = learn(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")), sample)
+    return filtered(docs, lambda: lambda raws: [name != "und" and score >= least for name, score, _ in predict(langs, model, raws)])
+
+
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred, score, langs (the selected set) of each row of ``docs`` (doc_id, text, lang)."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))

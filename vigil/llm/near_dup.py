@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import staged, table
+from vigil.llm.common import small, staged, table
 from vigil.llm.components import components
 from vigil.llm.shingles import BANDS, HASHES, ROWS, shingle_set, signature
 
@@ -40,8 +40,6 @@ MISS = 1e-6
 BATCH = 4
 #: Classes of a block; a cell holds two.
 BLOCK = 512
-#: Ids of candidates that are broadcast to pick their texts; more are joined with a shuffle.
-BROADCAST_IDS = 2_000_000
 
 
 @cache
@@ -119,7 +117,7 @@ def _facts(batches):
             n.append(len(s))
             cls.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
             sig.append(signature(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "cls", "sig"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("print"), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "print", "n_shingles", "cls", "sig"])
 
 
 def _sets(batches):
@@ -148,10 +146,10 @@ def _cell(hundredths: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, hundredths: int = HUNDREDTHS, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row of ``docs`` (doc_id, text)."""
+def _labelled(docs: DataFrame, hundredths: int, block: int) -> DataFrame:
+    """doc_id, print (hash of the text), n_shingles, component of each row of ``docs``."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    facts = staged(base.mapInArrow(_facts, "doc_id long, n_shingles long, cls binary, sig binary"), "facts")
+    facts = staged(base.withColumn("print", F.xxhash64("text")).mapInArrow(_facts, "doc_id long, print long, n_shingles long, cls binary, sig binary"), "facts")
     classes = staged(facts.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
     # bands
     keys = F.array(*[F.struct(F.lit(k).alias("band"), F.xxhash64(F.lit(k), F.substring("sig", 2 * ROWS * k + 1, 2 * ROWS)).alias("key")) for k in range(BANDS)])
@@ -161,7 +159,7 @@ def near_duplicates(docs: DataFrame, hundredths: int = HUNDREDTHS, block: int =
     wanted = staged(members.select("cls").distinct().join(classes, "cls"), "wanted")
     # sets of candidates, from their texts
     ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
-    picked = base.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    picked = base.join(small(ids), "doc_id", "left_semi")
     sets = picked.mapInArrow(_sets, "doc_id long, cls binary, shingles binary").dropDuplicates(["cls"]).select("cls", "shingles")
     full = staged(wanted.join(sets, "cls"), "sets")
     # cells
@@ -172,9 +170,30 @@ def near_duplicates(docs: DataFrame, hundredths: int = HUNDREDTHS, block: int =
     met = cells.join(full, "cls").groupBy("key", "i", "j").applyInArrow(_cell(hundredths), "a long, b long")
     reach = components(met)
     labels = classes.join(reach, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("component"))
-    out = facts.select("doc_id", "n_shingles", "cls").join(labels, "cls", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    out = facts.select("doc_id", "print", "n_shingles", "cls").join(labels, "cls", "left")
+    return out.select("doc_id", "print", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, hundredths: int = HUNDREDTHS, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each row of ``docs`` (doc_id, text)."""
+    out = _labelled(docs, hundredths, block)
+    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, hundredths: int = HUNDREDTHS, block: int = BLOCK) -> DataFrame:
+    """One row of ``docs`` for each group, that of the smallest doc_id, with all columns.
+
+    Rows are told apart by doc_id and text; rows that agree in both are one. Rows without doc_id that link
+    with nothing all stay.
+    """
+    marks = staged(_labelled(docs, hundredths, block).where("component is not null").groupBy("component", "doc_id", "print").agg(F.count("*").alias("n")), "marks")
+    best = marks.groupBy("component").agg(F.min(F.struct("doc_id", "print")).alias("best"))
+    gone = marks.join(best, "component").where(~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("print") == F.col("best.print")))).select(F.col("doc_id").alias("_id"), F.col("print").alias("_print"))
+    gone = small(staged(gone, "gone"))
+    out = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_print"]), "left_anti")
+    if marks.where("n > 1 and doc_id is not null").limit(1).count():
+        out = out.dropDuplicates(["doc_id", "text"])
+    return out
 
 
 def op7_bayes_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import crc_mod, staged, table
+from vigil.llm.common import crc_mod, filtered, staged, table
 
 SAMPLE = 4_000
 #: Documents without toxicity for each toxic one's share of the sample.
@@ -330,5 +330,26 @@ def tag(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return asked.mapInArrow(_score(model), "doc_id long, held_out boolean, score double, predicted int, spans array<struct<start: int, end: int>>")
 
 
+def keep_clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with all their columns."""
+    model = learn(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), labels, sample)
+    if model is None:
+        return docs
+
+    def make():
+        emission = Emission(model.weights)
+
+        def test(raws):
+            out = []
+            for s, e in slices(raws):
+                pts = np.array([evidence(x) for x in _logits(raws[s:e], emission, model.transitions)])
+                out += (model.score(pts) < LIMIT).tolist()
+            return out
+
+        return test
+
+    return filtered(docs, make)
+
+
 def op10_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tag(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
