@@ -1,4 +1,168 @@
 """All registered queries of the library, and the DuckDB SQL that gives the same rows."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from vigil.functions import text as T
+from vigil.operators import analyzers as A
+from vigil.operators import urls as U
+from vigil.plans import oracle as O
+from vigil.plans import verdict as V
+from vigil.sources import rules
+from vigil.sources.messages import messages
+
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _r(c, n=6):
+    return F.round(F.col(c).cast("double") if isinstance(c, str) else c.cast("double"), n)
+
+
+@query(O.q(O.CHAIN, select="SELECT n_name, segment, verdict, count(*) AS n_messages, round(avg(score::DOUBLE), 5) AS avg_score FROM v JOIN nation ON nation_id = n_nationkey GROUP BY ALL"))
+def verdict_by_segment(spark, sf_dir):
+    nation = read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    v = V.verdicts(messages(spark, sf_dir)).join(nation, F.col("nation_id") == F.col("n_nationkey"))
+    return v.groupBy("n_name", "segment", "verdict").agg(F.count("*").alias("n_messages"), F.round(F.avg(F.col("score").cast("double")), 5).alias("avg_score"))
+
+
+@query(O.q(O.CHAIN, select="SELECT msg_id, verdict, confidence, round(score::DOUBLE, 5) AS score, round(uw::DOUBLE, 5) AS url_weight, round(sw::DOUBLE, 5) AS sender_weight, round(pw::DOUBLE, 5) AS pattern_weight, forced FROM v"))
+def fusion_verdict(spark, sf_dir):
+    v = V.verdicts(messages(spark, sf_dir))
+    return v.select("msg_id", "verdict", "confidence", *[_r(c, 5).alias(c) for c in ("score", "url_weight", "sender_weight", "pattern_weight")], "forced")
+
+
+@query(O.q(O.CHAIN, O.EVIDENCE, select="SELECT msg_id, rank::INT AS rank, type, severity::INT AS severity FROM ranked"))
+def evidence_ranked(spark, sf_dir):
+    df = V.ordered_evidence(V.verdicts(messages(spark, sf_dir)))
+    return df.select("msg_id", F.posexplode("evidence").alias("rank", "e")).select("msg_id", (F.col("rank") + 1).alias("rank"), "e.type", (-F.col("e.s")).alias("severity"))
+
+
+@query(O.q(O.CHAIN, O.EVIDENCE, "t AS (SELECT * FROM " + rules.values_sql(list(rules.TEMPLATES.items()), "v", "type, words") + ")", select="SELECT v.msg_id, v.verdict, max(words) FILTER (rank = 1) AS top1, max(words) FILTER (rank = 2) AS top2, max(words) FILTER (rank = 3) AS top3, greatest(count(rank) - 3, 0)::INT AS remaining, CASE WHEN v.verdict = 'SAFE' THEN 0 ELSE 5 END AS n_actions FROM v LEFT JOIN ranked USING (msg_id) LEFT JOIN t USING (type) GROUP BY v.msg_id, v.verdict"))
+def explanations(spark, sf_dir):
+    return V.explained(V.ordered_evidence(V.verdicts(messages(spark, sf_dir))))
+
+
+@query(O.q(O.CHAIN, O.HINTS, "top_hint AS (SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY total DESC, first) AS r FROM sums)", select="""SELECT v.msg_id, v.verdict, CASE WHEN v.verdict = 'SAFE' THEN 'NOT_SCAM' ELSE coalesce(category, 'OTHER_SCAM') END AS category,
+  CASE WHEN v.verdict = 'SAFE' OR total >= 0.7 THEN 'HIGH' WHEN total >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS category_confidence FROM v LEFT JOIN top_hint ON v.msg_id = top_hint.msg_id AND r = 1"""))
+def category_argmax(spark, sf_dir):
+    return V.categories(V.verdicts(messages(spark, sf_dir)))
+
+
+@query(O.q(O.CHAIN, O.HINTS, select="SELECT msg_id, category, round(total, 5) AS total FROM sums"))
+def category_hints(spark, sf_dir):
+    return V.hints(V.verdicts(messages(spark, sf_dir))).groupBy("msg_id", "category").agg(F.round(F.sum(F.col("hint").cast("double")), 5).alias("total"))
+
+
+@query(O.q(O.MESSAGES, select="SELECT msg_id, normalized, lang FROM msgs"))
+def normalize_text(spark, sf_dir):
+    df = messages(spark, sf_dir).select("msg_id", T.normalize_ascii(F.col("text")).alias("normalized"))
+    return df.withColumn("lang", T.language(F.col("normalized")))
+
+
+@query(f"SELECT doc_id, {T.language_sql('n')} AS lang FROM (SELECT doc_id, {T.normalize_sql('text')} AS n FROM documents)")
+def language_detect(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.language(T.normalize_ascii(F.col("text"))).alias("lang"))
+
+
+@query(O.q(O.MESSAGES, O.URLS, select="SELECT msg_id, ord::INT AS ord, raw, scheme, host, path FROM urls"))
+def url_extract(spark, sf_dir):
+    return U.extract(messages(spark, sf_dir))
+
+
+_PAGE_HOSTS = "page_hosts AS (SELECT regexp_extract(url, '^[^:]*://([^/?#:]*)', 1) AS host FROM pages WHERE url IS NOT NULL)"
+
+
+@query(O.q(_PAGE_HOSTS, O.registrable("page_hosts"), select="SELECT host, registrable FROM reg"))
+def registrable_domain(spark, sf_dir):
+    hosts = read(spark, sf_dir, "pages").where("url is not null").select(F.regexp_extract("url", "^[^:]*://([^/?#:]*)", 1).alias("host")).distinct()
+    return U.registrable(hosts, rules.suffixes(spark))
+
+
+@query(f"SELECT page_id, host, {O.IS_IP} AS ip FROM (SELECT page_id, regexp_extract(url, '^[^:]*://([^/?#]*)', 1) AS host FROM pages)")
+def ip_hosts(spark, sf_dir):
+    host = F.regexp_extract("url", "^[^:]*://([^/?#]*)", 1)
+    return read(spark, sf_dir, "pages").select("page_id", host.alias("host")).withColumn("ip", U.is_ip(F.col("host")))
+
+
+_ANCHOR = r'<a [^>]*href="https?://([^/"?#:]+)[^"]*"[^>]*>([^<]*)</a>'
+
+
+@query(rf"""SELECT page_id, host, shown, NOT contains(lower(shown), lower(host)) AS mismatch FROM (SELECT page_id, regexp_extract(a, '{_ANCHOR}', 1) AS host, regexp_extract(a, '{_ANCHOR}', 2) AS shown
+  FROM (SELECT page_id, unnest(regexp_extract_all(html, '{_ANCHOR}')) AS a FROM pages))""")
+def link_text_mismatch(spark, sf_dir):
+    a = read(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(_ANCHOR), 0)).alias("a"))
+    return a.select("page_id", F.regexp_extract("a", _ANCHOR, 1).alias("host"), F.regexp_extract("a", _ANCHOR, 2).alias("shown")).withColumn("mismatch", ~F.contains(F.lower("shown"), F.lower("host")))
+
+
+@query(O.q(O.MESSAGES, O.URLS, O.FACTS, select="SELECT label, brand_id, known, domain FROM squat"))
+def typosquat_first_hit(spark, sf_dir):
+    links = U.extract(messages(spark, sf_dir))
+    reg = U.registrable(links.select("host").distinct(), rules.suffixes(spark))
+    label = F.substring_index("registrable", ".", 1)
+    both = reg.select(label.alias("label")).union(reg.select(U.fold(label).alias("label"))).where("label is not null").distinct()
+    return U.typosquat(both)
+
+
+@query(O.q(O.MESSAGES, O.URLS, O.FACTS, select="SELECT host, registrable, folded, squat, mixed, shortener, bad_tld FROM facts"))
+def host_facts(spark, sf_dir):
+    f = U.host_facts(U.extract(messages(spark, sf_dir)), rules.suffixes(spark))
+    return f.select("host", "registrable", U.fold(F.col("label")).alias("folded"), "squat", "mixed", "shortener", "bad_tld")
+
+
+@query(O.q(O.MESSAGES, O.URLS, O.FACTS, O.URL_EVIDENCE, select="SELECT msg_id, ord::INT AS ord, pos::INT AS pos, type, severity::INT AS severity FROM url_ev"))
+def url_evidence(spark, sf_dir):
+    links = U.extract(messages(spark, sf_dir))
+    return U.evidence(links, U.host_facts(links, rules.suffixes(spark)))
+
+
+@query(O.q(O.MESSAGES, O.CLAIMS, select="SELECT msg_id, brand_id, name, alias FROM claims"))
+def brand_claims(spark, sf_dir):
+    c = messages(spark, sf_dir).select("msg_id", F.explode(A.claims(F.col("text"))).alias("c"))
+    return c.select("msg_id", "c.brand_id", "c.name", "c.alias")
+
+
+@query(O.q(O.MESSAGES, O.CLAIMS, O.SENDER, select="SELECT msg_id, sender FROM sender WHERE sender IS NOT NULL"))
+def sender_evidence(spark, sf_dir):
+    m = messages(spark, sf_dir)
+    claimed = F.array_distinct(A.claims(F.col("text"))["brand_id"])
+    return m.select("msg_id", A.sender_evidence(F.col("sender_hint"), claimed).alias("sender")).where("sender is not null")
+
+
+@query(O.q(O.MESSAGES, O.FIRED, select="SELECT msg_id, rule_id, type, severity::INT AS severity FROM fired"))
+def pattern_hits(spark, sf_dir):
+    m = A.analyzed(messages(spark, sf_dir)).select("msg_id", F.explode("fired").alias("f"))
+    return m.select("msg_id", F.col("f.id").alias("rule_id"), "f.type", "f.severity")
+
+
+@query(O.q(O.MESSAGES, O.FIRED, select="SELECT msg_id, round(least(sum(weight)::FLOAT, 0.5::FLOAT)::DOUBLE, 5) AS weight FROM fired GROUP BY msg_id"))
+def pattern_weight(spark, sf_dir):
+    m = A.analyzed(messages(spark, sf_dir)).where(F.size("fired") > 0)
+    return m.select("msg_id", _r("pattern_weight", 5).alias("weight"))
+
+
+@query(O.q(O.MESSAGES, select=f"SELECT msg_id, {T.scrub_sql('text')} AS scrubbed FROM messages UNION ALL SELECT -1 - doc_id, {T.scrub_sql('text')} FROM documents"))
+def pii_scrub(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select((F.lit(-1) - F.col("doc_id")).alias("msg_id"), "text")
+    both = messages(spark, sf_dir).select("msg_id", "text").union(docs)
+    return both.select("msg_id", T.scrub(F.col("text")).alias("scrubbed"))
+
+
+@query(O.q(O.MESSAGES, select=f"SELECT msg_id, {T.keyword_category_sql('text')} AS category FROM messages"))
+def keyword_category(spark, sf_dir):
+    return messages(spark, sf_dir).select("msg_id", T.keyword_category(F.col("text")).alias("category"))
