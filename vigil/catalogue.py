@@ -166,3 +166,209 @@ def pii_scrub(spark, sf_dir):
 @query(O.q(O.MESSAGES, select=f"SELECT msg_id, {T.keyword_category_sql('text')} AS category FROM messages"))
 def keyword_category(spark, sf_dir):
     return messages(spark, sf_dir).select("msg_id", T.keyword_category(F.col("text")).alias("category"))
+
+
+# dataset, metric and constraint queries
+
+
+from vigil.operators import bloom as B  # noqa: E402
+from vigil.operators import checks as C  # noqa: E402
+from vigil.operators import datasets as D  # noqa: E402
+from vigil.operators import metrics as M  # noqa: E402
+
+
+def _texts(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), "text")
+
+
+@query(f"SELECT doc_id AS ord, 'sms_web_' || lpad((row_number() OVER (ORDER BY doc_id) - 1)::VARCHAR, 6, '0') AS id, {T.scrub_sql('text')} AS text, 'EN' AS lang, 'web' AS source FROM documents")
+def ingest_rows(spark, sf_dir):
+    return D.ingest(_texts(spark, sf_dir), "web", "EN")
+
+
+def _conversation_rows(spark, sf_dir):
+    return read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text").where("text is not null")
+
+
+_SIGS = """c AS (SELECT conv_id * 1000 + turn AS id, text FROM conversations WHERE text IS NOT NULL),
+sh AS (SELECT DISTINCT id, unnest(CASE WHEN length(text) = 0 THEN [] WHEN length(text) < 5 THEN [lower(text)] ELSE list_transform(range(1, length(text) - 3), lambda i: substr(lower(text), i::BIGINT, 5)) END) AS s FROM c),
+d AS (SELECT s, list_transform(range(64), lambda i: ('0x' || substr(md5(i::VARCHAR || ':' || s), 1, 15))::BIGINT) AS h FROM (SELECT DISTINCT s FROM sh)),
+hs AS (SELECT id, generate_subscripts(h, 1) AS i, unnest(h) AS h FROM sh JOIN d USING (s)),
+m AS (SELECT id, i, min(h) AS h FROM hs GROUP BY id, i),
+sg AS (SELECT c.id, coalesce(list(m.h ORDER BY i), list_transform(range(64), lambda x: 0::BIGINT)) AS sig FROM c LEFT JOIN m USING (id) GROUP BY c.id)"""
+_PAIRS = """pr AS (SELECT a.id AS a, b.id AS b, (len(list_filter(list_zip(a.sig, b.sig), lambda z: z[1] = z[2])) / 64.0)::DOUBLE AS agreement FROM sg a JOIN sg b ON a.id < b.id),
+near AS (SELECT * FROM pr WHERE agreement > 0.8)"""
+
+
+@query(O.q(_SIGS.replace("coalesce(list(m.h ORDER BY i), list_transform(range(64), lambda x: 0::BIGINT))", "list(m.h ORDER BY i)"), select="SELECT id, sig[1] AS s1, sig[32] AS s32, sig[64] AS s64 FROM sg WHERE sig IS NOT NULL"))
+def minhash_signature(spark, sf_dir):
+    s = D.signatures(_conversation_rows(spark, sf_dir))
+    return s.select("id", F.get("sig", F.lit(0)).alias("s1"), F.get("sig", F.lit(31)).alias("s32"), F.get("sig", F.lit(63)).alias("s64"))
+
+
+def _near(spark, sf_dir):
+    from vigil.plans.staging import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    rows = _conversation_rows(spark, sf_dir)
+    sigs = D.signatures(rows).checkpoint()
+    return rows, D.near_pairs(sigs)
+
+
+@query(O.q(_SIGS, _PAIRS, select="SELECT a, b, round(agreement, 6) AS agreement FROM near"))
+def near_dup_pairs(spark, sf_dir):
+    return _near(spark, sf_dir)[1].select("a", "b", F.round("agreement", 6).alias("agreement"))
+
+
+_CLUSTERS = """reach AS (SELECT id, id AS r FROM sg UNION SELECT reach.id, CASE WHEN near.a = r THEN near.b ELSE near.a END FROM reach JOIN near ON near.a = r OR near.b = r),
+cl AS (SELECT id, min(r) AS cluster FROM reach GROUP BY id)"""
+
+
+@query("WITH RECURSIVE " + ", ".join([_SIGS, _PAIRS, _CLUSTERS]) + " SELECT id, cluster FROM cl")
+def clusters(spark, sf_dir):
+    rows, pairs = _near(spark, sf_dir)
+    return D.clusters(rows, pairs)
+
+
+@query()
+def split_assign(spark, sf_dir):
+    rows, pairs = _near(spark, sf_dir)
+    return D.split(D.clusters(rows, pairs))
+
+
+@query("SELECT 0 AS a, 0 AS b WHERE false")
+def leakage_pairs(spark, sf_dir):
+    rows, pairs = _near(spark, sf_dir)
+    return D.leaks(pairs, D.split(D.clusters(rows, pairs)))
+
+
+def _labelled(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    lab = read(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("y"), "quality")
+    return d.join(lab, "doc_id").withColumn("pred", ((F.col("doc_id") % 7 == 0) | (F.col("y") == 1) & (F.col("n_chars") % 3 != 0)).cast("int"))
+
+
+_LAB = "lab AS (SELECT doc_id, lang, n_chars, toxic AS y, quality, (doc_id % 7 = 0 OR (toxic = 1 AND n_chars % 3 <> 0))::INT AS pred FROM documents JOIN labels USING (doc_id))"
+
+
+def _metric_sql(by: str = "") -> str:
+    g = f"{by}, " if by else ""
+    div = lambda a, b: f"coalesce(({a})::DOUBLE / nullif({b}, 0), 0)"
+    f1, f0 = div("2 * tp", "2 * tp + fp + fn"), div("2 * tn", "2 * tn + fn + fp")
+    return O.q(_LAB, f"k AS (SELECT {g}count(*) FILTER (y = 1 AND pred = 1) AS tp, count(*) FILTER (y = 0 AND pred = 1) AS fp, count(*) FILTER (y = 1 AND pred = 0) AS fn, count(*) FILTER (y = 0 AND pred = 0) AS tn FROM lab {'GROUP BY ' + by if by else ''})", select=f"SELECT {g}round({div('tn', 'tn + fn')}, 6) AS precision_0, round({div('tn', 'tn + fp')}, 6) AS recall_0, round({f0}, 6) AS f1_0, round({div('tp', 'tp + fp')}, 6) AS precision_1, round({div('tp', 'tp + fn')}, 6) AS recall_1, round({f1}, 6) AS f1_1, round(({f0} + {f1}) / 2, 6) AS macro_f1 FROM k")
+
+
+@query(_metric_sql())
+def binary_metrics(spark, sf_dir):
+    return M.binary(_labelled(spark, sf_dir))
+
+
+@query(_metric_sql("lang"))
+def per_lang_f1(spark, sf_dir):
+    return M.binary(_labelled(spark, sf_dir), "lang")
+
+
+@query(O.q(_LAB, "l AS (SELECT unnest([0, 1]) AS v)", select="SELECT a.v AS actual, p.v AS predicted, count(lab.y) AS n FROM l a CROSS JOIN l p LEFT JOIN lab ON y = a.v AND pred = p.v GROUP BY ALL"))
+def confusion_matrix(spark, sf_dir):
+    labels = spark.createDataFrame([(0,), (1,)], "label int")
+    return M.confusion(_labelled(spark, sf_dir), labels)
+
+
+@query(O.q(_LAB, select="SELECT round(count(*) FILTER (pred = 1)::DOUBLE / nullif(count(*), 0), 6) AS fpr FROM lab WHERE y = 0 AND quality = 0"))
+def fpr_hard_negative(spark, sf_dir):
+    rows = _labelled(spark, sf_dir).where("y = 0 AND quality = 0")
+    return rows.agg(F.round(F.try_divide(F.count_if(F.col("pred") == 1).cast("double"), F.count("*").cast("double")), 6).alias("fpr"))
+
+
+_GRID = [0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0]
+
+
+@query(f"WITH z AS (SELECT (event_id % 2)::INT AS y, 0.0::DOUBLE AS z0, CASE WHEN event_id % 5 = 0 THEN -1 ELSE 1 END * (CASE WHEN event_id % 2 = 1 THEN 1 ELSE -1 END) * value / 50 AS z1 FROM events WHERE value IS NOT NULL), t AS (SELECT unnest({_GRID}::DOUBLE[]) AS temperature) SELECT temperature, round(avg(ln(exp(z0 / temperature - greatest(z0, z1) / temperature) + exp(z1 / temperature - greatest(z0, z1) / temperature)) + greatest(z0, z1) / temperature - CASE WHEN y = 1 THEN z1 ELSE z0 END / temperature), 6) AS nll FROM z, t GROUP BY temperature")
+def calibration_grid(spark, sf_dir):
+    e = read(spark, sf_dir, "events").where("value is not null")
+    sign = F.when(F.col("event_id") % 5 == 0, -1).otherwise(1) * F.when(F.col("event_id") % 2 == 1, 1).otherwise(-1)
+    return M.nll(e.select((F.col("event_id") % 2).cast("int").alias("y"), F.lit(0.0).alias("z0"), (sign * F.col("value") / 50).alias("z1")), _GRID)
+
+
+@query("SELECT round(coalesce(max(abs(value - round(value, 2))), 0), 6) AS max_delta, coalesce(max(abs(value - round(value, 2))), 0) < 0.02 AS passed FROM events")
+def parity_delta(spark, sf_dir):
+    return M.parity(read(spark, sf_dir, "events").select(F.col("value").alias("a"), F.round("value", 2).alias("b")))
+
+
+@query("WITH s AS (SELECT event_type, list_sort(list(value)) AS v, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY event_type) SELECT event_type, n, v[(n // 2) + 1] AS p50, v[least((n * 95) // 100, n - 1) + 1] AS p95 FROM s")
+def latency_nearest_rank(spark, sf_dir):
+    return M.nearest_rank(read(spark, sf_dir, "events").select("event_type", "value"), "value", "event_type")
+
+
+_TOKENS = r"tok AS (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+')) AS token FROM documents), cnt AS (SELECT token, count(*) AS freq FROM tok GROUP BY token)"
+
+
+@query(O.q(_TOKENS, select="SELECT token, freq FROM cnt"))
+def token_freq(spark, sf_dir):
+    return D.token_counts(read(spark, sf_dir, "documents"))
+
+
+@query(O.q(_TOKENS, select="SELECT row_number() OVER (ORDER BY token) - 1 AS new_id, token, freq FROM (SELECT * FROM cnt WHERE freq >= 5 ORDER BY freq DESC, token LIMIT 1000)"))
+def vocab_topk(spark, sf_dir):
+    return D.vocabulary(D.token_counts(read(spark, sf_dir, "documents")), 1000)
+
+
+@query("SELECT label, " + ", ".join(f"round(avg(embedding[{i + 1}]::DOUBLE), 5) AS m{i}" for i in range(8)) + " FROM embeddings GROUP BY label")
+def mean_pool(spark, sf_dir):
+    return D.mean_pool(read(spark, sf_dir, "embeddings"), 8)
+
+
+_HOSTS = "SELECT DISTINCT lower(regexp_extract(url, '^[^:]*://([^/?#:]*)', 1)) AS domain FROM pages WHERE url IS NOT NULL"
+_M, _K = 2048, 7
+_HALF = lambda at: f"(('0x' || substr(sha256(domain), {at}, 16))::UBIGINT::HUGEINT - CASE WHEN ('0x' || substr(sha256(domain), {at}, 1))::INT >= 8 THEN 18446744073709551616::HUGEINT ELSE 0 END)"
+
+
+@query(f"WITH h AS ({_HOSTS}), p AS (SELECT domain, unnest(list_distinct(list_transform(range({_K}), lambda i: ((({_HALF(1)} + i * {_HALF(17)}) % {_M}) + {_M}) % {_M}))) AS bit FROM h), b AS (SELECT DISTINCT bit FROM p WHERE contains(domain, 'th')) SELECT domain, count(*) = count(b.bit) AS maybe FROM p LEFT JOIN b USING (bit) GROUP BY domain")
+def bloom_membership(spark, sf_dir):
+    hosts = read(spark, sf_dir, "pages").where("url is not null").select(F.lower(F.regexp_extract("url", "^[^:]*://([^/?#:]*)", 1)).alias("domain")).distinct()
+    return B.probe(hosts, B.build(hosts.where(F.contains("domain", F.lit("th"))), _M, _K), _M, _K)
+
+
+_BROKEN = [("north_two", ["North Pay", "n2"]), ("solo", ["SOLA"])]
+
+
+@query("WITH a AS (SELECT * FROM " + rules.values_sql([(b[0], x) for b in rules.BRANDS for x in b[2]] + [(b, x) for b, xs in _BROKEN for x in xs], "v", "brand_id, alias") + ") SELECT lower(alias) AS alias, count(DISTINCT brand_id) AS owners FROM a GROUP BY lower(alias) HAVING count(DISTINCT brand_id) > 1")
+def duplicate_aliases(spark, sf_dir):
+    extra = spark.createDataFrame(_BROKEN, "brand_id string, aliases array<string>")
+    return C.duplicate_aliases(rules.brands(spark).select("brand_id", "aliases").union(extra))
+
+
+_OPERATED = [*rules.BRAND_OPERATED.items(), ("gone.click", "nobody")]
+
+
+@query("SELECT domain, brand_id FROM " + rules.values_sql(_OPERATED, "v", "domain, brand_id") + f" WHERE brand_id NOT IN {O._in([b[0] for b in rules.BRANDS])}")
+def fk_violations(spark, sf_dir):
+    return C.unknown_brands(spark.createDataFrame(_OPERATED, "domain string, brand_id string"), rules.brands(spark))
+
+
+@query("""WITH r AS (SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN 'XX' ELSE upper(lang) END AS lang, CASE WHEN doc_id % 11 = 0 THEN 2 ELSE toxic END AS label, CASE WHEN doc_id % 3 = 0 THEN 'NOT_SCAM' WHEN doc_id % 13 = 0 THEN NULL ELSE 'OTHER_SCAM' END AS category FROM documents JOIN labels USING (doc_id))
+SELECT id, 'lang' AS message FROM r WHERE lang NOT IN ('EN', 'HI', 'HI_LATN', 'BN', 'TA', 'TE', 'MR', 'UNKNOWN') OR lang IS NULL UNION ALL SELECT id, 'label' FROM r WHERE label NOT IN (0, 1)
+UNION ALL SELECT id, 'category missing' FROM r WHERE label IS NOT NULL AND category IS NULL
+UNION ALL SELECT id, 'label and category' FROM r WHERE (label = 0 AND category <> 'NOT_SCAM') OR (label = 1 AND category = 'NOT_SCAM')""")
+def row_constraints(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", "lang").join(read(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
+    i = F.col("doc_id")
+    return C.row_violations(d.select(i.alias("id"), F.when(i % 5 == 0, "XX").otherwise(F.upper("lang")).alias("lang"), F.when(i % 11 == 0, 2).otherwise(F.col("toxic")).alias("label"), F.when(i % 3 == 0, "NOT_SCAM").when(i % 13 == 0, None).otherwise("OTHER_SCAM").alias("category")))
+
+
+@query("SELECT coalesce(round(count(*) FILTER (quality = toxic)::DOUBLE / nullif(count(*), 0), 6), 1.0) AS agreement, count(*) AS sampled FROM labels")
+def audit_agreement(spark, sf_dir):
+    same = F.try_divide(F.count_if(F.col("quality") == F.col("toxic")).cast("double"), F.count("*").cast("double"))
+    return read(spark, sf_dir, "labels").agg(F.coalesce(F.round(same, 6), F.lit(1.0)).alias("agreement"), F.count("*").alias("sampled"))
+
+
+@query("SELECT doc_id AS id FROM labels ORDER BY md5('0:' || doc_id::VARCHAR), doc_id LIMIT (SELECT greatest(1, round_even(count(*) * 0.05, 0))::BIGINT FROM labels)")
+def audit_sample(spark, sf_dir):
+    return M.audit_sample(read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), 0.05)
+
+
+@query("SELECT vec_id, list_sum(list_slice(embedding::DOUBLE[], 1, 4)) IS NOT NULL AS ok, least(len(embedding), 48) AS used, len(embedding) > 48 AS truncated FROM embeddings")
+def token_pack(spark, sf_dir):
+    v = F.slice("embedding", 1, 48)
+    packed = F.concat(v, F.array_repeat(F.lit(0.0).cast("float"), F.lit(48) - F.size(v)))
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.get(packed, F.lit(3)).isNotNull().alias("ok"), F.size(v).cast("long").alias("used"), (F.size("embedding") > 48).alias("truncated"))
