@@ -372,3 +372,24 @@ def token_pack(spark, sf_dir):
     v = F.slice("embedding", 1, 48)
     packed = F.concat(v, F.array_repeat(F.lit(0.0).cast("float"), F.lit(48) - F.size(v)))
     return read(spark, sf_dir, "embeddings").select("vec_id", F.get(packed, F.lit(3)).isNotNull().alias("ok"), F.size(v).cast("long").alias("used"), (F.size("embedding") > 48).alias("truncated"))
+
+
+from vigil.operators import labels as Lb  # noqa: E402
+
+_AGES = "a AS (SELECT DISTINCT domain, CASE WHEN length(domain) % 3 = 0 THEN NULL ELSE length(domain) * 2 END AS age_days FROM h)"
+
+
+@query(f"WITH h AS ({_HOSTS}), {_AGES}, k AS (SELECT domain FROM h WHERE contains(domain, 'th')) SELECT h.domain, 'DOMAIN_VERY_NEW' AS type, CASE WHEN age_days < 30 THEN 2 ELSE 0 END::INT AS severity FROM h JOIN a USING (domain) WHERE h.domain NOT IN (SELECT domain FROM k) AND (age_days IS NULL OR age_days < 30)")
+def domain_age(spark, sf_dir):
+    h = read(spark, sf_dir, "pages").where("url is not null").select(F.lower(F.regexp_extract("url", "^[^:]*://([^/?#:]*)", 1)).alias("domain")).distinct()
+    ages = h.select("domain", F.when(F.length("domain") % 3 != 0, F.length("domain") * 2).alias("age_days"))
+    return Lb.domain_age_evidence(h, ages, h.where(F.contains("domain", F.lit("th"))))
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN toxic WHEN doc_id % 3 = 0 THEN 1 ELSE -1 END AS label, CASE WHEN doc_id % 2 = 0 THEN 'OLD' WHEN doc_id % 3 = 0 THEN 'OTHER_SCAM' END AS category, CASE WHEN doc_id % 2 = 0 THEN 'a' WHEN doc_id % 3 = 0 THEN 'b' END AS labeled_by FROM labels")
+def label_session(spark, sf_dir):
+    i = F.col("doc_id")
+    old = lambda v: F.when(i % 2 == 0, v)
+    rows = read(spark, sf_dir, "labels").select(i.alias("id"), old(F.col("toxic")).alias("label"), old(F.lit("OLD")).alias("category"), old(F.lit("a")).alias("labeled_by"), old(F.lit("t")).alias("labeled_at"))
+    answers = read(spark, sf_dir, "labels").where("doc_id % 3 = 0").select(i.alias("id"), F.lit(1).alias("answer"), F.lit("OTHER_SCAM").alias("new_category"), F.lit("now").alias("at"))
+    return Lb.apply_answers(rows, answers, "b").select("id", F.coalesce("label", F.lit(-1)).alias("label"), "category", "labeled_by")
