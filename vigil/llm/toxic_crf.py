@@ -39,7 +39,7 @@ FOLDS, HELD_OUT = 4, 2
 PRECISION, RATIO = 0.9, 20.0
 WINDOW = 24
 WINDOWS_PER_DOC = 4
-EPOCHS = 60
+EPOCHS = 40
 LIMIT = 0.3
 SPAN = 0.5
 
@@ -127,42 +127,40 @@ def _doc_features(batches):
 
 
 def _windows(marks: frozenset):
-    """Feature rows and tags of windows: around marked tokens of toxic texts, spread over the others."""
+    """Features and tags of windows: up to WINDOWS_PER_DOC around marked tokens of a toxic text, one of any other."""
+
+    k = 1 + len(PREFIXES)
 
     def run(batches):
         for b in batches:
-            rows = []
+            f, y = [], []
             for tox, raw in zip(b.column("toxic").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 ws = (raw or b"").lower().split()
                 if not ws:
                     continue
                 if tox:
-                    fs = [features(w) for w in ws]
-                    tags = [int(any(f in marks for f in x)) for x in fs]
-                    starts = [max(0, i - WINDOW // 2) for i, y in enumerate(tags) if y][:: max(1, sum(tags) // WINDOWS_PER_DOC)][:WINDOWS_PER_DOC]
+                    tags = [any(x in marks for x in features(w)) for w in ws]
+                    hits = [i for i, t in enumerate(tags) if t]
+                    starts = [max(0, i - WINDOW // 2) for i in hits[:: max(1, len(hits) // WINDOWS_PER_DOC)][:WINDOWS_PER_DOC]]
                 else:
-                    step = max(WINDOW, len(ws) // WINDOWS_PER_DOC)
-                    starts = list(range(0, len(ws), step))[:WINDOWS_PER_DOC]
+                    starts = [xxhash.xxh32_intdigest(raw) % len(ws)]
                 for s in starts:
                     part = [features(w) for w in ws[s : s + WINDOW]]
-                    y = [int(any(f in marks for f in x)) for x in part] if tox else [0] * len(part)
-                    rows.append(([f for x in part for f in [*x, *[-1] * (1 + len(PREFIXES) - len(x))]], y))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], ["f", "y"])
+                    f.append([v for x in part for v in [*x, *[-1] * (k - len(x))]] + [-1] * (k * (WINDOW - len(part))))
+                    y.append([int(bool(tox) and any(v in marks for v in x)) for x in part] + [-1] * (WINDOW - len(part)))
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.list_(pa.int32())), pa.array(y, pa.list_(pa.int32()))], ["f", "y"])
 
     return run
 
 
-def train(x: list, y: list) -> tuple[tuple[dict[int, float], float], np.ndarray]:
-    """(Weights of features, bias) and transitions, by Adam on the log-likelihood; -1 stands for no feature."""
-    k = 1 + len(PREFIXES)
-    n = len(x)
-    f = np.full((n, WINDOW, k), -1, dtype=np.int64)
-    tag = np.zeros((n, WINDOW), dtype=np.int64)
-    on = np.zeros((n, WINDOW))
-    for i, (a, b) in enumerate(zip(x, y, strict=True)):
-        f[i, : len(b)] = np.asarray(a).reshape(-1, k)
-        tag[i, : len(b)] = b
-        on[i, : len(b)] = 1
+def train(f: np.ndarray, tag: np.ndarray) -> tuple[tuple[dict[int, float], float], np.ndarray]:
+    """(Weights of features, bias) and transitions, by Adam on the log-likelihood.
+
+    ``f`` (window, token, feature): -1 stands for no feature; ``tag`` (window, token): -1 after a window's end.
+    """
+    n, _, k = f.shape
+    on = (tag >= 0).astype(float)
+    tag = np.maximum(tag, 0)
     names, f = np.unique(f, return_inverse=True)
     f = f.reshape(n, WINDOW, k)
     blank = int(names[0] == -1)  # the slot of no feature is the first
@@ -275,7 +273,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     rows = fit.mapInArrow(_windows(marks), "f array<int>, y array<int>").toArrow()
     if not rows.num_rows:
         return None
-    w, t = train(rows.column("f").to_pylist(), rows.column("y").to_pylist())
+    flat = lambda c, *shape: rows.column(c).combine_chunks().flatten().to_numpy().reshape(rows.num_rows, WINDOW, *shape)
+    w, t = train(flat("f", 1 + len(PREFIXES)), flat("y"))
     got = fit.mapInArrow(_points(w, t), "toxic int, top double, total double").toArrow()
     y = got.column("toxic").to_numpy().astype(float)
     weight = np.where(y == 1, sizes[1] / n[1], sizes[0] / n[0])
