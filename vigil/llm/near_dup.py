@@ -156,7 +156,7 @@ def _labelled(docs: DataFrame, hundredths: int, block: int) -> DataFrame:
     banded = classes.select("cls", F.explode(keys).alias("x")).select("cls", "x.band", "x.key")
     groups = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = staged(banded.join(groups, "key"), "members")
-    wanted = staged(members.select("cls").distinct().join(classes, "cls"), "wanted")
+    wanted = members.select("cls").distinct().join(classes, "cls")
     # sets of candidates, from their texts
     ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
     picked = base.join(small(ids), "doc_id", "left_semi")
