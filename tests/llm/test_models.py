@@ -180,3 +180,10 @@ def test_cascade_is_exact_on_its_universe(spark):
     assert len(c.levels) > 1
     wrong = universe.select("key", c.listed(universe["key"]).alias("is")).where("is <> (key LIKE '%7')")
     assert wrong.count() == 0
+
+
+def test_planes():
+    for top in (10, 1 << 17, 1 << 25):
+        x = np.array([0, 1, top - 1, 5], dtype=np.uint32)
+        assert H.from_planes(H.planes(x), 4).tolist() == x.tolist()
+    assert len(H.from_planes(H.planes(np.zeros(0, np.uint32)), 0)) == 0

@@ -8,8 +8,8 @@ counts are summed in two steps, and the driver normalises them. A text's score i
 of its words and its end, by scaled forward recursion over the whole text.
 
 Data flow: tasks cut documents into blocks of about ``BLOCK`` bytes and stage each as its distinct words, their training
-counts and the documents as word numbers. Counts are summed by word over all blocks and joined back to the
-blocks that hold the word, so no task needs the whole vocabulary. Training runs over stretches of ``STRETCH``
+counts and the documents as word numbers. Counts are summed by word over all blocks; where a block's own count
+is not the sum, the sum is joined back to it, so no task needs the whole vocabulary. Training runs over stretches of ``STRETCH``
 tokens (stretches inside a document have their own start distribution); scoring does not.
 
 Defined results: null and empty texts are their end alone; with no training documents N = V = 0, and the
@@ -39,6 +39,17 @@ FOLDS, HELD_OUT = 7, 2
 PRIOR = 0.01
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers as their low 16 bits, then their high 8 (or, from 2 ** 24 on, 16), which compress well."""
+    high = numbers >> 16
+    return (numbers & 0xFFFF).astype("<u2").tobytes() + high.astype("u1" if not len(high) or int(high.max()) < 256 else "<u2").tobytes()
+
+
+def from_planes(raw: bytes, n: int) -> np.ndarray:
+    high = np.frombuffer(raw, "u1" if len(raw) == 3 * n else "<u2", n, 2 * n)
+    return np.frombuffer(raw, "<u2", n).astype(np.uint32) | high.astype(np.uint32) << 16
+
+
 def _blocks(batches):
     """Rows come with doc_id, train, text; one row for each block."""
     held: list = []
@@ -54,12 +65,12 @@ def _blocks(batches):
         for (_, train, _), x in zip(held, numbers, strict=True):
             if train:
                 n += np.bincount(x, minlength=len(n))
-        tokens = np.concatenate(numbers).astype("<u4") if numbers else np.zeros(0, "<u4")
+        tokens = planes(np.concatenate(numbers))
         print_ = hashlib.blake2b(repr([(d, len(w)) for (d, _, _), w in zip(held, texts, strict=True)]).encode(), digest_size=8)
         print_.update(b" ".join(names))
-        print_.update(tokens.tobytes())
+        print_.update(tokens)
         return pa.RecordBatch.from_arrays(
-            [pa.array([int.from_bytes(print_.digest(), "big", signed=True)], pa.int64()), pa.array([list(names)], pa.list_(pa.binary())), pa.array([n], pa.list_(pa.int64())), pa.array([[d for d, _, _ in held]], pa.list_(pa.int64())), pa.array([[t for _, t, _ in held]], pa.list_(pa.bool_())), pa.array([[len(w) for w in texts]], pa.list_(pa.int32())), pa.array([tokens.tobytes()], pa.binary())],
+            [pa.array([int.from_bytes(print_.digest(), "big", signed=True)], pa.int64()), pa.array([list(names)], pa.list_(pa.binary())), pa.array([n], pa.list_(pa.int64())), pa.array([[d for d, _, _ in held]], pa.list_(pa.int64())), pa.array([[t for _, t, _ in held]], pa.list_(pa.bool_())), pa.array([[len(w) for w in texts]], pa.list_(pa.int32())), pa.array([tokens], pa.binary())],
             fields,
         )
 
@@ -123,14 +134,15 @@ def _documents(vocab: Vocabulary):
             for i in range(b.num_rows):
                 words = b.column("words")[i].values
                 words = words.to_pylist() if words is not None else []
-                c = np.zeros(len(words), dtype=np.int64)
+                own = b.column("counts")[i].values  # a word of no other block has its count from here
+                c = own.to_numpy().copy() if own is not None else np.zeros(0, dtype=np.int64)
                 got = b.column("found")[i].values
                 if got is not None and len(got):
                     c[got.field("pos").to_numpy()] = got.field("c").to_numpy()
                 cls = vocab.classes(words)
                 base, within, known = vocab.base(c), vocab.within(cls, c), c > 0
-                tokens = np.frombuffer(b.column("tokens")[i].as_buffer(), "<u4")
                 lengths = b.column("lengths")[i].values.to_numpy()
+                tokens = from_planes(b.column("tokens")[i].as_py(), int(lengths.sum()))
                 stops = np.cumsum(lengths)
                 at = lambda x: np.concatenate(([0], np.cumsum(x[tokens])))
                 sums = [at(x) for x in (base, within, known.astype(np.int64))]
@@ -296,8 +308,8 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     counts = staged(words.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "counts")
     ends = blocks.select(F.coalesce(F.sum(F.size(F.filter("train", lambda t: t))), F.lit(0))).first()[0]
     vocab = vocabulary(counts, ends)
-    found = words.select("word", "block", "pos").join(counts, "word").groupBy("block").agg(F.collect_list(F.struct("pos", "c")).alias("found"))
-    per_doc = staged(blocks.select("block", "words", "docs", "train", "lengths", "tokens").join(found, "block", "left").mapInArrow(_documents(vocab), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, within double, classes binary"), "classes")
+    found = words.join(counts, "word").where("c <> n").groupBy("block").agg(F.collect_list(F.struct("pos", "c")).alias("found"))
+    per_doc = staged(blocks.join(found, "block", "left").mapInArrow(_documents(vocab), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, within double, classes binary"), "classes")
     if not ends:
         return per_doc.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(0).cast("long").alias("train_tokens"), "base_score", F.col("base_score").alias("score"))
     model, _ = baum_welch(per_doc.where("train"), vocab.tokens, rounds)
