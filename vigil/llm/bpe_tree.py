@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.llm.common import spread, table
-from vigil.llm.textcodec import LITTLE, PLAIN, WORD_SPLIT, Memo, encode_units, memo, model_ids, tokenizer
+from vigil.llm.textcodec import LITTLE, PLAIN, WORD_SPLIT, Memo, encode_units, memo, model_encoder, tokenizer
 
 #: Characters in a leaf. Longer texts are encoded by several tasks.
 LEAF_CHARS = 32_768
@@ -112,7 +112,7 @@ def units_of(text: str) -> list[str]:
 
 
 def _names(path: str) -> list[str]:
-    return memo("names", path, lambda _: [[tokenizer(path).id_to_token(i) for i in range(tokenizer(path).get_vocab_size())]]).learn({""})[""]
+    return memo("names", path, lambda p: lambda _: [tokenizer(p).id_to_token(i) for i in range(tokenizer(p).get_vocab_size())])[""]
 
 
 def decode_ids(path: str, ids) -> str:
@@ -130,30 +130,31 @@ def _lower_split(text: str) -> list[str]:
 def word_memo(path: str) -> Memo:
     """Pre-token -> (ids as bytes, decoded tokens)."""
 
-    def encode(some):
-        ids = [model_ids(path, w) for w in some]
-        return [(i, decode_ids(path, memoryview(i).cast("I") if LITTLE else np.frombuffer(i, "<u4").tolist()).encode()) for i in ids]
+    def make(path):
+        ids_of = model_encoder(path)
 
-    return memo("word", path, encode)
+        def encode(word):
+            i = ids_of(word)
+            return i, decode_ids(path, memoryview(i).cast("I") if LITTLE else np.frombuffer(i, "<u4").tolist()).encode()
+
+        return encode
+
+    return memo("word", path, make)
 
 
 def encode_texts(path: str, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
     """(ids, decoded UTF-8) of each whole text."""
-    plain, split = {}, {}
-    words: set[str] = set()
+    split: dict = {}
     units: set[str] = set()
+    out = [(b"", b"")] * len(texts)
+    get = word_memo(path).__getitem__
     for i, t in enumerate(texts):
         if t and PLAIN(t) and "<|" not in t:
-            plain[i] = parts = _lower_split(t)
-            words.update(parts)
+            got = list(map(get, _lower_split(t)))
+            out[i] = (b"".join([g[0] for g in got]), b" ".join([g[1] for g in got]))
         elif t:
             split[i] = parts = units_of(t)
             units.update(parts)
-    out = [(b"", b"")] * len(texts)
-    get = word_memo(path).learn(words).__getitem__
-    for i, parts in plain.items():
-        got = list(map(get, parts))
-        out[i] = (b"".join([g[0] for g in got]), b" ".join([g[1] for g in got]))
     if split:
         ids = dict(zip(units, encode_units(path, _lower_split, list(units)), strict=True))
         for i, parts in split.items():

@@ -13,9 +13,9 @@ from array import array
 
 import numpy as np
 
-#: Units a worker remembers; when full, the memory starts anew. Bounds memory, never results.
-MEMO_UNITS = 200_000
-#: Units longer than this are encoded every time rather than remembered.
+#: Units in a generation of a worker's memory. Bounds memory, never results.
+MEMO_UNITS = 250_000
+#: Longer units are forgotten after the call that met them.
 MEMO_CHARS = 64
 
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
@@ -41,41 +41,31 @@ def encode_plain(path: str, texts: list[str]) -> list[bytes]:
 
 
 class Memo(dict):
-    """Units to what ``encode`` makes of them; misses of a batch go to the library together."""
+    """Unit -> what ``encode`` makes of it. When it is full, its entries become the old generation; old
+    entries that are met again move back, so frequent units stay."""
 
     def __init__(self, encode):
         super().__init__()
         self.encode = encode
-
-    def learn(self, units: set[str]) -> dict:
-        """Make every unit known; returns the mapping to look them up in."""
-        missing = [u for u in units if u not in self]
-        if not missing:
-            return self
-        found = dict(zip(missing, self.encode(missing), strict=True))
-        if len(self) + len(found) > MEMO_UNITS:
-            known = {u: self[u] for u in units if u in self}
+        self.old: dict = {}
+
+    def __missing__(self, unit):
+        got = self.old.pop(unit, None)
+        if got is None:
+            got = self.encode(unit)
+            if len(unit) > MEMO_CHARS:
+                return got
+        if len(self) >= MEMO_UNITS:
+            self.old = dict(self)
             self.clear()
-            self.update(known)
-        short = {u: v for u, v in found.items() if len(u) <= MEMO_CHARS}
-        self.update(short)
-        if len(short) == len(found):
-            return self
-        return _Both(self, found)
-
-
-class _Both(dict):
-    def __init__(self, memo, found):
-        super().__init__(found)
-        self.memo = memo
+        self[unit] = got
+        return got
 
-    def __missing__(self, key):
-        return self.memo[key]
 
-
-def memo(kind: str, path: str, encode) -> Memo:
+def memo(kind: str, path: str, make) -> Memo:
+    """This worker's memory of one kind for one tokenizer file."""
     if (kind, path) not in _loaded:
-        _loaded[kind, path] = Memo(encode)
+        _loaded[kind, path] = Memo(make(path))
     return _loaded[kind, path]
 
 
@@ -98,30 +88,34 @@ def _byte_names() -> list[str]:
 BYTE_NAMES = _byte_names()
 
 
-def model_ids(path: str, pretoken: str) -> bytes:
-    if pretoken.isascii():
-        named = pretoken.replace(" ", BYTE_NAMES[32]).replace("\n", BYTE_NAMES[10])
-    else:
-        named = "".join([BYTE_NAMES[b] for b in pretoken.encode()])
-    ids = array("I", [t.id for t in tokenizer(path).model.tokenize(named)])
-    return ids.tobytes() if LITTLE else np.array(ids, dtype="<u4").tobytes()
+def model_encoder(path: str):
+    """Function from a pre-token to its ids as bytes."""
+    tokenize, blank, feed = tokenizer(path).model.tokenize, BYTE_NAMES[32], BYTE_NAMES[10]
+
+    def encode(pretoken: str) -> bytes:
+        if pretoken.isascii():
+            named = pretoken.replace(" ", blank).replace("\n", feed)
+        else:
+            named = "".join([BYTE_NAMES[b] for b in pretoken.encode()])
+        ids = array("I", [t.id for t in tokenize(named)])
+        return ids.tobytes() if LITTLE else np.array(ids, dtype="<u4").tobytes()
+
+    return encode
 
 
 def pretokens(path: str) -> Memo:
-    return memo("pretoken", path, lambda some: [model_ids(path, u) for u in some])
+    return memo("pretoken", path, model_encoder)
 
 
 def encode_units(path: str, split, units: list[str], specials: str = "<|") -> list[bytes]:
     """Ids of units: pre-tokens known or new to the model; a unit with other characters goes to the library."""
-    known = pretokens(path)
-    plain, other = {}, []
+    get = pretokens(path).__getitem__
+    ids, other = {}, []
     for u in units:
         if PLAIN(u) and specials not in u:
-            plain[u] = split(u)
+            ids[u] = b"".join(map(get, split(u)))
         else:
             other.append(u)
-    got = known.learn({t for parts in plain.values() for t in parts}).__getitem__
-    ids = {u: b"".join(map(got, parts)) for u, parts in plain.items()}
     ids.update(zip(other, encode_plain(path, other), strict=True))
     return [ids[u] for u in units]
 
@@ -137,27 +131,23 @@ def byte_level_ids(path: str, texts: list[str | None]) -> list[bytes]:
     a blank, except inside a run of white space; texts with such runs or with special-token strings go to
     the library whole.
     """
-    split, whole, pieces = {}, {}, {}
+    split, whole = {}, {}
     units: set[str] = set()
-    known: set[str] = set()
+    out = [b""] * len(texts)
+    get = pretokens(path).__getitem__
     for i, t in enumerate(texts):
         if not t:
             continue
         if "<|" in t:
             whole[i] = t
         elif PLAIN(t):
-            pieces[i] = parts = BYTE_SPLIT(t)
-            known.update(parts)
+            out[i] = b"".join(map(get, BYTE_SPLIT(t)))
         elif t[0].isspace() or t[-1].isspace() or RUN.search(t):
             whole[i] = t
         else:
             first, *rest = t.split(" ")
             split[i] = parts = [first, *[" " + u for u in rest]]
             units.update(parts)
-    out = [b""] * len(texts)
-    get = pretokens(path).learn(known).__getitem__
-    for i, parts in pieces.items():
-        out[i] = b"".join(map(get, parts))
     if split:
         get = dict(zip(units, encode_units(path, BYTE_SPLIT, list(units)), strict=True)).__getitem__
         for i, parts in split.items():
