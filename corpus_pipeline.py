@@ -14,6 +14,8 @@ from vigil.llm.common import staged, table
 
 #: A document stays if its leading language has at least this share and certainty.
 LEAST_LANGUAGE = 0.5
+#: Documents are near copies from this similarity on, in hundredths (``op7_bayes_minhash`` has its own).
+NEAR_COPY = 80
 
 ORACLE_SQL = None
 
@@ -30,7 +32,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that of the smallest doc_id."""
-    return near_dup.keep_one(docs)
+    return near_dup.keep_one(docs, hundredths=NEAR_COPY)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Operator 7: MinHash near-duplicates with sequential Bayesian verification.
 
 1. Each text becomes its set of shingles and a signature; texts with one set form a class, linked at once.
-2. Classes that agree in a whole band are candidates. At similarity 0.85 a pair meets in one of 24 bands of
-   6 values with probability 1 - 1.2e-5.
+2. Classes that agree in a whole band are candidates. Bands follow from the threshold, so that a pair at it meets
+   in one of them with probability 1 - 1.2e-5: 24 bands of 6 values at 0.85, 29 of 5 at 0.80.
 3. Candidates of a band meet in cells of bounded size (large groups are cut into blocks, and each two blocks
    meet in a cell). A cell compares signatures batch by batch and drops a pair as soon as the posterior
    probability that its similarity reaches the threshold falls below ``MISS``.
@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from functools import cache
-from math import comb
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -31,17 +31,29 @@ from pyspark.sql import functions as F
 
 from vigil.llm.common import small, staged, table
 from vigil.llm.components import components
-from vigil.llm.shingles import BANDS, HASHES, ROWS, shingle_set, signature
+from vigil.llm.shingles import MOST_HASHES, ROWS, shingle_set, signature
 
 #: Similarity in hundredths for links, and the chance at which a true link may be dropped in a batch.
 HUNDREDTHS = 85
 MISS = 1e-6
+#: Chance that a pair at the threshold agrees in no whole band.
+UNMET = 1.2e-5
 #: Bands compared at a time.
 BATCH = 4
 #: Classes of a block; a cell holds two.
 BLOCK = 512
 
 
+@cache
+def banding(hundredths: int) -> tuple[int, int]:
+    """Number of bands and their values: the longest bands whose number keeps ``UNMET`` within a signature."""
+    for rows in range(ROWS, 0, -1):
+        bands = ceil(log(UNMET) / log(1 - (hundredths / 100) ** rows)) if hundredths < 100 else 1
+        if bands * rows <= MOST_HASHES:
+            return bands, rows
+    raise ValueError(f"no bands for a similarity of {hundredths} hundredths")
+
+
 @cache
 def least_agreement(n: int, hundredths: int = HUNDREDTHS, miss: float = MISS) -> int:
     """Fewest agreements of ``n`` values at which the similarity may still reach the threshold.
@@ -71,19 +83,20 @@ def survivors(sig: np.ndarray, left: np.ndarray, right: np.ndarray, band: int, h
     keep = i < j
     i, j = i[keep], j[keep]
     agree = np.zeros(len(i), dtype=np.int32)
-    width = BATCH * ROWS
-    for at in range(0, HASHES, width):
+    bands, rows = banding(hundredths)
+    hashes, width = bands * rows, BATCH * rows
+    for at in range(0, hashes, width):
         part = sig[:, at : at + width]
         ok = np.empty(len(i), dtype=bool)
-        floor = least_agreement(at + width, hundredths)
+        floor = least_agreement(min(at + width, hashes), hundredths)
         for s in range(0, len(i), 65_536):
             a, b = i[s : s + 65_536], j[s : s + 65_536]
             same = part[a] == part[b]
             agree[s : s + 65_536] += same.sum(axis=1, dtype=np.int32)
             fine = agree[s : s + 65_536] >= floor
             for k in range(BATCH):
-                if at // ROWS + k < band:
-                    fine &= ~same[:, k * ROWS : (k + 1) * ROWS].all(axis=1)
+                if at // rows + k < band:
+                    fine &= ~same[:, k * rows : (k + 1) * rows].all(axis=1)
             ok[s : s + 65_536] = fine
         i, j, agree = i[ok], j[ok], agree[ok]
     return i, j, agree
@@ -109,15 +122,18 @@ def links_of(members: list[int], sig: np.ndarray, sets: list[np.ndarray], left:
     return out
 
 
-def _facts(batches):
-    for b in batches:
-        n, cls, sig = [], [], []
-        for t in b.column("text").cast(pa.binary()).to_pylist():
-            s = shingle_set(t)
-            n.append(len(s))
-            cls.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-            sig.append(signature(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("print"), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "print", "n_shingles", "cls", "sig"])
+def _facts(hashes: int):
+    def run(batches):
+        for b in batches:
+            n, cls, sig = [], [], []
+            for t in b.column("text").cast(pa.binary()).to_pylist():
+                s = shingle_set(t)
+                n.append(len(s))
+                cls.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                sig.append(signature(s, hashes=hashes).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("print"), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "print", "n_shingles", "cls", "sig"])
+
+    return run
 
 
 def _sets(batches):
@@ -148,11 +164,12 @@ def _cell(hundredths: int):
 
 def _labelled(docs: DataFrame, hundredths: int, block: int) -> DataFrame:
     """doc_id, print (hash of the text), n_shingles, component of each row of ``docs``."""
+    bands, rows = banding(hundredths)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    facts = staged(base.withColumn("print", F.xxhash64("text")).mapInArrow(_facts, "doc_id long, print long, n_shingles long, cls binary, sig binary"), "facts")
+    facts = staged(base.withColumn("print", F.xxhash64("text")).mapInArrow(_facts(bands * rows), "doc_id long, print long, n_shingles long, cls binary, sig binary"), "facts")
     classes = staged(facts.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
     # bands
-    keys = F.array(*[F.struct(F.lit(k).alias("band"), F.xxhash64(F.lit(k), F.substring("sig", 2 * ROWS * k + 1, 2 * ROWS)).alias("key")) for k in range(BANDS)])
+    keys = F.array(*[F.struct(F.lit(k).alias("band"), F.xxhash64(F.lit(k), F.substring("sig", 2 * rows * k + 1, 2 * rows)).alias("key")) for k in range(bands)])
     banded = classes.select("cls", F.explode(keys).alias("x")).select("cls", "x.band", "x.key")
     groups = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = staged(banded.join(groups, "key"), "members")

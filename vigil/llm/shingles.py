@@ -5,9 +5,10 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Signature: BANDS bands of ROWS values.
+#: Signature: BANDS bands of ROWS values, or more values for other bands.
 BANDS, ROWS = 24, 6
 HASHES = BANDS * ROWS
+MOST_HASHES = 160
 WORDS = 5
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -30,6 +31,9 @@ _words = WordHash()
 _rng = np.random.default_rng(7)
 _A = (_rng.integers(0, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
+_more = _rng.integers(0, 1 << 32, (2, MOST_HASHES - HASHES), dtype=np.uint64)
+_A = np.concatenate((_A, (_more[0] | np.uint64(1)).astype(np.uint32)))
+_B = np.concatenate((_B, _more[1].astype(np.uint32)))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -68,12 +72,12 @@ def shingle_set(text: str | bytes | None, k: int = WORDS) -> np.ndarray:
     return np.unique(mix(s))
 
 
-def signature(shingles: np.ndarray, step: int = 8192) -> np.ndarray:
-    """HASHES values of 16 bits. Chance agreements (1 in 65536) only ever keep a pair longer."""
-    low = np.full(HASHES, 0xFFFFFFFF, dtype=np.uint32)
+def signature(shingles: np.ndarray, step: int = 8192, hashes: int = HASHES) -> np.ndarray:
+    """``hashes`` values of 16 bits. Chance agreements (1 in 65536) only ever keep a pair longer."""
+    low = np.full(hashes, 0xFFFFFFFF, dtype=np.uint32)
     x = (shingles >> np.uint64(32)).astype(np.uint32) ^ shingles.astype(np.uint32)
     for at in range(0, len(x), step):
-        h = np.multiply.outer(_A, x[at : at + step])
-        h += _B[:, None]
+        h = np.multiply.outer(_A[:hashes], x[at : at + step])
+        h += _B[:hashes, None]
         np.minimum(low, h.min(axis=1), out=low)
     return ((low * np.uint32(2654435761)) >> np.uint32(16)).astype("<u2")
