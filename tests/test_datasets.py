@@ -33,6 +33,15 @@ def test_leak_is_found(spark):
     assert D.leaks(pairs, splits).count() == 1
 
 
+def test_long_chain_is_one_cluster(spark):
+    ensure_checkpoint_dir(spark)
+    ids = spark.createDataFrame([(i,) for i in range(75)], "id long")
+    chain = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(61, 74), (73, 74)], "a long, b long")
+    cl = D.clusters(ids, chain)
+    assert {r.id: r.cluster for r in cl.collect()} == {i: 0 if i <= 60 else 61 if i in (73, 74) else i for i in range(75)}
+    assert D.leaks(chain, D.split(cl)).count() == 0
+
+
 def test_metrics_without_denominator(spark):
     df = spark.createDataFrame([(0, 0), (0, 0)], "y int, pred int")
     r = M.binary(df).first()

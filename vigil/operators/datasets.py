@@ -61,17 +61,21 @@ def near_pairs(sigs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return both.select("a", "b", same.alias("agreement")).where(F.col("agreement") > threshold)
 
 
-def clusters(ids: DataFrame, pairs: DataFrame, rounds: int = 20) -> DataFrame:
-    """id, cluster (smallest id reachable over pairs)."""
+def clusters(ids: DataFrame, pairs: DataFrame) -> DataFrame:
+    """id, cluster (smallest id reachable over pairs).
+
+    A round takes the least label of the neighbours, then that label's own label, so chains shrink by more than a
+    hop each. Rounds end only when no label is above a neighbour's: then each component has one label, its smallest id.
+    """
     both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
     label = both.select(F.col("a").alias("id")).distinct().withColumn("cluster", F.col("id"))
-    for _ in range(rounds):
+    moved = True
+    while moved:
         near = both.join(label, F.col("b") == F.col("id")).groupBy("a").agg(F.min("cluster").alias("m"))
-        new = label.join(near, F.col("id") == F.col("a")).select("id", F.least("cluster", "m").alias("cluster"), (F.col("m") < F.col("cluster")).alias("moved")).checkpoint()
-        moved = new.where("moved").limit(1).count()
-        label = new.select("id", "cluster")
-        if not moved:
-            break
+        hop = label.join(near, F.col("id") == F.col("a")).select("id", F.least("cluster", "m").alias("c"), (F.col("m") < F.col("cluster")).alias("moved")).checkpoint()
+        moved = hop.where("moved").limit(1).count() > 0
+        up = hop.select(F.col("id").alias("c"), F.col("c").alias("cluster"))
+        label = hop.select("id", "c").join(up, "c").select("id", "cluster").checkpoint() if moved else hop.select("id", F.col("c").alias("cluster"))
     return ids.select("id").join(label, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
 
 
