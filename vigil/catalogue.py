@@ -242,6 +242,48 @@ def leakage_pairs(spark, sf_dir):
     return D.leaks(pairs, D.split(D.clusters(rows, pairs)))
 
 
+# The same chain over the whole texts of `documents`, where near copies occur. The self-join that SQL needs does not
+# bear that table, so tests hold these against brute force.
+
+
+def _document_rows(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").where("text is not null")
+
+
+def _document_near(spark, sf_dir):
+    from vigil.plans.staging import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    rows = _document_rows(spark, sf_dir)
+    return rows, D.near_pairs(D.signatures(rows).checkpoint()).checkpoint()
+
+
+@query()
+def doc_minhash_signature(spark, sf_dir):
+    return D.signatures(_document_rows(spark, sf_dir))
+
+
+@query()
+def doc_near_dup_pairs(spark, sf_dir):
+    return _document_near(spark, sf_dir)[1].select("a", "b", F.round("agreement", 6).alias("agreement"))
+
+
+@query()
+def doc_clusters(spark, sf_dir):
+    return D.clusters(*_document_near(spark, sf_dir))
+
+
+@query()
+def doc_split_assign(spark, sf_dir):
+    return D.split(D.clusters(*_document_near(spark, sf_dir)))
+
+
+@query()
+def doc_leakage_pairs(spark, sf_dir):
+    rows, pairs = _document_near(spark, sf_dir)
+    return D.leaks(pairs, D.split(D.clusters(rows, pairs)))
+
+
 def _labelled(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
     lab = read(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("y"), "quality")
