@@ -360,6 +360,11 @@ def mean_pool(spark, sf_dir):
     return D.mean_pool(read(spark, sf_dir, "embeddings"), 8)
 
 
+@query("SELECT label, pos, round(avg(x::DOUBLE), 5) AS mean FROM (SELECT label, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding) AS x FROM embeddings) GROUP BY label, pos")
+def mean_pool_vector(spark, sf_dir):
+    return D.mean_pool_vector(read(spark, sf_dir, "embeddings"))
+
+
 _HOSTS = "SELECT DISTINCT lower(regexp_extract(url, '^[^:]*://([^/?#:]*)', 1)) AS domain FROM pages WHERE url IS NOT NULL"
 _M, _K = 2048, 7
 _HALF = lambda at: f"(('0x' || substr(sha256(domain), {at}, 16))::UBIGINT::HUGEINT - CASE WHEN ('0x' || substr(sha256(domain), {at}, 1))::INT >= 8 THEN 18446744073709551616::HUGEINT ELSE 0 END)"
