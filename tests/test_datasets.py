@@ -27,6 +27,18 @@ def test_split_shares(spark):
     assert 60 <= got["train"] <= 80 and 5 <= got["val"] <= 25 and 5 <= got["test"] <= 25
 
 
+def test_split_places_clusters_one_by_one(spark):
+    rows = [(i, i) for i in range(11_000)] + [(20_000 + i, 20_000 + i // 3) for i in range(3_000)]
+    got = {r.cluster: r.split for r in D.split(spark.createDataFrame(rows, "id long, cluster long")).collect()}
+    target, have = {s: r * len(rows) for s, r in D.RATIOS.items()}, dict.fromkeys(D.RATIOS, 0)
+    for n, c in [(3, 20_000 + i) for i in range(1_000)] + [(1, i) for i in range(11_000)]:
+        best = max(have, key=lambda s: (target[s] - have[s]) / target[s])
+        have[best] += n
+        assert got.pop(c) == best
+    assert not got
+    assert D.split(spark.createDataFrame([], "id long, cluster long")).count() == 0
+
+
 def test_leak_is_found(spark):
     pairs = spark.createDataFrame([(1, 2)], "a long, b long")
     splits = spark.createDataFrame([(1, "train"), (2, "test")], "id long, split string")

@@ -9,7 +9,8 @@ from vigil.functions.text import scrub
 
 HASHES, K, THRESHOLD = 64, 5, 0.8
 BANDS = 16
-TURNS = 5_000
+#: Clusters whose splits are one row of a plan, and rows of a plan that may be broadcast.
+TURNS, PLAN_ROWS = 1_024, 100_000
 RATIOS = {"train": 0.70, "val": 0.15, "test": 0.15}
 
 
@@ -82,30 +83,30 @@ def clusters(ids: DataFrame, pairs: DataFrame) -> DataFrame:
 def split(clustered: DataFrame, ratios: dict[str, float] = RATIOS) -> DataFrame:
     """id, cluster, split: whole clusters, largest first, each to the split furthest below its share (by fraction).
 
-    Sizes of clusters repeat: only the distinct sizes with their counts come to the driver, and a size's
-    clusters, ordered by id, get the splits of its turns. A turn places one cluster, or a fixed share of a size
-    that more than ``TURNS`` clusters have.
+    Sizes of clusters repeat: only the distinct sizes with their counts come to the driver, which places one cluster
+    after the other. A size's clusters, ordered by id, get the splits of its turns, one byte each.
     """
     sizes = clustered.groupBy("cluster").agg(F.count("*").alias("n"))
     hist = [(r["n"], r["k"]) for r in sizes.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).collect()]
     total = sum(n * k for n, k in hist)
-    have = dict.fromkeys(ratios, 0)
-    runs = []
+    names = list(ratios)
+    targets, have = [ratios[s] * total for s in names], [0] * len(names)
+    turns = []
     for n, k in hist:
-        at, step = 0, -(-k // TURNS)
-        while at < k:
-            end = min(k, at + step)
-            best = max(ratios, key=lambda s: (ratios[s] * total - have[s]) / (ratios[s] * total))
-            have[best] += n * (end - at)
-            if runs and runs[-1][0] == n and runs[-1][3] == best:
-                runs[-1][2] = end
-            else:
-                runs.append([n, at, end, best])
-            at = end
+        for at in range(0, k, TURNS):
+            codes = bytearray()
+            for _ in range(min(TURNS, k - at)):
+                short = [(t - h) / t for t, h in zip(targets, have)]
+                best = short.index(max(short))
+                have[best] += n
+                codes.append(best)
+            turns.append((n, at // TURNS, codes))
     spark = clustered.sparkSession
-    plan = spark.createDataFrame([tuple(r) for r in runs] or [(0, 0, 0, "train")], "n long, low long, high long, split string")
+    plan = spark.createDataFrame(turns, "n long, turn long, codes binary")
+    plan = F.broadcast(plan) if len(turns) <= PLAN_ROWS else plan
     ranked = sizes.withColumn("r", (F.row_number().over(Window.partitionBy("n").orderBy("cluster")) - 1).cast("long"))
-    placed = ranked.join(F.broadcast(plan), (ranked["n"] == plan["n"]) & (F.col("r") >= F.col("low")) & (F.col("r") < F.col("high"))).select("cluster", "split")
+    code = F.conv(F.hex(F.substring("codes", (F.col("r") % TURNS + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    placed = ranked.withColumn("turn", F.floor(F.col("r") / TURNS)).join(plan, ["n", "turn"]).select("cluster", F.get(F.array(*map(F.lit, names)), code).alias("split"))
     return clustered.join(placed, "cluster").select("id", "cluster", "split")
 
 
