@@ -40,6 +40,14 @@ def test_mixture_finds_proportions():
     assert 0.7 < pi[0] < 0.95
 
 
+def test_all_languages_of_a_text_are_found():
+    ll = np.full((70, 9), -60.0)
+    for k in range(7):
+        ll[10 * k : 10 * k + 10, k] = -20.0
+    some, pi, _ = L.infer(ll)
+    assert sorted(some) == list(range(7)) and np.allclose(pi, 1 / 7, atol=0.01)
+
+
 def test_toxicity(spark):
     bad = ["grobli", "mukzer", "fantop"]
     rows, labels = list(AWKWARD), []

@@ -28,9 +28,8 @@ from vigil.llm.common import crc_mod, filtered, table
 SAMPLE = 2_000
 BUCKETS = 1 << 14
 SEGMENT = 64
-#: What one more language must add to the log-likelihood (natural logarithm), and the largest set.
+#: What one more language must add to the log-likelihood (natural logarithm).
 PENALTY = 12.0
-LARGEST_SET = 4
 ROUNDS = 25
 #: Weight of a trigram's evidence: neighbouring trigrams overlap, so each counts for a part.
 EVIDENCE = 0.5
@@ -102,7 +101,7 @@ def infer(ll: np.ndarray, penalty: float = PENALTY) -> tuple[list[int], np.ndarr
     certain = float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
     some, pi, value = [best], np.ones(1), float(total[best])
     # no mixture beats the best language of each segment
-    while len(some) < min(LARGEST_SET, ll.shape[1]) and float(ll.max(axis=1).sum(dtype=np.float64)) - value > penalty:
+    while len(some) < ll.shape[1] and float(ll.max(axis=1).sum(dtype=np.float64)) - value > penalty:
         tries = [(mixture(ll, [*some, k]), k) for k in range(ll.shape[1]) if k not in some]
         (gain, got), k = max(tries, key=lambda t: t[0][0])
         if gain - value <= penalty:
