@@ -148,6 +148,15 @@ def test_edit_matches_within_budget(spark):
         assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _ in rows if not 300 <= i < 312)
 
 
+def test_items_without_id_match(spark):
+    bench = spark.createDataFrame([(None, prose(60, 25)), (None, None), (None, ""), (7, prose(61, 25))], "item_id long, text string")
+    rows = [(1, prose(1, 30) + " " + prose(60, 25)), (2, prose(61, 25)), (3, prose(2, 60)), (4, None)]
+    for size in (M.BLOCK_BYTES, 100):
+        got = sorted(((r.doc_id, r.item_id) for r in M.leaks(documents(spark, rows), bench, block_bytes=size).collect()), key=str)
+        assert got == [(1, None), (2, 7)]
+        assert sorted(r.doc_id for r in M.keep_unleaked(documents(spark, rows), bench, block_bytes=size).collect()) == [3, 4]
+
+
 def test_myers_equals_dynamic_programming():
     rng = random.Random(6)
     for _ in range(200):

@@ -9,7 +9,8 @@ where the item would lie, and Myers' bit-parallel distance decides over that str
 Items are met in blocks of at most ``BLOCK_BYTES``; each block is one pass over all documents.
 
 Defined results: null and empty texts and items match nothing; items of fewer than ``LEAST`` bytes need an
-exact match; repeated documents each give their rows, repeated items each their item_id; empty tables give no rows; other columns are ignored.
+exact match; repeated documents each give their rows, repeated items each their item_id, and items without item_id a
+null one; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -79,7 +80,7 @@ def best_end(item: bytes, peq: dict[int, int], text: bytes, k: int) -> tuple[int
 
 
 class Matcher:
-    def __init__(self, items: list[tuple[int, bytes]], per_error: int = PER_ERROR):
+    def __init__(self, items: list[tuple[int | None, bytes]], per_error: int = PER_ERROR):
         import ahocorasick
 
         self.items = [(i, t, budget(len(t), per_error), masks(t)) for i, t in items if t]
@@ -93,7 +94,7 @@ class Matcher:
         if where:
             self.automaton.make_automaton()
 
-    def find(self, raw: bytes) -> list[tuple[int, int, int]]:
+    def find(self, raw: bytes) -> list[tuple[int | None, int, int]]:
         """(item_id, distance, end) of each item found in a normalised text."""
         if not self.items or not raw:
             return []
@@ -121,7 +122,7 @@ class Matcher:
         return out
 
 
-def _scan(items: list[tuple[int, bytes]], per_error: int):
+def _scan(items: list[tuple[int | None, bytes]], per_error: int):
     def run(batches):
         matcher = Matcher(items, per_error)
         for b in batches:
@@ -141,7 +142,7 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
     n = max(1, -(-size // block_bytes))
     for k in range(n):
         part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else benchmark
-        yield [(r["item_id"], normal(r["text"])) for r in part.select("item_id", "text").where("text is not null and item_id is not null").collect()]
+        yield [(r["item_id"], normal(r["text"])) for r in part.select("item_id", "text").where("text is not null").collect()]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, per_error: int = PER_ERROR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
