@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import spread, table
+from vigil.llm.common import spread, table, trimmed
 from vigil.llm.textcodec import LITTLE, PLAIN, WORD_SPLIT, Memo, encode_units, memo, model_encoder, tokenizer
 
 #: Characters in a leaf. Longer texts are encoded by several tasks.
@@ -263,11 +263,11 @@ def encode_documents(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS) -
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     special = F.col("text").contains("<|")  # a special token's string must not be cut; such texts stay whole
     long = F.coalesce((F.length("text") > leaf_chars) & ~special, F.lit(False))
-    short = base.where(~long).mapInArrow(_short(path), SCHEMA)
+    short = base.where(~long).mapInArrow(trimmed(_short(path)), SCHEMA)
     tall = base.where(long).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     n = F.ceil(F.length("text") / F.lit(leaf_chars)).cast("int")
     pieces = tall.select("row", "doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring("text", i * leaf_chars + 1, F.lit(leaf_chars)))).alias("pos", "text"))
-    nodes = spread(pieces, "row", "pos").mapInArrow(_leaves(path), "row long, doc_id long, pos int, " + ", ".join(f"{c} binary" for c in NODE))
+    nodes = spread(pieces, "row", "pos").mapInArrow(trimmed(_leaves(path)), "row long, doc_id long, pos int, " + ", ".join(f"{c} binary" for c in NODE))
     return short.unionByName(nodes.groupBy("row").applyInArrow(_roots(path), SCHEMA))
 
 

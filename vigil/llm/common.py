@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,12 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``, or a private one where that is unset (tests)."""
+    """The folder every executor sees: ``spark.checkpoint.dir``, or with a local master and none set (tests) a private one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = where.get() if where.isDefined() else None
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="vigil-shared-")
         atexit.register(shutil.rmtree, where, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(f"file://{where}")
@@ -40,7 +45,14 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._vigil_path = path
+    return out
+
+
+def where(df: DataFrame) -> str:
+    """The folder of a staged table."""
+    return df._vigil_path
 
 
 def discard(spark: SparkSession, path: str) -> None:
@@ -68,20 +80,55 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Bytes of texts that a filter holds as Python objects at a time.
+HELD = 16 << 20
+
+
+def by_bytes(batch: pa.RecordBatch, column: str = "text", most: int = HELD):
+    """Slices of ``batch`` whose texts take about ``most`` bytes; a longer text is a slice of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    at = 0
+    while at < batch.num_rows:
+        end = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), most, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def trimmed(run):
+    """``run`` for mapInArrow whose worker gives memory back to the system at the end of a task."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
+def give_back() -> None:
+    """Free memory that Arrow and the C library keep for later: workers live on, and later stages have other needs."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def filtered(docs: DataFrame, keep) -> DataFrame:
     """Rows of ``docs`` for which ``keep(list of UTF-8 texts)`` gives true; all columns stay as they are.
 
-    ``keep`` is made once for each task by calling the given factory.
+    ``keep`` is made once for each task by calling the given factory. Texts become Python objects ``HELD`` bytes
+    at a time.
     """
-    names = docs.columns
 
     def run(batches):
         test = keep()
-        for b in batches:
-            texts = b.column(names.index("text")).cast(pa.string()).cast(pa.binary()).to_pylist()
-            yield b.filter(pa.array(test(texts), pa.bool_()))
+        for whole in batches:
+            for b in by_bytes(whole):
+                yield b.filter(pa.array(test(b.column("text").cast(pa.string()).cast(pa.binary()).to_pylist()), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def spread(df: DataFrame, *key: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import filtered, table
+from vigil.llm.common import filtered, table, trimmed
 
 #: Errors that an item of n bytes may have: n // PER_ERROR.
 PER_ERROR = 14
@@ -151,7 +151,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, per_error: int = PER_ERROR, blo
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     out = None
     for some in blocks(items, block_bytes):
-        found = base.mapInArrow(_scan(some, per_error), "doc_id long, item_id long, edits long, end long")
+        found = base.mapInArrow(trimmed(_scan(some, per_error)), "doc_id long, item_id long, edits long, end long")
         out = found if out is None else out.unionByName(found)
     return out
 

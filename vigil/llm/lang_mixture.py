@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import crc_mod, filtered, table
+from vigil.llm.common import crc_mod, filtered, table, trimmed
 
 #: Learn about so many documents of each language.
 SAMPLE = 2_000
@@ -72,7 +72,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30))
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(int(min(1.0, sample / n) * (1 << 30))))])
     picked = train.where(draw < share[F.col("lang")]).select("lang", "text")
-    rows = picked.mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    rows = picked.mapInArrow(trimmed(_count), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(sizes)
     n = np.zeros((BUCKETS, len(langs)))
     if rows.num_rows:
@@ -159,7 +159,7 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     langs, model = learn(base, sample)
     asked = base.select("doc_id", F.coalesce(crc_mod("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "text")
-    return asked.mapInArrow(_predict(langs, model), "doc_id long, held_out boolean, lang_pred string, score double, langs array<string>")
+    return asked.mapInArrow(trimmed(_predict(langs, model)), "doc_id long, held_out boolean, lang_pred string, score double, langs array<string>")
 
 
 def op3_lang_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

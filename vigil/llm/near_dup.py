@@ -3,8 +3,8 @@
 1. Each text becomes its set of shingles and a signature; texts with one set form a class, linked at once.
 2. Classes that agree in a whole band are candidates. Bands follow from the threshold, so that a pair at it meets
    in one of them with probability 1 - 1.2e-5: 24 bands of 6 values at 0.85, 29 of 5 at 0.80.
-3. Candidates of a band meet in cells of bounded size (large groups are cut into blocks, and each two blocks
-   meet in a cell). A cell compares signatures batch by batch and drops a pair as soon as the posterior
+3. Candidates of a band meet in cells of bounded size (groups of many classes, or of large sets, are cut into
+   blocks, and each two blocks meet in a cell). A cell compares signatures batch by batch and drops a pair as soon as the posterior
    probability that its similarity reaches the threshold falls below ``MISS``.
 4. Survivors are checked on their full sets, best first; pairs that are already connected within the cell
    need no check. A cell returns only links that connect something, at most one fewer than its classes.
@@ -26,10 +26,11 @@ from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import small, staged, table
+from vigil.llm.common import by_bytes, give_back, small, staged, table, trimmed
 from vigil.llm.components import components
 from vigil.llm.shingles import MOST_HASHES, ROWS, shingle_set, signature
 
@@ -40,8 +41,8 @@ MISS = 1e-6
 UNMET = 1.2e-5
 #: Bands compared at a time.
 BATCH = 4
-#: Classes of a block; a cell holds two.
-BLOCK = 512
+#: Classes of a block, and bytes of their sets; a cell holds two blocks.
+BLOCK, BLOCK_BYTES = 512, 16 << 20
 
 
 @cache
@@ -124,7 +125,7 @@ def links_of(members: list[int], sig: np.ndarray, sets: list[np.ndarray], left:
 
 def _facts(hashes: int):
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in by_bytes(whole)):
             n, cls, sig = [], [], []
             for t in b.column("text").cast(pa.binary()).to_pylist():
                 s = shingle_set(t)
@@ -137,7 +138,7 @@ def _facts(hashes: int):
 
 
 def _sets(batches):
-    for b in batches:
+    for b in (part for whole in batches for part in by_bytes(whole)):
         sets = [shingle_set(t).tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()]
         cls = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(cls, pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "cls", "shingles"])
@@ -147,16 +148,18 @@ def _cell(hundredths: int):
     def run(t: pa.Table) -> pa.Table:
         out = []
         if t.num_rows > 1:
-            t = t.sort_by("rep")
+            t = t.take(pc.sort_indices(t, [("rep", "ascending")]))
             block = t.column("block").to_numpy()
             one, two = int(t.column("i")[0].as_py()), int(t.column("j")[0].as_py())
             sig = np.stack([np.frombuffer(x, "<u2") for x in t.column("sig").to_pylist()])
-            sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles")]  # not copied
             reps, band = t.column("rep").to_pylist(), int(t.column("band")[0].as_py())
             left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
             out = links_of(reps, sig, sets, left, right, band, hundredths)
             if one != two:  # the smaller rep may stand in either block
                 out += links_of(reps, sig, sets, right, left, band, hundredths)
+            del sets, t
+        give_back()
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return run
@@ -166,21 +169,22 @@ def _labelled(docs: DataFrame, hundredths: int, block: int) -> DataFrame:
     """doc_id, print (hash of the text), n_shingles, component of each row of ``docs``."""
     bands, rows = banding(hundredths)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    facts = staged(base.withColumn("print", F.xxhash64("text")).mapInArrow(_facts(bands * rows), "doc_id long, print long, n_shingles long, cls binary, sig binary"), "facts")
-    classes = staged(facts.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
+    facts = staged(base.withColumn("print", F.xxhash64("text")).mapInArrow(trimmed(_facts(bands * rows)), "doc_id long, print long, n_shingles long, cls binary, sig binary"), "facts")
+    classes = staged(facts.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "classes")
     # bands
     keys = F.array(*[F.struct(F.lit(k).alias("band"), F.xxhash64(F.lit(k), F.substring("sig", 2 * rows * k + 1, 2 * rows)).alias("key")) for k in range(bands)])
-    banded = classes.select("cls", F.explode(keys).alias("x")).select("cls", "x.band", "x.key")
-    groups = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    banded = classes.select("cls", "n_shingles", F.explode(keys).alias("x")).select("cls", "n_shingles", "x.band", "x.key")
+    groups = banded.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total")).where("n > 1")
+    banded = banded.drop("n_shingles")
     members = staged(banded.join(groups, "key"), "members")
-    wanted = members.select("cls").distinct().join(classes, "cls")
+    wanted = members.select("cls").distinct().join(classes.select("cls", "rep", "sig"), "cls")
     # sets of candidates, from their texts
     ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
     picked = base.join(small(ids), "doc_id", "left_semi")
-    sets = picked.mapInArrow(_sets, "doc_id long, cls binary, shingles binary").dropDuplicates(["cls"]).select("cls", "shingles")
+    sets = picked.mapInArrow(trimmed(_sets), "doc_id long, cls binary, shingles binary").dropDuplicates(["cls"]).select("cls", "shingles")
     full = staged(wanted.join(sets, "cls"), "sets")
     # cells
-    blocks = F.ceil(F.col("n") / block).cast("int")
+    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("total") * 8 / BLOCK_BYTES)).cast("int")
     own = F.pmod(F.xxhash64("cls", F.lit(3)), blocks).cast("int")
     dealt = members.select("cls", "band", "key", own.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     cells = dealt.select("cls", "band", "key", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import crc_mod, filtered, staged, table
+from vigil.llm.common import crc_mod, filtered, staged, table, trimmed
 
 SAMPLE = 4_000
 #: Documents without toxicity for each toxic one's share of the sample.
@@ -265,17 +265,17 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     if len(n) < 2:
         return None
     base = n[1] / (n[0] + n[1])
-    stats = fit.mapInArrow(_doc_features, "f long, one long, zero long").groupBy("f").agg(F.sum("one").alias("one"), F.sum("zero").alias("zero"))
+    stats = fit.mapInArrow(trimmed(_doc_features), "f long, one long, zero long").groupBy("f").agg(F.sum("one").alias("one"), F.sum("zero").alias("zero"))
     share = F.col("one") / (F.col("one") + F.col("zero"))
     ratio = F.col("one") * F.log(share / base) + F.when(F.col("zero") > 0, F.col("zero") * F.log((1 - share) / (1 - base))).otherwise(0.0)
     true_share = F.col("one") * sizes[1] / n[1] / (F.col("one") * sizes[1] / n[1] + F.col("zero") * sizes[0] / n[0])
     marks = frozenset(r["f"] for r in stats.where((F.col("one") > 0) & (true_share >= PRECISION) & (ratio >= RATIO)).select("f").collect())  # bounded by the sample
-    rows = fit.mapInArrow(_windows(marks), "f array<int>, y array<int>").toArrow()
+    rows = fit.mapInArrow(trimmed(_windows(marks)), "f array<int>, y array<int>").toArrow()
     if not rows.num_rows:
         return None
     flat = lambda c, *shape: rows.column(c).combine_chunks().flatten().to_numpy().reshape(rows.num_rows, WINDOW, *shape)
     w, t = train(flat("f", 1 + len(PREFIXES)), flat("y"))
-    got = fit.mapInArrow(_points(w, t), "toxic int, top double, total double").toArrow()
+    got = fit.mapInArrow(trimmed(_points(w, t)), "toxic int, top double, total double").toArrow()
     y = got.column("toxic").to_numpy().astype(float)
     weight = np.where(y == 1, sizes[1] / n[1], sizes[0] / n[0])
     return Model(w, t, curve(np.stack([got.column("top").to_numpy(), got.column("total").to_numpy()], axis=1), y, weight / weight.mean()))
@@ -326,7 +326,7 @@ def tag(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = learn(base, labels, sample)
     asked = base.select("doc_id", F.coalesce(crc_mod("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "text")
-    return asked.mapInArrow(_score(model), "doc_id long, held_out boolean, score double, predicted int, spans array<struct<start: int, end: int>>")
+    return asked.mapInArrow(trimmed(_score(model)), "doc_id long, held_out boolean, score double, predicted int, spans array<struct<start: int, end: int>>")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
