@@ -9,7 +9,8 @@ of its words and its end, by scaled forward recursion over the whole text.
 
 Data flow: tasks cut documents into blocks of about ``BLOCK`` bytes and stage each as its distinct words, their training
 counts and the documents as word numbers. Counts are summed by word over all blocks; where a block's own count
-is not the sum, the sum is joined back to it, so no task needs the whole vocabulary. Training runs over stretches of ``STRETCH``
+is not the sum, the sum is joined back to it (the most frequent words' counts are sent along instead), so no task
+needs the whole vocabulary. Training runs over stretches of ``STRETCH``
 tokens (stretches inside a document have their own start distribution); scoring does not.
 
 Defined results: null and empty texts are their end alone; with no training documents N = V = 0, and the
@@ -18,15 +19,15 @@ score is the base score; repeated rows each count and each give a row; other col
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vigil.llm.common import crc_mod, staged, table
+from vigil.llm.common import crc_mod, discard, staged, table, trimmed, where
 
 STATES, TOP, HASHED = 8, 1_023, 1_024
 END = TOP + HASHED
@@ -35,25 +36,29 @@ ROUNDS = 5
 STRETCH = 64
 BLOCK = 6 << 20
 FOLDS, HELD_OUT = 7, 2
+ZSTD = pa.Codec("zstd", compression_level=1)
 #: Added to every expected count.
 PRIOR = 0.01
 
 
 def planes(numbers: np.ndarray) -> bytes:
-    """Numbers as their low 16 bits, then their high 8 (or, from 2 ** 24 on, 16), which compress well."""
-    high = numbers >> 16
-    return (numbers & 0xFFFF).astype("<u2").tobytes() + high.astype("u1" if not len(high) or int(high.max()) < 256 else "<u2").tobytes()
+    """Numbers as planes of their bytes, lowest first, as many as the largest needs, compressed; the first byte is their number."""
+    wide = numbers.astype("<u4").view("u1").reshape(-1, 4)
+    k = next((k for k in (4, 3, 2) if len(wide) and wide[:, k - 1].any()), 1)
+    return bytes([k]) + ZSTD.compress(np.ascontiguousarray(wide[:, :k].T), asbytes=True)
 
 
 def from_planes(raw: bytes, n: int) -> np.ndarray:
-    high = np.frombuffer(raw, "u1" if len(raw) == 3 * n else "<u2", n, 2 * n)
-    return np.frombuffer(raw, "<u2", n).astype(np.uint32) | high.astype(np.uint32) << 16
+    k, wide = raw[0], np.zeros((n, 4), dtype="u1")
+    wide[:, :k] = np.frombuffer(ZSTD.decompress(raw[1:], k * n), "u1").reshape(k, n).T
+    return wide.view("<u4").ravel()
 
 
 def _blocks(batches):
     """Rows come with doc_id, train, text; one row for each block."""
     held: list = []
-    size = 0
+    size = made = 0
+    part = TaskContext.get().partitionId() << 32  # blocks are staged, so a number once given stays
     fields = ["block", "words", "counts", "docs", "train", "lengths", "tokens"]
 
     def emit():
@@ -65,12 +70,14 @@ def _blocks(batches):
         for (_, train, _), x in zip(held, numbers, strict=True):
             if train:
                 n += np.bincount(x, minlength=len(n))
-        tokens = planes(np.concatenate(numbers))
-        print_ = hashlib.blake2b(repr([(d, len(w)) for (d, _, _), w in zip(held, texts, strict=True)]).encode(), digest_size=8)
-        print_.update(b" ".join(names))
-        print_.update(tokens)
+        flat = np.concatenate(numbers)
+        order = np.argsort(-np.bincount(flat, minlength=len(n)), kind="stable")  # frequent words get small numbers
+        rank = np.empty(len(order), dtype=np.uint32)
+        rank[order] = np.arange(len(order))
+        tokens, n, names = planes(rank[flat]), n[order], list(names)
+        names = [names[i] for i in order.tolist()]
         return pa.RecordBatch.from_arrays(
-            [pa.array([int.from_bytes(print_.digest(), "big", signed=True)], pa.int64()), pa.array([list(names)], pa.list_(pa.binary())), pa.array([n], pa.list_(pa.int64())), pa.array([[d for d, _, _ in held]], pa.list_(pa.int64())), pa.array([[t for _, t, _ in held]], pa.list_(pa.bool_())), pa.array([[len(w) for w in texts]], pa.list_(pa.int32())), pa.array([tokens], pa.binary())],
+            [pa.array([part + made], pa.int64()), pa.array([names], pa.list_(pa.binary())), pa.array([n], pa.list_(pa.int64())), pa.array([[d for d, _, _ in held]], pa.list_(pa.int64())), pa.array([[t for _, t, _ in held]], pa.list_(pa.bool_())), pa.array([[len(w) for w in texts]], pa.list_(pa.int32())), pa.array([tokens], pa.binary())],
             fields,
         )
 
@@ -80,7 +87,7 @@ def _blocks(batches):
             size += len(row[2] or b"") + 64
             if size >= BLOCK:
                 yield emit()
-                held, size = [], 0
+                held, size, made = [], 0, made + 1
     if held:
         yield emit()
 
@@ -110,21 +117,47 @@ class Vocabulary:
         return np.log10((np.asarray(c) + 1) / (self.n + self.v + 1))
 
 
-def vocabulary(counts: DataFrame, documents: int) -> Vocabulary:
+#: Words that may come to the driver at once while the most frequent are sought.
+ASKED = 100_000
+
+
+def frequent(counts: DataFrame, most: int = TOP, asked: int = ASKED) -> list[tuple[bytes, int]]:
+    """The ``most`` most frequent words with their counts, ties by word.
+
+    A histogram of counts (by ratio, so it has a few hundred rows) says from which count on words can matter. If
+    ties leave too many, 64 groups by hash rank their own first.
+    """
+    step = F.floor(F.log2("c") * 16).cast("int")
+    hist = sorted(((r["k"], r["n"]) for r in counts.groupBy(step.alias("k")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    have, low = 0, None
+    for low, n in hist:
+        have += n
+        if have >= most:
+            break
+    some = counts if low is None else counts.where(step >= low)
+    if have > asked:
+        group = F.pmod(F.xxhash64("word"), F.lit(64))
+        rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("c"), "word"))
+        some = some.withColumn("_rank", rank).where(F.col("_rank") <= most)
+    rows = [(bytes(r["word"]), r["c"]) for r in some.select("word", "c").collect()]
+    return sorted(rows, key=lambda x: (-x[1], x[0]))[:most]
+
+
+def vocabulary(counts: DataFrame, documents: int, most: int = TOP) -> Vocabulary:
     """``counts`` (word, c): words of the training corpus with c > 0; ``documents``: its ends."""
-    top = [bytes(r["word"]) for r in counts.orderBy(F.desc("c"), "word").limit(TOP).collect()]
+    top = frequent(counts, most)
     cls = F.lit(TOP) + F.pmod(F.crc32("word"), F.lit(HASHED))
     tokens, distinct = np.zeros(CLASSES, dtype=np.int64), np.zeros(CLASSES, dtype=np.int64)
-    least = counts.orderBy(F.desc("c"), "word").limit(TOP)
-    for sign, part in ((1, counts), (-1, least)):
-        for r in part.groupBy(cls.alias("k")).agg(F.sum("c").alias("t"), F.count("*").alias("d")).collect():  # HASHED rows at most
-            tokens[r["k"]] += sign * r["t"]
-            distinct[r["k"]] += sign * r["d"]
-    for i, r in enumerate(least.orderBy(F.desc("c"), "word").collect()):
-        tokens[i], distinct[i] = r["c"], 1
+    for r in counts.groupBy(cls.alias("k")).agg(F.sum("c").alias("t"), F.count("*").alias("d")).collect():  # HASHED rows at most
+        tokens[r["k"]], distinct[r["k"]] = r["t"], r["d"]
+    for i, (word, c) in enumerate(top):
+        own = TOP + zlib.crc32(word) % HASHED
+        tokens[own] -= c
+        distinct[own] -= 1
+        tokens[i], distinct[i] = c, 1
     if documents:
         tokens[END], distinct[END] = documents, 1
-    return Vocabulary(top, tokens, distinct)
+    return Vocabulary([w for w, _ in top], tokens, distinct)
 
 
 def _documents(vocab: Vocabulary):
@@ -136,16 +169,17 @@ def _documents(vocab: Vocabulary):
                 words = words.to_pylist() if words is not None else []
                 own = b.column("counts")[i].values  # a word of no other block has its count from here
                 c = own.to_numpy().copy() if own is not None else np.zeros(0, dtype=np.int64)
-                got = b.column("found")[i].values
-                if got is not None and len(got):
-                    c[got.field("pos").to_numpy()] = got.field("c").to_numpy()
+                at, sums = b.column("at")[i].values, b.column("sums")[i].values
+                if at is not None and len(at):
+                    c[at.to_numpy()] = sums.to_numpy()
                 cls = vocab.classes(words)
+                c = np.where(cls < TOP, vocab.tokens[np.minimum(cls, TOP - 1)], c)
                 base, within, known = vocab.base(c), vocab.within(cls, c), c > 0
                 lengths = b.column("lengths")[i].values.to_numpy()
                 tokens = from_planes(b.column("tokens")[i].as_py(), int(lengths.sum()))
                 stops = np.cumsum(lengths)
-                at = lambda x: np.concatenate(([0], np.cumsum(x[tokens])))
-                sums = [at(x) for x in (base, within, known.astype(np.int64))]
+                running = lambda x: np.concatenate(([0], np.cumsum(x[tokens])))
+                sums = [running(x) for x in (base, within, known.astype(np.int64))]
                 part = [s[stops] - s[stops - lengths] for s in sums]
                 u2 = cls.astype("<u2")[tokens]
                 raw = [u2[s - n : s].tobytes() + END.to_bytes(2, "little") for s, n in zip(stops.tolist(), lengths.tolist(), strict=True)]
@@ -254,7 +288,7 @@ def baum_welch(docs: DataFrame, tokens: np.ndarray, rounds: int = ROUNDS) -> tup
     """Train on ``docs`` (classes binary); also the log-likelihoods before each round."""
     model, lls = Model.start(tokens), []
     for _ in range(rounds):
-        sums = docs.select("classes").mapInArrow(_expect(model), "sums binary, ll double")
+        sums = docs.select("classes").mapInArrow(trimmed(_expect(model)), "sums binary, ll double")
         met = sums.withColumn("g", F.spark_partition_id() % 16).groupBy("g").applyInArrow(_sum, "sums binary, ll double").collect()
         model = Model.of_counts(np.sum([np.frombuffer(r["sums"], "<f8") for r in met], axis=0))
         lls.append(sum(r["ll"] for r in met))
@@ -301,20 +335,25 @@ def _score(model: Model, tokens: int):
 
 def score_texts(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of ``docs`` (doc_id, text)."""
+    spark = docs.sparkSession
     train = F.coalesce(crc_mod("doc_id", FOLDS) != HELD_OUT, F.lit(True))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), train.alias("train"), F.col("text").cast("string").alias("text"))
-    blocks = staged(base.mapInArrow(_blocks, BLOCK_SCHEMA), "blocks")
+    blocks = staged(base.mapInArrow(trimmed(_blocks), BLOCK_SCHEMA), "blocks")
     words = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "x")).select("block", "pos", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     counts = staged(words.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "counts")
     ends = blocks.select(F.coalesce(F.sum(F.size(F.filter("train", lambda t: t))), F.lit(0))).first()[0]
     vocab = vocabulary(counts, ends)
-    found = words.join(counts, "word").where("c <> n").groupBy("block").agg(F.collect_list(F.struct("pos", "c")).alias("found"))
-    per_doc = staged(blocks.join(found, "block", "left").mapInArrow(_documents(vocab), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, within double, classes binary"), "classes")
+    top = spark.createDataFrame([(bytearray(w),) for w in vocab.top], "word binary")  # TOP rows at most
+    rare = words.join(F.broadcast(top), "word", "left_anti")  # the counts of frequent words are in the vocabulary
+    found = rare.join(counts, "word").where("c <> n").groupBy("block").agg(F.collect_list("pos").alias("at"), F.collect_list("c").alias("sums"))
+    per_doc = staged(blocks.join(found, "block", "left").mapInArrow(trimmed(_documents(vocab)), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, within double, classes binary"), "classes")
+    discard(spark, where(blocks))
+    discard(spark, where(counts))
     if not ends:
         return per_doc.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(0).cast("long").alias("train_tokens"), "base_score", F.col("base_score").alias("score"))
     model, _ = baum_welch(per_doc.where("train"), vocab.tokens, rounds)
     asked = per_doc.select("doc_id", (~F.col("train")).alias("held"), "n_tokens", "n_known", "base_score", "within", "classes")
-    return asked.mapInArrow(_score(model, vocab.n), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return asked.mapInArrow(trimmed(_score(model, vocab.n)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op8_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
