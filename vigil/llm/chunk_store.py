@@ -1,15 +1,16 @@
 """Operator 4: token ids in a content-addressed store.
 
 A rolling hash over the last ids cuts each document's id stream into chunks, so equal passages of ids give
-equal chunks wherever they stand. The store has two Parquet folders:
+equal chunks wherever they stand. The store has three Parquet folders:
 
-* ``chunks``  key (sha256 of the ids as little-endian unsigned 32-bit integers), width (bytes an id takes),
-  payload; each key once;
+* ``chunks``  key (sha256 of the payload), width (bytes an id takes: 2, or 4 if an id of the chunk needs them),
+  payload (ids, little-endian); each key once;
 * ``recipes`` doc_id, row (tells equal doc_ids apart), n_tokens, keys (chunk keys in order, 32 bytes each),
-  root (Merkle root over the keys), in ascending doc_id order.
+  root (Merkle root over the keys), in ascending doc_id order;
+* ``manifest`` a row for each recipe file: its documents, ids, and the Merkle root over its documents' roots.
 
-``read_digests`` reads both back: it hashes every chunk again, joins recipes to the chunks they name,
-recomputes the Merkle roots and raises if anything differs. A document's crc32 follows from those of its
+``read_digests`` reads all back: it holds the recipe files against the manifest, hashes every chunk again, joins
+recipes to the chunks they name, recomputes the Merkle roots and raises if anything differs. A document's crc32 follows from those of its
 chunks, so no payload is moved for it. ``read_ids`` returns the ids themselves.
 
 Defined results: null or empty text is the end id alone; repeated rows are documents of their own, those of
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import fresh_path, partitions, running, table
+from vigil.llm.common import discard, fresh_path, partitions, running, table, trimmed
 from vigil.llm.textcodec import byte_level_ids
 
 #: Rolling hash: ids it looks back on; a cut where the low bits are zero (a chunk has 512 ids on average).
@@ -37,28 +38,36 @@ LEAST, MOST = 64, 4096
 KEY = 32
 
 
-def cuts(ids: np.ndarray, least: int = LEAST, most: int = MOST, mask: np.uint32 = MASK) -> list[int]:
-    """Ends of the chunks of one id stream."""
-    n = len(ids)
-    if n <= least:
-        return [n] if n else []
+def candidates(ids: np.ndarray, mask: np.uint32 = MASK) -> np.ndarray:
+    """Places after which the rolling hash allows a cut. Streams may lie side by side in ``ids``: the first
+    LOOK_BACK places of a stream are too few for a chunk, so that ids of the stream before never count."""
     g = (ids.astype(np.uint32) + np.uint32(1)) * np.uint32(2654435761)
     g ^= g >> np.uint32(15)
     h = g.copy()
     for j in range(1, LOOK_BACK):
         h[j:] += g[:-j] << np.uint32(j)
-    ends, at = [], 0
-    for c in (np.flatnonzero((h & mask) == 0) + 1).tolist():
+    return np.flatnonzero((h & mask) == 0) + 1
+
+
+def ends_of(places: list[int], start: int, stop: int, least: int = LEAST, most: int = MOST) -> list[int]:
+    """Ends of the chunks of the stream from ``start`` to ``stop``, whose candidates are ``places``."""
+    ends, at = [], start
+    for c in places:
         while c - at > most:
             at += most
             ends.append(at)
-        if c - at >= least and c < n:
+        if c - at >= least and c < stop:
             at = c
             ends.append(at)
-    while n - at > most:
+    while stop - at > most:
         at += most
         ends.append(at)
-    return [*ends, n]
+    return [*ends, stop] if stop > start else ends
+
+
+def cuts(ids: np.ndarray, least: int = LEAST, most: int = MOST, mask: np.uint32 = MASK) -> list[int]:
+    """Ends of the chunks of one id stream."""
+    return ends_of(candidates(ids, mask).tolist(), 0, len(ids), least, most)
 
 
 def merkle(keys: list[bytes]) -> bytes:
@@ -76,59 +85,65 @@ def unpack(width: int, payload: bytes) -> np.ndarray:
     return np.frombuffer(payload, "<u2" if width == 2 else "<u4").astype("<u4")
 
 
+def key_of(width: int, payload: bytes) -> bytes:
+    """Equal ids have one width, so they have one key."""
+    return hashlib.sha256(payload if width == 2 else b"4" + payload).digest()
+
+
 def _encode(path: str, end_id: int, step: int = 256):
     end = np.array([end_id], dtype="<u4").tobytes()
     fields = ["kind", "doc_id", "row", "n_tokens", "keys", "root", "key", "width", "payload"]
-    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
+    types = [pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
 
     def run(batches):
         sent: set[bytes] = set()  # this task's recent chunks; only spares repeats, the store removes the rest
         for b in batches:
             for at in range(0, b.num_rows, step):
                 c = b.slice(at, step)
-                rows = []
-                for doc, row, raw in zip(c.column("doc_id").to_pylist(), c.column("row").to_pylist(), byte_level_ids(path, c.column("text").to_pylist()), strict=True):
-                    ids = np.frombuffer(raw + end, "<u4")
-                    keys, start = [], 0
-                    for stop in cuts(ids):
-                        part = ids[start:stop]
-                        keys.append(key := hashlib.sha256(part.tobytes()).digest())
-                        start = stop
+                streams = [raw + end for raw in byte_level_ids(path, c.column("text").to_pylist())]
+                ids = np.frombuffer(b"".join(streams), "<u4")
+                narrow = ids.astype("<u2")
+                wide = np.concatenate(([0], np.cumsum(ids >> 16 != 0)))
+                stops = np.cumsum([len(x) // 4 for x in streams])
+                places = candidates(ids)
+                bounds = np.searchsorted(places, stops, side="right").tolist()
+                places, rows, start, low = places.tolist(), [], 0, 0
+                for doc, row, stop, high in zip(c.column("doc_id").to_pylist(), c.column("row").to_pylist(), stops.tolist(), bounds, strict=True):
+                    keys, first = [], start
+                    for e in ends_of(places[low:high], start, stop):
+                        width, payload = (2, narrow[start:e].tobytes()) if wide[e] == wide[start] else (4, ids[start:e].tobytes())
+                        keys.append(key := key_of(width, payload))
+                        start = e
                         if key not in sent:
                             if len(sent) > 100_000:
                                 sent.clear()
                             sent.add(key)
-                            rows.append(("chunk", None, None, None, None, None, key, *pack(part)))
-                    rows.append(("recipe", doc, row, len(ids), b"".join(keys), merkle(keys), None, None, None))
+                            rows.append((0, None, None, None, None, None, key, width, payload))
+                    rows.append((1, doc, row, stop - first, b"".join(keys), merkle(keys), None, None, None))
+                    start, low = stop, high
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), types, strict=True)], fields)
 
     return run
 
 
-def _first_of_key(batches):
-    """Rows come sorted by key."""
-    last = None
-    for b in batches:
-        keys = b.column("key").to_pylist()
-        keep = [k != p for k, p in zip(keys, [last, *keys[:-1]], strict=True)]
-        last = keys[-1] if keys else last
-        yield b.filter(pa.array(keep))
-
-
 CHUNK = "key binary, width int, payload binary"
+MANIFEST = "file string, documents long, tokens long, root string"
 
 
 def write_store(docs: DataFrame, path: str, end_id: int, to: str) -> str:
     """Encode ``docs`` (doc_id, text) with the tokenizer file at ``path`` and write the store under ``to``."""
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
-    schema = f"kind string, doc_id long, row long, n_tokens long, keys binary, root binary, {CHUNK}"
-    base.mapInArrow(_encode(path, end_id), schema).write.option("compression", "zstd").partitionBy("kind").parquet(f"{to}/log")
-    log = spark.read.schema(schema).parquet(f"{to}/log")
-    chunks = log.where(F.col("kind") == "chunk").select("key", "width", "payload")
-    chunks.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(_first_of_key, CHUNK).write.option("compression", "zstd").parquet(f"{to}/chunks")
-    recipes = log.where(F.col("kind") == "recipe").select("doc_id", "row", "n_tokens", "keys", "root")
+    schema = f"kind byte, doc_id long, row long, n_tokens long, keys binary, root binary, {CHUNK}"
+    log = f"{to}/log"
+    base.mapInArrow(trimmed(_encode(path, end_id)), schema).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(log)
+    rows = spark.read.schema(schema).parquet(log)
+    chunks = rows.where("kind = 0").select("key", "width", "payload")
+    chunks.repartition(partitions(spark), "key").groupBy("key").agg(F.first("width").alias("width"), F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{to}/chunks")
+    recipes = rows.where("kind = 1").select("doc_id", "row", "n_tokens", "keys", "root")
     recipes.repartitionByRange(partitions(spark), "doc_id", "row").sortWithinPartitions("doc_id", "row").write.option("compression", "zstd").parquet(f"{to}/recipes")
+    discard(spark, log)
+    manifest(spark, to).write.parquet(f"{to}/manifest")
     return to
 
 
@@ -160,7 +175,7 @@ def _check(batches):
         keys, n, crc = b.column("key").to_pylist(), [], []
         for key, width, payload in zip(keys, b.column("width").to_pylist(), b.column("payload").to_pylist(), strict=True):
             raw = unpack(width, payload).tobytes()
-            if hashlib.sha256(raw).digest() != key:
+            if key_of(width, payload) != key:
                 raise ValueError(f"chunk {key.hex()} does not hold what its key says")
             n.append(len(raw) // 4)
             crc.append(zlib.crc32(raw))
@@ -200,6 +215,7 @@ def open_store(spark: SparkSession, at: str) -> tuple[DataFrame, DataFrame]:
 
 def read_digests(spark: SparkSession, at: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files alone."""
+    verify(spark, at)
     recipes, chunks = open_store(spark, at)
     facts = chunks.mapInArrow(_check, "key binary, n long, crc long")
     parts = _recipe_parts(recipes).join(facts, "key", "left")  # a chunk that is missing must not go unnoticed
@@ -223,18 +239,22 @@ def read_ids(spark: SparkSession, at: str) -> DataFrame:
 
 
 def manifest(spark: SparkSession, at: str) -> DataFrame:
-    """One row for each recipe file: documents, ids, and a Merkle root over its documents' roots."""
+    """One row for each recipe file, computed from it: its name, documents, ids, and a Merkle root over its documents' roots."""
+
+    def roots(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("doc_id", "ascending"), ("row", "ascending")])
+        return pa.table({"file": t.column("file")[:1], "documents": pa.array([t.num_rows], pa.int64()), "tokens": pa.array([sum(t.column("n_tokens").to_pylist())], pa.int64()), "root": [merkle(t.column("root").to_pylist()).hex()]})
+
+    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
+    return open_store(spark, at)[0].select(name.alias("file"), "doc_id", "row", "n_tokens", "root").groupBy("file").applyInArrow(roots, MANIFEST)
 
-    def roots(batches):
-        got, n, ids = [], 0, 0
-        for b in batches:
-            got += b.column("root").to_pylist()
-            n += b.num_rows
-            ids += sum(b.column("n_tokens").to_pylist())
-        if n:
-            yield pa.RecordBatch.from_pydict({"documents": pa.array([n], pa.int64()), "tokens": pa.array([ids], pa.int64()), "root": [merkle(got).hex()]})
 
-    return open_store(spark, at)[0].select("root", "n_tokens").mapInArrow(roots, "documents long, tokens long, root string")
+def verify(spark: SparkSession, at: str) -> None:
+    """Raise unless the recipe files are those, whole and unchanged, of the store's written manifest."""
+    listed, now = spark.read.schema(MANIFEST).parquet(f"{at}/manifest"), manifest(spark, at)
+    both = listed.withColumn("_listed", F.lit(1)).join(now.withColumn("_now", F.lit(1)), listed.columns, "full_outer")
+    if both.where("_listed is null or _now is null").limit(1).count():
+        raise ValueError(f"the recipes under {at} are not those of their manifest")
 
 
 def op4_chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:

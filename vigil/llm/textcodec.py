@@ -13,8 +13,8 @@ from array import array
 
 import numpy as np
 
-#: Units in a generation of a worker's memory. Bounds memory, never results.
-MEMO_UNITS = 250_000
+#: Units that a worker remembers. Bounds memory, never results.
+MEMO_UNITS = 400_000
 #: Longer units are forgotten after the call that met them.
 MEMO_CHARS = 64
 
@@ -41,24 +41,18 @@ def encode_plain(path: str, texts: list[str]) -> list[bytes]:
 
 
 class Memo(dict):
-    """Unit -> what ``encode`` makes of it. When it is full, its entries become the old generation; old
-    entries that are met again move back, so frequent units stay."""
+    """Unit -> what ``encode`` makes of it. A full memory starts anew: frequent units are soon back, and no entry is ever moved."""
 
     def __init__(self, encode):
         super().__init__()
         self.encode = encode
-        self.old: dict = {}
 
     def __missing__(self, unit):
-        got = self.old.pop(unit, None)
-        if got is None:
-            got = self.encode(unit)
-            if len(unit) > MEMO_CHARS:
-                return got
-        if len(self) >= MEMO_UNITS:
-            self.old = dict(self)
-            self.clear()
-        self[unit] = got
+        got = self.encode(unit)
+        if len(unit) <= MEMO_CHARS:
+            if len(self) >= MEMO_UNITS:
+                self.clear()
+            self[unit] = got
         return got
 
 
