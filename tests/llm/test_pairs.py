@@ -129,6 +129,20 @@ def test_embeddings_equal_brute_force(spark):
     assert E.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_that_share_an_id_link_by_themselves(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0)], "vec_id long, embedding array<double>, label int")
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in E.near_duplicates(df).collect()) == [(1, 0, 1), (1, 1, 1), (2, 1, 1)]
+
+
+def test_tiles_that_lie_apart_do_not_meet(spark):
+    rows = [("a", k, k / 4, k / 4 + 0.1) for k in range(6)]
+    tiled = spark.createDataFrame([(lab, t, x) for lab, t, lo, hi in rows for x in (lo, hi)], "label string, tile int, lead double")
+    met = {r.tile: set(r.others) for r in E._meetings(tiled, 0.93).collect()}
+    for _, t, lo, hi in rows:
+        assert met[t] == {u for _, u, low, high in rows if max(lo - high, low - hi, 0) ** 2 <= 2 - 2 * 0.93 + 1e-9}
+    assert max(map(len, met.values())) < 6
+
+
 def test_edit_matches_within_budget(spark):
     rng = random.Random(5)
     items = [(i, prose(50 + i, 25)) for i in range(12)] + [(90, None), (91, ""), (92, "short")]

@@ -3,7 +3,7 @@
 Vectors are compared only within their label. They are scaled to length 1 and turned into the principal
 axes of a bounded sample, so that the leading coordinates carry most of the variance. Equal vectors of a
 label form a class. A label's classes are ordered along the first axis and cut into tiles; two tiles meet
-unless their ranges on that axis are too far apart. A pair of tiles adds up products over leading
+unless their ranges on that axis are too far apart, which is known before any vector is sent. A pair of tiles adds up products over leading
 coordinates, ``STEP`` at a time; what the rest can still add is at most the product of the two suffix norms
 (Cauchy-Schwarz), and a pair is dropped once that cannot reach the threshold. Survivors are decided by the
 cosine of the original vectors in double precision. A tile pair returns how many vectors each class links
@@ -12,8 +12,8 @@ with, and only those links that connect something; pairs are never rows.
 Any rotation gives the same results, so the sample behind the axes affects speed alone.
 
 Defined results: vectors that are null, empty or zero, hold null or non-finite components, or have a null label link with
-nothing; vectors of different lengths never link; repeated rows link as equal vectors; an empty table gives
-no rows; other columns are ignored.
+nothing; vectors of different lengths never link; repeated rows link as equal vectors; rows of one vec_id with
+different vectors are rows of their own that link by their vectors; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import staged, table
+from vigil.llm.common import small, staged, table
 from vigil.llm.components import components
 
 THRESHOLD = 0.93
 #: Vectors behind the principal axes.
 SAMPLE = 4_096
 #: Classes of a tile.
-TILE = 1_024
+TILE = 4_096
 #: Coordinates added between two looks at the bound.
 STEP = 8
 #: What rounding may take from a sum of products of unit vectors.
@@ -76,33 +76,44 @@ def _usable(dim: int):
     return F.coalesce((F.size(v) == dim) & finite & F.exists(v, lambda x: x != 0) & F.col("label").isNotNull(), F.lit(False))
 
 
+def pack(x: np.ndarray) -> list[bytes]:
+    """Rows as 32-bit numbers where these are exact, else as 64-bit numbers."""
+    with np.errstate(over="ignore"):
+        f = x.astype("<f4")
+    short = (f == x).all(axis=1).tolist()
+    return [a.tobytes() if k else b.tobytes() for k, a, b in zip(short, f, x.astype("<f8"), strict=True)]
+
+
+def unpack(rows: list[bytes], dim: int) -> np.ndarray:
+    return np.stack([np.frombuffer(r, "<f4" if len(r) == 4 * dim else "<f8").astype(np.float64) for r in rows])
+
+
+def turned_to(x: np.ndarray, rotation: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)) @ rotation
+
+
 def _turn(rotation: np.ndarray):
     def run(batches):
         for b in batches:
-            x = np.stack([np.asarray(v, dtype=np.float64) for v in b.column("v").to_pylist()]) if b.num_rows else np.zeros((0, len(rotation)))
-            big = np.abs(x).max(axis=1, keepdims=True) if len(x) else x
-            x = x / big
-            y = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ rotation if len(x) else x
-            yield pa.RecordBatch.from_arrays([b.column("label"), b.column("rep"), b.column("weight"), b.column("v"), pa.array([r.tobytes() for r in y], pa.binary()), pa.array(y[:, 0] if len(y) else [], pa.float64())], ["label", "rep", "weight", "v", "y", "lead"])
+            if b.num_rows:
+                x = np.stack([np.asarray(v, dtype=np.float64) for v in b.column("v").to_pylist()])
+                yield pa.RecordBatch.from_arrays([b.column("label"), b.column("cid"), b.column("weight"), pa.array(pack(x), pa.binary()), pa.array(turned_to(x, rotation[:, :1])[:, 0])], ["label", "cid", "weight", "v", "lead"])
 
     return run
 
 
-def _tiles(threshold: float, dim: int):
+def _tiles(threshold: float, dim: int, rotation: np.ndarray):
     def run(t: pa.Table) -> pa.Table:
         out: list[tuple] = []
-        t = t.sort_by("rep")
+        t = t.sort_by("cid")
         tile, i, j = t.column("tile").to_numpy(), t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        rep, weight = t.column("rep").to_numpy(), t.column("weight").to_numpy()
-        y = np.stack([np.frombuffer(v, np.float64) for v in t.column("y").to_pylist()])
-        x = np.stack([np.asarray(v, dtype=np.float64) for v in t.column("v").to_pylist()])
+        rep, weight = t.column("cid").to_numpy(), t.column("weight").to_numpy()
+        x = unpack(t.column("v").to_pylist(), dim)
+        y = turned_to(x, rotation)
         x = x / np.abs(x).max(axis=1, keepdims=True)
         norm = np.sqrt(np.einsum("ij,ij->i", x, x))
         left, right = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
-        if i != j and len(left) and len(right):
-            gap = max(y[left, 0].min() - y[right, 0].max(), y[right, 0].min() - y[left, 0].max(), 0.0)
-            if gap * gap > 2 - 2 * threshold + SLACK:
-                left = left[:0]
         links = np.zeros(len(rep), dtype=np.int64)
         up = list(range(len(rep)))
 
@@ -129,49 +140,69 @@ def _tiles(threshold: float, dim: int):
                     out.append((None, None, int(rep[a]), int(rep[b])))
         out += [(int(rep[k]), int(links[k]), None, None) for k in np.flatnonzero(links)]
         cols = list(zip(*out, strict=True)) or [()] * 4
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("rep", "n", "a", "b"), cols, strict=True)})
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("cid", "n", "a", "b"), cols, strict=True)})
 
     return run
 
 
+def _sample(classes: DataFrame, dim: int, n: int) -> np.ndarray:
+    """About SAMPLE of the ``n`` classes, picked by a hash."""
+    draw = F.pmod(F.xxhash64("label", "cid", F.lit("axes")), F.lit(1 << 30))
+    drawn = classes.where(draw < int(min(1.0, SAMPLE / n) * (1 << 30))).select("v").limit(2 * SAMPLE).collect()
+    x = np.array([r["v"] for r in drawn], dtype=np.float64).reshape(-1, dim)
+    x = x / np.abs(x).max(axis=1, keepdims=True) if len(x) else x
+    return x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x
+
+
+def _tiled(turned: DataFrame, tile: int) -> DataFrame:
+    """``turned`` with its tile: ranges of the first axis within the label."""
+    n = turned.groupBy("label").agg(F.count("*").alias("n"), F.percentile_approx("lead", F.array(*[F.lit(k / 1024) for k in range(1, 1024)]), 20_000).alias("cuts"))
+    tiles = F.least(F.ceil(F.col("n") / tile), F.lit(1024)).cast("int")
+    cut = n.select("label", "n", tiles.alias("tiles"), F.transform(F.sequence(F.lit(1), F.greatest(tiles - 1, F.lit(1))), lambda k: F.element_at("cuts", F.least(F.greatest((k * 1024 / tiles).cast("int"), F.lit(1)), F.lit(1023)))).alias("cuts"))
+    ranged = turned.join(small(cut, 1_000), "label")
+    rank = F.when(F.col("tiles") > 1, F.size(F.filter("cuts", lambda c: c <= F.col("lead")))).otherwise(0)
+    # ties on the first axis, and labels of over 1024 tiles, are cut further by a hash
+    finer = F.greatest(F.ceil(F.col("n") / F.col("tiles") / tile), F.lit(1)).cast("int")
+    own = rank * finer + F.pmod(F.xxhash64("cid", F.lit(5)), finer).cast("int")
+    return ranged.select("label", "cid", "weight", "v", "lead", own.alias("tile"))
+
+
+def _meetings(tiled: DataFrame, threshold: float) -> DataFrame:
+    """label, tile, others: the tiles that each tile must meet, from the tiles' ranges alone."""
+    ends = tiled.groupBy("label", "tile").agg(F.min("lead").alias("low"), F.max("lead").alias("high"))
+    other = ends.select("label", F.col("tile").alias("other"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    gap = F.greatest(F.col("low") - F.col("high2"), F.col("low2") - F.col("high"), F.lit(0.0))
+    return ends.join(other, "label").where(gap * gap <= 2 - 2 * threshold + SLACK).groupBy("label", "tile").agg(F.collect_list("other").alias("others"))
+
+
 def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
     """vec_id, n_links, component_id, kept of each row of ``embeddings`` (vec_id, embedding, label)."""
     base = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    sizes = [r[0] for r in base.groupBy(F.size("embedding")).count().orderBy(F.desc("count")).collect() if r[0] and r[0] > 0]
-    counts, links, classes_of = [], [], []
-    rows = base.withColumn("row", F.monotonically_increasing_id())
+    rows = staged(base.withColumn("row", F.monotonically_increasing_id()), "rows")
+    sizes = [r[0] for r in rows.groupBy(F.size("embedding")).count().orderBy(F.desc("count")).collect() if r[0] and r[0] > 0]
+    counts, links, members = [], [], []
     for dim in sizes:
         good = rows.where(_usable(dim))
-        classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
-        classes = classes.select("label", "rep", "weight", F.col("embedding").alias("v"))
-        draw = F.xxhash64("label", "rep", F.lit("axes"))
-        drawn = classes.select("v", draw.alias("draw")).orderBy("draw").limit(SAMPLE).select("v").collect()
-        x = np.array([r["v"] for r in drawn], dtype=np.float64).reshape(-1, dim)
-        x = x / np.abs(x).max(axis=1, keepdims=True)
-        turned = staged(classes.mapInArrow(_turn(axes(x / np.linalg.norm(x, axis=1, keepdims=True))), "label string, rep long, weight long, v array<double>, y binary, lead double"), "turned")
-        # a label's tiles are ranges of the first axis
-        n = turned.groupBy("label").agg(F.count("*").alias("n"), F.percentile_approx("lead", F.array(*[F.lit(k / 1024) for k in range(1, 1024)]), 20_000).alias("cuts"))
-        tiles = F.least(F.ceil(F.col("n") / tile), F.lit(1024)).cast("int")
-        cut = n.select("label", "n", tiles.alias("tiles"), F.transform(F.sequence(F.lit(1), F.greatest(tiles - 1, F.lit(1))), lambda k: F.element_at("cuts", F.least(F.greatest((k * 1024 / tiles).cast("int"), F.lit(1)), F.lit(1023)))).alias("cuts"))
-        ranged = turned.join(F.broadcast(cut) if cut.count() <= 1_000 else cut, "label")
-        rank = F.when(F.col("tiles") > 1, F.size(F.filter("cuts", lambda c: c <= F.col("lead")))).otherwise(0)
-        # ties on the first axis, and labels of over 1024 tiles, are cut further by a hash
-        finer = F.greatest(F.ceil(F.col("n") / F.col("tiles") / tile), F.lit(1)).cast("int")
-        own = rank * finer + F.pmod(F.xxhash64("rep", F.lit(5)), finer).cast("int")
-        dealt = ranged.select("label", "rep", "weight", "v", "y", own.alias("tile"), F.explode(F.sequence(F.lit(0), F.col("tiles") * finer - 1)).alias("other"))
-        met = dealt.select("label", "rep", "weight", "v", "y", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
-        found = staged(met.groupBy("label", "i", "j").applyInArrow(_tiles(threshold, dim), "rep long, n long, a long, b long"), "found")
-        counts.append(found.where("rep is not null").groupBy("rep").agg(F.sum("n").alias("n")))
+        classes = staged(good.groupBy("label", "embedding").agg(F.min("row").alias("cid"), F.count("*").alias("weight")), "vectors").withColumnRenamed("embedding", "v")
+        n = classes.count()
+        if not n:
+            continue
+        rotation = axes(_sample(classes, dim, n).reshape(-1, dim))
+        tiled = staged(_tiled(staged(classes.mapInArrow(_turn(rotation), "label string, cid long, weight long, v binary, lead double"), "turned"), tile), "tiled")
+        dealt = tiled.join(small(_meetings(tiled, threshold), 10_000), ["label", "tile"]).select("label", "cid", "weight", "v", "tile", F.explode("others").alias("other"))
+        met = dealt.select("label", "cid", "weight", "v", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
+        found = staged(met.groupBy("label", "i", "j").applyInArrow(_tiles(threshold, dim, rotation), "cid long, n long, a long, b long"), "found")
+        counts.append(found.where("cid is not null").groupBy("cid").agg(F.sum("n").alias("n")))
         links.append(found.where("a is not null").select("a", "b"))
-        classes_of.append(good.select("row", "label", "embedding").join(classes.withColumnRenamed("v", "embedding").select("label", "embedding", "rep", "weight"), ["label", "embedding"]).select("row", "rep", "weight"))
-    if not sizes:
+        members.append(good.select("row", "label", "embedding").join(classes.withColumnRenamed("v", "embedding"), ["label", "embedding"]).select("row", "cid", "weight"))
+    if not members:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     union = lambda dfs: dfs[0] if len(dfs) == 1 else dfs[0].unionByName(union(dfs[1:]))
     reach = components(union(links))
-    out = rows.select("row", "vec_id").join(union(classes_of), "row", "left").join(union(counts), "rep", "left")
-    out = out.join(reach, F.col("rep") == F.col("node"), "left")
-    component = F.coalesce("component", "rep", "vec_id")
-    return out.select("vec_id", (F.coalesce("weight", F.lit(1)) - 1 + F.coalesce("n", F.lit(0))).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    known = rows.select("row", "vec_id").join(union(members), "row", "left").join(union(counts), "cid", "left").join(reach, F.col("cid") == F.col("node"), "left")
+    known = staged(known.select("row", "vec_id", "weight", "n", F.coalesce("component", "cid", "row").alias("root")), "known")
+    least = known.groupBy("root").agg(F.min("vec_id").alias("component_id"))
+    return known.join(least, "root").select("vec_id", (F.coalesce("weight", F.lit(1)) - 1 + F.coalesce("n", F.lit(0))).cast("long").alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op2_cosine_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
