@@ -6,8 +6,12 @@ Whether a key is listed is answered by a cascade of Bloom filters, built over th
 corpus: level 0 holds the listed keys, each odd level the unlisted keys that the level before lets through
 by mistake, each even level the listed keys that the level before lets through. The first level without the
 key decides; the last level lets nothing through by mistake, so the answer is exact for every key of the
-corpus without a join. The filters are literals of the plan. Beyond ``LITERAL_BYTES`` they are not used and
-the keys are joined with the rules (as exact, with a shuffle).
+corpus without a join. Level 0 is sized by how many keys the corpus has for each listed one, so that about as many
+unlisted keys pass it as are listed: the whole cascade grows with the list (which the caller holds) and with
+the logarithm of the corpus. The filters are literals of the plan.
+
+Of several rules that fit, the one with the longest host and path together wins; of equally long ones, that of
+the longer host.
 
 Defined results: a null url and one without ``://`` have an empty host and path and fit no rule; urls that
 fit no rule get ``default`` (their keys are not listed); repeated rows each give a row; other columns
@@ -32,9 +36,8 @@ RULES = [
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
-BITS_PER_KEY = 10
-HASHES = 5
-LITERAL_BYTES = 4 << 20
+#: Bytes of a bitmap that are put together as one row.
+CHUNK = 4_096
 SEPARATOR = "\n"  # stands in no host
 
 
@@ -68,20 +71,25 @@ class Bloom:
         return F.array(*[F.pmod(F.xxhash64(key, F.lit(self.level * 64 + i)), F.lit(self.bits)) for i in range(self.hashes)])
 
     def fill(self, keys: DataFrame) -> Bloom:
-        """Set the keys' bits: bytes are built where the keys lie and merged by position."""
-        at = keys.select(F.explode(self.places(F.col("key"))).alias("p")).distinct()
-        rows = at.groupBy(F.floor(F.col("p") / 8).cast("long").alias("byte")).agg(F.sum(F.pow(F.lit(2), F.col("p") % 8)).cast("int").alias("v")).collect()  # at most bits / 8 rows, a checked bound
-        made = bytearray((self.bits + 7) // 8)
-        for r in rows:
-            made[r["byte"]] = r["v"]
-        return Bloom(self.bits, self.hashes, self.level, bytes(made))
+        """Set the keys' bits: words of 64 bits, then chunks of the bitmap, are put together where they lie."""
+        at = keys.select(F.explode(self.places(F.col("key"))).alias("p"))
+        words = at.groupBy(F.floor(F.col("p") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 AS int))")).alias("bits"))
+        per = CHUNK // 8
+        entry = F.struct((F.col("word") % per).cast("int"), "bits")
+        chunks = words.groupBy(F.floor(F.col("word") / per).alias("chunk")).agg(F.map_from_entries(F.collect_list(entry)).alias("m"))  # at most ``per`` words each
+        hexed = F.transform(F.sequence(F.lit(0), F.lit(per - 1)), lambda i: F.lpad(F.hex(F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))), 16, "0"))
+        made = bytearray(-(-self.bits // (8 * CHUNK)) * CHUNK)
+        for r in chunks.select("chunk", F.unhex(F.array_join(hexed, "")).alias("raw")).collect():  # the bitmap itself
+            made[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = r["raw"]
+        return Bloom(self.bits, self.hashes, self.level, bytes(made[: -(-self.bits // 64) * 8]))
 
     def holds(self, key: Column) -> Column:
         data = F.lit(bytearray(self.bitmap))
 
         def bit(i):
             p = F.pmod(F.xxhash64(key, F.lit(self.level * 64 + i)), F.lit(self.bits))
-            byte = F.conv(F.hex(F.substring(data, (F.floor(p / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+            at = F.floor(p / 64) * 8 + 8 - F.floor(p % 64 / 8)  # words have their highest byte first
+            byte = F.conv(F.hex(F.substring(data, at.cast("int"), F.lit(1))), 16, 10).cast("int")
             return F.getbit(byte.cast("long"), (p % 8).cast("int")) == 1
 
         return reduce(lambda a, b: a & b, [bit(i) for i in range(self.hashes)])
@@ -103,28 +111,29 @@ class Cascade:
         return sum(len(x.bitmap) for x in self.levels)
 
 
-def size_of(n: int) -> int:
-    return max(64, 8 * math.ceil(n * BITS_PER_KEY / 8))
+def shape(n: int, others: int, first: bool) -> tuple[int, int]:
+    """(bits, hashes) of a level of ``n`` keys that ``others`` must not pass: later levels let half of them through
+    by mistake, the first about as many as it has keys."""
+    rate = min(0.5, max(n, 1) / max(others, 1) * math.sqrt(0.5)) if first else 0.5
+    hashes = max(1, round(math.log2(1 / rate)))
+    return max(64, math.ceil(n * hashes / math.log(2))), hashes
 
 
-def build(universe: DataFrame, listed: DataFrame, most_bytes: int = LITERAL_BYTES) -> Cascade | None:
-    """The cascade that tells ``listed`` keys from all others of ``universe`` (both: key, distinct); None if it would be too large."""
-    inside, outside = listed, universe.join(listed, "key", "left_anti")
+def build(universe: DataFrame, listed: DataFrame) -> Cascade:
+    """The cascade that tells ``listed`` keys from all others of ``universe`` (both: key, distinct)."""
+    inside, outside = listed, universe.join(F.broadcast(listed), "key", "left_anti")  # the list came from the driver
+    others = outside.count()
     levels: list[Bloom] = []
-    spent = 0
     while True:
         n = inside.count()
         if levels and not n:
             return Cascade(levels)
-        bits = size_of(n)
-        spent += bits // 8
-        if spent > most_bytes:
-            return None
-        levels.append(Bloom(bits, HASHES, len(levels)).fill(inside))
-        inside, outside = staged(outside.where(levels[-1].holds(F.col("key"))), "cascade"), inside
+        bits, hashes = shape(n, others, not levels)
+        levels.append(Bloom(bits, hashes, len(levels)).fill(inside))
+        inside, outside, others = staged(outside.where(levels[-1].holds(F.col("key"))), "cascade"), inside, n
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "allow", most_bytes: int = LITERAL_BYTES) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict of every row of ``pages`` (page_id, url)."""
     spark = pages.sparkSession
     if not rules:
@@ -134,14 +143,12 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "a
     lengths = [len(p) for _, _, p in rules]
     base = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     base = base.withColumn("keys", url_keys(F.col("host"), F.col("path"), lengths))
-    universe = base.select(F.explode("keys").alias("key")).distinct()
+    universe = staged(base.select(F.explode("keys").alias("key")).distinct(), "universe")
     rows = spark.createDataFrame([(h + SEPARATOR + p, v) for v, h, p in rules], "key string, kind string")
-    cascades = {kind: build(universe, rows.where(F.col("kind") == kind).select("key"), most_bytes) for kind in ("block", "allow")}
-    if any(c is None for c in cascades.values()):
-        return _joined(base, rows, default)
+    cascades = {kind: build(universe, rows.where(F.col("kind") == kind).select("key")) for kind in ("block", "allow")}
     is_listed = {kind: (lambda k, c=c: c.listed(k)) for kind, c in cascades.items()}
-    tagged = F.transform("keys", lambda k: F.struct(k.alias("key"), F.when(is_listed["block"](k), "block").when(is_listed["allow"](k), "allow").alias("kind")))
-    hit = F.get(F.filter(tagged, lambda x: x["kind"].isNotNull()), F.lit(0))  # keys come longest first
+    tagged = F.transform("keys", lambda k: F.struct(F.length(k).alias("long"), F.instr(k, SEPARATOR).alias("host"), k.alias("key"), F.when(is_listed["block"](k), "block").when(is_listed["allow"](k), "allow").alias("kind")))
+    hit = F.array_max(F.filter(tagged, lambda x: x["kind"].isNotNull()))
     return _result(base.withColumn("hit", hit), default)
 
 
@@ -150,27 +157,19 @@ def _result(df: DataFrame, default: str) -> DataFrame:
     return df.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(F.col("hit.kind"), F.lit(default)).alias("verdict"))
 
 
-def _joined(base: DataFrame, rows: DataFrame, default: str) -> DataFrame:
-    """For lists too large for literals: the same keys, joined."""
-    numbered = base.withColumn("row", F.monotonically_increasing_id())
-    keyed = numbered.select("row", F.posexplode("keys").alias("at", "key")).join(rows, "key")
-    best = keyed.groupBy("row").agg(F.min_by(F.struct("key", "kind"), "at").alias("hit"))
-    return _result(numbered.join(best, "row", "left"), default)
-
-
 def op6_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), RULES)
 
 
 def op6_sql() -> str:
     fits = "(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
-    ranked = sorted(RULES, key=lambda r: -(len(r[1]) + len(r[2])))
+    ranked = sorted(RULES, key=lambda r: (-(len(r[1]) + len(r[2])), -len(r[1])))
     case = lambda get: "CASE " + " ".join(f"WHEN {fits.format(h=h, p=p)} THEN '{get(v, h, p)}'" for v, h, p in ranked)
     return f"""
     WITH parts AS (
       SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
     ), split AS (
-      SELECT page_id, lower(regexp_extract(rest, '^[^/?#]*')) AS host,
+      SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts
     )
     SELECT page_id, host, path, {case(lambda v, h, p: h + p)} ELSE NULL END AS rule,
