@@ -8,7 +8,9 @@ ascent on the exact log-likelihood (forward-backward). A whole text is scored by
 tokens; the marginals of tag 1 give the offending offsets, and their strongest and total evidence give
 the document's score through a logistic curve fitted on the sample.
 
-Learning uses about ``SAMPLE`` toxic documents and ``CLEAN`` times as many others, picked by a hash of their id, from the training fold (``crc32(doc_id) % 4 <> 2``).
+Learning uses about ``SAMPLE`` toxic documents and ``CLEAN`` times as many others, picked by a hash of their id, from the training fold
+(``crc32(doc_id) % 4 <> 2``). Of each it takes whole texts for the marks and for the curve, and at most ``WINDOWS_PER_DOC`` windows of
+``WINDOW`` tokens for the field itself, so that training fits the driver.
 
 Defined results: null and empty texts, and all texts if no training label is 1, get the score of a text
 without tokens; documents with several label rows count with the largest; labels of unknown documents and
@@ -39,7 +41,7 @@ FOLDS, HELD_OUT = 4, 2
 PRECISION, RATIO = 0.9, 20.0
 WINDOW = 24
 WINDOWS_PER_DOC = 4
-EPOCHS = 40
+EPOCHS = 60
 LIMIT = 0.3
 SPAN = 0.5
 
@@ -127,7 +129,7 @@ def _doc_features(batches):
 
 
 def _windows(marks: frozenset):
-    """Features and tags of windows: up to WINDOWS_PER_DOC around marked tokens of a toxic text, one of any other."""
+    """Features and tags of windows: up to WINDOWS_PER_DOC around marked tokens of a toxic text, as many dealt over any other."""
 
     k = 1 + len(PREFIXES)
 
@@ -143,7 +145,9 @@ def _windows(marks: frozenset):
                     hits = [i for i, t in enumerate(tags) if t]
                     starts = [max(0, i - WINDOW // 2) for i in hits[:: max(1, len(hits) // WINDOWS_PER_DOC)][:WINDOWS_PER_DOC]]
                 else:
-                    starts = [xxhash.xxh32_intdigest(raw) % len(ws)]
+                    n = min(WINDOWS_PER_DOC, -(-len(ws) // WINDOW))
+                    step = len(ws) / n
+                    starts = [int(k * step + xxhash.xxh32_intdigest(raw, k) % max(1, int(step - WINDOW) + 1)) for k in range(n)]
                 for s in starts:
                     part = [features(w) for w in ws[s : s + WINDOW]]
                     f.append([v for x in part for v in [*x, *[-1] * (k - len(x))]] + [-1] * (k * (WINDOW - len(part))))
