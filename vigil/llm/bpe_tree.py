@@ -18,6 +18,7 @@ row; other columns of the input are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import spread, table, trimmed
+from vigil.llm.common import by_bytes, spread, table, trimmed
 from vigil.llm.textcodec import LITTLE, PLAIN, WORD_SPLIT, Memo, encode_units, memo, model_encoder, tokenizer
 
 #: Characters in a leaf. Longer texts are encoded by several tasks.
@@ -165,6 +166,8 @@ def encode_texts(path: str, texts: list[str | None]) -> list[tuple[bytes, bytes]
 
 def leaf(path: str, text: str) -> Node:
     """A cut-out piece of a text as a node of the tree."""
+    if text in (own := specials(path)):
+        return Node(Fragment("", [], []), _u4([own[text]]), Fragment("", [], []))
     flat = text.replace("\n", " ")
     first, last = flat.find(" "), flat.rfind(" ")
     if first < 0:
@@ -197,8 +200,24 @@ def root_ids(path: str, nodes: list[Node]) -> bytes:
     return _u4(n.left.ids) if n.open else _u4(n.left.ids) + n.ids + _u4(n.right.ids)
 
 
-def cut(text: str, chars: int = LEAF_CHARS) -> list[str]:
-    return [text[i : i + chars] for i in range(0, len(text), chars)]
+def specials(path: str) -> dict[str, int]:
+    """Strings that the library takes out of a text before anything else, with their ids."""
+
+    def make(path):
+        added = tokenizer(path).get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError(f"{path} has added tokens that depend on their neighbours")
+        return lambda _: {t.content: i for i, t in added.items()}
+
+    return memo("specials", path, make)[""]
+
+
+def cut(text: str, chars: int = LEAF_CHARS, own: dict[str, int] | None = None) -> list[str]:
+    """Pieces of at most ``chars`` characters; the strings ``own`` are pieces of their own, whatever their length."""
+    if not own or "<|" not in text:
+        return [text[i : i + chars] for i in range(0, len(text), chars)]
+    parts = re.split("(" + "|".join(re.escape(x) for x in sorted(own, key=len, reverse=True)) + ")", text)
+    return [p for k, part in enumerate(parts) for p in ([part] if k % 2 else cut(part, chars))]
 
 
 def _digest(doc_id: list, pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
@@ -238,6 +257,17 @@ def unpack(row) -> Node:
 NODE = ["settled", "lt", "li", "ls", "rt", "ri", "rs"]
 
 
+def _pieces(path: str, chars: int):
+    def run(batches):
+        for whole in batches:
+            for b in by_bytes(whole):
+                for row, doc, text in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                    got = cut(text, chars, specials(path))
+                    yield pa.RecordBatch.from_arrays([pa.array([row] * len(got), pa.int64()), pa.array([doc] * len(got), pa.int64()), pa.array(range(len(got)), pa.int32()), pa.array(got, pa.string())], ["row", "doc_id", "pos", "text"])
+
+    return run
+
+
 def _leaves(path: str):
     def run(batches):
         for b in batches:
@@ -261,12 +291,10 @@ def _roots(path: str):
 def encode_documents(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS) -> DataFrame:
     """One row of digests for each row of ``docs`` (doc_id, text); the ids themselves come from ``encode_ids``."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    special = F.col("text").contains("<|")  # a special token's string must not be cut; such texts stay whole
-    long = F.coalesce((F.length("text") > leaf_chars) & ~special, F.lit(False))
+    long = F.coalesce(F.length("text") > leaf_chars, F.lit(False))
     short = base.where(~long).mapInArrow(trimmed(_short(path)), SCHEMA)
     tall = base.where(long).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    n = F.ceil(F.length("text") / F.lit(leaf_chars)).cast("int")
-    pieces = tall.select("row", "doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring("text", i * leaf_chars + 1, F.lit(leaf_chars)))).alias("pos", "text"))
+    pieces = tall.mapInArrow(_pieces(path, leaf_chars), "row long, doc_id long, pos int, text string")
     nodes = spread(pieces, "row", "pos").mapInArrow(trimmed(_leaves(path)), "row long, doc_id long, pos int, " + ", ".join(f"{c} binary" for c in NODE))
     return short.unionByName(nodes.groupBy("row").applyInArrow(_roots(path), SCHEMA))
 
@@ -277,7 +305,8 @@ def encode_ids(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         for b in batches:
             texts = b.column("text").to_pylist()
-            pairs = [(root_ids(path, [leaf(path, c) for c in cut(t)]) if len(t or "") > LEAF_CHARS and "<|" not in t else p, None) for t, (p, _) in zip(texts, encode_texts(path, [t if len(t or "") <= LEAF_CHARS or "<|" in t else "" for t in texts]), strict=True)]
+            short = encode_texts(path, [t if len(t or "") <= LEAF_CHARS else "" for t in texts])
+            pairs = [(root_ids(path, [leaf(path, c) for c in cut(t, LEAF_CHARS, specials(path))]) if len(t or "") > LEAF_CHARS else p, None) for t, (p, _) in zip(texts, short, strict=True)]
             ids = [np.frombuffer(p, "<u4").astype("i4") for p, _ in pairs]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([i.tolist() for i in ids], pa.list_(pa.int32())), pa.array([decode_ids(path, i) for i in ids], pa.string())], ["doc_id", "ids", "decoded"])
 
