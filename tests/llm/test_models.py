@@ -4,13 +4,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from tests.llm.cases import AWKWARD, documents, prose
 from vigil.llm import hidden_markov as H
 from vigil.llm import lang_mixture as L
 from vigil.llm import toxic_crf as X
-from vigil.llm.differencing import assign, difference
-from vigil.llm.url_cascade import RULES, build, judge
+from vigil.llm.differencing import assign, difference, write_shards
+from vigil.llm.url_cascade import CHUNK, RULES, build, judge
 
 FR = "le chat de la maison est une belle petite fleur dans le jardin avec mon ami "
 EN = "the cat of this house with some other friends that were there and then "
@@ -104,6 +105,39 @@ def test_language_model(spark):
     assert (r.train_tokens, r.base_score, r.score) == (0, 0.0, 0.0)
 
 
+def test_most_frequent_words_are_exact_in_ties(spark):
+    rows = [(bytearray(f"w{i:03}".encode()), 5 if i < 300 else 9) for i in range(310)]
+    counts = spark.createDataFrame(rows, "word binary, c long")
+    want = sorted(((bytes(w), c) for w, c in rows), key=lambda x: (-x[1], x[0]))[:40]
+    assert H.frequent(counts, 40) == want and H.frequent(counts, 40, asked=20) == want
+    assert H.frequent(counts.limit(0)) == []
+
+
+def test_whole_score_equals_a_plain_model(spark):
+    rows = [(i, prose(i, 12 + i % 5)) for i in range(40)] + [(50, None), (51, "unseen words here")]
+    got = {r.doc_id: r for r in H.score_texts(documents(spark, rows), rounds=2).collect()}
+    train = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    count = Counter(w for _, t in train for w in (t or "").lower().encode().split())
+    top = [w for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[: H.TOP]]
+    cls = lambda w: top.index(w) if w in top else H.TOP + zlib.crc32(w) % H.HASHED
+    tokens, distinct = np.zeros(H.CLASSES, int), np.zeros(H.CLASSES, int)
+    for w, c in count.items():
+        tokens[cls(w)] += c
+        distinct[cls(w)] += 1
+    tokens[H.END] = len(train)
+    raw = lambda t: np.array([*map(cls, (t or "").lower().encode().split()), H.END], "<u2").tobytes()
+    model, _ = H.baum_welch(spark.createDataFrame([(bytearray(raw(t)),) for _, t in train], "classes binary"), tokens, 2)
+    for i, t in rows:
+        x, a, score = np.frombuffer(raw(t), "<u2"), model.first, 0.0
+        for s, k in enumerate(x):  # not scaled: these texts are short
+            a = (a if s == 0 else a @ model.move) * model.emit[:, k]
+        score = math.log10(a.sum())
+        for w in (t or "").lower().encode().split():
+            k = cls(w)
+            score += 0.0 if k < H.TOP else math.log10((count[w] + 1) / (tokens[k] + distinct[k] + 1))
+        assert abs(got[i].score - score) < 1e-6
+
+
 def test_forward_is_exact_and_training_gains(spark):
     rng = np.random.default_rng(4)
     m = H.Model.start(np.ones(H.CLASSES))
@@ -175,21 +209,33 @@ def plain(url):
 
 def test_url_rules(spark):
     df = spark.createDataFrame([(i, u, "x", "y") for i, u in URLS], "page_id long, url string, host string, rule string")
-    for most in (1 << 20, 1):
-        got = sorted((r.page_id, r.host, r.path, r.rule or "", r.verdict) for r in judge(df, RULES, most_bytes=most).collect())
-        assert got == sorted((i, *[x or "" for x in plain(u)]) for i, u in URLS)
+    got = sorted((r.page_id, r.host, r.path, r.rule or "", r.verdict) for r in judge(df, RULES).collect())
+    assert got == sorted((i, *[x or "" for x in plain(u)]) for i, u in URLS)
+    long = [("block", "com", "/en/very/long"), ("allow", "example.com", "/en/")]
+    one = spark.createDataFrame([(1, "http://example.com/en/very/long/x")], "page_id long, url string")
+    assert [(r.rule, r.verdict) for r in judge(one, long).collect()] == [("com/en/very/long", "block")]
     assert judge(df.limit(0), RULES).count() == 0
 
 
-def test_cascade_is_exact_on_its_universe(spark):
-    universe = spark.range(4_000).selectExpr("concat('k', id) AS key")
-    listed = universe.where("key LIKE '%7'")
-    c = build(universe, listed)
-    assert len(c.levels) > 1
-    wrong = universe.select("key", c.listed(universe["key"]).alias("is")).where("is <> (key LIKE '%7')")
+@pytest.mark.parametrize(("n", "like", "chunks"), [(4_000, "%7", 1), (60_000, "%", 3), (100_000, "%77", 1)])
+def test_cascade_is_exact_on_its_universe(spark, n, like, chunks):
+    universe = spark.range(n).selectExpr("concat('k', id) AS key")
+    inside = f"(key LIKE '{like}' AND key NOT LIKE '%3')"
+    c = build(universe, universe.where(inside))
+    assert len(c.levels[0].bitmap) > (chunks - 1) * CHUNK
+    wrong = universe.select("key", c.listed(universe["key"]).alias("is")).where(f"is <> {inside}")
     assert wrong.count() == 0
 
 
+def test_shard_files_hold_every_row(spark, tmp_path):
+    rows = [*AWKWARD, (None, "no id"), (9, "another text of nine"), (None, "no id")]
+    write_shards(documents(spark, rows), str(tmp_path / "s"), 3)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(((r.doc_id, r.text) for r in back.collect()), key=key) == sorted(rows, key=key)
+    assert back.groupBy("text").agg({"shard": "min"}).join(back.groupBy("text").agg({"shard": "max"}), "text").where("`min(shard)` <> `max(shard)`").count() == 0
+
+
 def test_planes():
     for top in (10, 1 << 17, 1 << 25):
         x = np.array([0, 1, top - 1, 5], dtype=np.uint32)

@@ -16,7 +16,7 @@ from vigil.llm import textcodec as C
 from vigil.llm.common import fresh_path
 
 WORD, BYTE = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json")
-PIECES = ["a", "b", " ", "é", "e\u0301", "'s", "ing", "the", "1", "22", "!", "..", "\n", "Σ", "中", "🙂", "\x1c", "\u3000", "İ", "<|", "aaaa"]
+PIECES = ["<|endoftext|>", "<|startoftext|>", "a", "b", " ", "é", "e\u0301", "'s", "ing", "the", "1", "22", "!", "..", "\n", "Σ", "中", "🙂", "\x1c", "\u3000", "İ", "<|", "aaaa"]
 
 
 @settings(max_examples=300, deadline=None)
@@ -25,9 +25,8 @@ def test_tree_and_units_equal_the_library(parts, leaf):
     text = "".join(parts)
     tok = Tokenizer.from_file(WORD)
     want = tok.encode(text, add_special_tokens=False).ids
-    if "<|" not in text:
-        got = B.root_ids(WORD, [B.leaf(WORD, c) for c in B.cut(text, leaf)])
-        assert np.frombuffer(got, "<u4").tolist() == want
+    got = B.root_ids(WORD, [B.leaf(WORD, c) for c in B.cut(text, leaf, B.specials(WORD))])
+    assert np.frombuffer(got, "<u4").tolist() == want
     (ids, decoded), = B.encode_texts(WORD, [text])
     assert np.frombuffer(ids, "<u4").tolist() == want
     assert decoded.decode() == tok.decode(want, skip_special_tokens=False)
@@ -43,7 +42,7 @@ def test_memory_bound_changes_nothing(monkeypatch):
 @pytest.mark.parametrize("leaf", [B.LEAF_CHARS, 500])
 def test_documents_of_all_kinds(spark, leaf):
     tok = Tokenizer.from_file(WORD)
-    rows = [*AWKWARD, (20, prose(2, 400)), (21, "ab" * 3_000), (22, prose(2, 400))]
+    rows = [*AWKWARD, (20, prose(2, 400)), (21, "ab" * 3_000), (22, prose(2, 400)), (23, "<|endoftext|>".join(prose(k, 300) for k in range(3)) + "<|" * 900)]
     got = sorted(tuple(r) for r in B.encode_documents(documents(spark, rows), WORD, leaf).collect())
     want = []
     for i, t in rows:
@@ -71,6 +70,25 @@ def test_store_round_trip(spark):
     assert sum(r.documents for r in K.manifest(spark, at).collect()) == len(rows)
 
 
+def test_store_notices_a_lost_recipe(spark):
+    at = K.write_store(documents(spark, [(i, prose(i, 50)) for i in range(9)]), BYTE, 0, fresh_path(spark, "t"))
+    recipes, _ = K.open_store(spark, at)
+    kept = spark.createDataFrame(recipes.where("doc_id <> 4").collect(), recipes.schema)
+    kept.write.mode("overwrite").parquet(f"{at}/recipes")
+    with pytest.raises(ValueError, match="manifest"):
+        K.read_digests(spark, at)
+
+
+def test_many_streams_side_by_side_are_cut_as_alone():
+    rng = random.Random(3)
+    streams = [np.array([rng.randrange(90_000) for _ in range(n)], "<u4") for n in (1, 7, 64, 65, 900, 3, 20_000, 500)]
+    places, start = K.candidates(np.concatenate(streams)), 0
+    for x in streams:
+        mine = places[(places > start) & (places <= start + len(x))].tolist()
+        assert [e - start for e in K.ends_of(mine, start, start + len(x))] == K.cuts(x)
+        start += len(x)
+
+
 def test_store_notices_a_changed_chunk(spark):
     at = K.write_store(documents(spark, [(1, prose(1, 50))]), BYTE, 0, fresh_path(spark, "t"))
     _, chunks = K.open_store(spark, at)

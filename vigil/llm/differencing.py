@@ -96,11 +96,21 @@ def assign_groups(groups: DataFrame, shards: int, bucket: int = BUCKET, fan: int
     return assigned.select("key", F.col("place").cast("int").alias("shard"))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with _key, the print of the text by which rows are grouped."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.withColumn("_key", F.unhex(F.md5(F.concat(F.when(F.col("text").isNull(), F.lit("0")).otherwise(F.lit("1")), text))))
+
+
+def _groups(keyed: DataFrame) -> DataFrame:
+    size = (F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit(""))) + 8).cast("long")
+    return staged(keyed.groupBy(F.col("_key").alias("key")).agg(F.sum(size).alias("size")), "groups")
+
+
 def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of each row of ``docs`` (doc_id, text)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    key = F.unhex(F.md5(F.concat(F.when(F.col("text").isNull(), F.lit("0")).otherwise(F.lit("1")), text)))
-    facts = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), key.alias("key")), "facts")
+    facts = staged(_keyed(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.col("_key").alias("key")), "facts")
     groups = staged(facts.groupBy("key").agg(F.sum("size").alias("size")), "groups")
     placed = facts.join(assign_groups(groups, shards), "key").select("doc_id", "row", "size", "text_crc32", "shard", F.lit(1).cast("long").alias("one"))
     ranked = running(placed, ["doc_id", "row"], {"slot": "one"}, by="shard")
@@ -108,8 +118,11 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, to: str, shards: int = SHARDS) -> None:
-    """The documents themselves, a folder for each shard."""
-    docs.join(assign(docs, shards).select("doc_id", "shard").distinct(), "doc_id").transform(lambda d: spread(d, "shard", "doc_id")).write.partitionBy("shard").parquet(to)
+    """Every row of ``docs`` with all its columns, a folder for each shard. A row's shard follows from its text,
+    so null and repeated doc_ids need no care."""
+    keyed = _keyed(docs)
+    placed = keyed.join(assign_groups(_groups(keyed), shards).withColumnsRenamed({"key": "_key", "shard": "_shard"}), "_key").drop("_key")
+    spread(placed.drop("shard").withColumnRenamed("_shard", "shard")).write.partitionBy("shard").parquet(to)
 
 
 def op9_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
