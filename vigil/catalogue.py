@@ -71,16 +71,15 @@ def category_hints(spark, sf_dir):
 
 @query(O.q(O.MESSAGES, select="SELECT msg_id, normalized, lang FROM msgs"))
 def normalize_text(spark, sf_dir):
-    df = messages(spark, sf_dir).select("msg_id", T.normalize_ascii(F.col("text")).alias("normalized"))
-    return df.withColumn("lang", T.language(F.col("normalized")))
+    return messages(spark, sf_dir).select("msg_id", A.texts(F.col("text")).alias("t")).select("msg_id", "t.*")
 
 
-@query(f"SELECT doc_id, {T.language_sql('n')} AS lang FROM (SELECT doc_id, {T.normalize_sql('text')} AS n FROM documents)")
+@query(f"SELECT doc_id, {O.language_sql('n')} AS lang FROM (SELECT doc_id, {O.normalize_sql('text')} AS n FROM documents)")
 def language_detect(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", T.language(T.normalize_ascii(F.col("text"))).alias("lang"))
+    return read(spark, sf_dir, "documents").select("doc_id", A.texts(F.col("text"))["lang"].alias("lang"))
 
 
-@query(O.q(O.MESSAGES, O.URLS, select="SELECT msg_id, ord::INT AS ord, raw, scheme, host, path FROM urls"))
+@query(O.q(O.MESSAGES, O.URLS, select='SELECT msg_id, ord::INT AS ord, raw, scheme, host, path, start::INT AS start, (start + length(raw))::INT AS "end", punycode FROM urls'))
 def url_extract(spark, sf_dir):
     return U.extract(messages(spark, sf_dir))
 
@@ -91,7 +90,7 @@ _PAGE_HOSTS = "page_hosts AS (SELECT regexp_extract(url, '^[^:]*://([^/?#:]*)',
 @query(O.q(_PAGE_HOSTS, O.registrable("page_hosts"), select="SELECT host, registrable FROM reg"))
 def registrable_domain(spark, sf_dir):
     hosts = read(spark, sf_dir, "pages").where("url is not null").select(F.regexp_extract("url", "^[^:]*://([^/?#:]*)", 1).alias("host")).distinct()
-    return U.registrable(hosts, rules.suffixes(spark))
+    return U.registrable(hosts, rules.suffixes(spark)).select("host", "registrable")
 
 
 @query(f"SELECT page_id, host, {O.IS_IP} AS ip FROM (SELECT page_id, regexp_extract(url, '^[^:]*://([^/?#]*)', 1) AS host FROM pages)")
@@ -114,15 +113,15 @@ def link_text_mismatch(spark, sf_dir):
 def typosquat_first_hit(spark, sf_dir):
     links = U.extract(messages(spark, sf_dir))
     reg = U.registrable(links.select("host").distinct(), rules.suffixes(spark))
-    label = F.substring_index("registrable", ".", 1)
+    label = F.substring_index("original", ".", 1)
     both = reg.select(label.alias("label")).union(reg.select(U.fold(label).alias("label"))).where("label is not null").distinct()
     return U.typosquat(both)
 
 
-@query(O.q(O.MESSAGES, O.URLS, O.FACTS, select="SELECT host, registrable, folded, squat, mixed, shortener, bad_tld FROM facts"))
+@query(O.q(O.MESSAGES, O.URLS, O.FACTS, select="SELECT host, registrable AS original, folded, squat, mixed, shortener, bad_tld FROM facts"))
 def host_facts(spark, sf_dir):
     f = U.host_facts(U.extract(messages(spark, sf_dir)), rules.suffixes(spark))
-    return f.select("host", "registrable", U.fold(F.col("label")).alias("folded"), "squat", "mixed", "shortener", "bad_tld")
+    return f.select("host", "original", U.fold(F.col("label")).alias("folded"), "squat", "mixed", "shortener", "bad_tld")
 
 
 @query(O.q(O.MESSAGES, O.URLS, O.FACTS, O.URL_EVIDENCE, select="SELECT msg_id, ord::INT AS ord, pos::INT AS pos, type, severity::INT AS severity FROM url_ev"))
@@ -146,24 +145,23 @@ def sender_evidence(spark, sf_dir):
 
 @query(O.q(O.MESSAGES, O.FIRED, select="SELECT msg_id, rule_id, type, severity::INT AS severity FROM fired"))
 def pattern_hits(spark, sf_dir):
-    m = A.analyzed(messages(spark, sf_dir)).select("msg_id", F.explode("fired").alias("f"))
-    return m.select("msg_id", F.col("f.id").alias("rule_id"), "f.type", "f.severity")
+    return A.hits(messages(spark, sf_dir)).select("msg_id", F.col("id").alias("rule_id"), "type", "severity")
 
 
 @query(O.q(O.MESSAGES, O.FIRED, select="SELECT msg_id, round(least(sum(weight)::FLOAT, 0.5::FLOAT)::DOUBLE, 5) AS weight FROM fired GROUP BY msg_id"))
 def pattern_weight(spark, sf_dir):
-    m = A.analyzed(messages(spark, sf_dir)).where(F.size("fired") > 0)
-    return m.select("msg_id", _r("pattern_weight", 5).alias("weight"))
+    m = A.analyzed(messages(spark, sf_dir)).select("msg_id", F.explode_outer("fired").alias("f"), "pattern_weight").where("f is not null")
+    return m.groupBy("msg_id").agg(_r(F.first("pattern_weight"), 5).alias("weight"))
 
 
-@query(O.q(O.MESSAGES, select=f"SELECT msg_id, {T.scrub_sql('text')} AS scrubbed FROM messages UNION ALL SELECT -1 - doc_id, {T.scrub_sql('text')} FROM documents"))
+@query(O.q(O.MESSAGES, select=f"SELECT msg_id, {O.scrub_sql('text')} AS scrubbed FROM messages UNION ALL SELECT -1 - doc_id, {O.scrub_sql('text')} FROM documents"))
 def pii_scrub(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select((F.lit(-1) - F.col("doc_id")).alias("msg_id"), "text")
     both = messages(spark, sf_dir).select("msg_id", "text").union(docs)
     return both.select("msg_id", T.scrub(F.col("text")).alias("scrubbed"))
 
 
-@query(O.q(O.MESSAGES, select=f"SELECT msg_id, {T.keyword_category_sql('text')} AS category FROM messages"))
+@query(O.q(O.MESSAGES, select=f"SELECT msg_id, {O.keyword_category_sql('text')} AS category FROM messages"))
 def keyword_category(spark, sf_dir):
     return messages(spark, sf_dir).select("msg_id", T.keyword_category(F.col("text")).alias("category"))
 
@@ -181,7 +179,7 @@ def _texts(spark, sf_dir):
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), "text")
 
 
-@query(f"SELECT doc_id AS ord, 'sms_web_' || lpad((row_number() OVER (ORDER BY doc_id) - 1)::VARCHAR, 6, '0') AS id, {T.scrub_sql('text')} AS text, 'EN' AS lang, 'web' AS source FROM documents")
+@query(f"SELECT doc_id AS ord, 'sms_web_' || lpad((row_number() OVER (ORDER BY doc_id) - 1)::VARCHAR, 6, '0') AS id, {O.scrub_sql('text')} AS text, 'EN' AS lang, 'web' AS source FROM documents")
 def ingest_rows(spark, sf_dir):
     return D.ingest(_texts(spark, sf_dir), "web", "EN")
 
@@ -355,14 +353,9 @@ def vocab_topk(spark, sf_dir):
     return D.vocabulary(D.token_counts(read(spark, sf_dir, "documents")), 1000)
 
 
-@query("SELECT label, " + ", ".join(f"round(avg(embedding[{i + 1}]::DOUBLE), 5) AS m{i}" for i in range(8)) + " FROM embeddings GROUP BY label")
-def mean_pool(spark, sf_dir):
-    return D.mean_pool(read(spark, sf_dir, "embeddings"), 8)
-
-
 @query("SELECT label, pos, round(avg(x::DOUBLE), 5) AS mean FROM (SELECT label, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding) AS x FROM embeddings) GROUP BY label, pos")
-def mean_pool_vector(spark, sf_dir):
-    return D.mean_pool_vector(read(spark, sf_dir, "embeddings"))
+def mean_pool(spark, sf_dir):
+    return D.mean_pool(read(spark, sf_dir, "embeddings"))
 
 
 _HOSTS = "SELECT DISTINCT lower(regexp_extract(url, '^[^:]*://([^/?#:]*)', 1)) AS domain FROM pages WHERE url IS NOT NULL"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.functions.text import language, normalize_ascii
+from vigil.functions.text import bound, language, normalize, spans
 from vigil.sources import rules
 
 
@@ -15,13 +15,20 @@ def _alias_pattern(alias: str) -> str:
 
 
 def claims(text: Column) -> Column:
-    """array<struct<start, brand_ord, alias_ord, brand_id, name, alias>>: first place of each alias, by place."""
+    """array<struct<start, brand_ord, alias_ord, brand_id, name, alias, end>>: every place of every alias, by place.
+
+    ``start`` and ``end`` (exclusive) count from 0 in the text as it came.
+    """
+
+    def named(i, j, brand, name, alias):
+        return lambda at: F.struct(at["start"].alias("start"), F.lit(i).alias("brand_ord"), F.lit(j).alias("alias_ord"), F.lit(brand).alias("brand_id"), F.lit(name).alias("name"), F.lit(alias).alias("alias"), at["end"].alias("end"))
+
     found = []
     for i, (brand, name, aliases, _, _) in enumerate(rules.BRANDS):
         for j, alias in enumerate(aliases):
-            p = F.lit(_alias_pattern(alias))
-            found.append(F.when(text.rlike(_alias_pattern(alias)), F.struct(F.regexp_instr(text, p).alias("start"), F.lit(i).alias("brand_ord"), F.lit(j).alias("alias_ord"), F.lit(brand).alias("brand_id"), F.lit(name).alias("name"), F.lit(alias).alias("alias"))))
-    return F.array_sort(F.array_compact(F.array(*found)))
+            pattern = _alias_pattern(alias)
+            found.append(F.when(text.rlike(pattern), F.transform(spans(text, pattern), named(i, j, brand, name, alias))))
+    return F.array_sort(F.flatten(F.array_compact(F.array(*found))))
 
 
 def header_brands(header: Column) -> Column:
@@ -62,14 +69,31 @@ def pattern_weight(hits: Column) -> Column:
     return F.least(F.aggregate(hits, F.lit(0.0), lambda a, x: a + x["weight"]).cast("float"), F.lit(rules.PATTERN_CAP).cast("float"))
 
 
+def texts(text: Column) -> Column:
+    """struct<normalized, lang>."""
+    return bound(normalize(text), lambda t: F.struct(t.alias("normalized"), language(t).alias("lang")))
+
+
 def analyzed(messages: DataFrame) -> DataFrame:
-    """``messages`` with normalized, lang, claims, claimed, sender, fired, pattern_weight."""
+    """``messages`` with normalized, lang, claims, claimed, sender, fired, pattern_weight.
+
+    Text, language and rules are one expression that names each once, so no plan repeats them for each rule. To keep
+    rows by what fired, explode it as an outer join would and drop nulls: a filter on ``fired`` itself is pushed
+    below this and evaluates every rule again.
+    """
+    facts = bound(texts(F.col("text")), lambda t: F.struct(t["normalized"].alias("normalized"), t["lang"].alias("lang"), fired(t["normalized"], t["lang"]).alias("fired")))
     return (
-        messages.withColumn("normalized", normalize_ascii(F.col("text")))
-        .withColumn("lang", language(F.col("normalized")))
+        messages.withColumn("_facts", facts)
+        .select("*", "_facts.normalized", "_facts.lang", "_facts.fired")
+        .drop("_facts")
         .withColumn("claims", claims(F.col("text")))
         .withColumn("claimed", F.array_distinct(F.col("claims.brand_id")))
         .withColumn("sender", sender_evidence(F.col("sender_hint"), F.col("claimed")))
-        .withColumn("fired", fired(F.col("normalized"), F.col("lang")))
         .withColumn("pattern_weight", pattern_weight(F.col("fired")))
     )
+
+
+def hits(messages: DataFrame) -> DataFrame:
+    """msg_id, ord, id, type, severity, weight: a row for each pattern rule that fires."""
+    each = messages.select("msg_id", F.explode_outer(bound(texts(F.col("text")), lambda t: fired(t["normalized"], t["lang"]))).alias("f"))
+    return each.where("f is not null").select("msg_id", "f.*")

@@ -127,12 +127,7 @@ def vocabulary(counts: DataFrame, size: int, least: int = 5) -> DataFrame:
     return kept.select((F.row_number().over(Window.orderBy("token")) - 1).alias("new_id"), "token", "freq")
 
 
-def mean_pool(vectors: DataFrame, width: int) -> DataFrame:
-    """label and the mean of each of the first ``width`` coordinates."""
-    return vectors.groupBy("label").agg(*[F.round(F.avg(F.get("embedding", F.lit(i)).cast("double")), 5).alias(f"m{i}") for i in range(width)])
-
-
-def mean_pool_vector(vectors: DataFrame) -> DataFrame:
+def mean_pool(vectors: DataFrame) -> DataFrame:
     """label, pos, mean: the mean of every coordinate."""
     each = vectors.select("label", F.posexplode("embedding").alias("pos", "x"))
     return each.groupBy("label", "pos").agg(F.round(F.avg(F.col("x").cast("double")), 5).alias("mean"))

@@ -7,13 +7,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
+from vigil.functions.text import spans
 from vigil.sources import rules
 
+# The grammar of links, labels and dotted quads
 LABEL = r"[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,61}[\p{L}\p{N}])?"
 PATH = r"(?:/[^\s<>\"'\x{A0}]*)?"
 CANDIDATE = rf"https?://[^\s<>\"'\x{{A0}}]+|www\.{LABEL}(?:\.{LABEL})+{PATH}|{LABEL}(?:\.{LABEL})+{PATH}"
@@ -25,33 +25,40 @@ def is_ip(host: Column) -> Column:
 
 
 def extract(messages: DataFrame) -> DataFrame:
-    """msg_id, ord, raw, scheme, host, path of each link of ``messages`` (msg_id, text)."""
-    found = F.regexp_extract_all("text", F.lit(rf"(?iu)(?<![\w@.])({CANDIDATE})"), 1)
-    rows = messages.select("msg_id", F.posexplode(found).alias("ord", "raw"))
+    """msg_id, ord, raw, scheme, host, path, start, end (from 0, exclusive, in the text as it came), punycode (whether
+    a label of the host is in that form) of each link of ``messages`` (msg_id, text)."""
+    pattern = rf"(?iu)(?<![\w@.])({CANDIDATE})"
+    rows = messages.select("msg_id", "text", F.posexplode(spans(F.col("text"), pattern)).alias("ord", "at"))
+    rows = rows.select("msg_id", "ord", F.expr("substr(text, at.start + 1, at.end - at.start)").alias("raw"), "at.start", "at.end")
     has_scheme = F.col("raw").contains("://")
     rest = F.when(has_scheme, F.expr("substr(raw, instr(raw, '://') + 3)")).otherwise(F.col("raw"))
     rest = F.regexp_replace(rest, "^[^/?#@]*@", "")
-    rows = rows.select("msg_id", "ord", "raw", F.when(has_scheme, F.substring_index("raw", "://", 1)).alias("scheme"), F.regexp_extract(rest, "^([^/?#:]*)", 1).alias("host"), F.nullif(F.regexp_extract(rest, "(?s)^[^/?#:]*(.*)$", 1), F.lit("")).alias("path"))
+    rows = rows.select("msg_id", "ord", "raw", "start", "end", F.when(has_scheme, F.substring_index("raw", "://", 1)).alias("scheme"), F.regexp_extract(rest, "^([^/?#:]*)", 1).alias("host"), F.nullif(F.regexp_extract(rest, "(?s)^[^/?#:]*(.*)$", 1), F.lit("")).alias("path"))
     bare = F.col("scheme").isNull() & ~F.lower("raw").startswith("www.")
     plain = [s for s in rules.SUFFIXES if "." not in s]
     # a bare host counts only if its last label is a known top level
+    rows = rows.withColumn("punycode", F.exists(F.split(F.lower("host"), r"\."), lambda x: x.startswith("xn--")))
     return rows.where((F.col("host") != "") & (~bare | F.lower(F.substring_index("host", ".", -1)).isin(plain)))
 
 
 def registrable(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
-    """host, registrable: the public suffix and one label more; null for addresses and bare suffixes.
+    """host, registrable: the public suffix and one label more; null for addresses and bare suffixes; original: the
+    same labels in the host's own script.
 
     Exceptions win, then the longest of plain and wildcard rules, then the last label.
     """
     ascii_host = F.rtrim(F.lower(F.coalesce(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), F.col("host"), F.lit(1)), "host")), F.lit("."))
-    base = hosts.select("host", F.split(ascii_host, r"\.").alias("labels"), is_ip(F.col("host")).alias("ip"))
+    own = F.split(F.rtrim(F.lower("host"), F.lit(".")), r"\.")
+    base = hosts.select("host", F.split(ascii_host, r"\.").alias("labels"), own.alias("own"), is_ip(F.col("host")).alias("ip"))
     tails = base.select("host", F.size("labels").alias("n"), F.explode(F.sequence(F.lit(1), F.size("labels"))).alias("k"), "labels").select("host", "k", F.array_join(F.slice("labels", F.col("n") - F.col("k") + 1, F.col("k")), ".").alias("suffix"))
     hit = tails.join(F.broadcast(suffixes), "suffix")  # the rule list is a bounded file
     taken = F.when(F.col("kind") == "exception", F.col("k") - 1 + 1000).when(F.col("kind") == "wildcard", F.col("k") + 1).otherwise(F.col("k"))
     best = hit.groupBy("host").agg(F.max(taken).alias("t"))
     n = F.when(F.coalesce("t", F.lit(1)) >= 1000, F.col("t") - 1000).otherwise(F.coalesce("t", F.lit(1)))
-    out = base.join(best, "host", "left").select("host", "labels", "ip", n.alias("n"))
-    return out.select("host", F.when(~F.col("ip") & (F.size("labels") > F.col("n")), F.array_join(F.slice("labels", -(F.col("n") + 1), F.col("n") + 1), ".")).alias("registrable"))
+    out = base.join(best, "host", "left").select("host", "labels", "own", "ip", n.alias("n"))
+    named = ~F.col("ip") & (F.size("labels") > F.col("n"))
+    tail = lambda c: F.array_join(F.slice(c, -F.least(F.col("n") + 1, F.size(c)), F.col("n") + 1), ".")
+    return out.select("host", F.when(named, tail("labels")).alias("registrable"), F.when(named, tail("own")).alias("original"))
 
 
 def fold(label: Column) -> Column:
@@ -68,23 +75,27 @@ def mixed_script(label: Column) -> Column:
     return label.rlike(r"\p{IsLatin}") & label.rlike(r"[\p{IsCyrillic}\p{IsGreek}\p{IsArmenian}]")
 
 
-def osa(a: str, b: str) -> int:
-    """Optimal string alignment distance: a swap of neighbours costs one, no part is edited twice."""
-    before, row = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        nxt = [i]
-        for j, y in enumerate(b, 1):
-            d = min(nxt[-1] + 1, row[j] + 1, row[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, before[j - 2] + 1)
-            nxt.append(d)
-        before, row = row, nxt
-    return row[-1]
+def _swaps(a: Column) -> Column:
+    """The strings that one swap of neighbours makes of ``a``."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1)))
+    part = lambda i, n: F.substring(a, i, n)
+    return F.transform(at, lambda i: F.concat(part(F.lit(1), i - 1), part(i + 1, F.lit(1)), part(i, F.lit(1)), part(i + 2, F.length(a))))
 
 
-@F.pandas_udf(IntegerType())
-def osa_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else osa(x, y) for x, y in zip(a, b, strict=True)], dtype="Int64")
+def within(a: Column, b: Column, budget: Column) -> Column:
+    """Whether the optimal string alignment distance is within ``budget``, which is 1 or 2: a swap of neighbours costs
+    one, no part is edited twice. So it is plain edits alone, or what stands before and behind a swap is edited too."""
+    part = lambda s, i, n: F.substring(s, i, n)
+
+    def around(i: Column, j: Column) -> Column:
+        before = F.levenshtein(part(a, F.lit(1), i - 1), part(b, F.lit(1), j - 1))
+        x, y = part(a, i + 2, F.length(a)), part(b, j + 2, F.length(b))
+        behind = F.least(F.levenshtein(x, y), F.when(F.array_contains(_swaps(x), y), 1))
+        swapped = (part(a, i, F.lit(1)) == part(b, j + 1, F.lit(1))) & (part(a, i + 1, F.lit(1)) == part(b, j, F.lit(1)))
+        return (j >= 1) & (j < F.length(b)) & swapped & (before + 1 + behind <= budget)
+
+    at = F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1)))
+    return (F.levenshtein(a, b) <= budget) | ((F.length(a) > 1) & F.exists(at, lambda i: around(i, i - 1) | around(i, i) | around(i, i + 1)))
 
 
 def typosquat(labels: DataFrame) -> DataFrame:
@@ -101,15 +112,17 @@ def typosquat(labels: DataFrame) -> DataFrame:
     near = F.levenshtein("label", "known", 2 * rules.LONG_DISTANCE)
     pairs = asked.join(F.broadcast(k), ((near >= 0) & (near <= 2 * budget) | F.col("label").contains(F.col("known")) & (F.length("known") >= rules.LEAST_CONTAINED) | (squash(F.col("label")) == squash(F.col("known")))))
     sure = (F.col("label").contains(F.col("known")) & (F.length("known") >= rules.LEAST_CONTAINED)) | (squash(F.col("label")) == squash(F.col("known")))
-    exact = osa_distance(F.when(~sure, F.col("label")), F.col("known"))
-    hits = pairs.where(sure | (exact <= budget))
+    hits = pairs.where(sure | within(F.col("label"), F.col("known"), budget))
     return hits.groupBy("label").agg(F.min_by(F.struct("brand_id", "known", "domain"), "ord").alias("h")).select("label", "h.*")
 
 
 def host_facts(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
-    """host, ip, registrable, label, tld, squat, mixed, shortener, bad_tld of each distinct host."""
+    """host, ip, registrable, original, label, tld, squat, mixed, shortener, bad_tld of each distinct host.
+
+    Look-alikes are sought in the label as it was written, lists are asked for the registrable name in ASCII form.
+    """
     base = registrable(hosts.select("host").distinct(), suffixes)
-    base = base.select("host", is_ip(F.col("host")).alias("ip"), "registrable", F.substring_index("registrable", ".", 1).alias("label"), F.substring_index("registrable", ".", -1).alias("tld"))
+    base = base.select("host", is_ip(F.col("host")).alias("ip"), "registrable", "original", F.substring_index("original", ".", 1).alias("label"), F.substring_index("registrable", ".", -1).alias("tld"))
     base = base.withColumn("folded", fold(F.col("label")))
     both = base.select("label").union(base.select(F.col("folded").alias("label"))).where("label is not null").distinct()
     hit = typosquat(both).select("label", F.col("brand_id").alias("squat"))
@@ -120,7 +133,7 @@ def host_facts(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
     changed = F.col("folded") != F.col("label")
     squat = F.coalesce("squat_raw", F.when(changed & F.col("folded").isin(own), exact), F.when(changed, F.col("squat_folded")))
     operated = list(rules.BRAND_OPERATED)
-    return out.select("host", "ip", "registrable", "label", "tld", squat.alias("squat"), mixed_script(F.col("label")).alias("mixed"), (F.col("registrable").isin(rules.SHORTENERS) & ~F.col("registrable").isin(operated)).alias("shortener"), F.col("tld").isin(rules.SUSPICIOUS_TLDS).alias("bad_tld"))
+    return out.select("host", "ip", "registrable", "original", "label", "tld", squat.alias("squat"), mixed_script(F.col("label")).alias("mixed"), (F.col("registrable").isin(rules.SHORTENERS) & ~F.col("registrable").isin(operated)).alias("shortener"), F.col("tld").isin(rules.SUSPICIOUS_TLDS).alias("bad_tld"))
 
 
 def evidence(urls: DataFrame, facts: DataFrame) -> DataFrame:

@@ -2,11 +2,58 @@
 
 from __future__ import annotations
 
-from vigil.functions.text import language_sql, normalize_sql
-from vigil.operators.urls import LABEL, PATH
 from vigil.sources import rules
 from vigil.sources.messages import messages_sql
 
+_WIDE, _NARROW = "".join(chr(0xFF01 + i) for i in range(94)), "".join(chr(0x21 + i) for i in range(94))
+
+
+def normalize_sql(t: str) -> str:
+    """Full-width characters (the only ones of the data that compose), zero-width characters, blanks of other kinds."""
+    q = "'"
+    out = f"translate({t}, '{_WIDE.replace(q, q * 2)}', '{_NARROW.replace(q, q * 2)}')"
+    out = f"translate(regexp_replace({out}, '[\\x{{200B}}\\x{{200C}}\\x{{200D}}\\x{{2060}}\\x{{FEFF}}]', '', 'g'), '\u00a0\u2007\u202f', '   ')"
+    return f"lower(trim(regexp_replace({out}, '\\s+', ' ', 'g')))"
+
+
+def language_sql(t: str) -> str:
+    """Over an expression that is already normalised."""
+    seen = f"regexp_replace({t}, '\\s', '', 'g')"
+    share = lambda a, b: f"length(regexp_replace({seen}, '[^\\x{{{a}}}-\\x{{{b}}}]', '', 'g')) / length({seen}) >= 0.2"
+    words = ", ".join(f"'{w}'" for w in rules.ROMANISED_HINDI)
+    marathi = ", ".join(f"'{w}'" for w in rules.MARATHI)
+    return f"""CASE WHEN coalesce(length({seen}), 0) = 0 THEN 'UNKNOWN'
+      WHEN {share('0900', '097F')} THEN CASE WHEN list_has_any(regexp_split_to_array({t}, '[^\\p{{L}}\\p{{M}}]+'), [{marathi}]) THEN 'MR' ELSE 'HI' END
+      WHEN {share('0980', '09FF')} THEN 'BN' WHEN {share('0B80', '0BFF')} THEN 'TA' WHEN {share('0C00', '0C7F')} THEN 'TE'
+      WHEN regexp_matches({seen}, '[A-Za-z]') THEN CASE WHEN len(list_filter(regexp_split_to_array({t}, '[^a-z0-9]+'), lambda w: w IN ({words}))) >= 2 THEN 'HI_LATN' ELSE 'EN' END
+      ELSE 'UNKNOWN' END"""
+
+
+def scrub_sql(t: str) -> str:
+    # without look-around a match takes its neighbours along, so numbers one character apart need a second pass
+    out = t
+    for _ in range(2):
+        out = f"regexp_replace({out}, '(^|[^0-9])(?:\\+?91[-\\s]?)?[6-9][0-9]{{9}}($|[^0-9])', '\\1<PHONE>\\2', 'g')"
+    out = f"regexp_replace({out}, '(?i)(?:₹|rs\\.?|inr)\\s?[0-9,]+(?:\\.[0-9]+)?', '<AMT>', 'g')"
+    for _ in range(2):
+        out = f"regexp_replace({out}, '(^|[^0-9])[0-9]{{9,18}}($|[^0-9])', '\\1<ACCT>\\2', 'g')"
+    return f"""regexp_replace(regexp_replace(regexp_replace({out}, '\\b((?i:dear|hi|hello|hey|mr|mrs|ms|shri|smt|dr)\\.?)\\s+([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)?)', '\\1 <NAME>\x01\\2\x02', 'g'),
+      ' <NAME>\x01((?i:customer|sir|madam|user|member|team|friend|valued|guest|all)(?:\\s+[A-Z][a-z]+)?)\x02', ' \\1', 'g'), '\x01[^\x02]*\x02', '', 'g')"""
+
+
+def keyword_category_sql(t: str) -> str:
+    has = lambda *words: "(" + " OR ".join(f"regexp_matches(lower({t}), '\\b{w}\\b')" for w in words) + ")"
+    return f"""CASE WHEN {has('won', 'winner', 'prize', 'award', 'claim', 'congratulations')} THEN 'LOTTERY_PRIZE'
+      WHEN {has('loan', 'cash advance', 'overdraft')} THEN 'LOAN_APP'
+      WHEN {has('verify', 'account suspended', 'update your account', 'update your details', 'kyc')} THEN 'KYC_PHISHING'
+      WHEN {has('vacancy', 'part.?time job', 'earn \\$', 'earn £', 'earn per week')} THEN 'FAKE_JOB'
+      WHEN {has('invest', 'shares', 'stock tip', 'double your money')} THEN 'INVESTMENT_TRADING'
+      WHEN {has('parcel', 'delivery', 'courier', 'customs')} THEN 'COURIER_CUSTOMS'
+      WHEN {has('virus', 'your pc', 'your computer', 'tech support')} THEN 'TECH_SUPPORT' ELSE 'OTHER_SCAM' END"""
+
+
+LABEL = r"[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,61}[\p{L}\p{N}])?"
+PATH = r"(?:/[^\s<>\"'\x{A0}]*)?"
 _RE = rf"https?://[^\s<>\"''\x{{A0}}]+|www\.{LABEL}(?:\.{LABEL})+{PATH.replace(chr(39), chr(39) * 2)}|{LABEL}(?:\.{LABEL})+{PATH.replace(chr(39), chr(39) * 2)}"
 _PLAIN = ", ".join(f"'{s}'" for s in rules.SUFFIXES if "." not in s)
 
@@ -17,9 +64,9 @@ def _in(some) -> str:
 
 MESSAGES = f"messages AS ({messages_sql()}), norm AS (SELECT *, {normalize_sql('text')} AS normalized FROM messages), msgs AS (SELECT *, {language_sql('normalized')} AS lang FROM norm)"
 
-URLS = rf"""hits AS (SELECT msg_id, unnest(regexp_extract_all(text, '(?i)(?:^|[^\w@.])({_RE})', 1)) AS raw, generate_subscripts(regexp_extract_all(text, '(?i)(?:^|[^\w@.])({_RE})', 1), 1) - 1 AS ord FROM messages),
+URLS = rf"""hits AS (SELECT msg_id, text, unnest(regexp_extract_all(text, '(?i)(?:^|[^\w@.])({_RE})', 1)) AS raw, generate_subscripts(regexp_extract_all(text, '(?i)(?:^|[^\w@.])({_RE})', 1), 1) - 1 AS ord FROM messages),
 parts AS (SELECT *, contains(raw, '://') AS has, regexp_replace(CASE WHEN contains(raw, '://') THEN substr(raw, strpos(raw, '://') + 3) ELSE raw END, '^[^/?#@]*@', '') AS rest FROM hits),
-urls AS (SELECT msg_id, ord, raw, CASE WHEN has THEN split_part(raw, '://', 1) END AS scheme, regexp_extract(rest, '^([^/?#:]*)', 1) AS host, nullif(regexp_extract(rest, '^[^/?#:]*(.*)$', 1), '') AS path FROM parts
+urls AS (SELECT msg_id, ord, raw, CASE WHEN has THEN split_part(raw, '://', 1) END AS scheme, regexp_extract(rest, '^([^/?#:]*)', 1) AS host, nullif(regexp_extract(rest, '^[^/?#:]*(.*)$', 1), '') AS path, strpos(text, raw) - 1 AS start, regexp_matches(lower(rest), '^([^/?#:]*\.)?xn--') AS punycode FROM parts
   WHERE regexp_extract(rest, '^([^/?#:]*)', 1) <> '' AND (has OR starts_with(lower(raw), 'www.') OR lower(split_part(regexp_extract(rest, '^([^/?#:]*)', 1), '.', -1)) IN ({_PLAIN})))"""
 
 _KIND = [("exception", r[1:]) if r[0] == "!" else ("wildcard", r[2:]) if r[:2] == "*." else ("plain", r) for r in rules.SUFFIXES]
@@ -78,7 +125,7 @@ def _alias(a: str) -> str:
 
 
 _ALIASES = [(i, j, b[0], b[1], a, _alias(a)) for i, b in enumerate(rules.BRANDS) for j, a in enumerate(b[2])]
-CLAIMS = "claims AS (" + " UNION ALL ".join(f"SELECT msg_id, {i} AS brand_ord, {j} AS alias_ord, '{b}' AS brand_id, '{n}' AS name, '{a}' AS alias FROM messages WHERE regexp_matches(text, '{p}')" for i, j, b, n, a, p in _ALIASES) + ")"
+CLAIMS = "claims AS (" + " UNION ALL ".join(f"SELECT msg_id, {i} AS brand_ord, {j} AS alias_ord, '{b}' AS brand_id, '{n}' AS name, '{a}' AS alias, unnest(regexp_extract_all(text, '{p}', 2)) AS matched FROM messages" for i, j, b, n, a, p in _ALIASES) + ")"
 _HEADERS = [(h, b[0]) for b in rules.BRANDS for h in b[4]]
 SENDER = f"""claimed AS (SELECT msg_id, list(DISTINCT brand_id) AS ids FROM claims GROUP BY msg_id),
 owners AS (SELECT header, list(brand_id) AS owners FROM {rules.values_sql(_HEADERS, 'v', 'header, brand_id')} GROUP BY header),

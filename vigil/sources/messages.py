@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: One template for each remainder of the order key; the text runs on Spark and on the oracle alike.
-TEXT_SQL = """CASE k
+TEXT_SQL = f"""CASE k
  WHEN 0 THEN 'Your North Pay account was credited with INR ' || n || '. Ref 9000' || n || '77. Never share your OTP code.'
  WHEN 1 THEN 'Zen Bank: your statement no ' || n || ' is ready.'
  WHEN 2 THEN 'Dear Customer, QuikMart order ' || n || ' is packed. Call +91 98765' || (n % 90000 + 10000)
@@ -19,7 +20,10 @@ TEXT_SQL = """CASE k
  WHEN 10 THEN 'Lumen Post: details at https://www.lumenpost.net/p/' || n
  WHEN 11 THEN 'Dear Ravi Kumar, Zen Bank and Carrow: http://zenbank.verify-' || n || '.top/otp and http://carr0w.com/pay ref 12345678901' || (n % 10)
  WHEN 12 THEN 'Aapka khata band hai, inaam mila, code batao pin ' || n
- ELSE 'Hello from ' || c_name || ', meet at ' || (n % 12) || ' near user@mail.example.com or v1.2.3' END"""
+ WHEN 13 THEN 'Hello from ' || c_name || ', meet at ' || (n % 12) || ' near user@mail.example.com or v1.2.3'
+ WHEN 14 THEN '\uff33\uff48\uff41\uff52\uff45 your\u00a0OTP co\u200bde ' || n
+ WHEN 15 THEN 'NorthPay notice: pay at https://n\u043erthpay.com/pay/' || n
+ ELSE 'Part-time job: earn $' || n || ' today. Carrow pays, ask carrow at xn--80ak6aa92e.com/jobs' END"""
 SENDER_SQL = """CASE k WHEN 0 THEN 'AB-NRTHPY' WHEN 1 THEN 'AB-QKMART' WHEN 2 THEN '98' || CAST(10000000 + n AS STRING)
  WHEN 9 THEN 'XY-ORBITW' WHEN 10 THEN 'XY-SHARED' WHEN 11 THEN 'ZZ-UNKNWN' ELSE NULL END"""
 
@@ -27,7 +31,7 @@ SENDER_SQL = """CASE k WHEN 0 THEN 'AB-NRTHPY' WHEN 1 THEN 'AB-QKMART' WHEN 2 TH
 def messages_sql(orders: str = "orders", customer: str = "customer") -> str:
     return f"""SELECT msg_id, cust_id, nation_id, segment, {SENDER_SQL} AS sender_hint, {TEXT_SQL} AS text FROM (
       SELECT o_orderkey AS msg_id, o_custkey AS cust_id, c_nationkey AS nation_id, c_mktsegment AS segment, c_name,
-             o_orderkey % 14 AS k, o_orderkey % 9000 + 1000 AS n FROM {orders} JOIN {customer} ON o_custkey = c_custkey) AS o"""
+             o_orderkey % 17 AS k, o_orderkey % 9000 + 1000 AS n FROM {orders} JOIN {customer} ON o_custkey = c_custkey) AS o"""
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,8 +54,18 @@ def from_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def from_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """label, text: split at the first tab."""
-    return spark.read.text(path).selectExpr("substring_index(value, '\t', 1) AS label", "substr(value, instr(value, '\t') + 1) AS text").where("text <> ''")
+    """label, text: split at the first tab; a line without one is a label with an empty text."""
+    return spark.read.text(path).selectExpr("substring_index(value, '\t', 1) AS label", "CASE WHEN contains(value, '\t') THEN substr(value, instr(value, '\t') + 1) ELSE '' END AS text")
+
+
+def shared(texts: DataFrame) -> DataFrame:
+    """``texts`` with a blank or null text as null: what a share or a selection without text gives."""
+    return texts.withColumn("text", F.when(F.trim("text") != "", F.col("text")))
+
+
+def entered(texts: DataFrame) -> DataFrame:
+    """Rows with a text that is not blank, as typed or pasted by hand; these never have a sender."""
+    return texts.where(F.trim("text") != "").withColumn("sender_hint", F.lit(None).cast("string"))
 
 
 ROW = "id string, text string, lang string, source string, collected_at string, label int, category string, is_hard_negative boolean, split string, labeled_by string, labeled_at string"
