@@ -7,7 +7,6 @@ from vigil import catalogue
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"evidence_ranked", "category_hints", "clusters", "leakage_pairs", "host_facts", "near_dup_pairs", "url_evidence"}
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +30,7 @@ def rows(df):
     return sorted(str(tuple(plain(v) for v in r)) for r in df.itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", [n for n in catalogue.SQL if n not in SLOW])
+@pytest.mark.parametrize("name", list(catalogue.SQL))
 def test_matches_sql(spark, duck, name):
     got = catalogue.QUERIES[name](spark, DATA).toPandas()
     want = duck.execute(catalogue.SQL[name]).df()

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from vigil.functions import text as T
 from vigil.operators import analyzers as A
+from vigil.operators import rows as R
+from vigil.operators import scoring as Sc
 from vigil.operators import urls as U
 from vigil.plans import oracle as O
 from vigil.plans import verdict as V
@@ -407,11 +409,14 @@ def audit_sample(spark, sf_dir):
     return M.audit_sample(read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), 0.05)
 
 
-@query("SELECT vec_id, list_sum(list_slice(embedding::DOUBLE[], 1, 4)) IS NOT NULL AS ok, least(len(embedding), 48) AS used, len(embedding) > 48 AS truncated FROM embeddings")
+_DOC_IDS = f"d AS (SELECT doc_id, list_transform(list_filter(string_split({O.normalize_sql('text')}, ' '), lambda w: w <> ''), lambda w: ('0x' || substr(md5(w), 1, 6))::BIGINT % 1000 + 1) AS ids FROM documents WHERE text IS NOT NULL)"
+
+
+@query(O.q(_DOC_IDS, select="SELECT doc_id, 128 AS width, least(len(ids), 128) AS used, coalesce(list_sum(list_slice(ids, 1, 128)), 0)::BIGINT AS id_sum, coalesce(ids[128], 0)::BIGINT AS last_id, len(ids) > 128 AS truncated FROM d"))
 def token_pack(spark, sf_dir):
-    v = F.slice("embedding", 1, 48)
-    packed = F.concat(v, F.array_repeat(F.lit(0.0).cast("float"), F.lit(48) - F.size(v)))
-    return read(spark, sf_dir, "embeddings").select("vec_id", F.get(packed, F.lit(3)).isNotNull().alias("ok"), F.size(v).cast("long").alias("used"), (F.size("embedding") > 48).alias("truncated"))
+    d = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", Sc.pack(Sc.token_ids(A.texts(F.col("text"))["normalized"])).alias("p"))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda x, y: x + y)
+    return d.select("doc_id", F.size("p.attention_mask").cast("long").alias("width"), total(F.col("p.attention_mask")).alias("used"), total(F.col("p.input_ids")).alias("id_sum"), F.get("p.input_ids", F.lit(127)).alias("last_id"), "p.truncated")
 
 
 from vigil.operators import labels as Lb  # noqa: E402
@@ -433,3 +438,170 @@ def label_session(spark, sf_dir):
     rows = read(spark, sf_dir, "labels").select(i.alias("id"), old(F.col("toxic")).alias("label"), old(F.lit("OLD")).alias("category"), old(F.lit("a")).alias("labeled_by"), old(F.lit("t")).alias("labeled_at"))
     answers = read(spark, sf_dir, "labels").where("doc_id % 3 = 0").select(i.alias("id"), F.lit(1).alias("answer"), F.lit("OTHER_SCAM").alias("new_category"), F.lit("now").alias("at"))
     return Lb.apply_answers(rows, answers, "b").select("id", F.coalesce("label", F.lit(-1)).alias("label"), "category", "labeled_by")
+
+
+# model signal, presentation, dataset rows
+
+
+@query(O.q(O.CHAIN, O.MODEL, select="SELECT msg_id, round(p, 5) AS p, mt AS type, mc AS category, round(share, 5) AS share FROM model"))
+def classifier_signal(spark, sf_dir):
+    m = messages(spark, sf_dir).select("msg_id", A.texts(F.col("text"))["normalized"].alias("normalized"))
+    return Sc.scored(m, 1.5).select("msg_id", F.round("model.weight", 5).alias("p"), "model.type", "model.category", F.round("model.hint", 5).alias("share"))
+
+
+@query(O.q(O.CHAIN, O.MODEL, select="SELECT msg_id, verdict, confidence, round(score::DOUBLE, 4) AS score FROM mverdict"))
+def fusion_with_model(spark, sf_dir):
+    return V.verdicts(messages(spark, sf_dir), 1.5).select("msg_id", "verdict", "confidence", _r("score", 4).alias("score"))
+
+
+@query(O.q(O.CHAIN, O.MODEL, """ev AS (SELECT msg_id, severity, uw AS weight, 1 AS sig, ord AS a, pos AS b, type FROM url_ev JOIN v USING (msg_id)
+  UNION ALL SELECT msg_id, ss, sw, 2, 0, 0, sender FROM v WHERE sender IS NOT NULL UNION ALL SELECT msg_id, severity, pw, 3, ord, 0, type FROM fired JOIN v USING (msg_id)
+  UNION ALL SELECT msg_id, CASE mt WHEN 'MODEL_HIGH_SCAM_SCORE' THEN 1 ELSE 0 END, p::FLOAT, 4, 0, 0, mt FROM model WHERE mt IS NOT NULL)""", select="SELECT msg_id, (row_number() OVER (PARTITION BY msg_id ORDER BY severity DESC, weight DESC, sig, a, b))::INT AS rank, type FROM ev"))
+def evidence_with_model(spark, sf_dir):
+    df = V.ordered_evidence(V.verdicts(messages(spark, sf_dir), 1.5))
+    return df.select("msg_id", F.posexplode("evidence").alias("rank", "e")).select("msg_id", (F.col("rank") + 1).alias("rank"), "e.type")
+
+
+_WORDS = "heads AS (SELECT * FROM " + rules.values_sql([(v, rules.HEADLINES[v], rules.COLOURS[v]) for v in rules.HEADLINES], "t", "verdict, headline, colour") + "), leads AS (SELECT * FROM " + rules.values_sql(list(rules.LEAD_INS.items()), "t", "category, lead") + "), sure AS (SELECT * FROM " + rules.values_sql(list(rules.CONFIDENCE_TEXTS.items()), "t", "confidence, confidence_text") + ")"
+
+
+@query(O.q(O.CHAIN, O.HINTS, "top_hint AS (SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY total DESC, first) AS r FROM sums)", _WORDS, select="""SELECT v.msg_id, headline, colour, confidence_text, CASE WHEN v.verdict = 'SAFE' THEN NULL ELSE lead END AS first_action, CASE WHEN v.verdict = 'SAFE' THEN 0 ELSE 5 END AS n_actions
+  FROM v JOIN heads USING (verdict) JOIN sure USING (confidence) LEFT JOIN top_hint ON v.msg_id = top_hint.msg_id AND r = 1 LEFT JOIN leads ON leads.category = coalesce(top_hint.category, 'OTHER_SCAM')"""))
+def presentation(spark, sf_dir):
+    p = V.presented(V.verdicts(messages(spark, sf_dir)))
+    return p.select("msg_id", "headline", "colour", "confidence_text", F.get("actions", F.lit(0)).alias("first_action"), F.size("actions").alias("n_actions"))
+
+
+@query(O.q(O.CHAIN, select="SELECT msg_id, verdict, 'PATTERN,SENDER,URL' AS analyzers, '1' AS pack_version, NULL::VARCHAR AS model_version, msg_id % 50 AS latency_ms FROM v"))
+def analysis_results(spark, sf_dir):
+    m = messages(spark, sf_dir).withColumn("received_at_ms", F.col("msg_id") * 1000).withColumn("done_at_ms", F.col("msg_id") * 1000 + F.col("msg_id") % 50)
+    return V.results(V.verdicts(m), "1").withColumn("analyzers", F.array_join("analyzers", ","))
+
+
+_HEADER_NAMES = "SELECT header, string_agg(name, ', ' ORDER BY name) AS names FROM " + rules.values_sql([(h, b[1]) for b in rules.BRANDS for h in b[4]], "v", "header, name") + " GROUP BY header"
+
+
+@query(_HEADER_NAMES)
+def header_brand_names(spark, sf_dir):
+    each = rules.brands(spark).select("name", F.explode("headers").alias("header"))
+    return each.groupBy("header").agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("names"))  # a bounded table
+
+
+_ROWS = "r AS (SELECT d.doc_id AS id, d.source, CASE WHEN d.doc_id % 4 = 0 THEN NULL ELSE toxic END AS label, CASE d.doc_id % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'val' WHEN 2 THEN NULL ELSE 'train' END AS split FROM documents d JOIN labels USING (doc_id))"
+
+
+def _rows(spark, sf_dir):
+    i = F.col("doc_id")
+    d = read(spark, sf_dir, "documents").select("doc_id", "source").join(read(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
+    return d.select(i.alias("id"), "source", F.when(i % 4 != 0, F.col("toxic")).alias("label"), F.when(i % 5 == 0, "test").when(i % 5 == 1, "val").when(i % 5 > 2, "train").alias("split"))
+
+
+@query(O.q(_ROWS, select="SELECT id, label FROM r WHERE label IS NOT NULL AND split = 'test'"))
+def labelled_rows(spark, sf_dir):
+    return R.labelled(_rows(spark, sf_dir), "test").select("id", "label")
+
+
+@query(O.q(_ROWS, select="SELECT split, count(*) AS n, count(*) FILTER (label = 1) AS positives FROM r WHERE split IS NOT NULL GROUP BY split"))
+def split_counts(spark, sf_dir):
+    return R.split_counts(_rows(spark, sf_dir))
+
+
+@query(O.q(_ROWS, """k AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY md5('0:' || id::VARCHAR), id) AS n FROM r WHERE label IS NOT NULL)""", select="SELECT id, label, (row_number() OVER (ORDER BY md5('order 0:' || id::VARCHAR), id) - 1)::INT AS place FROM k WHERE n <= CASE label WHEN 1 THEN 7 ELSE 11 END"))
+def stratified_sample(spark, sf_dir):
+    return R.stratified(_rows(spark, sf_dir), "label", {1: 7, 0: 11})
+
+
+@query(O.q(_ROWS, select="SELECT id FROM r WHERE split = 'test' ORDER BY id LIMIT 200"))
+def parity_rows(spark, sf_dir):
+    return R.first_rows(_rows(spark, sf_dir), "test", 200).select("id")
+
+
+@query(O.q(_ROWS, "a AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS place FROM r), b AS (SELECT id % 3 AS prediction, row_number() OVER (ORDER BY id) - 1 AS place FROM r)", select="SELECT place, id, prediction FROM a JOIN b USING (place)"))
+def zipped_predictions(spark, sf_dir):
+    from vigil.plans.staging import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    rows = _rows(spark, sf_dir).select("id")
+    return R.zipped(rows, rows.select("id", (F.col("id") % 3).alias("prediction")), "id").select("place", "id", "prediction")
+
+
+@query(O.q(_ROWS, select="SELECT source, count(*) AS n FROM r WHERE source IS NULL OR source <> 'uci_sms_spam_collection' GROUP BY source"))
+def unsafe_sources(spark, sf_dir):
+    return R.unsafe_sources(_rows(spark, sf_dir))
+
+
+@query(f"SELECT domain FROM ({_HOSTS}) WHERE contains(domain, '.') AND NOT regexp_matches(domain, '[^\\x00-\\x7F]')")
+def dotted_ascii_domains(spark, sf_dir):
+    h = read(spark, sf_dir, "pages").where("url is not null").select(F.lower(F.regexp_extract("url", "^[^:]*://([^/?#:]*)", 1)).alias("domain")).distinct()
+    return R.dotted_ascii(h)
+
+
+_NOUNS = [("north_two", ["North Pay", "Pay", "SECURE"]), ("solo", ["sola", "helpline"])]
+
+
+@query("SELECT * FROM (VALUES ('north_two', 'Pay'), ('north_two', 'SECURE'), ('solo', 'helpline')) v(brand_id, alias)")
+def bare_noun_aliases(spark, sf_dir):
+    return R.bare_nouns(rules.brands(spark).select("brand_id", "aliases").union(spark.createDataFrame(_NOUNS, "brand_id string, aliases array<string>")))
+
+
+@query("SELECT lang, count(*) AS n FROM documents GROUP BY lang HAVING count(*) > 1")
+def repeated_keys(spark, sf_dir):
+    return R.repeated(read(spark, sf_dir, "documents"), "lang")
+
+
+@query("SELECT round(avg(m), 6) AS mean_loss FROM (SELECT avg(value) AS m FROM events WHERE value IS NOT NULL GROUP BY event_id // 32)")
+def mean_batch_loss(spark, sf_dir):
+    e = read(spark, sf_dir, "events").where("value is not null")
+    return R.mean_loss(e.select(F.floor(F.col("event_id") / 32).alias("batch"), F.col("value").alias("loss")))
+
+
+@query("SELECT event_id, ((event_id * 86400000 + 5) - event_id * 43200000) // 86400000 AS days FROM events")
+def whole_days(spark, sf_dir):
+    i = F.col("event_id")
+    return read(spark, sf_dir, "events").select("event_id", R.age_days(i * 43_200_000, i * 86_400_000 + 5).alias("days"))
+
+
+@query("SELECT doc_id, md5(regexp_replace(text, '\\r\\n|\\r|\\n', ' ', 'g')) AS line FROM documents")
+def flat_lines(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(R.flat_line(F.col("text"))).alias("line"))
+
+
+_KEPT = "kept AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS new_id FROM (SELECT unnest(['<pad>', '<unk>']) AS token UNION ALL SELECT token FROM (SELECT token FROM cnt WHERE freq >= 5 AND token NOT IN ('<pad>', '<unk>') ORDER BY freq DESC, token LIMIT 298)))"
+
+
+def _kept(spark, sf_dir):
+    return R.kept_tokens(D.token_counts(read(spark, sf_dir, "documents")), ["<unk>", "<pad>", "<unk>"], 300)
+
+
+@query(O.q(_TOKENS, _KEPT, select="SELECT token, new_id FROM kept"))
+def kept_tokens(spark, sf_dir):
+    return _kept(spark, sf_dir)
+
+
+@query(O.q(_TOKENS, _KEPT, select="SELECT new_id, (length(token) + 0.5)::DOUBLE AS first FROM kept WHERE token IN (SELECT token FROM cnt)"))
+def remapped_embedding(spark, sf_dir):
+    vectors = D.token_counts(read(spark, sf_dir, "documents")).select("token", F.array(F.length("token") + F.lit(0.5).cast("double")).alias("embedding"))
+    return R.remapped(vectors, _kept(spark, sf_dir)).select("new_id", F.get("embedding", F.lit(0)).alias("first"))
+
+
+@query(O.q(_TOKENS, _KEPT, "w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) AS token FROM documents)", select="SELECT doc_id, count(*) AS n, sum(coalesce(new_id, (SELECT new_id FROM kept WHERE token = '<unk>')))::BIGINT AS id_sum FROM w LEFT JOIN kept USING (token) GROUP BY doc_id"))
+def pruned_tokens(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    e = R.encoded(docs, _kept(spark, sf_dir), "<unk>")
+    return e.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n"), F.sum("token_id").alias("id_sum"))
+
+
+_POOL = ", ".join(f"round(list_avg(list_slice(embedding::DOUBLE[], (floor(len(embedding) * {i} / 5) + 1)::BIGINT, ceil(len(embedding) * {i + 1} / 5)::BIGINT)), 5) AS p{i}" for i in range(5))
+
+
+@query(f"SELECT vec_id, {_POOL} FROM embeddings WHERE len(embedding) >= 5")
+def adaptive_pooling(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings").where(F.size("embedding") >= 5).select("vec_id", R.adaptive_pool(F.col("embedding"), 5).alias("p"))
+    return e.select("vec_id", *[F.round(F.get("p", F.lit(i)), 5).alias(f"p{i}") for i in range(5)])
+
+
+@query("SELECT msg_id, text, sender_hint FROM (SELECT conv_id * 1000 + turn AS msg_id, text, NULL::VARCHAR AS sender_hint FROM conversations) WHERE trim(text) <> ''")
+def entered_messages(spark, sf_dir):
+    from vigil.sources.messages import entered
+
+    return entered(read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), "text"))

@@ -161,3 +161,19 @@ sums AS (SELECT msg_id, category, round(sum(hint::FLOAT::DOUBLE), 6) AS total, m
 
 def q(*ctes: str, select: str) -> str:
     return f"WITH {', '.join(ctes)} {select}"
+
+
+def _logit(of: str) -> str:
+    return f"coalesce(list_sum(list_transform(list_slice(ids, 1, 128), lambda i: {of})), 0)::DOUBLE"
+
+
+_CATS = [_logit(f"(i % {k + 7} - {(k + 6) / 2.0}) / {k + 7}.0::DOUBLE") for k in range(13)]
+_NAMES = "['KYC_PHISHING', 'FAKE_JOB', 'LOTTERY_PRIZE', 'DIGITAL_ARREST', 'COURIER_CUSTOMS', 'LOAN_APP', 'UPI_COLLECT', 'INVESTMENT_TRADING', 'TECH_SUPPORT', 'SEXTORTION', 'ELECTRICITY_DISCONNECTION', 'OTHER_SCAM', 'NOT_SCAM']"
+MODEL = f"""ids AS (SELECT msg_id, list_transform(list_filter(string_split(normalized, ' '), lambda w: w <> ''), lambda w: ('0x' || substr(md5(w), 1, 6))::BIGINT % 1000 + 1) AS ids FROM msgs),
+logits AS (SELECT msg_id, {_logit('(i % 41 - 20) / 40.0::DOUBLE')} AS z, [{', '.join(_CATS)}] AS c FROM ids),
+shares AS (SELECT msg_id, 1 / (1 + exp(-z / 1.5)) AS p, list_transform(c, lambda x: exp(x - list_max(c))) AS e FROM logits),
+model AS (SELECT msg_id, p, list_max(e) / list_sum(e) AS share, CASE WHEN list_max(e) / list_sum(e) >= 0.45 THEN {_NAMES}[list_position(e, list_max(e))] ELSE 'OTHER_SCAM' END AS mc,
+  CASE WHEN p >= 0.75 THEN 'MODEL_HIGH_SCAM_SCORE' WHEN p <= 0.25 THEN 'MODEL_LOW_SCAM_SCORE' END AS mt FROM shares),
+mv AS (SELECT x.msg_id, mt, mc, share, p, (0.55::FLOAT * p::FLOAT + 0.25::FLOAT * uw + 0.12::FLOAT * sw + 0.08::FLOAT * pw)::FLOAT AS score, forced FROM x JOIN model USING (msg_id)),
+mverdict AS (SELECT *, CASE WHEN forced OR score >= 0.7::FLOAT THEN 'SCAM' WHEN score >= 0.35::FLOAT THEN 'SUSPICIOUS' ELSE 'SAFE' END AS verdict,
+  CASE WHEN forced OR score >= 0.85::FLOAT THEN 'HIGH' WHEN score >= 0.7::FLOAT THEN 'MEDIUM' WHEN score >= 0.5::FLOAT THEN 'MEDIUM' WHEN score >= 0.35::FLOAT THEN 'LOW' WHEN score <= 0.15::FLOAT THEN 'HIGH' ELSE 'LOW' END AS confidence FROM mv)"""

@@ -1,4 +1,4 @@
-"""Where lineage is cut: the folder in ``spark.checkpoint.dir``, or a private one where that is unset."""
+"""Where lineage is cut: the folder in ``spark.checkpoint.dir``, or with a local master and none set a private one."""
 
 from __future__ import annotations
 
@@ -12,6 +12,9 @@ from pyspark.sql import SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         return
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     where = tempfile.mkdtemp(prefix="vigil-checkpoint-")
     atexit.register(shutil.rmtree, where, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(f"file://{where}")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from vigil.operators import urls as U
 from vigil.operators.analyzers import analyzed
+from vigil.operators.scoring import CATEGORY_WEIGHT, scored
+from vigil.plans.staging import ensure_checkpoint_dir
 from vigil.sources import rules
 
 SENDER_SEVERITY = {"BRAND_CLAIM_WITHOUT_DLT_HEADER": 0, "UNREGISTERED_NUMERIC_SENDER": 2, "DLT_HEADER_MISMATCH": 2}
@@ -28,7 +30,9 @@ def signals(messages: DataFrame) -> DataFrame:
     spark = messages.sparkSession
     base = analyzed(messages)
     links = U.extract(messages)
-    found = U.evidence(links, U.host_facts(links, rules.suffixes(spark)))
+    ensure_checkpoint_dir(spark)
+    hosts = links.select("host").distinct().checkpoint()  # facts are asked several times of the distinct hosts alone
+    found = U.evidence(links, U.host_facts(hosts, rules.suffixes(spark)))
     per = found.groupBy("msg_id").agg(F.array_sort(F.collect_list(F.struct("ord", "pos", "type", "severity"))).alias("url_evidence"))
     out = base.join(per, "msg_id", "left").withColumn("url_evidence", F.coalesce("url_evidence", F.array().cast("array<struct<ord: int, pos: int, type: string, severity: int>>")))
     sender_severity = F.coalesce(*[F.when(F.col("sender") == t, F.lit(s)) for t, s in SENDER_SEVERITY.items()])
@@ -42,13 +46,31 @@ def signals(messages: DataFrame) -> DataFrame:
 
 
 def fuse(df: DataFrame) -> DataFrame:
-    """Adds score (float), verdict, confidence. Without a model the shares of the rest are scaled up and SCAM needs force."""
+    """Adds score (float), verdict, confidence.
+
+    With a model signal (column ``model``) its share counts and a high score is SCAM. Without one the shares of the rest
+    are scaled up and SCAM needs force.
+    """
+    rest = f32(rules.URL_SHARE) * F.col("url_weight") + f32(rules.SENDER_SHARE) * F.col("sender_weight") + f32(rules.PATTERN_SHARE) * F.col("pattern_weight")
     total = f32(rules.URL_SHARE) + f32(rules.SENDER_SHARE) + f32(rules.PATTERN_SHARE)
-    raw = f32(rules.URL_SHARE) * F.col("url_weight") + f32(rules.SENDER_SHARE) * F.col("sender_weight") + f32(rules.PATTERN_SHARE) * F.col("pattern_weight")
-    df = df.withColumn("score", (raw / total).cast("float"))
-    suspicious = F.col("score") >= f32(rules.SUSPICIOUS_FROM)
-    verdict = F.when(F.col("forced"), "SCAM").when(suspicious, "SUSPICIOUS").otherwise("SAFE")
-    sure = F.when(F.col("forced"), "HIGH").when(suspicious, F.when(F.col("score") >= f32(0.5), "MEDIUM").otherwise("LOW")).otherwise(F.when(F.col("score") <= f32(rules.SAFE_HIGH_TO), "HIGH").otherwise("LOW"))
+    alone = (rest / total).cast("float")
+    has_model = "model" in df.columns
+    if has_model:
+        p = F.col("model.weight").cast("float")
+        score = F.when(p.isNull(), alone).otherwise((f32(rules.MODEL_SHARE) * p + rest).cast("float"))
+    else:
+        p, score = F.lit(None).cast("float"), alone
+    df = df.withColumn("score", score)
+    s = F.col("score")
+    scam = p.isNotNull() & (s >= f32(rules.SCAM_FROM))
+    suspicious = s >= f32(rules.SUSPICIOUS_FROM)
+    verdict = F.when(F.col("forced") | scam, "SCAM").when(suspicious, "SUSPICIOUS").otherwise("SAFE")
+    sure = (
+        F.when(F.col("forced"), "HIGH")
+        .when(scam, F.when(s >= f32(rules.SCAM_HIGH_FROM), "HIGH").otherwise("MEDIUM"))
+        .when(suspicious, F.when(s >= f32(rules.MEDIUM_FROM), "MEDIUM").otherwise("LOW"))
+        .otherwise(F.when(s <= f32(rules.SAFE_HIGH_TO), "HIGH").otherwise("LOW"))
+    )
     return df.withColumn("verdict", verdict).withColumn("confidence", sure)
 
 
@@ -58,7 +80,11 @@ def ordered_evidence(df: DataFrame) -> DataFrame:
     url = F.transform("url_evidence", lambda e: item(e["severity"], F.col("url_weight"), 0, e["ord"], e["pos"], e["type"]))
     sender = F.when(F.col("sender").isNotNull(), F.array(item(F.col("sender_severity"), F.col("sender_weight"), 1, F.lit(0), F.lit(0), F.col("sender")))).otherwise(F.array().cast("array<struct<s: int, w: float, sig: int, a: int, b: int, type: string>>"))
     pattern = F.transform("fired", lambda e: item(e["severity"], F.col("pattern_weight"), 2, e["ord"], F.lit(0), e["type"]))
-    return df.withColumn("evidence", F.array_sort(F.concat(url, sender, pattern)))
+    parts = [url, sender, pattern]
+    if "model" in df.columns:
+        m = F.col("model")
+        parts.append(F.when(m["type"].isNotNull(), F.array(item(m["severity"], m["weight"].cast("float"), 3, F.lit(0), F.lit(0), m["type"]))).otherwise(F.array().cast("array<struct<s: int, w: float, sig: int, a: int, b: int, type: string>>")))
+    return df.withColumn("evidence", F.array_sort(F.concat(*parts)))
 
 
 KYC_URL = ["TYPOSQUAT_OF_KNOWN_BRAND", "HOMOGRAPH_CHARACTERS", "NON_HTTPS_CREDENTIAL_PAGE", "IP_ADDRESS_HOST"]
@@ -76,7 +102,10 @@ def hints(df: DataFrame) -> DataFrame:
         for cat, h in rule[7].items():
             rows.append(F.when(F.array_contains(F.col("fired.ord"), F.lit(i)), F.struct(F.lit(cat).alias("category"), F.lit(at).alias("ord"), f32(h).alias("hint"))))
             at += 1
-    return df.select("msg_id", F.explode(F.array_compact(F.array(*rows))).alias("h")).select("msg_id", "h.*")
+    if "model" in df.columns:  # its hint counts for a part, and comes last
+        weighted = (F.col("model.hint") * CATEGORY_WEIGHT).cast("float")
+        rows.append(F.when(F.col("model").isNotNull(), F.struct(F.col("model.category").alias("category"), F.lit(at).alias("ord"), weighted.alias("hint"))))
+    return df.select("msg_id", F.explode_outer(F.array_compact(F.array(*rows))).alias("h")).where("h is not null").select("msg_id", "h.*")
 
 
 def categories(df: DataFrame) -> DataFrame:
@@ -97,5 +126,30 @@ def explained(df: DataFrame) -> DataFrame:
     return df.select("msg_id", "verdict", *[F.get(texts, F.lit(i)).alias(f"top{i + 1}") for i in range(3)], F.greatest(F.size("evidence") - 3, F.lit(0)).alias("remaining"), F.when(F.col("verdict") == "SAFE", 0).otherwise(5).alias("n_actions"))
 
 
-def verdicts(messages: DataFrame) -> DataFrame:
-    return fuse(signals(messages))
+def actions(verdict: Column, category: Column) -> Column:
+    """What to do, as texts: a lead-in of the category and what always holds; nothing for SAFE."""
+    lead = F.coalesce(*[F.when(category == c, F.lit(t)) for c, t in rules.LEAD_INS.items()])
+    steps = F.array_compact(F.concat(F.array(lead), F.array(*map(F.lit, rules.ACTIONS))))
+    return F.when(verdict == "SAFE", F.array().cast("array<string>")).otherwise(steps)
+
+
+def presented(df: DataFrame) -> DataFrame:
+    """msg_id, headline, colour, confidence_text, actions of each verdict."""
+    own = df.select("msg_id", "confidence").join(categories(df), "msg_id")
+    words = lambda c, table: F.coalesce(*[F.when(F.col(c) == k, F.lit(v)) for k, v in table.items()])
+    return own.select("msg_id", words("verdict", rules.HEADLINES).alias("headline"), words("verdict", rules.COLOURS).alias("colour"), words("confidence", rules.CONFIDENCE_TEXTS).alias("confidence_text"), actions(F.col("verdict"), F.col("category")).alias("actions"))
+
+
+def results(df: DataFrame, pack_version: str, model_version: str | None = None) -> DataFrame:
+    """msg_id, verdict, analyzers (those that ran, in order), versions and latency_ms (from received_at_ms to
+    done_at_ms where the messages have them, else null)."""
+    ran = ["PATTERN", "SENDER", "URL"] + (["CLASSIFIER"] if "model" in df.columns else [])
+    times = {"received_at_ms", "done_at_ms"} <= set(df.columns)
+    latency = F.col("done_at_ms") - F.col("received_at_ms") if times else F.lit(None).cast("long")
+    return df.select("msg_id", "verdict", F.array(*map(F.lit, sorted(ran))).alias("analyzers"), F.lit(pack_version).alias("pack_version"), F.lit(model_version).cast("string").alias("model_version"), latency.alias("latency_ms"))
+
+
+def verdicts(messages: DataFrame, temperature: float | None = None) -> DataFrame:
+    """Signals and verdict of each message; with ``temperature`` the model signal takes part."""
+    found = signals(messages)
+    return fuse(found if temperature is None else scored(found, temperature))

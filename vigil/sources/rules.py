@@ -41,7 +41,7 @@ CATEGORIES = ["KYC_PHISHING", "FAKE_JOB", "LOTTERY_PRIZE", "DIGITAL_ARREST", "CO
 SEVERITY_WEIGHTS = [0.1, 0.4, 0.9]
 MODEL_SHARE, URL_SHARE, SENDER_SHARE, PATTERN_SHARE = 0.55, 0.25, 0.12, 0.08
 PATTERN_CAP = 0.5
-SCAM_FROM, SUSPICIOUS_FROM, SAFE_HIGH_TO = 0.70, 0.35, 0.15
+SCAM_FROM, SCAM_HIGH_FROM, SUSPICIOUS_FROM, MEDIUM_FROM, SAFE_HIGH_TO = 0.70, 0.85, 0.35, 0.50, 0.15
 KYC_HINT = 0.3
 CREDENTIAL_WORDS = "(login|verify|kyc|update|otp|pay)"
 TEMPLATES = {
@@ -63,7 +63,28 @@ TEMPLATES = {
     "ADVANCE_FEE_REQUEST": "The message asks for a fee in advance.",
     "UPI_COLLECT_FRAMING": "The message dresses a payment up as a receipt.",
     "PREMIUM_RATE_NUMBER": "The message gives a costly number.",
+    "CRYPTO_WALLET_ADDRESS": "The message asks for payment to a coin wallet.",
+    "MODEL_HIGH_SCAM_SCORE": "The wording is much like that of known scams.",
+    "MODEL_LOW_SCAM_SCORE": "The wording is much like that of genuine messages.",
 }
+LEAD_INS = {
+    "KYC_PHISHING": "No bank closes an account over a link; ask it yourself.",
+    "FAKE_JOB": "Pay nothing for an offer of work.",
+    "LOTTERY_PRIZE": "A prize that costs a fee is none.",
+    "DIGITAL_ARREST": "No office arrests anyone by telephone.",
+    "COURIER_CUSTOMS": "Look the parcel up on the carrier's own site.",
+    "LOAN_APP": "Borrow only from lenders that are registered.",
+    "UPI_COLLECT": "Receiving money never needs a PIN.",
+    "INVESTMENT_TRADING": "Sure gains do not exist; check the adviser's registration.",
+    "TECH_SUPPORT": "Let no caller into your computer.",
+    "SEXTORTION": "Do not pay; keep the messages as proof.",
+    "ELECTRICITY_DISCONNECTION": "Ask the supplier by the number on the bill.",
+    "OTHER_SCAM": "Do not answer until you have checked the sender.",
+}
+ACTIONS = ["Do not open the link.", "Share no code or PIN.", "Call the sender back by a number you know.", "Report the message."]
+HEADLINES = {"SAFE": "Nothing suspicious found", "SUSPICIOUS": "Be careful", "SCAM": "This looks like a scam"}
+COLOURS = {"SAFE": "green", "SUSPICIOUS": "amber", "SCAM": "red"}
+CONFIDENCE_TEXTS = {"HIGH": "very sure", "MEDIUM": "fairly sure", "LOW": "not sure"}
 # Words that mark romanised Hindi (two or more hits), and Marathi among Devanagari texts
 ROMANISED_HINDI = """
 aap aapka aapki aapke aapko aapse aapne tum tumhara tumhari tumhare tumko tumse mera meri mere mujhe mujhko mai
