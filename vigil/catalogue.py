@@ -605,3 +605,51 @@ def entered_messages(spark, sf_dir):
     from vigil.sources.messages import entered
 
     return entered(read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), "text"))
+
+
+# a pack that was written and loaded again
+
+
+def _pack(spark):
+    from uuid import uuid4
+
+    from vigil.plans.staging import ensure_checkpoint_dir
+    from vigil.sources import pack
+
+    ensure_checkpoint_dir(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    folder = f"{base.rstrip('/')}/vigil-pack-{uuid4().hex}"
+    domains = spark.createDataFrame([(d,) for b in rules.BRANDS for d in b[3]], "domain string")
+    pack.write(spark, pack.Pack(version="2"), folder, "2024-01-01", pack.reputation_bytes(domains, domains))
+    return pack.load(spark, folder)
+
+
+@query(O.q(O.CHAIN, select="SELECT msg_id, verdict, confidence FROM v"))
+def verdict_with_pack(spark, sf_dir):
+    return V.verdicts(messages(spark, sf_dir), pack=_pack(spark)).select("msg_id", "verdict", "confidence")
+
+
+@query(f"SELECT domain, contains(list_value({', '.join(repr(d) for b in rules.BRANDS for d in b[3])})::VARCHAR, domain) AND domain <> '' AS known FROM ({_HOSTS}) UNION ALL SELECT * FROM (VALUES ('northpay.com', true), ('sola.in', true)) v(domain, known)")
+def established_domains(spark, sf_dir):
+    from vigil.sources import pack
+
+    h = read(spark, sf_dir, "pages").where("url is not null").select(F.lower(F.regexp_extract("url", "^[^:]*://([^/?#:]*)", 1)).alias("domain")).distinct()
+    own = spark.createDataFrame([("northpay.com",), ("sola.in",)], "domain string")
+    # the filter answers "maybe": what the allow list does not name counts only if both say so
+    p = _pack(spark).reputation
+    return pack.established(h.union(own), p).select("domain", (F.col("known") & F.col("domain").isin(p["allow"])).alias("known"))
+
+
+@query("SELECT * FROM (VALUES ('aliases', 12), ('brands', 8), ('domains', 9), ('folds', 14), ('patterns', 8), ('shorteners', 4), ('suffixes', 13)) v(part, n)")
+def pack_counts(spark, sf_dir):
+    from vigil.sources import pack
+
+    return spark.createDataFrame(sorted(pack.counts(_pack(spark)).items()), "part string, n int")
+
+
+@query("SELECT * FROM (VALUES ('brands', 'orbit', 'alias of two brands'), ('brands', 'Pay', 'bare common noun'), ('shorteners', 'x.y', 'unknown brand')) v(part, subject, rule)")
+def pack_violations(spark, sf_dir):
+    from vigil.sources import pack
+
+    bad = pack.Pack(brands=[*rules.BRANDS, ("two", "Two", ["Pay", "orbit"], [], [])], brand_operated={"x.y": "none"})
+    return pack.violations(spark, bad)

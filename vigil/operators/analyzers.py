@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.text import bound, language, normalize, spans
 from vigil.sources import rules
+from vigil.sources.rules import BUILT_IN, Pack
 
 
 def _alias_pattern(alias: str) -> str:
@@ -14,7 +15,7 @@ def _alias_pattern(alias: str) -> str:
     return rf"(?i)(?<![\p{{L}}\p{{N}}]){words}(?![\p{{L}}\p{{N}}])"
 
 
-def claims(text: Column) -> Column:
+def claims(text: Column, pack: Pack = BUILT_IN) -> Column:
     """array<struct<start, brand_ord, alias_ord, brand_id, name, alias, end>>: every place of every alias, by place.
 
     ``start`` and ``end`` (exclusive) count from 0 in the text as it came.
@@ -24,16 +25,16 @@ def claims(text: Column) -> Column:
         return lambda at: F.struct(at["start"].alias("start"), F.lit(i).alias("brand_ord"), F.lit(j).alias("alias_ord"), F.lit(brand).alias("brand_id"), F.lit(name).alias("name"), F.lit(alias).alias("alias"), at["end"].alias("end"))
 
     found = []
-    for i, (brand, name, aliases, _, _) in enumerate(rules.BRANDS):
+    for i, (brand, name, aliases, _, _) in enumerate(pack.brands):
         for j, alias in enumerate(aliases):
             pattern = _alias_pattern(alias)
             found.append(F.when(text.rlike(pattern), F.transform(spans(text, pattern), named(i, j, brand, name, alias))))
     return F.array_sort(F.flatten(F.array_compact(F.array(*found))))
 
 
-def header_brands(header: Column) -> Column:
+def header_brands(header: Column, pack: Pack = BUILT_IN) -> Column:
     owners: dict[str, list[str]] = {}
-    for b in rules.BRANDS:
+    for b in pack.brands:
         for h in b[4]:
             owners.setdefault(h, []).append(b[0])
     out = F.lit(None).cast("array<string>")
@@ -42,10 +43,10 @@ def header_brands(header: Column) -> Column:
     return out
 
 
-def sender_evidence(hint: Column, claimed: Column) -> Column:
+def sender_evidence(hint: Column, claimed: Column, pack: Pack = BUILT_IN) -> Column:
     """Type of the sender's evidence, or null. ``claimed``: ids of claimed brands."""
     valid = hint.rlike("^[A-Z]{2}-[A-Z0-9]{3,9}$")
-    owners = header_brands(F.regexp_extract(hint, "-(.*)$", 1))
+    owners = header_brands(F.regexp_extract(hint, "-(.*)$", 1), pack)
     return (
         F.when(F.size(claimed) == 0, F.lit(None))
         .when(hint.isNull(), "BRAND_CLAIM_WITHOUT_DLT_HEADER")
@@ -54,10 +55,10 @@ def sender_evidence(hint: Column, claimed: Column) -> Column:
     )
 
 
-def fired(normalized: Column, lang: Column) -> Column:
+def fired(normalized: Column, lang: Column, pack: Pack = BUILT_IN) -> Column:
     """array<struct<ord, id, type, severity, weight>> of the pattern rules that fire."""
     out = []
-    for i, (name, langs, pattern, suppress, kind, severity, weight, _) in enumerate(rules.PATTERNS):
+    for i, (name, langs, pattern, suppress, kind, severity, weight, _) in enumerate(pack.patterns):
         hit = lang.isin(langs) & normalized.rlike(pattern)
         if suppress:
             hit = hit & ~normalized.rlike(suppress)
@@ -74,26 +75,26 @@ def texts(text: Column) -> Column:
     return bound(normalize(text), lambda t: F.struct(t.alias("normalized"), language(t).alias("lang")))
 
 
-def analyzed(messages: DataFrame) -> DataFrame:
+def analyzed(messages: DataFrame, pack: Pack = BUILT_IN) -> DataFrame:
     """``messages`` with normalized, lang, claims, claimed, sender, fired, pattern_weight.
 
     Text, language and rules are one expression that names each once, so no plan repeats them for each rule. To keep
     rows by what fired, explode it as an outer join would and drop nulls: a filter on ``fired`` itself is pushed
     below this and evaluates every rule again.
     """
-    facts = bound(texts(F.col("text")), lambda t: F.struct(t["normalized"].alias("normalized"), t["lang"].alias("lang"), fired(t["normalized"], t["lang"]).alias("fired")))
+    facts = bound(texts(F.col("text")), lambda t: F.struct(t["normalized"].alias("normalized"), t["lang"].alias("lang"), fired(t["normalized"], t["lang"], pack).alias("fired")))
     return (
         messages.withColumn("_facts", facts)
         .select("*", "_facts.normalized", "_facts.lang", "_facts.fired")
         .drop("_facts")
-        .withColumn("claims", claims(F.col("text")))
+        .withColumn("claims", claims(F.col("text"), pack))
         .withColumn("claimed", F.array_distinct(F.col("claims.brand_id")))
-        .withColumn("sender", sender_evidence(F.col("sender_hint"), F.col("claimed")))
+        .withColumn("sender", sender_evidence(F.col("sender_hint"), F.col("claimed"), pack))
         .withColumn("pattern_weight", pattern_weight(F.col("fired")))
     )
 
 
-def hits(messages: DataFrame) -> DataFrame:
+def hits(messages: DataFrame, pack: Pack = BUILT_IN) -> DataFrame:
     """msg_id, ord, id, type, severity, weight: a row for each pattern rule that fires."""
-    each = messages.select("msg_id", F.explode_outer(bound(texts(F.col("text")), lambda t: fired(t["normalized"], t["lang"]))).alias("f"))
+    each = messages.select("msg_id", F.explode_outer(bound(texts(F.col("text")), lambda t: fired(t["normalized"], t["lang"], pack))).alias("f"))
     return each.where("f is not null").select("msg_id", "f.*")

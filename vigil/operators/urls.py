@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.text import spans
 from vigil.sources import rules
+from vigil.sources.rules import BUILT_IN, Pack
 
 # The grammar of links, labels and dotted quads
 LABEL = r"[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,61}[\p{L}\p{N}])?"
@@ -24,7 +25,7 @@ def is_ip(host: Column) -> Column:
     return host.rlike(QUAD) | (host.rlike(r"^\[?[0-9A-Fa-f:.]+\]?$") & host.contains(":"))
 
 
-def extract(messages: DataFrame) -> DataFrame:
+def extract(messages: DataFrame, pack: Pack = BUILT_IN) -> DataFrame:
     """msg_id, ord, raw, scheme, host, path, start, end (from 0, exclusive, in the text as it came), punycode (whether
     a label of the host is in that form) of each link of ``messages`` (msg_id, text)."""
     pattern = rf"(?iu)(?<![\w@.])({CANDIDATE})"
@@ -35,7 +36,7 @@ def extract(messages: DataFrame) -> DataFrame:
     rest = F.regexp_replace(rest, "^[^/?#@]*@", "")
     rows = rows.select("msg_id", "ord", "raw", "start", "end", F.when(has_scheme, F.substring_index("raw", "://", 1)).alias("scheme"), F.regexp_extract(rest, "^([^/?#:]*)", 1).alias("host"), F.nullif(F.regexp_extract(rest, "(?s)^[^/?#:]*(.*)$", 1), F.lit("")).alias("path"))
     bare = F.col("scheme").isNull() & ~F.lower("raw").startswith("www.")
-    plain = [s for s in rules.SUFFIXES if "." not in s]
+    plain = [s for s in pack.suffixes if "." not in s]
     # a bare host counts only if its last label is a known top level
     rows = rows.withColumn("punycode", F.exists(F.split(F.lower("host"), r"\."), lambda x: x.startswith("xn--")))
     return rows.where((F.col("host") != "") & (~bare | F.lower(F.substring_index("host", ".", -1)).isin(plain)))
@@ -61,10 +62,10 @@ def registrable(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
     return out.select("host", F.when(named, tail("labels")).alias("registrable"), F.when(named, tail("own")).alias("original"))
 
 
-def fold(label: Column) -> Column:
+def fold(label: Column, pack: Pack = BUILT_IN) -> Column:
     """Look-alike characters, then look-alike sequences, folded to plain letters."""
-    out = F.translate(label, "".join(rules.SINGLE_FOLDS), "".join(rules.SINGLE_FOLDS.values()))
-    return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), rules.SEQUENCE_FOLDS, out)
+    out = F.translate(label, "".join(pack.single_folds), "".join(pack.single_folds.values()))
+    return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), pack.sequence_folds, out)
 
 
 def squash(label: Column) -> Column:
@@ -98,42 +99,44 @@ def within(a: Column, b: Column, budget: Column) -> Column:
     return (F.levenshtein(a, b) <= budget) | ((F.length(a) > 1) & F.exists(at, lambda i: around(i, i - 1) | around(i, i) | around(i, i + 1)))
 
 
-def typosquat(labels: DataFrame) -> DataFrame:
+def typosquat(labels: DataFrame, pack: Pack = BUILT_IN) -> DataFrame:
     """label, brand_id, known, domain: the first brand domain that each label imitates; labels without one are left out.
 
     A known label is never a hit. The built-in distance, at most twice the other, picks the few pairs that need the exact one.
     """
-    known = rules.brand_domains()
+    known = pack.brand_domains()
     spark = labels.sparkSession
+    if max(pack.short_distance, pack.long_distance) > 2:
+        raise ValueError("distances over 2 are not supported")
     k = spark.createDataFrame(known, "ord int, brand_id string, domain string, known string")
     own = [x[3] for x in known]
     asked = labels.where(~F.col("label").isin(own) & (F.col("label") != "")).select("label").distinct()
-    budget = F.when(F.length("known") <= rules.SHORT_LABEL, rules.SHORT_DISTANCE).otherwise(rules.LONG_DISTANCE)
-    near = F.levenshtein("label", "known", 2 * rules.LONG_DISTANCE)
+    budget = F.when(F.length("known") <= pack.short_label, pack.short_distance).otherwise(pack.long_distance)
+    near = F.levenshtein("label", "known", 2 * pack.long_distance)
     pairs = asked.join(F.broadcast(k), ((near >= 0) & (near <= 2 * budget) | F.col("label").contains(F.col("known")) & (F.length("known") >= rules.LEAST_CONTAINED) | (squash(F.col("label")) == squash(F.col("known")))))
     sure = (F.col("label").contains(F.col("known")) & (F.length("known") >= rules.LEAST_CONTAINED)) | (squash(F.col("label")) == squash(F.col("known")))
     hits = pairs.where(sure | within(F.col("label"), F.col("known"), budget))
     return hits.groupBy("label").agg(F.min_by(F.struct("brand_id", "known", "domain"), "ord").alias("h")).select("label", "h.*")
 
 
-def host_facts(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
+def host_facts(hosts: DataFrame, suffixes: DataFrame, pack: Pack = BUILT_IN) -> DataFrame:
     """host, ip, registrable, original, label, tld, squat, mixed, shortener, bad_tld of each distinct host.
 
     Look-alikes are sought in the label as it was written, lists are asked for the registrable name in ASCII form.
     """
     base = registrable(hosts.select("host").distinct(), suffixes)
     base = base.select("host", is_ip(F.col("host")).alias("ip"), "registrable", "original", F.substring_index("original", ".", 1).alias("label"), F.substring_index("registrable", ".", -1).alias("tld"))
-    base = base.withColumn("folded", fold(F.col("label")))
+    base = base.withColumn("folded", fold(F.col("label"), pack))
     both = base.select("label").union(base.select(F.col("folded").alias("label"))).where("label is not null").distinct()
-    hit = typosquat(both).select("label", F.col("brand_id").alias("squat"))
-    own = [x[3] for x in rules.brand_domains()]
+    hit = typosquat(both, pack).select("label", F.col("brand_id").alias("squat"))
+    own = [x[3] for x in pack.brand_domains()]
     raw, folded = hit.withColumnRenamed("label", "l1").withColumnRenamed("squat", "squat_raw"), hit.withColumnRenamed("label", "l2").withColumnRenamed("squat", "squat_folded")
     out = base.join(raw, base["label"] == raw["l1"], "left").join(folded, base["folded"] == folded["l2"], "left")
-    exact = F.coalesce(*[F.when(F.col("folded") == n, F.lit(b)) for _, b, _, n in rules.brand_domains()])
+    exact = F.coalesce(*[F.when(F.col("folded") == n, F.lit(b)) for _, b, _, n in pack.brand_domains()])
     changed = F.col("folded") != F.col("label")
     squat = F.coalesce("squat_raw", F.when(changed & F.col("folded").isin(own), exact), F.when(changed, F.col("squat_folded")))
-    operated = list(rules.BRAND_OPERATED)
-    return out.select("host", "ip", "registrable", "original", "label", "tld", squat.alias("squat"), mixed_script(F.col("label")).alias("mixed"), (F.col("registrable").isin(rules.SHORTENERS) & ~F.col("registrable").isin(operated)).alias("shortener"), F.col("tld").isin(rules.SUSPICIOUS_TLDS).alias("bad_tld"))
+    operated = list(pack.brand_operated)
+    return out.select("host", "ip", "registrable", "original", "label", "tld", squat.alias("squat"), mixed_script(F.col("label")).alias("mixed"), (F.col("registrable").isin(pack.shorteners) & ~F.col("registrable").isin(operated)).alias("shortener"), F.col("tld").isin(pack.suspicious_tlds).alias("bad_tld"))
 
 
 def evidence(urls: DataFrame, facts: DataFrame) -> DataFrame:

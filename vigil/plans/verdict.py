@@ -10,6 +10,7 @@ from vigil.operators.analyzers import analyzed
 from vigil.operators.scoring import CATEGORY_WEIGHT, scored
 from vigil.plans.staging import ensure_checkpoint_dir
 from vigil.sources import rules
+from vigil.sources.rules import BUILT_IN, Pack
 
 SENDER_SEVERITY = {"BRAND_CLAIM_WITHOUT_DLT_HEADER": 0, "UNREGISTERED_NUMERIC_SENDER": 2, "DLT_HEADER_MISMATCH": 2}
 
@@ -25,14 +26,14 @@ def severity_weight(severity: Column) -> Column:
     return out
 
 
-def signals(messages: DataFrame) -> DataFrame:
+def signals(messages: DataFrame, pack: Pack = BUILT_IN) -> DataFrame:
     """Analyzed messages with url_evidence (array in order), sender and pattern evidence and the three weights."""
     spark = messages.sparkSession
-    base = analyzed(messages)
-    links = U.extract(messages)
+    base = analyzed(messages, pack)
+    links = U.extract(messages, pack)
     ensure_checkpoint_dir(spark)
     hosts = links.select("host").distinct().checkpoint()  # facts are asked several times of the distinct hosts alone
-    found = U.evidence(links, U.host_facts(hosts, rules.suffixes(spark)))
+    found = U.evidence(links, U.host_facts(hosts, pack.suffix_rows(spark), pack))
     per = found.groupBy("msg_id").agg(F.array_sort(F.collect_list(F.struct("ord", "pos", "type", "severity"))).alias("url_evidence"))
     out = base.join(per, "msg_id", "left").withColumn("url_evidence", F.coalesce("url_evidence", F.array().cast("array<struct<ord: int, pos: int, type: string, severity: int>>")))
     sender_severity = F.coalesce(*[F.when(F.col("sender") == t, F.lit(s)) for t, s in SENDER_SEVERITY.items()])
@@ -91,14 +92,14 @@ KYC_URL = ["TYPOSQUAT_OF_KNOWN_BRAND", "HOMOGRAPH_CHARACTERS", "NON_HTTPS_CREDEN
 KYC_SENDER = ["UNREGISTERED_NUMERIC_SENDER", "DLT_HEADER_MISMATCH"]
 
 
-def hints(df: DataFrame) -> DataFrame:
+def hints(df: DataFrame, pack: Pack = BUILT_IN) -> DataFrame:
     """msg_id, category, ord, hint: one row for each hint, in the order that decides ties."""
     rows = []
     kyc = F.when(F.arrays_overlap(F.col("url_evidence.type"), F.array(*map(F.lit, KYC_URL))), F.struct(F.lit("KYC_PHISHING").alias("category"), F.lit(0).alias("ord"), f32(rules.KYC_HINT).alias("hint")))
     rows.append(kyc)
     rows.append(F.when(F.col("sender").isin(KYC_SENDER), F.struct(F.lit("KYC_PHISHING").alias("category"), F.lit(1).alias("ord"), f32(rules.KYC_HINT).alias("hint"))))
     at = 2
-    for i, rule in enumerate(rules.PATTERNS):
+    for i, rule in enumerate(pack.patterns):
         for cat, h in rule[7].items():
             rows.append(F.when(F.array_contains(F.col("fired.ord"), F.lit(i)), F.struct(F.lit(cat).alias("category"), F.lit(at).alias("ord"), f32(h).alias("hint"))))
             at += 1
@@ -108,9 +109,9 @@ def hints(df: DataFrame) -> DataFrame:
     return df.select("msg_id", F.explode_outer(F.array_compact(F.array(*rows))).alias("h")).where("h is not null").select("msg_id", "h.*")
 
 
-def categories(df: DataFrame) -> DataFrame:
+def categories(df: DataFrame, pack: Pack = BUILT_IN) -> DataFrame:
     """msg_id, verdict, category, category_confidence: the largest summed hint, first met on ties; SAFE is NOT_SCAM."""
-    sums = hints(df).groupBy("msg_id", "category").agg(F.round(F.sum(F.col("hint").cast("double")), 6).alias("total"), F.min("ord").alias("first"))
+    sums = hints(df, pack).groupBy("msg_id", "category").agg(F.round(F.sum(F.col("hint").cast("double")), 6).alias("total"), F.min("ord").alias("first"))
     best = sums.groupBy("msg_id").agg(F.max_by(F.struct("category", "total"), F.struct("total", (-F.col("first")).alias("f"))).alias("best"))
     out = df.select("msg_id", "verdict").join(best, "msg_id", "left")
     safe = F.col("verdict") == "SAFE"
@@ -133,9 +134,9 @@ def actions(verdict: Column, category: Column) -> Column:
     return F.when(verdict == "SAFE", F.array().cast("array<string>")).otherwise(steps)
 
 
-def presented(df: DataFrame) -> DataFrame:
+def presented(df: DataFrame, pack: Pack = BUILT_IN) -> DataFrame:
     """msg_id, headline, colour, confidence_text, actions of each verdict."""
-    own = df.select("msg_id", "confidence").join(categories(df), "msg_id")
+    own = df.select("msg_id", "confidence").join(categories(df, pack), "msg_id")
     words = lambda c, table: F.coalesce(*[F.when(F.col(c) == k, F.lit(v)) for k, v in table.items()])
     return own.select("msg_id", words("verdict", rules.HEADLINES).alias("headline"), words("verdict", rules.COLOURS).alias("colour"), words("confidence", rules.CONFIDENCE_TEXTS).alias("confidence_text"), actions(F.col("verdict"), F.col("category")).alias("actions"))
 
@@ -149,7 +150,7 @@ def results(df: DataFrame, pack_version: str, model_version: str | None = None)
     return df.select("msg_id", "verdict", F.array(*map(F.lit, sorted(ran))).alias("analyzers"), F.lit(pack_version).alias("pack_version"), F.lit(model_version).cast("string").alias("model_version"), latency.alias("latency_ms"))
 
 
-def verdicts(messages: DataFrame, temperature: float | None = None) -> DataFrame:
+def verdicts(messages: DataFrame, temperature: float | None = None, pack: Pack = BUILT_IN) -> DataFrame:
     """Signals and verdict of each message; with ``temperature`` the model signal takes part."""
-    found = signals(messages)
+    found = signals(messages, pack)
     return fuse(found if temperature is None else scored(found, temperature))

@@ -1,118 +1,243 @@
-"""Rule packs as files: JSON tables, suffix lists, the binary reputation filter, and their sinks."""
+"""Rule packs as folders: JSON tables, a suffix list, the binary reputation filter; their checks and their sinks."""
 
 from __future__ import annotations
 
 import json
+import re
 import struct
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.operators import bloom
+from vigil.operators.rows import COMMON_NOUNS
 from vigil.sources import rules
+from vigil.sources.rules import BUILT_IN, Pack
 
-BRANDS = "schema_version int, brands array<struct<id: string, display_name: string, aliases: array<string>, domains: array<string>, dlt_headers: array<string>>>"
-SHORTENERS = "schema_version int, shorteners array<string>, brand_operated map<string, string>"
-PATTERNS = "schema_version int, patterns array<struct<id: string, lang: array<string>, pattern: string, suppress_if: string, evidence: string, severity: string, weight: double, category_hints: map<string, double>>>"
-FOLDS = "schema_version int, single_char_folds map<string, string>, sequence_folds map<string, string>, suspicious_tlds array<string>"
-META = "pack_version string, schema_version int, generated_at string"
+# File names and keys of a pack, names of severities in order, evidence types
+FILES = {"brands": "banks.json", "shorteners": "shorteners.json", "folds": "typosquat.json", "patterns": "patterns.json", "meta": "pack_meta.json", "suffixes": "public_suffix_list.dat", "reputation": "reputation.bin"}
 SCHEMA_VERSION = 1
+SEVERITIES = ["INFO", "WARN", "CRITICAL"]
+LANGUAGES = ["EN", "HI", "HI_LATN", "BN", "TA", "TE", "MR", "UNKNOWN"]
+#: What a reader of a missing, malformed or unfitting file raises.
+UNREADABLE = (PySparkException, Py4JJavaError, ValueError, KeyError, TypeError)
+
+
+def _document(spark: SparkSession, path: str, kind: str) -> dict:
+    """The JSON document of a file, of known shape and version; unknown keys are ignored. Order of keys counts, so it is
+    read as one text."""
+    d = json.loads(spark.read.text(path, wholetext=True).first()["value"])
+    if errors := shape_errors(kind, d):
+        raise ValueError(f"{path}: {errors}")
+    if d["schema_version"] != SCHEMA_VERSION:
+        raise ValueError(f"{path}: schema_version {d['schema_version']}, expected {SCHEMA_VERSION}")
+    return d
+
+
+def read_brands(spark: SparkSession, path: str) -> list:
+    return [(b["id"], b["display_name"], b["aliases"], b["domains"], b["dlt_headers"]) for b in _document(spark, path, "brands")["brands"]]
+
+
+def read_shorteners(spark: SparkSession, path: str) -> tuple[list, dict]:
+    d = _document(spark, path, "shorteners")
+    return d["shorteners"], d.get("brand_operated", {})
+
+
+def read_patterns(spark: SparkSession, path: str) -> list:
+    """Rules as the analyzers take them; an unknown severity, category or language, or a pattern that does not compile, fails."""
+    out, compiled = [], spark._jvm.java.util.regex.Pattern.compile
+    for r in _document(spark, path, "patterns")["patterns"]:
+        hints, suppress = r.get("category_hints", {}), r.get("suppress_if")
+        if not set(hints) <= set(rules.CATEGORIES) or not set(r["lang"]) <= set(LANGUAGES) or r["evidence"] not in rules.TEMPLATES:
+            raise ValueError(f"{path}: rule {r['id']} names an unknown category, language or evidence")
+        for p in (r["pattern"], suppress):
+            if p is not None:
+                compiled(p)
+        out.append((r["id"], r["lang"], r["pattern"], suppress, r["evidence"], SEVERITIES.index(r["severity"]), float(r["weight"]), hints))
+    return out
 
 
-def _document(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One JSON document of known schema and version; unknown keys are ignored, malformed text fails."""
-    df = spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", True).json(path)
-    seen = [r[0] for r in df.select("schema_version").collect()]
-    if seen != [SCHEMA_VERSION]:
-        raise ValueError(f"{path}: schema_version {seen}, expected {SCHEMA_VERSION}")
-    return df
-
-
-def read_brands(spark: SparkSession, path: str) -> DataFrame:
-    df = _document(spark, path, BRANDS).select(F.posexplode("brands").alias("brand_ord", "b"))
-    return df.select("brand_ord", F.col("b.id").alias("brand_id"), F.col("b.display_name").alias("name"), "b.aliases", "b.domains", F.col("b.dlt_headers").alias("headers"))
-
-
-def read_shorteners(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    df = _document(spark, path, SHORTENERS)
-    return df.select(F.explode("shorteners").alias("domain")), df.select(F.explode(F.coalesce("brand_operated", F.create_map().cast("map<string, string>"))).alias("domain", "brand_id"))
-
-
-def read_patterns(spark: SparkSession, path: str) -> DataFrame:
-    return _document(spark, path, PATTERNS).select(F.posexplode("patterns").alias("ord", "p")).select("ord", "p.*")
-
-
-def read_folds(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Single-character folds (both sides one UTF-16 unit) and suspicious top levels."""
-    df = _document(spark, path, FOLDS)
-    one = lambda c: (F.length(c) == 1) & (F.octet_length(c) < 4)
-    return df.select(F.explode("single_char_folds").alias("from", "to")).where(one("from") & one("to")), df.select(F.explode("suspicious_tlds").alias("tld"))
+def read_folds(spark: SparkSession, path: str) -> dict:
+    """Fields of a pack: folds of one UTF-16 unit on both sides, sequences in order, distances, suspicious top levels."""
+    d = _document(spark, path, "folds")
+    one = lambda c: len(c) == 1 and ord(c) < 0x10000
+    out = {"single_folds": {k: v for k, v in d["single_char_folds"].items() if one(k) and one(v)}, "sequence_folds": list(d["sequence_folds"].items()), "suspicious_tlds": d["suspicious_tlds"]}
+    if dist := d.get("distance"):
+        out |= {"short_label": dist["short_label_max_length"], "short_distance": dist["short_label_distance"], "long_distance": dist["long_label_distance"]}
+    return out
 
 
-def read_meta(spark: SparkSession, path: str) -> DataFrame:
-    return _document(spark, path, META)
+def read_meta(spark: SparkSession, path: str) -> dict:
+    return _document(spark, path, "meta")
 
 
-def read_suffixes(spark: SparkSession, path: str) -> DataFrame:
-    """kind, suffix of each line that is neither blank nor a comment."""
-    rule = F.lower(F.trim("value"))
-    df = spark.read.text(path).where((F.trim("value") != "") & ~F.trim("value").startswith("//")).select(rule.alias("r"))
-    kind = F.when(F.startswith("r", F.lit("!")), "exception").when(F.startswith("r", F.lit("*.")), "wildcard").otherwise("plain")
-    return df.select(kind.alias("kind"), F.regexp_replace("r", r"^(!|\*\.)", "").alias("suffix"))
+def read_suffixes(spark: SparkSession, path: str) -> list:
+    """The rules of a suffix list: lines that are neither blank nor a comment."""
+    df = spark.read.text(path).where((F.trim("value") != "") & ~F.trim("value").startswith("//"))
+    return [r[0] for r in df.select(F.lower(F.trim("value"))).collect()]
 
 
-def load(spark: SparkSession, folder: str) -> dict:
-    """The pack of a folder. If a core table fails, all of it comes from the built-in rules; suffixes and reputation fail alone."""
+def load(spark: SparkSession, folder: str) -> Pack:
+    """The pack of a folder. If one of its four core tables fails, all four come from the built-in pack; the suffix
+    list, the reputation filter and the version fail each alone (no suffixes, no filter, version ``unknown``)."""
+    at = {k: f"{folder}/{v}" for k, v in FILES.items()}
     try:
-        out = {"brands": read_brands(spark, f"{folder}/brands.json"), "shorteners": read_shorteners(spark, f"{folder}/shorteners.json"), "patterns": read_patterns(spark, f"{folder}/patterns.json"), "folds": read_folds(spark, f"{folder}/folds.json"), "fallback": False}
-        for df in (out["brands"], out["shorteners"][0], out["patterns"], out["folds"][0]):
-            df.limit(1).collect()
-    except Exception:  # the reader's own error types differ by cause; any of them means the built-in pack
-        out = {"brands": rules.brands(spark), "fallback": True}
+        shorteners, operated = read_shorteners(spark, at["shorteners"])
+        core = {"brands": read_brands(spark, at["brands"]), "shorteners": shorteners, "brand_operated": operated, "patterns": read_patterns(spark, at["patterns"]), **read_folds(spark, at["folds"])}
+    except UNREADABLE:
+        core = {"fallback": True}
     try:
-        out["suffixes"] = read_suffixes(spark, f"{folder}/suffixes.dat")
-        out["suffixes"].limit(1).collect()
-    except Exception:
-        out["suffixes"] = spark.createDataFrame([], "kind string, suffix string")
-    out["reputation"] = read_reputation(spark, f"{folder}/reputation.bin")
-    return out
+        suffixes = read_suffixes(spark, at["suffixes"])
+    except UNREADABLE:
+        suffixes = []
+    try:
+        version = read_meta(spark, at["meta"])["pack_version"]
+    except UNREADABLE:
+        version = "unknown"
+    return Pack(**core, suffixes=suffixes, version=version, reputation=read_reputation(spark, at["reputation"]))
 
 
-# Layout of the reputation file: magic, then big-endian m, k, byte count, bits, and the allow list as text
-MAGIC = b"SSREPv1\x00"
+# Layout of the reputation file, little-endian: magic, m, k, byte count, bits, then the number of allowed
+# domains and each with its length in two bytes
+MAGIC = b"SSREPv1"
 
 
-def reputation_bytes(domains: DataFrame, allow: DataFrame) -> bytes:
-    """The filter of ``domains`` (domain) and the sorted distinct allow list. The filter's size is checked by its own formula."""
-    m, k = bloom.parameters(domains.select(F.lower("domain")).distinct().count())
+def reputation_bytes(domains: DataFrame, allow: DataFrame, rate: float = bloom.FALSE_POSITIVES) -> bytes:
+    """The filter of ``domains`` (domain) and the sorted distinct allow list, which is a bounded table like the brands."""
+    m, k = bloom.parameters(domains.select(F.lower("domain")).distinct().count(), rate)
     bits = bytearray((m + 7) // 8)
     by_byte = bloom.build(domains, m, k).groupBy(F.floor(F.col("bit") / 8).alias("at")).agg(F.sum(F.pow(F.lit(2), F.col("bit") % 8)).cast("int").alias("v"))
     for r in by_byte.toLocalIterator():
         bits[r["at"]] = r["v"]
-    names = "\n".join(r[0] for r in allow.select(F.lower("domain")).distinct().orderBy(F.lower("domain")).collect()).encode()
-    return MAGIC + struct.pack(">III", m, k, len(bits)) + bytes(bits) + names
+    names = [r[0].encode() for r in allow.select(F.lower("domain")).distinct().orderBy(F.lower("domain")).collect()]
+    return MAGIC + struct.pack("<III", m, k, len(bits)) + bytes(bits) + struct.pack("<I", len(names)) + b"".join(struct.pack("<H", len(n)) + n for n in names)
 
 
 def parse_reputation(raw: bytes) -> dict | None:
-    """m, k, bits (set positions), allow; None for a wrong magic, a cut file or senseless sizes."""
-    head = len(MAGIC) + 12
-    if len(raw) < head or raw[: len(MAGIC)] != MAGIC:
-        return None
-    m, k, n = struct.unpack(">III", raw[len(MAGIC) : head])
-    if m <= 0 or k <= 0 or len(raw) < head + n or n < (m + 7) // 8:
+    """m, k, bits (bytes), allow; None for a wrong magic, a cut file or senseless sizes."""
+    try:
+        if raw[: len(MAGIC)] != MAGIC:
+            return None
+        at = len(MAGIC) + 12
+        m, k, n = struct.unpack("<III", raw[len(MAGIC) : at])
+        bits = raw[at : at + n]
+        if m <= 0 or k <= 0 or len(bits) < n or n < (m + 7) // 8:
+            return None
+        at += n
+        (count,) = struct.unpack_from("<I", raw, at)
+        at, allow = at + 4, []
+        for _ in range(count):
+            (size,) = struct.unpack_from("<H", raw, at)
+            if len(raw) < at + 2 + size:
+                return None
+            allow.append(raw[at + 2 : at + 2 + size].decode())
+            at += 2 + size
+    except (struct.error, UnicodeDecodeError):
         return None
-    bits = [8 * i + j for i, b in enumerate(raw[head : head + n]) for j in range(8) if b >> j & 1]
-    return {"m": m, "k": k, "bits": bits, "allow": raw[head + n :].decode("utf-8", "replace").split()}
+    return {"m": m, "k": k, "bits": bytes(bits), "allow": allow}
 
 
 def read_reputation(spark: SparkSession, path: str) -> dict | None:
     try:
         raw = spark.read.format("binaryFile").load(path).select("content").first()
-    except Exception:
+    except UNREADABLE:
         return None
     return parse_reputation(bytes(raw[0])) if raw else None
 
 
+def established(asked: DataFrame, reputation: dict) -> DataFrame:
+    """domain, known: whether each distinct domain is on the allow list or may be in the filter."""
+    data = F.lit(bytearray(reputation["bits"]))
+
+    def is_set(p):
+        byte = F.conv(F.hex(F.substring(data, (F.floor(p / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+        return F.getbit(byte, (p % 8).cast("int")) == 1
+
+    maybe = F.forall(bloom.positions(F.col("domain"), reputation["m"], reputation["k"]), is_set)
+    listed = F.lower("domain").isin(reputation["allow"]) if reputation["allow"] else F.lit(False)
+    return asked.select("domain").distinct().select("domain", (listed | maybe).alias("known"))
+
+
+# checks
+
+
+_SHAPES = {
+    "brands": {"schema_version": int, "brands": [{"id": str, "display_name": str, "aliases": [str], "domains": [str], "dlt_headers": [str]}]},
+    "shorteners": {"schema_version": int, "shorteners": [str]},
+    "folds": {"schema_version": int, "single_char_folds": dict, "sequence_folds": dict, "suspicious_tlds": [str]},
+    "patterns": {"schema_version": int, "patterns": [{"id": str, "lang": [str], "pattern": str, "evidence": str, "severity": str, "weight": (int, float)}]},
+    "meta": {"schema_version": int, "pack_version": str},
+}
+
+
+def shape_errors(kind: str, document) -> list[tuple[str, str]]:
+    """(path, message) of everything in a JSON document that is missing or of a wrong type, sorted by path."""
+    out: list[tuple[str, str]] = []
+
+    def walk(value, shape, path):
+        if isinstance(shape, dict):
+            if not isinstance(value, dict):
+                out.append((path, "is no object"))
+                return
+            for k, inner in shape.items():
+                if k in value:
+                    walk(value[k], inner, f"{path}/{k}")
+                else:
+                    out.append((f"{path}/{k}", "is missing"))
+        elif isinstance(shape, list):
+            if not isinstance(value, list):
+                out.append((path, "is no array"))
+                return
+            for i, x in enumerate(value):
+                walk(x, shape[0], f"{path}/{i}")
+        elif isinstance(value, bool) or not isinstance(value, shape):
+            out.append((path, "has a wrong type"))
+
+    walk(document, _SHAPES[kind], "")
+    return sorted(out)
+
+
+def violations(spark: SparkSession, pack: Pack, least_suffixes: int = 0) -> DataFrame:
+    """part, subject, rule: what is wrong with a pack that reads well."""
+    out: list[tuple[str, str, str]] = []
+    again = lambda xs: sorted({x for x in xs if list(xs).count(x) > 1})
+    ids = [b[0] for b in pack.brands]
+    out += [("brands", x, "repeated id") for x in again(ids)]
+    owner: dict[str, str] = {}
+    for b in pack.brands:
+        for alias in b[2]:
+            if alias.lower() in COMMON_NOUNS:
+                out.append(("brands", alias, "bare common noun"))
+            if owner.setdefault(alias.lower(), b[0]) != b[0]:
+                out.append(("brands", alias, "alias of two brands"))
+    out += [("shorteners", x, "repeated domain") for x in again(pack.shorteners)]
+    out += [("shorteners", d, "unknown brand") for d, b in pack.brand_operated.items() if b not in ids]
+    if pack.short_distance > pack.long_distance:
+        out.append(("folds", str(pack.short_distance), "short labels allow more edits than long ones"))
+    out += [("folds", k, "key of more than one character") for k in pack.single_folds if len(k) != 1]
+    out += [("patterns", x, "repeated id") for x in again([p[0] for p in pack.patterns])]
+    compiled = spark._jvm.java.util.regex.Pattern.compile
+    for p in pack.patterns:
+        for text in (p[2], p[3]):
+            try:
+                if text is not None:
+                    compiled(text)
+            except UNREADABLE:
+                out.append(("patterns", p[0], "does not compile"))
+    if len(pack.suffixes) < least_suffixes:
+        out.append(("suffixes", str(len(pack.suffixes)), "too few rules"))
+    return spark.createDataFrame(out, "part string, subject string, rule string")
+
+
+def counts(pack: Pack) -> dict[str, int]:
+    return {"brands": len(pack.brands), "aliases": sum(len(b[2]) for b in pack.brands), "domains": sum(len(b[3]) for b in pack.brands), "shorteners": len(pack.shorteners), "patterns": len(pack.patterns), "suffixes": len(pack.suffixes), "folds": len(pack.single_folds) + len(pack.sequence_folds)}
+
+
+# sinks
+
+
 def strip_comments(value):
     """A JSON value without keys that start with an underscore, at any depth."""
     if isinstance(value, dict):
@@ -122,3 +247,52 @@ def strip_comments(value):
 
 def minified(value) -> str:
     return json.dumps(strip_comments(value), ensure_ascii=False, separators=(",", ":"))
+
+
+def bare_suffixes(text: str) -> str:
+    """A suffix list without comments and blank lines."""
+    return "".join(f"{x.strip()}\n" for x in re.split(r"\r?\n", text) if x.strip() and not x.strip().startswith("//"))
+
+
+def put(spark: SparkSession, path: str, raw: bytes) -> None:
+    """One small file, wherever Spark can write."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    out.write(raw)
+    out.close()
+
+
+def documents(pack: Pack) -> dict:
+    """The JSON documents of a pack."""
+    return {
+        "brands": {"schema_version": SCHEMA_VERSION, "brands": [dict(zip(("id", "display_name", "aliases", "domains", "dlt_headers"), b, strict=True)) for b in pack.brands]},
+        "shorteners": {"schema_version": SCHEMA_VERSION, "shorteners": pack.shorteners, "brand_operated": pack.brand_operated},
+        "folds": {"schema_version": SCHEMA_VERSION, "single_char_folds": pack.single_folds, "sequence_folds": dict(pack.sequence_folds), "distance": {"short_label_max_length": pack.short_label, "short_label_distance": pack.short_distance, "long_label_distance": pack.long_distance}, "suspicious_tlds": pack.suspicious_tlds},
+        "patterns": {"schema_version": SCHEMA_VERSION, "patterns": [{"id": n, "lang": langs, "pattern": p, **({"suppress_if": sup} if sup else {}), "evidence": kind, "severity": SEVERITIES[sev], "weight": w, "category_hints": hints} for n, langs, p, sup, kind, sev, w, hints in pack.patterns]},
+    }
+
+
+def write(spark: SparkSession, pack: Pack, folder: str, generated_at: str, reputation: bytes | None = None) -> None:
+    """A folder that ``load`` reads as ``pack``."""
+    for kind, value in documents(pack).items():
+        put(spark, f"{folder}/{FILES[kind]}", minified(value).encode())
+    put(spark, f"{folder}/{FILES['suffixes']}", bare_suffixes("\n".join(pack.suffixes)).encode())
+    meta = {"pack_version": pack.version, "schema_version": SCHEMA_VERSION, "generated_at": generated_at, "counts": counts(pack)}
+    put(spark, f"{folder}/{FILES['meta']}", minified(meta).encode())
+    if reputation is not None:
+        put(spark, f"{folder}/{FILES['reputation']}", reputation)
+
+
+def write_calibration(spark: SparkSession, path: str, values: dict) -> None:
+    put(spark, path, json.dumps(values, sort_keys=True, indent=2).encode())
+
+
+def read_calibration(spark: SparkSession, path: str) -> float:
+    """The temperature; a missing or malformed file, or one that is not positive, fails."""
+    t = spark.read.schema("temperature double").option("mode", "FAILFAST").option("multiLine", True).json(path).first()["temperature"]
+    if t is None or not t > 0:
+        raise ValueError(f"{path}: temperature {t}")
+    return t
+
+
+__all__ = ["BUILT_IN", "Pack", "load", "write"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import DataFrame, SparkSession
 
 # (id, display name, aliases, domains, sender headers), in the order that decides first hits
@@ -106,19 +108,51 @@ MARATHI = """
 """.split()
 
 
+@dataclass(frozen=True)
+class Pack:
+    """Everything that analyzers look up; bounded tables, held as plain values and compiled into expressions."""
+
+    brands: list = field(default_factory=lambda: BRANDS)
+    suffixes: list = field(default_factory=lambda: SUFFIXES)
+    shorteners: list = field(default_factory=lambda: SHORTENERS)
+    brand_operated: dict = field(default_factory=lambda: BRAND_OPERATED)
+    suspicious_tlds: list = field(default_factory=lambda: SUSPICIOUS_TLDS)
+    single_folds: dict = field(default_factory=lambda: SINGLE_FOLDS)
+    sequence_folds: list = field(default_factory=lambda: SEQUENCE_FOLDS)
+    patterns: list = field(default_factory=lambda: PATTERNS)
+    short_label: int = SHORT_LABEL
+    short_distance: int = SHORT_DISTANCE
+    long_distance: int = LONG_DISTANCE
+    version: str = "built-in"
+    fallback: bool = False
+    reputation: dict | None = None
+
+    def brand_rows(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([(i, *b) for i, b in enumerate(self.brands)], "brand_ord int, brand_id string, name string, aliases array<string>, domains array<string>, headers array<string>")
+
+    def suffix_rows(self, spark: SparkSession) -> DataFrame:
+        kind = lambda r: ("exception", r[1:]) if r[0] == "!" else ("wildcard", r[2:]) if r[:2] == "*." else ("plain", r)
+        return spark.createDataFrame([kind(r.lower()) for r in self.suffixes], "kind string, suffix string")
+
+    def brand_domains(self) -> list[tuple[int, str, str, str]]:
+        """(order, brand id, domain, first label) over brands and their domains."""
+        flat = [(b[0], d) for b in self.brands for d in b[3]]
+        return [(i, b, d, d.split(".")[0]) for i, (b, d) in enumerate(flat)]
+
+
+BUILT_IN = Pack()
+
+
 def brands(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, *b) for i, b in enumerate(BRANDS)], "brand_ord int, brand_id string, name string, aliases array<string>, domains array<string>, headers array<string>")
+    return BUILT_IN.brand_rows(spark)
 
 
 def suffixes(spark: SparkSession) -> DataFrame:
-    kind = lambda r: ("exception", r[1:]) if r[0] == "!" else ("wildcard", r[2:]) if r[:2] == "*." else ("plain", r)
-    return spark.createDataFrame([kind(r.lower()) for r in SUFFIXES], "kind string, suffix string")
+    return BUILT_IN.suffix_rows(spark)
 
 
 def brand_domains() -> list[tuple[int, str, str, str]]:
-    """(order, brand id, domain, first label) over brands and their domains."""
-    flat = [(b[0], d) for b in BRANDS for d in b[3]]
-    return [(i, b, d, d.split(".")[0]) for i, (b, d) in enumerate(flat)]
+    return BUILT_IN.brand_domains()
 
 
 def values_sql(rows: list[tuple], alias: str, columns: str) -> str:
