@@ -43,6 +43,15 @@ def test_leak_is_found(spark):
     pairs = spark.createDataFrame([(1, 2)], "a long, b long")
     splits = spark.createDataFrame([(1, "train"), (2, "test")], "id long, split string")
     assert D.leaks(pairs, splits).count() == 1
+    with pytest.raises(ValueError, match="1 and 2"):
+        D.require_no_leaks(pairs, splits)
+
+
+def test_many_rows_of_one_signature_stay_few_pairs(spark):
+    ensure_checkpoint_dir(spark)
+    df = spark.createDataFrame([(i, "") for i in range(400)] + [(500 + i, "the same text again") for i in range(400)], "id long, text string")
+    pairs = D.near_pairs(D.signatures(df).checkpoint())
+    assert pairs.count() == 798 and {r.cluster for r in D.clusters(df, pairs).collect()} == {0, 500}
 
 
 def test_long_chain_is_one_cluster(spark):

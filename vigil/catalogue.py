@@ -187,23 +187,27 @@ def ingest_rows(spark, sf_dir):
 
 
 def _conversation_rows(spark, sf_dir):
-    return read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text").where("text is not null")
+    """The turns, an edited copy of each seventh and an exact copy of each eleventh id."""
+    base = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text").where("text is not null")
+    edited = base.where("id % 7 = 0").select((-1 - F.col("id")).alias("id"), F.concat("text", F.lit(" ok then")).alias("text"))
+    return base.union(edited).union(base.where("id % 11 = 0").select((-1_000_000_000 - F.col("id")).alias("id"), "text"))
 
 
-_SIGS = """c AS (SELECT conv_id * 1000 + turn AS id, text FROM conversations WHERE text IS NOT NULL),
+_SIGS = """c0 AS (SELECT conv_id * 1000 + turn AS id, text FROM conversations WHERE text IS NOT NULL),
+c AS (SELECT * FROM c0 UNION ALL SELECT -1 - id, text || ' ok then' FROM c0 WHERE id % 7 = 0 UNION ALL SELECT -1000000000 - id, text FROM c0 WHERE id % 11 = 0),
 sh AS (SELECT DISTINCT id, unnest(CASE WHEN length(text) = 0 THEN [] WHEN length(text) < 5 THEN [lower(text)] ELSE list_transform(range(1, length(text) - 3), lambda i: substr(lower(text), i::BIGINT, 5)) END) AS s FROM c),
 d AS (SELECT s, list_transform(range(64), lambda i: ('0x' || substr(md5(i::VARCHAR || ':' || s), 1, 15))::BIGINT) AS h FROM (SELECT DISTINCT s FROM sh)),
 hs AS (SELECT id, generate_subscripts(h, 1) AS i, unnest(h) AS h FROM sh JOIN d USING (s)),
 m AS (SELECT id, i, min(h) AS h FROM hs GROUP BY id, i),
-sg AS (SELECT c.id, coalesce(list(m.h ORDER BY i), list_transform(range(64), lambda x: 0::BIGINT)) AS sig FROM c LEFT JOIN m USING (id) GROUP BY c.id)"""
-_PAIRS = """pr AS (SELECT a.id AS a, b.id AS b, (len(list_filter(list_zip(a.sig, b.sig), lambda z: z[1] = z[2])) / 64.0)::DOUBLE AS agreement FROM sg a JOIN sg b ON a.id < b.id),
-near AS (SELECT * FROM pr WHERE agreement > 0.8)"""
+sg AS (SELECT c.id, CASE WHEN count(m.h) = 0 THEN list_transform(range(64), lambda x: 0::BIGINT) ELSE list(m.h ORDER BY i) END AS sig FROM c LEFT JOIN m USING (id) GROUP BY c.id)"""
+_PAIRS = """cls AS (SELECT min(id) AS rep, sig FROM sg GROUP BY sig),
+pr AS (SELECT a.rep AS a, b.rep AS b, (len(list_filter(list_zip(a.sig, b.sig), lambda z: z[1] = z[2])) / 64.0)::DOUBLE AS agreement FROM cls a JOIN cls b ON a.rep < b.rep),
+near AS (SELECT * FROM pr WHERE agreement > 0.8 UNION ALL SELECT rep, id, 1.0 FROM sg JOIN cls USING (sig) WHERE id <> rep)"""
 
 
-@query(O.q(_SIGS.replace("coalesce(list(m.h ORDER BY i), list_transform(range(64), lambda x: 0::BIGINT))", "list(m.h ORDER BY i)"), select="SELECT id, sig[1] AS s1, sig[32] AS s32, sig[64] AS s64 FROM sg WHERE sig IS NOT NULL"))
+@query(O.q(_SIGS, select="SELECT id, array_to_string(sig, ',') AS sig FROM sg"))
 def minhash_signature(spark, sf_dir):
-    s = D.signatures(_conversation_rows(spark, sf_dir))
-    return s.select("id", F.get("sig", F.lit(0)).alias("s1"), F.get("sig", F.lit(31)).alias("s32"), F.get("sig", F.lit(63)).alias("s64"))
+    return D.signatures(_conversation_rows(spark, sf_dir)).select("id", F.array_join(F.col("sig").cast("array<string>"), ",").alias("sig"))
 
 
 def _near(spark, sf_dir):
@@ -230,16 +234,35 @@ def clusters(spark, sf_dir):
     return D.clusters(rows, pairs)
 
 
-@query()
+_SPLIT = """sizes AS (SELECT cluster, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, cluster) AS i FROM cl GROUP BY cluster),
+goal AS (SELECT 0.70::DOUBLE * sum(n) AS g0, 0.15::DOUBLE * sum(n) AS g1, 0.15::DOUBLE * sum(n) AS g2 FROM sizes),
+step AS (SELECT 0::BIGINT AS i, 0::BIGINT AS h0, 0::BIGINT AS h1, 0::BIGINT AS h2, -1 AS pick UNION ALL
+  SELECT i, h0 + CASE pick WHEN 0 THEN n ELSE 0 END, h1 + CASE pick WHEN 1 THEN n ELSE 0 END, h2 + CASE pick WHEN 2 THEN n ELSE 0 END, pick FROM (
+    SELECT s.i, s.n, h0, h1, h2, CASE WHEN (g0 - h0) / g0 >= (g1 - h1) / g1 AND (g0 - h0) / g0 >= (g2 - h2) / g2 THEN 0 WHEN (g1 - h1) / g1 >= (g2 - h2) / g2 THEN 1 ELSE 2 END AS pick
+    FROM step JOIN sizes s ON s.i = step.i + 1, goal))"""
+
+
+@query("WITH RECURSIVE " + ", ".join([_SIGS, _PAIRS, _CLUSTERS, _SPLIT]) + " SELECT id, cluster, ['train', 'val', 'test'][pick + 1] AS split FROM cl JOIN sizes USING (cluster) JOIN step USING (i)")
 def split_assign(spark, sf_dir):
     rows, pairs = _near(spark, sf_dir)
     return D.split(D.clusters(rows, pairs))
 
 
-@query("SELECT 0 AS a, 0 AS b WHERE false")
+@query(O.q(_SIGS, _PAIRS, select="SELECT a, b FROM near WHERE abs(a) % 3 <> abs(b) % 3"))
 def leakage_pairs(spark, sf_dir):
+    """Leaks of a split that knows nothing of near copies."""
     rows, pairs = _near(spark, sf_dir)
-    return D.leaks(pairs, D.split(D.clusters(rows, pairs)))
+    return D.leaks(pairs, rows.select("id", (F.abs("id") % 3).cast("string").alias("split")))
+
+
+@query(O.q(_SIGS, select="SELECT count(*) AS n, 0 AS leaks FROM sg"))
+def split_leaks(spark, sf_dir):
+    """Leaks of our own split: none, whatever the rows."""
+    rows, pairs = _near(spark, sf_dir)
+    pairs = pairs.checkpoint()
+    splits = D.split(D.clusters(rows, pairs))
+    leaks = D.leaks(pairs, splits).agg(F.count("*").cast("int").alias("leaks"))
+    return splits.agg(F.count("*").alias("n")).crossJoin(leaks)  # two counts
 
 
 # The same chain over the whole texts of `documents`, where near copies occur. The self-join that SQL needs does not
@@ -629,7 +652,7 @@ def verdict_with_pack(spark, sf_dir):
     return V.verdicts(messages(spark, sf_dir), pack=_pack(spark)).select("msg_id", "verdict", "confidence")
 
 
-@query(f"SELECT domain, contains(list_value({', '.join(repr(d) for b in rules.BRANDS for d in b[3])})::VARCHAR, domain) AND domain <> '' AS known FROM ({_HOSTS}) UNION ALL SELECT * FROM (VALUES ('northpay.com', true), ('sola.in', true)) v(domain, known)")
+@query(f"SELECT domain, domain IN ({', '.join(repr(d) for b in rules.BRANDS for d in b[3])}) AS known FROM ({_HOSTS}) UNION ALL SELECT * FROM (VALUES ('northpay.com', true), ('sola.in', true)) v(domain, known)")
 def established_domains(spark, sf_dir):
     from vigil.sources import pack
 

@@ -51,15 +51,24 @@ def signatures(docs: DataFrame) -> DataFrame:
 def near_pairs(sigs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """a, b, agreement of pairs whose signatures agree in more than ``threshold`` of the values.
 
+    Rows of one signature (equal texts, texts without shingles) are a class: its smallest id is paired with each other
+    member, and stands for all of them in pairs with other classes, so a class of n rows gives n - 1 pairs.
+
     More than 0.8 of 64 values leave at most 12 that differ, so of 16 bands of 4 at least 4 agree whole: no pair is lost.
+    A pair counts in the first band in which it agrees.
     """
     rows = HASHES // BANDS
-    bands = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(F.slice("sig", b * rows + 1, rows)).alias("key")) for b in range(BANDS)])
-    keyed = sigs.select("id", F.explode(bands).alias("x")).select("id", "x.*")
-    pairs = keyed.alias("l").join(keyed.alias("r"), ["band", "key"]).where("l.id < r.id").select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
-    both = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-    same = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) / HASHES
-    return both.select("a", "b", same.alias("agreement")).where(F.col("agreement") > threshold)
+    classes = sigs.groupBy("sig").agg(F.min("id").alias("rep"), F.count("*").alias("n")).checkpoint()
+    copies = sigs.join(classes.where("n > 1"), "sig").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("agreement"))
+    keys = F.array(*[F.xxhash64(F.slice("sig", b * rows + 1, rows)) for b in range(BANDS)])
+    keyed = classes.select("rep", "sig", keys.alias("keys"))
+    keyed = keyed.select("rep", "sig", "keys", F.posexplode("keys").alias("band", "key"))
+    l, r = keyed.alias("l"), keyed.select(F.col("rep").alias("rep2"), F.col("sig").alias("sig2"), F.col("keys").alias("keys2"), "band", "key").alias("r")
+    met = l.join(r, ["band", "key"]).where("rep < rep2")
+    first = F.array_position(F.zip_with("keys", "keys2", lambda x, y: x == y), True) - 1 == F.col("band")
+    same = F.aggregate(F.zip_with("sig", "sig2", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) / HASHES
+    pairs = met.where(first).select(F.col("rep").alias("a"), F.col("rep2").alias("b"), same.alias("agreement")).where(F.col("agreement") > threshold)
+    return pairs.union(copies)
 
 
 def clusters(ids: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -116,6 +125,13 @@ def leaks(pairs: DataFrame, splits: DataFrame) -> DataFrame:
     return pairs.join(l, "a").join(r, "b").where("sa <> sb").select("a", "b")
 
 
+def require_no_leaks(pairs: DataFrame, splits: DataFrame) -> None:
+    """Raise if a near pair lies in two splits, naming one such pair."""
+    found = leaks(pairs, splits).first()
+    if found:
+        raise ValueError(f"rows {found['a']} and {found['b']} are near copies in different splits")
+
+
 def token_counts(docs: DataFrame) -> DataFrame:
     """token, freq over words and runs of punctuation."""
     return docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"), 0)).alias("token")).groupBy("token").agg(F.count("*").alias("freq"))
