@@ -35,6 +35,50 @@ def test_languages(spark):
     assert {r.lang_pred for r in L.identify(documents(spark, [(1, "text")], {1: None})).collect()} == {"und"}
 
 
+def test_pieces_of_a_long_text_give_its_segments():
+    rng = np.random.default_rng(1)
+    model = rng.normal(size=(L.BUCKETS, 3)).astype(np.float32)
+    for n in (1, 63, 64, 65, 1_000, 4_096):
+        raw = bytes(rng.integers(97, 123, n, dtype=np.uint8))
+        h = L.buckets(raw)
+        want = np.stack([model[h[s : s + L.SEGMENT]].sum(axis=0) for s in range(0, n, L.SEGMENT)])
+        assert np.allclose(L.segments(raw, model, 256), want, atol=1e-3)
+        assert np.array_equal(L.counted(raw, 256), np.bincount(h, minlength=L.BUCKETS))
+
+
+def test_prediction_equals_a_plain_mixture(spark):
+    rng = np.random.default_rng(2)
+    model = np.log(rng.dirichlet(np.ones(L.BUCKETS), 3).T).astype(np.float32)
+    for text in (FR * 2 + EN, EN, FR * 30):
+        raw = text.encode()
+        h = L.buckets(raw)
+        ll = [[float(sum(model[b, k] for b in h[s : s + L.SEGMENT])) for k in range(3)] for s in range(0, len(raw), L.SEGMENT)]
+
+        def value(some, pi):
+            return sum(math.log(sum(p * math.exp(row[k] - max(row)) for p, k in zip(pi, some))) + max(row) for row in ll)
+
+        def em(some):
+            pi = [1 / len(some)] * len(some)
+            for _ in range(L.ROUNDS):
+                resp = [[p * math.exp(row[k] - max(row)) for p, k in zip(pi, some)] for row in ll]
+                resp = [[x / sum(r) for x in r] for r in resp]
+                pi = [max(sum(r[j] for r in resp) / len(resp), 1e-9) for j in range(len(some))]
+                pi = [p / sum(pi) for p in pi]
+            return value(some, pi), pi
+
+        some = [max(range(3), key=lambda k: sum(r[k] for r in ll))]
+        best, pi = em(some)
+        while len(some) < 3:
+            (gain, got), k = max(((em([*some, k]), k) for k in range(3) if k not in some), key=lambda t: t[0][0])
+            if gain - best <= L.PENALTY:
+                break
+            some, best, pi = [*some, k], gain, got
+        (lang, score, langs), = L.predict(["a", "b", "c"], model, [raw])
+        assert langs == ["abc"[k] for k in some] and lang == "abc"[some[pi.index(max(pi))]]
+        if len(some) > 1:
+            assert abs(score - max(pi)) < 1e-3
+
+
 def test_mixture_finds_proportions():
     ll = np.log(np.array([[0.9, 0.1]] * 30 + [[0.1, 0.9]] * 10))
     _, pi = L.mixture(ll, [0, 1])

@@ -171,6 +171,40 @@ def test_items_without_id_match(spark):
         assert sorted(r.doc_id for r in M.keep_unleaked(documents(spark, rows), bench, block_bytes=size).collect()) == [3, 4]
 
 
+def test_search_equals_brute_force(spark):
+    rng = random.Random(12)
+    items = [(k, prose(900 + k, 9 + k)) for k in range(6)] + [(6, "short item of text"), (7, "x" * 300)]
+    docs = []
+    for i in range(40):
+        text = list(prose(i, 20) + " " + items[i % 8][1] + " " + prose(500 + i, 20))
+        at = len(prose(i, 20)) + 1
+        for _ in range(rng.randrange(9)):
+            text[at + rng.randrange(len(items[i % 8][1]))] = rng.choice("abcxyz ")
+        docs.append((i, "".join(text)))
+
+    def distance(item, text):
+        row = list(range(len(item) + 1))
+        best = row[-1]
+        for c in text:
+            prev, row = row, [0]
+            for j, x in enumerate(item, 1):
+                row.append(min(prev[j] + 1, row[-1] + 1, prev[j - 1] + (x != c)))
+            best = min(best, row[-1])
+        return best
+
+    want = set()
+    for d, t in docs:
+        for k, item in items:
+            n = M.normal(item)
+            e = distance(n, M.normal(t))
+            if e <= M.budget(len(n)):
+                want.add((d, k, e))
+    df = spark.createDataFrame(items, "item_id long, text string")
+    for size in (M.BLOCK_BYTES, 200):
+        got = {(r.doc_id, r.item_id, r.edits) for r in M.leaks(documents(spark, docs), df, block_bytes=size).collect()}
+        assert got == want and len(want) > 15
+
+
 def test_myers_equals_dynamic_programming():
     rng = random.Random(6)
     for _ in range(200):

@@ -43,13 +43,39 @@ def has_letter(raw: bytes | None) -> bool:
     return bool(raw) and (_LETTER(raw) is not None or _ANY_LETTER(raw.decode("utf-8", "replace")) is not None)
 
 
-def buckets(raw: bytes) -> np.ndarray:
-    """Hashed trigrams of one padded text, one for each of its bytes."""
-    b = np.frombuffer(b" " + raw.lower() + b" ", dtype=np.uint8).astype(np.uint32)
+def hashed(padded: bytes) -> np.ndarray:
+    """Hashed trigrams, one for each byte but the last two."""
+    b = np.frombuffer(padded, dtype=np.uint8).astype(np.uint32)
     h = (b[:-2] * np.uint32(0x9E3779B1)) ^ (b[1:-1] * np.uint32(0x85EBCA6B)) ^ (b[2:] * np.uint32(0xC2B2AE35))
     return ((h * np.uint32(0x27D4EB2F)) >> np.uint32(18)).astype(np.int64)
 
 
+def buckets(raw: bytes) -> np.ndarray:
+    """Hashed trigrams of one padded text, one for each of its bytes."""
+    return hashed(b" " + raw.lower() + b" ")
+
+
+#: Bytes of a text that are hashed at a time; a multiple of SEGMENT.
+PIECE = 1 << 20
+
+
+def counted(raw: bytes, piece: int = PIECE) -> np.ndarray:
+    """How often each bucket occurs in a text."""
+    padded, out = b" " + raw.lower() + b" ", np.zeros(BUCKETS, dtype=np.int64)
+    for at in range(0, len(raw), piece):
+        out += np.bincount(hashed(padded[at : at + piece + 2]), minlength=BUCKETS)
+    return out
+
+
+def segments(raw: bytes, model: np.ndarray, piece: int = PIECE) -> np.ndarray:
+    """Log-likelihoods of a long text's segments, hashed piece by piece."""
+    padded, out = b" " + raw.lower() + b" ", []
+    for at in range(0, len(raw), piece):
+        h = hashed(padded[at : at + piece + 2])
+        out.append(np.add.reduceat(model[h], np.arange(0, len(h), SEGMENT), axis=0))
+    return np.concatenate(out)
+
+
 def _count(batches):
     """Trigram counts of this task's sample, by language."""
     sums: dict[str, np.ndarray] = {}
@@ -57,7 +83,7 @@ def _count(batches):
         for lang, raw in zip(b.column("lang").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
             if raw:
                 got = sums.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
-                got += np.bincount(buckets(raw), minlength=BUCKETS)
+                got += counted(raw)
     for lang, n in sums.items():
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["lang", "bucket", "n"])
@@ -121,7 +147,7 @@ def predict(langs: list[str], model: np.ndarray, raws: list[bytes | None], step:
             end += 1
         known = [r if langs and has_letter(r) else b"" for r in raws[at:end]]
         at = end
-        hashes = [buckets(r) if r else np.empty(0, dtype=np.int64) for r in known]
+        hashes = [buckets(r) if 0 < len(r) <= PIECE else np.empty(0, dtype=np.int64) for r in known]
         starts, first, place = [], [0], 0
         for h in hashes:
             starts.append(np.arange(place, place + len(h), SEGMENT))
@@ -133,7 +159,7 @@ def predict(langs: list[str], model: np.ndarray, raws: list[bytes | None], step:
             if not r:
                 out.append(("und", 0.0, []))
                 continue
-            some, pi, certain = infer(ll[first[i] : first[i + 1]])
+            some, pi, certain = infer(ll[first[i] : first[i + 1]] if len(r) <= PIECE else segments(r, model))
             lead = int(pi.argmax())
             out.append((langs[some[lead]], float(min(1.0, pi[lead] * (certain if len(some) == 1 else 1.0))), [langs[k] for k in some]))
     return out
