@@ -1,6 +1,7 @@
 """Every query that has SQL gives the rows of that SQL."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from vigil import catalogue
@@ -18,7 +19,7 @@ def duck():
 
 
 def plain(x):
-    if x is None or x != x:
+    if x is None or x is pd.NA or x != x:
         return None
     if hasattr(x, "item"):
         x = x.item()
