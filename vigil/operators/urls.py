@@ -29,8 +29,10 @@ def extract(messages: DataFrame, pack: Pack = BUILT_IN) -> DataFrame:
     """msg_id, ord, raw, scheme, host, path, start, end (from 0, exclusive, in the text as it came), punycode (whether
     a label of the host is in that form) of each link of ``messages`` (msg_id, text)."""
     pattern = rf"(?iu)(?<![\w@.])({CANDIDATE})"
-    rows = messages.select("msg_id", "text", F.posexplode(spans(F.col("text"), pattern)).alias("ord", "at"))
-    rows = rows.select("msg_id", "ord", F.expr("substr(text, at.start + 1, at.end - at.start)").alias("raw"), "at.start", "at.end")
+    found = F.regexp_extract_all("text", F.lit(pattern), 1)
+    rows = messages.select("msg_id", "text", F.posexplode(found).alias("ord", "raw"))
+    at = F.get(spans(F.col("text"), pattern), F.col("ord"))  # pruned where no place is asked for
+    rows = rows.select("msg_id", "ord", "raw", at["start"].alias("start"), at["end"].alias("end"))
     has_scheme = F.col("raw").contains("://")
     rest = F.when(has_scheme, F.expr("substr(raw, instr(raw, '://') + 3)")).otherwise(F.col("raw"))
     rest = F.regexp_replace(rest, "^[^/?#@]*@", "")
