@@ -39,6 +39,16 @@ def test_memory_bound_changes_nothing(monkeypatch):
     assert np.frombuffer(C.byte_level_ids(BYTE, [text])[0], "<u4").tolist() == Tokenizer.from_file(BYTE).encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("'strevlmd \n\u00e91.A"), max_size=25), max_size=6), st.integers(1, 30))
+def test_plain_texts_side_by_side_equal_the_library(texts, slice_chars):
+    tok = C.tokenizer(BYTE)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(C, "SLICE", slice_chars)
+        got = [np.frombuffer(x, "<u4").tolist() for x in C.byte_level_ids(BYTE, texts)]
+    assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("leaf", [B.LEAF_CHARS, 500])
 def test_documents_of_all_kinds(spark, leaf):
     tok = Tokenizer.from_file(WORD)

@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import discard, fresh_path, partitions, running, table, trimmed
-from vigil.llm.textcodec import byte_level_ids
+from vigil.llm.common import by_bytes, discard, fresh_path, partitions, running, table, trimmed
+from vigil.llm.textcodec import SLICE, byte_level_ids
 
 #: Rolling hash: ids it looks back on; a cut where the low bits are zero (a chunk has 512 ids on average).
 LOOK_BACK = 8
@@ -90,7 +90,7 @@ def key_of(width: int, payload: bytes) -> bytes:
     return hashlib.sha256(payload if width == 2 else b"4" + payload).digest()
 
 
-def _encode(path: str, end_id: int, step: int = 256):
+def _encode(path: str, end_id: int, most: int = SLICE):
     end = np.array([end_id], dtype="<u4").tobytes()
     fields = ["kind", "doc_id", "row", "n_tokens", "keys", "root", "key", "width", "payload"]
     types = [pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
@@ -98,8 +98,7 @@ def _encode(path: str, end_id: int, step: int = 256):
     def run(batches):
         sent: set[bytes] = set()  # this task's recent chunks; only spares repeats, the store removes the rest
         for b in batches:
-            for at in range(0, b.num_rows, step):
-                c = b.slice(at, step)
+            for c in by_bytes(b, most=most):
                 streams = [raw + end for raw in byte_level_ids(path, c.column("text").to_pylist())]
                 ids = np.frombuffer(b"".join(streams), "<u4")
                 narrow = ids.astype("<u2")

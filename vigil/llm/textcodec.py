@@ -12,6 +12,7 @@ import sys
 from array import array
 
 import numpy as np
+import pyarrow as pa
 
 #: Units that a worker remembers. Bounds memory, never results.
 MEMO_UNITS = 400_000
@@ -71,6 +72,92 @@ WORD_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|[^\sa-z0-
 BYTE_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z{LATIN}]+| ?[0-9]+| ?[^\sA-Za-z0-9{LATIN}]+|\s+(?!\S)|\s+").findall
 
 
+#: Kind of each byte of a plain text: white space, letter (all bytes beyond ASCII), digit, other.
+SPACE, LETTER, DIGIT, OTHER = range(4)
+KIND = np.full(256, OTHER, dtype=np.uint8)
+KIND[[10, 32]] = SPACE
+KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = LETTER
+KIND[48:58] = DIGIT
+#: Characters of plain texts that are split and looked up together.
+SLICE = 4 << 20
+#: A blank between others is the start of a pre-token.
+BETWEEN = re.compile(r"\S \S")
+
+
+def byte_split_starts(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where the pre-tokens of BYTE_SPLIT start in plain non-empty texts that lie side by side in ``raw`` (UTF-8 bytes), each up to one of ``ends``."""
+    kind = KIND[raw]
+    space, start = kind == SPACE, np.ones(len(raw), dtype=bool)
+    # a run of one kind, with the blank before it; of white space, the last place goes to what follows
+    start[1:] = np.where(space[1:], ~space[:-1], (kind[1:] != kind[:-1]) & (raw[:-1] != 32))
+    ahead = np.zeros(len(raw), dtype=bool)
+    ahead[:-1] = ~space[1:]
+    ahead[ends - 1] = False
+    start |= space & ahead
+    start[ends[:-1]] = True
+    # an apostrophe that starts a pre-token takes one of the endings with it
+    at = np.flatnonzero(start & (raw == 39))
+    stop = ends[np.searchsorted(ends, at, side="right")]
+    padded = np.append(raw, np.zeros(2, dtype=np.uint8)).astype(np.int32)
+    a, b = padded[at + 1], padded[at + 2]
+    short = np.isin(a, list(b"stmd")) & (at + 1 < stop)
+    long = np.isin(a << 8 | b, [int.from_bytes(x) for x in (b"re", b"ve", b"ll")]) & (at + 2 < stop)
+    start[at[short | long] + 1] = False
+    after = at + np.where(short, 2, 3)
+    start[after[(short | long) & (after < stop)]] = True
+    return np.flatnonzero(start)
+
+
+def _pieces(text: str):
+    """``text`` in pieces of about SLICE characters, cut between pre-tokens where there is such a place."""
+    at = 0
+    while len(text) - at > SLICE and (cut := BETWEEN.search(text, at + SLICE)):
+        yield text[at : cut.start() + 1]
+        at = cut.start() + 1
+    yield text[at:]
+
+
+def _plain_group(path: str, pieces: list[bytes]) -> list[bytes]:
+    """Ids of plain non-empty pieces: each distinct pre-token is looked up once, and its ids are copied to its places."""
+    data = b"".join(pieces)
+    ends = np.cumsum([len(x) for x in pieces])
+    starts = byte_split_starts(np.frombuffer(data, np.uint8), ends)
+    bounds = np.append(starts, len(data))
+    offsets = bounds.astype(np.int64)
+    coded = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
+    found = list(map(pretokens(path).__getitem__, coded.dictionary.to_pylist()))
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    index, first = coded.indices.to_numpy(), np.cumsum(sizes) - sizes
+    n = sizes[index]
+    last = np.cumsum(n)
+    ids = np.frombuffer(b"".join(found), "<u4")[np.arange(last[-1]) + np.repeat(first[index] - (last - n), n)].tobytes()
+    cut = [0, *(4 * last[np.searchsorted(starts, ends) - 1]).tolist()]
+    return [ids[a:b] for a, b in zip(cut, cut[1:])]
+
+
+def plain_ids(path: str, texts: list[str]) -> list[bytes]:
+    """Ids of plain non-empty texts under a byte-level BPE, ``SLICE`` characters at a time."""
+    out: list[list[bytes]] = [[] for _ in texts]
+    owners, group, size = [], [], 0
+
+    def flush():
+        for i, ids in zip(owners, _plain_group(path, group) if group else [], strict=True):
+            out[i].append(ids)
+        owners.clear()
+        group.clear()
+
+    for i, text in enumerate(texts):
+        for piece in _pieces(text):
+            owners.append(i)
+            group.append(piece.encode())
+            size += len(piece)
+            if size >= SLICE:
+                flush()
+                size = 0
+    flush()
+    return [b"".join(x) for x in out]
+
+
 def _byte_names() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies."""
     keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -121,27 +208,28 @@ RUN = re.compile(r"\s \s")
 def byte_level_ids(path: str, texts: list[str | None]) -> list[bytes]:
     """Ids of whole texts under a byte-level BPE whose pre-tokens take one leading blank.
 
-    Plain texts are split into pre-tokens here. In others the pre-tokenizer still starts a new pre-token at
+    Plain texts are split into pre-tokens here, many at a time. In others the pre-tokenizer still starts a new pre-token at
     a blank, except inside a run of white space; texts with such runs or with special-token strings go to
     the library whole.
     """
-    split, whole = {}, {}
+    split, whole, plain = {}, {}, {}
     units: set[str] = set()
     out = [b""] * len(texts)
-    get = pretokens(path).__getitem__
     for i, t in enumerate(texts):
         if not t:
             continue
         if "<|" in t:
             whole[i] = t
         elif PLAIN(t):
-            out[i] = b"".join(map(get, BYTE_SPLIT(t)))
+            plain[i] = t
         elif t[0].isspace() or t[-1].isspace() or RUN.search(t):
             whole[i] = t
         else:
             first, *rest = t.split(" ")
             split[i] = parts = [first, *[" " + u for u in rest]]
             units.update(parts)
+    for i, ids in zip(plain, plain_ids(path, list(plain.values())), strict=True):
+        out[i] = ids
     if split:
         get = dict(zip(units, encode_units(path, BYTE_SPLIT, list(units)), strict=True)).__getitem__
         for i, parts in split.items():
