@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.text import spans
+from vigil.plans.staging import ensure_checkpoint_dir
 from vigil.sources import rules
 from vigil.sources.rules import BUILT_IN, Pack
 
@@ -113,6 +114,7 @@ def typosquat(labels: DataFrame, pack: Pack = BUILT_IN) -> DataFrame:
     k = spark.createDataFrame(known, "ord int, brand_id string, domain string, known string")
     own = [x[3] for x in known]
     asked = labels.where(~F.col("label").isin(own) & (F.col("label") != "")).select("label").distinct()
+    asked = asked.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "label")  # few bytes, much work: not to be coalesced
     budget = F.when(F.length("known") <= pack.short_label, pack.short_distance).otherwise(pack.long_distance)
     near = F.levenshtein("label", "known", 2 * pack.long_distance)
     pairs = asked.join(F.broadcast(k), ((near >= 0) & (near <= 2 * budget) | F.col("label").contains(F.col("known")) & (F.length("known") >= rules.LEAST_CONTAINED) | (squash(F.col("label")) == squash(F.col("known")))))
@@ -126,11 +128,14 @@ def host_facts(hosts: DataFrame, suffixes: DataFrame, pack: Pack = BUILT_IN) ->
 
     Look-alikes are sought in the label as it was written, lists are asked for the registrable name in ASCII form.
     """
-    base = registrable(hosts.select("host").distinct(), suffixes)
+    spark = hosts.sparkSession
+    ensure_checkpoint_dir(spark)  # distinct hosts, and what is known of their names, are asked several times
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    base = registrable(hosts.select("host").distinct().repartition(parts, "host").checkpoint(), suffixes)
     base = base.select("host", is_ip(F.col("host")).alias("ip"), "registrable", "original", F.substring_index("original", ".", 1).alias("label"), F.substring_index("registrable", ".", -1).alias("tld"))
-    base = base.withColumn("folded", fold(F.col("label"), pack))
+    base = base.withColumn("folded", fold(F.col("label"), pack)).checkpoint()
     both = base.select("label").union(base.select(F.col("folded").alias("label"))).where("label is not null").distinct()
-    hit = typosquat(both, pack).select("label", F.col("brand_id").alias("squat"))
+    hit = typosquat(both, pack).select("label", F.col("brand_id").alias("squat")).checkpoint()
     own = [x[3] for x in pack.brand_domains()]
     raw, folded = hit.withColumnRenamed("label", "l1").withColumnRenamed("squat", "squat_raw"), hit.withColumnRenamed("label", "l2").withColumnRenamed("squat", "squat_folded")
     out = base.join(raw, base["label"] == raw["l1"], "left").join(folded, base["folded"] == folded["l2"], "left")

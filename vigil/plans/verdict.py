@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from vigil.operators import urls as U
 from vigil.operators.analyzers import analyzed
 from vigil.operators.scoring import CATEGORY_WEIGHT, scored
-from vigil.plans.staging import ensure_checkpoint_dir
 from vigil.sources import rules
 from vigil.sources.rules import BUILT_IN, Pack
 
@@ -31,9 +30,7 @@ def signals(messages: DataFrame, pack: Pack = BUILT_IN) -> DataFrame:
     spark = messages.sparkSession
     base = analyzed(messages, pack)
     links = U.extract(messages, pack)
-    ensure_checkpoint_dir(spark)
-    hosts = links.select("host").distinct().checkpoint()  # facts are asked several times of the distinct hosts alone
-    found = U.evidence(links, U.host_facts(hosts, pack.suffix_rows(spark), pack))
+    found = U.evidence(links, U.host_facts(links, pack.suffix_rows(spark), pack))
     per = found.groupBy("msg_id").agg(F.array_sort(F.collect_list(F.struct("ord", "pos", "type", "severity"))).alias("url_evidence"))
     out = base.join(per, "msg_id", "left").withColumn("url_evidence", F.coalesce("url_evidence", F.array().cast("array<struct<ord: int, pos: int, type: string, severity: int>>")))
     sender_severity = F.coalesce(*[F.when(F.col("sender") == t, F.lit(s)) for t, s in SENDER_SEVERITY.items()])

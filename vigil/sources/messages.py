@@ -34,10 +34,16 @@ def messages_sql(orders: str = "orders", customer: str = "customer") -> str:
              o_orderkey % 17 AS k, o_orderkey % 9000 + 1000 AS n FROM {orders} JOIN {customer} ON o_custkey = c_custkey) AS o"""
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """``df``, dealt out by ``key`` if it is read in fewer splits than there are cores: what follows is much work on each row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """msg_id, cust_id, nation_id, segment, sender_hint, text: one message for each order."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    return spark.sql(messages_sql("{orders}", "{customer}"), orders=read("orders"), customer=read("customer"))
+    return spark.sql(messages_sql("{orders}", "{customer}"), orders=dealt(read("orders").select("o_orderkey", "o_custkey"), "o_orderkey"), customer=read("customer"))
 
 
 def from_csv(spark: SparkSession, path: str, column: str) -> DataFrame:
