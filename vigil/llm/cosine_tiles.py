@@ -161,10 +161,11 @@ def _tiled(turned: DataFrame, tile: int) -> DataFrame:
     cut = n.select("label", "n", tiles.alias("tiles"), F.transform(F.sequence(F.lit(1), F.greatest(tiles - 1, F.lit(1))), lambda k: F.element_at("cuts", F.least(F.greatest((k * 1024 / tiles).cast("int"), F.lit(1)), F.lit(1023)))).alias("cuts"))
     ranged = turned.join(small(cut, 1_000), "label")
     rank = F.when(F.col("tiles") > 1, F.size(F.filter("cuts", lambda c: c <= F.col("lead")))).otherwise(0)
-    # ties on the first axis, and labels of over 1024 tiles, are cut further by a hash
-    finer = F.greatest(F.ceil(F.col("n") / F.col("tiles") / tile), F.lit(1)).cast("int")
-    own = rank * finer + F.pmod(F.xxhash64("cid", F.lit(5)), finer).cast("int")
-    return ranged.select("label", "cid", "weight", "v", "lead", own.alias("tile"))
+    ranged = ranged.select("label", "cid", "weight", "v", "lead", rank.cast("long").alias("rank"))
+    # a range with more classes than a tile, as ties on the first axis make, is cut further by a hash, by its own size
+    parts = ranged.groupBy("label", "rank").agg(F.greatest(F.ceil(F.count("*") / tile), F.lit(1)).alias("parts"))
+    cut = ranged.join(small(parts, 1_000_000), ["label", "rank"])
+    return cut.select("label", "cid", "weight", "v", "lead", (F.col("rank") * (1 << 32) + F.pmod(F.xxhash64("cid", F.lit(5)), "parts")).alias("tile"))
 
 
 def _meetings(tiled: DataFrame, threshold: float) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import filtered, table, trimmed
+from vigil.llm.common import by_bytes, filtered, table, trimmed
 
 #: Errors that an item of n bytes may have: n // PER_ERROR.
 PER_ERROR = 14
@@ -125,7 +125,7 @@ class Matcher:
 def _scan(items: list[tuple[int | None, bytes]], per_error: int):
     def run(batches):
         matcher = Matcher(items, per_error)
-        for b in batches:
+        for b in (part for whole in batches for part in by_bytes(whole)):
             rows = []
             for doc, raw in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 if raw:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vigil.llm.common import crc_mod, discard, staged, table, trimmed, where
+from vigil.llm.common import by_bytes, crc_mod, discard, staged, table, trimmed, where
 
 STATES, TOP, HASHED = 8, 1_023, 1_024
 END = TOP + HASHED
@@ -37,6 +37,8 @@ STRETCH = 64
 BLOCK = 6 << 20
 FOLDS, HELD_OUT = 7, 2
 ZSTD = pa.Codec("zstd", compression_level=1)
+#: Bytes of classes (two for each token) of the documents that are worked on together.
+HELD_CLASSES = 2 << 20
 #: Added to every expected count.
 PRIOR = 0.01
 
@@ -266,14 +268,13 @@ def _expect(model: Model, step: int = 2_048):
         out = np.zeros(WIDTH)
         ll = 0.0
         for b in batches:
-            if b.num_rows:
-                for at in range(0, b.num_rows, step):
-                    obs, first = stretches(b.column("classes").slice(at, step).to_pylist())
-                    short = (obs >= 0).sum(axis=1)
-                    order = np.argsort(short, kind="stable")
-                    for s in range(0, len(order), step):
-                        some = order[s : s + step]
-                        ll += expected(model, obs[some, : int(short[some].max())], first[some], out)
+            for part in by_bytes(b, "classes", HELD_CLASSES):
+                obs, first = stretches(part.column("classes").to_pylist())
+                short = (obs >= 0).sum(axis=1)
+                order = np.argsort(short, kind="stable")
+                for s in range(0, len(order), step):
+                    some = order[s : s + step]
+                    ll += expected(model, obs[some, : int(short[some].max())], first[some], out)
         yield pa.RecordBatch.from_pydict({"sums": pa.array([out.astype("<f8").tobytes()], pa.binary()), "ll": [ll]})
 
     return run
@@ -304,29 +305,26 @@ def forward(model: Model, rows: list[bytes]) -> np.ndarray:
     longest = int(size[0]) if n else 0
     alive = np.searchsorted(-size, -np.arange(longest), side="left")
     start = np.concatenate(([0], np.cumsum(alive))).astype(np.int64)
-    flat = np.empty(start[-1], dtype=np.int64)
+    flat = np.empty(start[-1], dtype=np.uint16)
     for r, i in enumerate(order):
         flat[start[: len(seqs[i])] + r] = seqs[i]
     emit = model.emit.T.copy()
-    scale = np.empty(start[-1])
-    x = None
+    logs, x = np.zeros(n), None
     for s in range(longest):
         prior = np.broadcast_to(model.first, (n, STATES)) if s == 0 else x[: alive[s]] @ model.move
         x = prior * emit[flat[start[s] : start[s + 1]]]
         z = x.sum(axis=1)
         x /= z[:, None]
-        scale[start[s] : start[s + 1]] = z
-    logs = np.log10(scale)
+        logs[: alive[s]] += np.log10(z)
     total = np.empty(n)
-    for r, i in enumerate(order):
-        total[i] = logs[start[: len(seqs[i])] + r].sum()
+    total[order] = logs
     return total
 
 
 def _score(model: Model, tokens: int):
     def run(batches):
-        for b in batches:
-            ll = forward(model, b.column("classes").to_pylist()) if b.num_rows else np.zeros(0)
+        for b in (part for whole in batches for part in by_bytes(whole, "classes", HELD_CLASSES)):
+            ll = forward(model, b.column("classes").to_pylist())
             cols = [b.column("doc_id"), b.column("held"), b.column("n_tokens"), b.column("n_known"), pa.array([tokens] * b.num_rows, pa.int64()), b.column("base_score")]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(ll + b.column("within").to_numpy(), pa.float64())], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import crc_mod, filtered, table, trimmed
+from vigil.llm.common import by_bytes, crc_mod, filtered, table, trimmed
 
 #: Learn about so many documents of each language.
 SAMPLE = 2_000
@@ -79,7 +79,7 @@ def segments(raw: bytes, model: np.ndarray, piece: int = PIECE) -> np.ndarray:
 def _count(batches):
     """Trigram counts of this task's sample, by language."""
     sums: dict[str, np.ndarray] = {}
-    for b in batches:
+    for b in (part for whole in batches for part in by_bytes(whole)):
         for lang, raw in zip(b.column("lang").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
             if raw:
                 got = sums.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
@@ -167,7 +167,7 @@ def predict(langs: list[str], model: np.ndarray, raws: list[bytes | None], step:
 
 def _predict(langs: list[str], model: np.ndarray):
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in by_bytes(whole)):
             got = predict(langs, model, b.column("text").cast(pa.binary()).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.list_(pa.string()))], ["doc_id", "held_out", "lang_pred", "score", "langs"])
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import crc_mod, filtered, staged, table, trimmed
+from vigil.llm.common import by_bytes, crc_mod, filtered, staged, table, trimmed
 
 SAMPLE = 4_000
 #: Documents without toxicity for each toxic one's share of the sample.
@@ -120,7 +120,7 @@ def evidence(logits: np.ndarray) -> tuple[float, float]:
 
 
 def _doc_features(batches):
-    for b in batches:
+    for b in (part for whole in batches for part in by_bytes(whole)):
         for tox, raw in zip(b.column("toxic").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
             seen = {f for w in set((raw or b"").lower().split()) for f in features(w)}
             if seen:
@@ -134,7 +134,7 @@ def _windows(marks: frozenset):
     k = 1 + len(PREFIXES)
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in by_bytes(whole)):
             f, y = [], []
             for tox, raw in zip(b.column("toxic").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 ws = (raw or b"").lower().split()
@@ -231,24 +231,11 @@ def _logits(raws: list, emission: Emission, t: np.ndarray) -> list[np.ndarray]:
     return marginals([np.fromiter(map(get, (r or b"").lower().split()), dtype=np.float64) for r in raws], t)
 
 
-def slices(raws: list, most: int = 16 << 20):
-    """(start, end) of runs of texts of about ``most`` bytes."""
-    at = 0
-    while at < len(raws):
-        size, end = 0, at
-        while end < len(raws) and (end == at or size < most):
-            size += len(raws[end] or b"")
-            end += 1
-        yield at, end
-        at = end
-
-
 def _points(weights: tuple, t: np.ndarray):
     def run(batches):
         emission = Emission(weights)
-        for b in batches:
-            raws = b.column("text").cast(pa.binary()).to_pylist()
-            pts = [evidence(x) for s, e in slices(raws) for x in _logits(raws[s:e], emission, t)]
+        for b in (part for whole in batches for part in by_bytes(whole)):
+            pts = [evidence(x) for x in _logits(b.column("text").cast(pa.binary()).to_pylist(), emission, t)]
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array([p for p, _ in pts], pa.float64()), pa.array([q for _, q in pts], pa.float64())], ["toxic", "top", "total"])
 
     return run
@@ -309,14 +296,12 @@ def _score(model: Model | None):
     def run(batches):
         emission = Emission(model.weights) if model else None
         least = math.log(SPAN / (1 - SPAN))
-        for b in batches:
+        for b in (part for whole in batches for part in by_bytes(whole)):
             raws = b.column("text").cast(pa.binary()).to_pylist()
-            score, spans = [], []
             if model:
-                for s, e in slices(raws):
-                    logits = _logits(raws[s:e], emission, model.transitions)
-                    score += model.score(np.array([evidence(x) for x in logits])).tolist()
-                    spans += [offsets(r or b"", x, least) for r, x in zip(raws[s:e], logits, strict=True)]
+                logits = _logits(raws, emission, model.transitions)
+                score = model.score(np.array([evidence(x) for x in logits])).tolist()
+                spans = [offsets(r or b"", x, least) for r, x in zip(raws, logits, strict=True)]
             else:
                 score, spans = [0.0] * len(raws), [[] for _ in raws]
             flat = pa.array([[{"start": a, "end": z} for a, z in x] for x in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
@@ -342,14 +327,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Data
     def make():
         emission = Emission(model.weights)
 
-        def test(raws):
-            out = []
-            for s, e in slices(raws):
-                pts = np.array([evidence(x) for x in _logits(raws[s:e], emission, model.transitions)])
-                out += (model.score(pts) < LIMIT).tolist()
-            return out
-
-        return test
+        return lambda raws: (model.score(np.array([evidence(x) for x in _logits(raws, emission, model.transitions)])) < LIMIT).tolist()
 
     return filtered(docs, make)
 
