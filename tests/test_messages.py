@@ -57,7 +57,7 @@ def test_distance_budget_equals_dynamic_programming(spark):
             elif i + 1 < len(b):
                 b[i], b[i + 1] = b[i + 1], b[i]
         pairs.append(("".join(a), "".join(b)))
-    rows = [(a, b, k) for a, b in pairs for k in (1, 2)]
+    rows = [(a, b, k) for a, b in pairs for k in (1, 2, 3, 4)]
     df = spark.createDataFrame(rows, "a string, b string, k int")
     for r in df.select("*", U.within(F.col("a"), F.col("b"), F.col("k")).alias("fit")).collect():
         assert r.fit == (osa(r.a, r.b) <= r.k), r

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from vigil.functions import text as T
+from vigil.operators import anchors as H
 from vigil.operators import analyzers as A
 from vigil.operators import rows as R
 from vigil.operators import scoring as Sc
@@ -12,7 +15,7 @@ from vigil.operators import urls as U
 from vigil.plans import oracle as O
 from vigil.plans import verdict as V
 from vigil.sources import rules
-from vigil.sources.messages import messages
+from vigil.sources.messages import HTML_SQL, domain_ages, html_messages, messages, ranked_domains
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -32,6 +35,18 @@ def read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _known(spark, sf_dir):
+    """The built-in pack with a reputation filter of the ranked domains."""
+    from vigil.sources import pack
+
+    own = spark.createDataFrame([(d,) for b in rules.BRANDS for d in b[3]], "domain string")
+    return replace(rules.BUILT_IN, reputation=pack.parse_reputation(pack.reputation_bytes(ranked_domains(spark, sf_dir), own)))
+
+
+def _verdicts(spark, sf_dir, temperature=None):
+    return V.verdicts(messages(spark, sf_dir), temperature, _known(spark, sf_dir), domain_ages(spark, sf_dir))
+
+
 def _r(c, n=6):
     return F.round(F.col(c).cast("double") if isinstance(c, str) else c.cast("double"), n)
 
@@ -39,36 +54,36 @@ def _r(c, n=6):
 @query(O.q(O.CHAIN, select="SELECT n_name, segment, verdict, count(*) AS n_messages, round(avg(score::DOUBLE), 5) AS avg_score FROM v JOIN nation ON nation_id = n_nationkey GROUP BY ALL"))
 def verdict_by_segment(spark, sf_dir):
     nation = read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    v = V.verdicts(messages(spark, sf_dir)).join(nation, F.col("nation_id") == F.col("n_nationkey"))
+    v = _verdicts(spark, sf_dir).join(nation, F.col("nation_id") == F.col("n_nationkey"))
     return v.groupBy("n_name", "segment", "verdict").agg(F.count("*").alias("n_messages"), F.round(F.avg(F.col("score").cast("double")), 5).alias("avg_score"))
 
 
 @query(O.q(O.CHAIN, select="SELECT msg_id, verdict, confidence, round(score::DOUBLE, 5) AS score, round(uw::DOUBLE, 5) AS url_weight, round(sw::DOUBLE, 5) AS sender_weight, round(pw::DOUBLE, 5) AS pattern_weight, forced FROM v"))
 def fusion_verdict(spark, sf_dir):
-    v = V.verdicts(messages(spark, sf_dir))
+    v = _verdicts(spark, sf_dir)
     return v.select("msg_id", "verdict", "confidence", *[_r(c, 5).alias(c) for c in ("score", "url_weight", "sender_weight", "pattern_weight")], "forced")
 
 
 @query(O.q(O.CHAIN, O.EVIDENCE, select="SELECT msg_id, rank::INT AS rank, type, severity::INT AS severity FROM ranked"))
 def evidence_ranked(spark, sf_dir):
-    df = V.ordered_evidence(V.verdicts(messages(spark, sf_dir)))
+    df = V.ordered_evidence(_verdicts(spark, sf_dir))
     return df.select("msg_id", F.posexplode("evidence").alias("rank", "e")).select("msg_id", (F.col("rank") + 1).alias("rank"), "e.type", (-F.col("e.s")).alias("severity"))
 
 
-@query(O.q(O.CHAIN, O.EVIDENCE, "t AS (SELECT * FROM " + rules.values_sql(list(rules.TEMPLATES.items()), "v", "type, words") + ")", select="SELECT v.msg_id, v.verdict, max(words) FILTER (rank = 1) AS top1, max(words) FILTER (rank = 2) AS top2, max(words) FILTER (rank = 3) AS top3, greatest(count(rank) - 3, 0)::INT AS remaining, CASE WHEN v.verdict = 'SAFE' THEN 0 ELSE 5 END AS n_actions FROM v LEFT JOIN ranked USING (msg_id) LEFT JOIN t USING (type) GROUP BY v.msg_id, v.verdict"))
+@query(O.q(O.CHAIN, O.EVIDENCE, "t AS (SELECT * FROM " + rules.values_sql([(k, w, rules.AGED.get(k)) for k, w in rules.TEMPLATES.items()], "v", "type, words, aged") + ")", "said AS (SELECT msg_id, rank, " + O.worded("CASE WHEN age_days IS NOT NULL THEN coalesce(aged, words) ELSE words END") + " AS words FROM ranked JOIN t USING (type))", select="SELECT v.msg_id, v.verdict, max(words) FILTER (rank = 1) AS top1, max(words) FILTER (rank = 2) AS top2, max(words) FILTER (rank = 3) AS top3, greatest(count(rank) - 3, 0)::INT AS remaining, CASE WHEN v.verdict = 'SAFE' THEN 0 ELSE 5 END AS n_actions FROM v LEFT JOIN said USING (msg_id) GROUP BY v.msg_id, v.verdict"))
 def explanations(spark, sf_dir):
-    return V.explained(V.ordered_evidence(V.verdicts(messages(spark, sf_dir))))
+    return V.explained(V.ordered_evidence(_verdicts(spark, sf_dir)))
 
 
 @query(O.q(O.CHAIN, O.HINTS, "top_hint AS (SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY total DESC, first) AS r FROM sums)", select="""SELECT v.msg_id, v.verdict, CASE WHEN v.verdict = 'SAFE' THEN 'NOT_SCAM' ELSE coalesce(category, 'OTHER_SCAM') END AS category,
   CASE WHEN v.verdict = 'SAFE' OR total >= 0.7 THEN 'HIGH' WHEN total >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS category_confidence FROM v LEFT JOIN top_hint ON v.msg_id = top_hint.msg_id AND r = 1"""))
 def category_argmax(spark, sf_dir):
-    return V.categories(V.verdicts(messages(spark, sf_dir)))
+    return V.categories(_verdicts(spark, sf_dir))
 
 
 @query(O.q(O.CHAIN, O.HINTS, select="SELECT msg_id, category, round(total, 5) AS total FROM sums"))
 def category_hints(spark, sf_dir):
-    return V.hints(V.verdicts(messages(spark, sf_dir))).groupBy("msg_id", "category").agg(F.round(F.sum(F.col("hint").cast("double")), 5).alias("total"))
+    return V.hints(_verdicts(spark, sf_dir)).groupBy("msg_id", "category").agg(F.round(F.sum(F.col("hint").cast("double")), 5).alias("total"))
 
 
 @query(O.q(O.MESSAGES, select="SELECT msg_id, normalized, lang FROM msgs"))
@@ -101,14 +116,29 @@ def ip_hosts(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", host.alias("host")).withColumn("ip", U.is_ip(F.col("host")))
 
 
-_ANCHOR = r'<a [^>]*href="https?://([^/"?#:]+)[^"]*"[^>]*>([^<]*)</a>'
+@query(O.q(O.anchors("SELECT page_id AS msg_id, html, url FROM pages"), "urls AS (SELECT msg_id, host FROM anchor_links WHERE host <> '')", O.registrable("urls"), select="SELECT msg_id AS page_id, ord, a.host, shown, registrable, CASE WHEN registrable IS NULL THEN NULL ELSE NOT contains(lower(shown), lower(registrable)) END AS mismatch FROM anchor_links a JOIN reg ON reg.host = a.host"))
+def link_text_mismatch(spark, sf_dir):
+    links = H.links(read(spark, sf_dir, "pages").select(F.col("page_id").alias("msg_id"), "html", "url"))
+    on = links.join(U.registrable(links.select("host").distinct(), rules.suffixes(spark)), "host")
+    return on.select(F.col("msg_id").alias("page_id"), "ord", "host", F.col("display_text").alias("shown"), "registrable", (~F.contains(F.lower("display_text"), F.lower("registrable"))).alias("mismatch"))
 
 
-@query(rf"""SELECT page_id, host, shown, NOT contains(lower(shown), lower(host)) AS mismatch FROM (SELECT page_id, regexp_extract(a, '{_ANCHOR}', 1) AS host, regexp_extract(a, '{_ANCHOR}', 2) AS shown
-  FROM (SELECT page_id, unnest(regexp_extract_all(html, '{_ANCHOR}')) AS a FROM pages))""")
-def link_text_mismatch(spark, sf_dir):
-    a = read(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(_ANCHOR), 0)).alias("a"))
-    return a.select("page_id", F.regexp_extract("a", _ANCHOR, 1).alias("host"), F.regexp_extract("a", _ANCHOR, 2).alias("shown")).withColumn("mismatch", ~F.contains(F.lower("shown"), F.lower("host")))
+_HTML = f"html_messages AS ({HTML_SQL.format(orders='orders')})"
+
+
+@query(O.q(_HTML, O.anchors("SELECT msg_id, html, NULL AS url FROM html_messages"), "urls AS (SELECT * FROM anchor_links)", O.FACTS, O.url_evidence("urls", "shown"), select="SELECT msg_id, ord, pos::INT AS pos, type, severity::INT AS severity, displayed, actual, domain FROM url_ev"))
+def html_evidence(spark, sf_dir):
+    """Evidence of links in HTML messages, which may show one domain and lead to another."""
+    links, p = H.links(html_messages(spark, sf_dir).withColumn("url", F.lit(None).cast("string"))), _known(spark, sf_dir)
+    e = U.evidence(links, U.host_facts(links, rules.suffixes(spark), p, domain_ages(spark, sf_dir)), p)
+    return e.select("msg_id", "ord", "pos", "type", "severity", "slots.displayed", "slots.actual", "slots.domain")
+
+
+@query(O.q(O.MESSAGES, _HTML, O.URLS, O.anchors("SELECT msg_id, html, NULL AS url FROM html_messages"), "text_urls AS (SELECT msg_id, ord, host, scheme, path, NULL::VARCHAR AS shown, raw, start FROM urls), all_links AS (SELECT * FROM text_urls UNION ALL SELECT msg_id, ord + 16777216, host, scheme, path, shown, raw, NULL FROM anchor_links)", O.FACTS.replace("FROM urls", "FROM all_links"), O.url_evidence("all_links", "shown"), O.CLAIMS, O.SENDER, O.FIRED, O.VERDICT, select="SELECT msg_id, verdict, confidence, round(score::DOUBLE, 5) AS score FROM v"))
+def html_verdict(spark, sf_dir):
+    """Verdicts of messages that come with HTML beside their text."""
+    both = messages(spark, sf_dir).join(html_messages(spark, sf_dir), "msg_id")
+    return V.verdicts(both, None, _known(spark, sf_dir), domain_ages(spark, sf_dir)).select("msg_id", "verdict", "confidence", _r("score", 5).alias("score"))
 
 
 @query(O.q(O.MESSAGES, O.URLS, O.FACTS, select="SELECT label, brand_id, known, domain FROM squat"))
@@ -120,16 +150,17 @@ def typosquat_first_hit(spark, sf_dir):
     return U.typosquat(both)
 
 
-@query(O.q(O.MESSAGES, O.URLS, O.FACTS, select="SELECT host, registrable AS original, folded, squat, mixed, shortener, bad_tld FROM facts"))
+@query(O.q(O.MESSAGES, O.URLS, O.FACTS, select="SELECT host, registrable AS original, folded, squat, squat_domain, mixed, shortener, bad_tld, age_days::VARCHAR AS age_days, coalesce(unknown_age, false) AS unknown_age FROM facts"))
 def host_facts(spark, sf_dir):
-    f = U.host_facts(U.extract(messages(spark, sf_dir)), rules.suffixes(spark))
-    return f.select("host", "original", U.fold(F.col("label")).alias("folded"), "squat", "mixed", "shortener", "bad_tld")
+    f = U.host_facts(U.extract(messages(spark, sf_dir)), rules.suffixes(spark), _known(spark, sf_dir), domain_ages(spark, sf_dir))
+    return f.select("host", "original", U.fold(F.col("label")).alias("folded"), "squat", "squat_domain", "mixed", "shortener", "bad_tld", F.col("age_days").cast("string").alias("age_days"), F.coalesce("unknown_age", F.lit(False)).alias("unknown_age"))
 
 
-@query(O.q(O.MESSAGES, O.URLS, O.FACTS, O.URL_EVIDENCE, select="SELECT msg_id, ord::INT AS ord, pos::INT AS pos, type, severity::INT AS severity FROM url_ev"))
+@query(O.q(O.MESSAGES, O.URLS, O.FACTS, O.URL_EVIDENCE, select='SELECT msg_id, ord::INT AS ord, pos::INT AS pos, type, severity::INT AS severity, start, stop AS "end", actual, brand, real_domain, path, domain, age_days FROM url_ev'))
 def url_evidence(spark, sf_dir):
-    links = U.extract(messages(spark, sf_dir))
-    return U.evidence(links, U.host_facts(links, rules.suffixes(spark)))
+    links, p = U.extract(messages(spark, sf_dir)), _known(spark, sf_dir)
+    e = U.evidence(links, U.host_facts(links, rules.suffixes(spark), p, domain_ages(spark, sf_dir)), p)
+    return e.select("msg_id", "ord", "pos", "type", "severity", "start", "end", *[f"slots.{c}" for c in ("actual", "brand", "real_domain", "path", "domain", "age_days")])
 
 
 @query(O.q(O.MESSAGES, O.CLAIMS, select="SELECT msg_id, brand_id, name, alias FROM claims"))
@@ -181,9 +212,9 @@ def _texts(spark, sf_dir):
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), "text")
 
 
-@query(f"SELECT doc_id AS ord, 'sms_web_' || lpad((row_number() OVER (ORDER BY doc_id) - 1)::VARCHAR, 6, '0') AS id, {O.scrub_sql('text')} AS text, 'EN' AS lang, 'web' AS source FROM documents")
+@query(f"SELECT doc_id AS ord, 'sms_web_' || lpad((row_number() OVER (ORDER BY doc_id) - 1)::VARCHAR, 6, '0') AS id, {O.scrub_sql('text')} AS text, 'EN' AS lang, 'web' AS source, '2024-05-01' AS collected_at FROM documents")
 def ingest_rows(spark, sf_dir):
-    return D.ingest(_texts(spark, sf_dir), "web", "EN")
+    return D.ingest(_texts(spark, sf_dir), "web", "EN", collected_at="2024-05-01")
 
 
 def _conversation_rows(spark, sf_dir):
@@ -365,6 +396,11 @@ def latency_nearest_rank(spark, sf_dir):
     return M.nearest_rank(read(spark, sf_dir, "events").select("event_type", "value"), "value", "event_type")
 
 
+@query("WITH s AS (SELECT user_id, list_sort(list(value)) AS v, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY user_id) SELECT user_id, n, v[least((n * 95) // 100, n - 1) + 1] AS p95, v[least((n * 95) // 100, n - 1) + 1] < 50 AS passed FROM s")
+def latency_budget(spark, sf_dir):
+    return M.within_budget(read(spark, sf_dir, "events").select("user_id", "value"), "value", "user_id")
+
+
 _TOKENS = r"tok AS (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+')) AS token FROM documents), cnt AS (SELECT token, count(*) AS freq FROM tok GROUP BY token)"
 
 
@@ -474,14 +510,14 @@ def classifier_signal(spark, sf_dir):
 
 @query(O.q(O.CHAIN, O.MODEL, select="SELECT msg_id, verdict, confidence, round(score::DOUBLE, 4) AS score FROM mverdict"))
 def fusion_with_model(spark, sf_dir):
-    return V.verdicts(messages(spark, sf_dir), 1.5).select("msg_id", "verdict", "confidence", _r("score", 4).alias("score"))
+    return _verdicts(spark, sf_dir, 1.5).select("msg_id", "verdict", "confidence", _r("score", 4).alias("score"))
 
 
 @query(O.q(O.CHAIN, O.MODEL, """ev AS (SELECT msg_id, severity, uw AS weight, 1 AS sig, ord AS a, pos AS b, type FROM url_ev JOIN v USING (msg_id)
   UNION ALL SELECT msg_id, ss, sw, 2, 0, 0, sender FROM v WHERE sender IS NOT NULL UNION ALL SELECT msg_id, severity, pw, 3, ord, 0, type FROM fired JOIN v USING (msg_id)
   UNION ALL SELECT msg_id, CASE mt WHEN 'MODEL_HIGH_SCAM_SCORE' THEN 1 ELSE 0 END, p::FLOAT, 4, 0, 0, mt FROM model WHERE mt IS NOT NULL)""", select="SELECT msg_id, (row_number() OVER (PARTITION BY msg_id ORDER BY severity DESC, weight DESC, sig, a, b))::INT AS rank, type FROM ev"))
 def evidence_with_model(spark, sf_dir):
-    df = V.ordered_evidence(V.verdicts(messages(spark, sf_dir), 1.5))
+    df = V.ordered_evidence(_verdicts(spark, sf_dir, 1.5))
     return df.select("msg_id", F.posexplode("evidence").alias("rank", "e")).select("msg_id", (F.col("rank") + 1).alias("rank"), "e.type")
 
 
@@ -491,14 +527,14 @@ _WORDS = "heads AS (SELECT * FROM " + rules.values_sql([(v, rules.HEADLINES[v],
 @query(O.q(O.CHAIN, O.HINTS, "top_hint AS (SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY total DESC, first) AS r FROM sums)", _WORDS, select="""SELECT v.msg_id, headline, colour, confidence_text, CASE WHEN v.verdict = 'SAFE' THEN NULL ELSE lead END AS first_action, CASE WHEN v.verdict = 'SAFE' THEN 0 ELSE 5 END AS n_actions
   FROM v JOIN heads USING (verdict) JOIN sure USING (confidence) LEFT JOIN top_hint ON v.msg_id = top_hint.msg_id AND r = 1 LEFT JOIN leads ON leads.category = coalesce(top_hint.category, 'OTHER_SCAM')"""))
 def presentation(spark, sf_dir):
-    p = V.presented(V.verdicts(messages(spark, sf_dir)))
+    p = V.presented(_verdicts(spark, sf_dir))
     return p.select("msg_id", "headline", "colour", "confidence_text", F.get("actions", F.lit(0)).alias("first_action"), F.size("actions").alias("n_actions"))
 
 
 @query(O.q(O.CHAIN, select="SELECT msg_id, verdict, 'PATTERN,SENDER,URL' AS analyzers, '1' AS pack_version, NULL::VARCHAR AS model_version, msg_id % 50 AS latency_ms FROM v"))
 def analysis_results(spark, sf_dir):
     m = messages(spark, sf_dir).withColumn("received_at_ms", F.col("msg_id") * 1000).withColumn("done_at_ms", F.col("msg_id") * 1000 + F.col("msg_id") % 50)
-    return V.results(V.verdicts(m), "1").withColumn("analyzers", F.array_join("analyzers", ","))
+    return V.results(V.verdicts(m, None, _known(spark, sf_dir), domain_ages(spark, sf_dir)), "1").withColumn("analyzers", F.array_join("analyzers", ","))
 
 
 _HEADER_NAMES = "SELECT header, string_agg(name, ', ' ORDER BY name) AS names FROM " + rules.values_sql([(h, b[1]) for b in rules.BRANDS for h in b[4]], "v", "header, name") + " GROUP BY header"
@@ -633,7 +669,7 @@ def entered_messages(spark, sf_dir):
 # a pack that was written and loaded again
 
 
-def _pack(spark):
+def _pack(spark, sf_dir):
     from uuid import uuid4
 
     from vigil.plans.staging import ensure_checkpoint_dir
@@ -642,32 +678,33 @@ def _pack(spark):
     ensure_checkpoint_dir(spark)
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
     folder = f"{base.rstrip('/')}/vigil-pack-{uuid4().hex}"
-    domains = spark.createDataFrame([(d,) for b in rules.BRANDS for d in b[3]], "domain string")
-    pack.write(spark, pack.Pack(version="2"), folder, "2024-01-01", pack.reputation_bytes(domains, domains))
+    own = spark.createDataFrame([(d,) for b in rules.BRANDS for d in b[3]], "domain string")
+    pack.write(spark, pack.Pack(version="2"), folder, "2024-01-01", pack.reputation_bytes(ranked_domains(spark, sf_dir), own))
     return pack.load(spark, folder)
 
 
 @query(O.q(O.CHAIN, select="SELECT msg_id, verdict, confidence FROM v"))
 def verdict_with_pack(spark, sf_dir):
-    return V.verdicts(messages(spark, sf_dir), pack=_pack(spark)).select("msg_id", "verdict", "confidence")
+    return V.verdicts(messages(spark, sf_dir), pack=_pack(spark, sf_dir), ages=domain_ages(spark, sf_dir)).select("msg_id", "verdict", "confidence")
+
+
+_ASKED = f"asked AS ({_HOSTS} UNION SELECT 'northpay-' || (p_partkey % 9000 + 1000) || '.xyz' FROM part UNION SELECT 'northpay.com' FROM part)"
 
 
-@query(f"SELECT domain, domain IN ({', '.join(repr(d) for b in rules.BRANDS for d in b[3])}) AS known FROM ({_HOSTS}) UNION ALL SELECT * FROM (VALUES ('northpay.com', true), ('sola.in', true)) v(domain, known)")
+@query(O.q(O.REPUTATION, _ASKED, O.bloom("ranked_domains", "asked"), select=f"SELECT domain, maybe OR domain IN ({', '.join(repr(d) for b in rules.BRANDS for d in b[3])}) AS known FROM maybe"))
 def established_domains(spark, sf_dir):
     from vigil.sources import pack
 
     h = read(spark, sf_dir, "pages").where("url is not null").select(F.lower(F.regexp_extract("url", "^[^:]*://([^/?#:]*)", 1)).alias("domain")).distinct()
-    own = spark.createDataFrame([("northpay.com",), ("sola.in",)], "domain string")
-    # the filter answers "maybe": what the allow list does not name counts only if both say so
-    p = _pack(spark).reputation
-    return pack.established(h.union(own), p).select("domain", (F.col("known") & F.col("domain").isin(p["allow"])).alias("known"))
+    own = read(spark, sf_dir, "part").selectExpr("explode(array('northpay-' || (p_partkey % 9000 + 1000) || '.xyz', 'northpay.com')) AS domain").distinct()
+    return pack.established(h.union(own), _pack(spark, sf_dir).reputation)
 
 
 @query("SELECT * FROM (VALUES ('aliases', 12), ('brands', 8), ('domains', 9), ('folds', 14), ('patterns', 8), ('shorteners', 4), ('suffixes', 13)) v(part, n)")
 def pack_counts(spark, sf_dir):
     from vigil.sources import pack
 
-    return spark.createDataFrame(sorted(pack.counts(_pack(spark)).items()), "part string, n int")
+    return spark.createDataFrame(sorted(pack.counts(_pack(spark, sf_dir)).items()), "part string, n int")
 
 
 @query("SELECT * FROM (VALUES ('brands', 'orbit', 'alias of two brands'), ('brands', 'Pay', 'bare common noun'), ('shorteners', 'x.y', 'unknown brand')) v(part, subject, rule)")

@@ -24,12 +24,39 @@ def _fold_space(text: Column) -> Column:
     return F.lower(F.trim(spaced))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+#: Matches whose places are added up together.
+STEP = 256
+
+
 def spans(text: Column, pattern: str) -> Column:
-    """array<struct<start, end>> of the matches of ``pattern``, from 0, end exclusive: the lengths of what lies between them say where."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    total = lambda parts: F.aggregate(parts, F.lit(0), lambda n, x: n + F.length(x))
-    before = lambda i: total(F.slice(gaps, 1, i + 1)) + total(F.slice(found, 1, i))
-    return F.transform(found, lambda m, i: F.struct(before(i).alias("start"), (before(i) + F.length(m)).alias("end")))
+    """array<struct<start, end, found>> of the matches of ``pattern``, from 0, end exclusive: the lengths of what lies between them say where.
+
+    The text is cut once. Lengths are added up in steps of ``STEP`` matches from the sums of the steps before, so the
+    work is in proportion to the matches.
+    """
+    total = lambda part: F.aggregate(part, F.lit(0), lambda n, x: n + x["gap"] + F.length(x["found"]))
+    cut = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("found")))
+
+    def in_steps(pairs: Column) -> Column:  # the last gap has no match
+        first = F.sequence(F.lit(1), F.greatest(F.size(pairs) - 1, F.lit(1)), F.lit(STEP))
+        return F.transform(first, lambda i: F.slice(pairs, i, F.least(F.lit(STEP), F.size(pairs) - i)))
+
+    def placed(part: Column, at: Column) -> Column:
+        one = lambda n, x: F.struct((n + x["gap"]).alias("start"), (n + x["gap"] + F.length(x["found"])).alias("end"), x["found"].alias("found"))
+        none = F.array().cast("array<struct<start: int, end: int, found: string>>")
+        step = lambda s, x: F.struct((s["n"] + x["gap"] + F.length(x["found"])).alias("n"), F.concat(s["out"], F.array(one(s["n"], x))).alias("out"))
+        return F.aggregate(part, F.struct(at.alias("n"), none.alias("out")), step, lambda s: s["out"])
+
+    def all_steps(s: Column) -> Column:
+        before = lambda i: F.aggregate(F.slice(s["sums"], 1, i), F.lit(0), lambda n, x: n + x)
+        return F.flatten(F.transform(s["steps"], lambda part, i: placed(part, before(i))))
+
+    return bound(bound(cut, in_steps), lambda steps: bound(F.struct(steps.alias("steps"), F.transform(steps, total).alias("sums")), all_steps))
 
 
 def normalize(text: Column) -> Column:
@@ -38,11 +65,6 @@ def normalize(text: Column) -> Column:
     return _fold_space(F.coalesce(_compose(F.when(~ascii_only, text)), text))
 
 
-def bound(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def language(normalized: Column) -> Column:
     """Script shares of at least a fifth in fixed order, then Latin with or without romanised Hindi."""
     seen = F.regexp_replace(normalized, r"\s", "")

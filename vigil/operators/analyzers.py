@@ -43,10 +43,24 @@ def header_brands(header: Column, pack: Pack = BUILT_IN) -> Column:
     return out
 
 
+def header_names(header: Column, pack: Pack = BUILT_IN) -> Column:
+    """Display names of the brands that own a header, sorted and joined; null if nobody does."""
+    owners: dict[str, set[str]] = {}
+    for b in pack.brands:
+        for h in b[4]:
+            owners.setdefault(h, set()).add(b[1])
+    return F.coalesce(*[F.when(header == h, F.lit(", ".join(sorted(names)))) for h, names in owners.items()], F.lit(None).cast("string"))
+
+
+def header_body(hint: Column) -> Column:
+    """What stands behind the operator's part of a sender header."""
+    return F.regexp_extract(hint, "-(.*)$", 1)
+
+
 def sender_evidence(hint: Column, claimed: Column, pack: Pack = BUILT_IN) -> Column:
     """Type of the sender's evidence, or null. ``claimed``: ids of claimed brands."""
     valid = hint.rlike("^[A-Z]{2}-[A-Z0-9]{3,9}$")
-    owners = header_brands(F.regexp_extract(hint, "-(.*)$", 1), pack)
+    owners = header_brands(header_body(hint), pack)
     return (
         F.when(F.size(claimed) == 0, F.lit(None))
         .when(hint.isNull(), "BRAND_CLAIM_WITHOUT_DLT_HEADER")

@@ -35,3 +35,16 @@ def probe(asked: DataFrame, bits: DataFrame, m: int, k: int) -> DataFrame:
     each = asked.select("domain").distinct().select("domain", F.explode(F.array_distinct(positions(F.col("domain"), m, k))).alias("bit"))
     hit = each.join(bits.withColumn("set", F.lit(1)), "bit", "left")
     return hit.groupBy("domain").agg((F.count("*") == F.count("set")).alias("maybe"))
+
+
+def known_to(reputation: dict, domain: Column) -> Column:
+    """Whether ``domain`` is on the allow list of a reputation (m, k, bits, allow), or all its bits are set in the filter."""
+    data = F.lit(bytearray(reputation["bits"]))
+
+    def is_set(p: Column) -> Column:
+        byte = F.conv(F.hex(F.substring(data, (F.floor(p / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+        return F.getbit(byte, (p % 8).cast("int")) == 1
+
+    maybe = F.forall(positions(domain, reputation["m"], reputation["k"]), is_set)
+    listed = F.lower(domain).isin(reputation["allow"]) if reputation["allow"] else F.lit(False)
+    return listed | maybe

@@ -6,26 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.text import scrub
+from vigil.operators.rows import placed
+from vigil.plans.staging import ensure_checkpoint_dir
 
 HASHES, K, THRESHOLD = 64, 5, 0.8
 BANDS = 16
-#: Clusters whose splits are one row of a plan, and rows of a plan that may be broadcast.
-TURNS, PLAN_ROWS = 1_024, 100_000
+#: Turns that are laid out by one row of a plan.
+RUN = 1 << 20
 RATIOS = {"train": 0.70, "val": 0.15, "test": 0.15}
 
 
-def ingest(texts: DataFrame, source: str, lang: str, prefix: str = "sms") -> DataFrame:
-    """id, text, lang, source of ``texts`` (ord, text): scrubbed, numbered from 0 within the source in order.
-
-    Numbers come from a range partitioning: positions inside a partition plus the sizes of those before it.
-    """
-    spark = texts.sparkSession
-    dealt = texts.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "ord").withColumn("_p", F.spark_partition_id())
-    sizes = dealt.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_at"))
-    inside = F.row_number().over(Window.partitionBy("_p").orderBy("ord")) - 1
-    n = dealt.withColumn("_i", inside).join(F.broadcast(before), "_p").withColumn("_n", F.col("_i") + F.col("_at"))
-    return n.select("ord", F.format_string(f"{prefix}_{source}_%06d", "_n").alias("id"), scrub(F.col("text")).alias("text"), F.lit(lang).alias("lang"), F.lit(source).alias("source"))
+def ingest(texts: DataFrame, source: str, lang: str, prefix: str = "sms", collected_at: str | None = None) -> DataFrame:
+    """id, text, lang, source, collected_at of ``texts`` (ord, text): scrubbed, numbered from 0 within the source in order."""
+    n = placed(texts, "ord")
+    return n.select("ord", F.format_string(f"{prefix}_{source}_%06d", "place").alias("id"), scrub(F.col("text")).alias("text"), F.lit(lang).alias("lang"), F.lit(source).alias("source"), F.lit(collected_at).cast("string").alias("collected_at"))
 
 
 def shingles(docs: DataFrame, k: int = K) -> DataFrame:
@@ -57,6 +51,7 @@ def near_pairs(sigs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     More than 0.8 of 64 values leave at most 12 that differ, so of 16 bands of 4 at least 4 agree whole: no pair is lost.
     A pair counts in the first band in which it agrees.
     """
+    ensure_checkpoint_dir(sigs.sparkSession)
     rows = HASHES // BANDS
     classes = sigs.groupBy("sig").agg(F.min("id").alias("rep"), F.count("*").alias("n")).checkpoint()
     copies = sigs.join(classes.where("n > 1"), "sig").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("agreement"))
@@ -77,6 +72,7 @@ def clusters(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     A round takes the least label of the neighbours, then that label's own label, so chains shrink by more than a
     hop each. Rounds end only when no label is above a neighbour's: then each component has one label, its smallest id.
     """
+    ensure_checkpoint_dir(pairs.sparkSession)
     both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
     label = both.select(F.col("a").alias("id")).distinct().withColumn("cluster", F.col("id"))
     moved = True
@@ -89,34 +85,52 @@ def clusters(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     return ids.select("id").join(label, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
 
 
+def turns(sizes: list[tuple[int, int]], ratios: dict[str, float] = RATIOS) -> list[tuple[int, int, int, int]]:
+    """(size, place of the split, rows that it has before, turns that it gets) for (size, clusters of that size), largest first.
+
+    A cluster goes to the split furthest below its share, by fraction, the first of equals. For clusters of one size, the turns of a split
+    have fractions that fall by equal steps, so the turns of all splits are the merge of such series, and their numbers
+    follow from where the series are cut. Only the last few turns of a size are taken one by one.
+    """
+    total = sum(n * k for n, k in sizes)
+    targets, have, out = [r * total for r in ratios.values()], [0] * len(ratios), []
+    for n, k in sizes:
+        open_, level = list(range(len(targets))), 0.0
+        while True:  # the fraction that the splits which still lack rows are left with
+            level = (sum(targets[i] - have[i] for i in open_) - n * k) / sum(targets[i] for i in open_)
+            lacking = [i for i in open_ if targets[i] - have[i] > level * targets[i]]
+            if len(lacking) == len(open_) or not lacking:
+                break
+            open_ = lacking
+        got = [max(0, int((targets[i] - have[i] - level * targets[i]) // n) - len(targets) - 2) if i in open_ else 0 for i in range(len(targets))]
+        for _ in range(k - sum(got)):
+            short = [(t - (h + n * g)) / t for t, h, g in zip(targets, have, got, strict=True)]
+            got[short.index(max(short))] += 1
+        out += [(n, i, h, g) for i, (h, g) in enumerate(zip(have, got, strict=True)) if g]
+        have = [h + n * g for h, g in zip(have, got, strict=True)]
+    return out
+
+
 def split(clustered: DataFrame, ratios: dict[str, float] = RATIOS) -> DataFrame:
     """id, cluster, split: whole clusters, largest first, each to the split furthest below its share (by fraction).
 
-    Sizes of clusters repeat: only the distinct sizes with their counts come to the driver, which places one cluster
-    after the other. A size's clusters, ordered by id, get the splits of its turns, one byte each.
+    Only the distinct sizes of clusters with their numbers come to the driver. The turns of all sizes are laid out as rows,
+    put in order and numbered, and so are the clusters; equal numbers belong together.
     """
-    sizes = clustered.groupBy("cluster").agg(F.count("*").alias("n"))
-    hist = [(r["n"], r["k"]) for r in sizes.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).collect()]
-    total = sum(n * k for n, k in hist)
-    names = list(ratios)
-    targets, have = [ratios[s] * total for s in names], [0] * len(names)
-    turns = []
-    for n, k in hist:
-        for at in range(0, k, TURNS):
-            codes = bytearray()
-            for _ in range(min(TURNS, k - at)):
-                short = [(t - h) / t for t, h in zip(targets, have)]
-                best = short.index(max(short))
-                have[best] += n
-                codes.append(best)
-            turns.append((n, at // TURNS, codes))
     spark = clustered.sparkSession
-    plan = spark.createDataFrame(turns, "n long, turn long, codes binary")
-    plan = F.broadcast(plan) if len(turns) <= PLAN_ROWS else plan
-    ranked = sizes.withColumn("r", (F.row_number().over(Window.partitionBy("n").orderBy("cluster")) - 1).cast("long"))
-    code = F.conv(F.hex(F.substring("codes", (F.col("r") % TURNS + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    placed = ranked.withColumn("turn", F.floor(F.col("r") / TURNS)).join(plan, ["n", "turn"]).select("cluster", F.get(F.array(*map(F.lit, names)), code).alias("split"))
-    return clustered.join(placed, "cluster").select("id", "cluster", "split")
+    ensure_checkpoint_dir(spark)
+    sizes = clustered.groupBy("cluster").agg(F.count("*").alias("n")).checkpoint()
+    hist = [(r["n"], r["k"]) for r in sizes.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).collect()]
+    total, names = sum(n * k for n, k in hist), list(ratios)
+    goals = F.array(*[F.lit(ratios[s] * total) for s in names])
+    runs = [(n, i, h, at, min(at + RUN, g)) for n, i, h, g in turns(hist, ratios) for at in range(0, g, RUN)]
+    plan = spark.createDataFrame(runs, "n long, i int, h long, start long, stop long").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    each = plan.select("n", "i", "h", F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("m"))
+    goal = F.get(goals, F.col("i"))
+    key = (goal - (F.col("h") + F.col("m") * F.col("n"))) / goal
+    ordered = placed(each.select((-F.col("n")).alias("less"), (-key).alias("key"), "i", "m"), "less", "key", "i", "m").select("place", F.get(F.array(*map(F.lit, names)), F.col("i")).alias("split"))
+    put = placed(sizes.select("cluster", (-F.col("n")).alias("less")), "less", "cluster").select("cluster", "place").join(ordered, "place").select("cluster", "split")
+    return clustered.join(put, "cluster").select("id", "cluster", "split")
 
 
 def leaks(pairs: DataFrame, splits: DataFrame) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigil.operators.selection import MOST, bottom, places
+
+#: Fixed value: what the 95th percentile of a verdict without a model may take, in milliseconds.
+LATENCY_BUDGET_MS = 50.0
+
 
 def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
@@ -28,13 +33,15 @@ def confusion(df: DataFrame, labels: DataFrame) -> DataFrame:
     return grid.join(got, ["actual", "predicted"], "left").select("actual", "predicted", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def nearest_rank(df: DataFrame, value: str, *by: str) -> DataFrame:
+def nearest_rank(df: DataFrame, value: str, *by: str, most: int = MOST) -> DataFrame:
     """p50 at index n // 2 and p95 at index min(int(0.95 n), n - 1) of the sorted values, without interpolation."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by).orderBy(value)
-    upto = counts.withColumn("hi", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
-    at = lambda i: F.min(F.when(F.col("hi") > i, F.col(value)))
-    return upto.groupBy(*by).agg(F.max("n").alias("n"), at(F.floor(F.col("n") / 2)).alias("p50"), at(F.least(F.floor(F.col("n") * 95 / 100), F.col("n") - 1)).alias("p95"))
+    n = F.col("n")
+    return places(df, value, list(by), {"p50": F.floor(n / 2), "p95": F.least(F.floor(n * 95 / 100), n - 1)}, most)
+
+
+def within_budget(df: DataFrame, value: str, *by: str, budget: float = LATENCY_BUDGET_MS) -> DataFrame:
+    """``by``, n, p95 (nearest rank), and whether it stays under ``budget``; groups without values have none."""
+    return nearest_rank(df, value, *by).select(*by, "n", "p95", (F.col("p95") < budget).alias("passed"))
 
 
 def nll(df: DataFrame, temperatures: list[float]) -> DataFrame:
@@ -53,8 +60,8 @@ def parity(df: DataFrame, limit: float = 0.02) -> DataFrame:
     return df.agg(F.round(d, 6).alias("max_delta"), (d < limit).alias("passed"))
 
 
-def audit_sample(rows: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
+def audit_sample(rows: DataFrame, fraction: float, seed: int = 0, most: int = MOST) -> DataFrame:
     """max(1, round half even(n x fraction)) rows by hash order; none of none."""
     n = rows.count()
     k = max(1, round(n * fraction)) if n else 0
-    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), "id").limit(k)
+    return bottom(rows, f"{seed}:", {None: k}, most=most)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigil.operators.selection import MOST, bottom, hashed
+from vigil.plans.staging import ensure_checkpoint_dir
+
 # Common nouns that may not stand alone as an alias, and sources whose texts need no check of names
 COMMON_NOUNS = ["bank", "pay", "card", "post", "service", "account", "office", "department", "app", "mobile", "online", "secure", "support", "helpline", "customer"]
 NAME_SAFE_SOURCES = ["uci_sms_spam_collection"]
@@ -47,13 +50,11 @@ def repeated(table: DataFrame, key: str) -> DataFrame:
     return table.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def stratified(rows: DataFrame, by: str, sizes: dict, seed: int = 0) -> DataFrame:
+def stratified(rows: DataFrame, by: str, sizes: dict, seed: int = 0, most: int = MOST) -> DataFrame:
     """id, ``by``, place: so many rows of each value of ``by`` as ``sizes`` says (fewer where there are fewer), drawn by a
-    hash of the id and dealt into one order by another. ``sizes`` are small, so the last order is one task's."""
-    drawn = Window.partitionBy(by).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), "id")
-    wanted = F.coalesce(*[F.when(F.col(by) == k, F.lit(n)) for k, n in sizes.items()], F.lit(0))
-    kept = rows.where(F.col(by).isin(list(sizes))).select("id", by, F.row_number().over(drawn).alias("r")).where(F.col("r") <= wanted).drop("r")
-    return kept.withColumn("place", F.row_number().over(Window.orderBy(F.md5(F.concat(F.lit(f"order {seed}:"), F.col("id").cast("string"))), "id")) - 1)
+    hash of the id and dealt into one order by another."""
+    kept = bottom(rows.select("id", by), f"{seed}:", sizes, by, most)
+    return placed(kept.withColumn("_o", hashed(f"order {seed}:")), "_o", "id").drop("_o").withColumn("place", F.col("place").cast("int"))
 
 
 def first_rows(rows: DataFrame, split: str, n: int) -> DataFrame:
@@ -61,13 +62,14 @@ def first_rows(rows: DataFrame, split: str, n: int) -> DataFrame:
     return rows.where(F.col("split") == split).orderBy("id").limit(n)
 
 
-def placed(rows: DataFrame, order: str) -> DataFrame:
+def placed(rows: DataFrame, *order: str) -> DataFrame:
     """``rows`` with place (from 0) in ``order``: places inside a range partition and the sizes of those before it."""
+    ensure_checkpoint_dir(rows.sparkSession)
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(parts, order).withColumn("_p", F.spark_partition_id()).checkpoint()
+    dealt = rows.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()).checkpoint()
     sizes = dealt.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_at"))
-    inside = F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1
+    inside = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
     out = dealt.withColumn("_i", inside).join(F.broadcast(before), "_p")  # a row for each partition
     return out.withColumn("place", F.col("_i") + F.col("_at")).drop("_i", "_at", "_p")
 

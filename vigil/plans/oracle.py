@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from vigil.sources import rules
-from vigil.sources.messages import messages_sql
+from vigil.sources.messages import AGES_SQL, RANKED_SQL, messages_sql
 
 _WIDE, _NARROW = "".join(chr(0xFF01 + i) for i in range(94)), "".join(chr(0x21 + i) for i in range(94))
 
@@ -100,24 +100,85 @@ def squats(labels: str) -> str:
   WHERE damerau_levenshtein(label, known) <= {budget} OR (length(known) >= {rules.LEAST_CONTAINED} AND contains(label, known)) OR {_SQUASH('label')} = {_SQUASH('known')} GROUP BY label)"""
 
 
-FACTS = f"""{registrable('urls')},
+_FALSE_POSITIVES = 0.01
+_HALF = lambda at: f"(('0x' || substr(sha256(domain), {at}, 16))::UBIGINT::HUGEINT - CASE WHEN ('0x' || substr(sha256(domain), {at}, 1))::INT >= 8 THEN 18446744073709551616::HUGEINT ELSE 0 END)"
+
+
+def bloom(domains: str, asked: str) -> str:
+    """filter_bits and maybe (domain, maybe) of a filter sized for ``domains`` (domain), asked for ``asked`` (domain)."""
+    place = f"unnest(list_distinct(list_transform(range(k), lambda i: ((({_HALF(1)} + i * {_HALF(17)}) % m) + m) % m))) AS bit"
+    return f"""sized AS (SELECT n, greatest(8, ceil(-n * ln({_FALSE_POSITIVES}) / (ln(2) * ln(2))))::BIGINT AS m FROM (SELECT count(DISTINCT lower(domain)) AS n FROM {domains})),
+filter AS (SELECT m, CASE WHEN n = 0 THEN 1 ELSE greatest(1, round_even(m / n * ln(2), 0)) END::BIGINT AS k FROM sized),
+filter_bits AS (SELECT DISTINCT bit FROM (SELECT {place} FROM (SELECT DISTINCT lower(domain) AS domain FROM {domains}), filter)),
+maybe AS (SELECT domain, count(*) = count(b.bit) AS maybe FROM (SELECT domain, {place} FROM (SELECT DISTINCT domain FROM {asked}), filter) p LEFT JOIN filter_bits b USING (bit) GROUP BY domain)"""
+
+
+#: The one host of the data beyond ASCII, and its form on the wire.
+_WIRE = [("n\u043erthpay.com", "n\u043erthpay.com".encode("idna").decode())]
+_ALLOW = [d for b in rules.BRANDS for d in b[3]]
+REPUTATION = f"""ranked_domains AS MATERIALIZED ({RANKED_SQL.format(part='part')}), domain_ages AS MATERIALIZED ({AGES_SQL.format(part='part')})"""
+FACTS = f"""{REPUTATION}, {registrable('urls')},
+wire AS (SELECT host, CASE registrable {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in _WIRE)} ELSE registrable END AS domain FROM reg WHERE registrable IS NOT NULL),
+{bloom('ranked_domains', 'wire')},
+ages AS (SELECT host, domain, age_days, age_days IS NULL AND NOT maybe AND domain NOT IN {_in(_ALLOW)} AS unknown_age FROM wire JOIN maybe USING (domain) LEFT JOIN domain_ages USING (domain)),
 named AS (SELECT host, ip, registrable, split_part(registrable, '.', 1) AS label, {_fold("split_part(registrable, '.', 1)")} AS folded, split_part(registrable, '.', -1) AS tld FROM reg),
 labels AS (SELECT label FROM named WHERE label IS NOT NULL UNION SELECT folded FROM named WHERE folded IS NOT NULL),
 {squats('labels')},
-facts AS (SELECT n.*, coalesce(a.brand_id, CASE WHEN folded <> n.label THEN coalesce((SELECT arg_min(brand_id, ord) FROM known WHERE known = folded), b.brand_id) END) AS squat,
+facts AS (SELECT n.*, g.domain, g.age_days, g.unknown_age, coalesce(a.brand_id, CASE WHEN folded <> n.label THEN coalesce((SELECT arg_min(brand_id, ord) FROM known WHERE known = folded), b.brand_id) END) AS squat,
+  coalesce(a.domain, CASE WHEN folded <> n.label THEN coalesce((SELECT arg_min(domain, ord) FROM known WHERE known = folded), b.domain) END) AS squat_domain,
   regexp_matches(n.label, '\\p{{Latin}}') AND regexp_matches(n.label, '[\\p{{Cyrillic}}\\p{{Greek}}\\p{{Armenian}}]') AS mixed,
   registrable IN {_in(rules.SHORTENERS)} AND registrable NOT IN {_in(rules.BRAND_OPERATED)} AS shortener, tld IN {_in(rules.SUSPICIOUS_TLDS)} AS bad_tld
-  FROM named n LEFT JOIN squat a ON n.label = a.label LEFT JOIN squat b ON n.folded = b.label)"""
+  FROM named n LEFT JOIN squat a ON n.label = a.label LEFT JOIN squat b ON n.folded = b.label LEFT JOIN (SELECT host AS age_host, domain, age_days, unknown_age FROM ages) g ON age_host = n.host)"""
 
+_NAMED = "NOT ip AND registrable IS NOT NULL"
+_BRAND = "CASE squat " + " ".join(f"WHEN '{b[0]}' THEN '{b[1]}'" for b in rules.BRANDS) + " END"
+SLOTS = ["host", "tld", "actual", "brand", "real_domain", "displayed", "path", "domain", "age_days", "claimed_brand", "header_brands"]
 _CHECKS = [
-    ("ip", "IP_ADDRESS_HOST", 2),
-    ("NOT ip AND registrable IS NOT NULL AND squat IS NOT NULL", "TYPOSQUAT_OF_KNOWN_BRAND", 2),
-    ("NOT ip AND registrable IS NOT NULL AND mixed", "HOMOGRAPH_CHARACTERS", 2),
-    ("NOT ip AND registrable IS NOT NULL AND shortener", "URL_SHORTENER", 1),
-    ("NOT ip AND registrable IS NOT NULL AND bad_tld", "SUSPICIOUS_TLD", 1),
-    (f"NOT ip AND registrable IS NOT NULL AND lower(scheme) = 'http' AND regexp_matches(path, '(?i){rules.CREDENTIAL_WORDS}')", "NON_HTTPS_CREDENTIAL_PAGE", 1),
+    ("ip", "IP_ADDRESS_HOST", "2", {"host": "host"}),
+    (f"{_NAMED} AND squat IS NOT NULL", "TYPOSQUAT_OF_KNOWN_BRAND", "2", {"actual": "registrable", "brand": _BRAND, "real_domain": "squat_domain"}),
+    (f"{_NAMED} AND mixed", "HOMOGRAPH_CHARACTERS", "2", {"host": "host"}),
+    (f"{_NAMED} AND shortener", "URL_SHORTENER", "1", {"host": "host"}),
+    (f"{_NAMED} AND bad_tld", "SUSPICIOUS_TLD", "1", {"tld": "tld"}),
+    (f"{_NAMED} AND NOT contains(lower(display_text), lower(domain))", "LINK_TEXT_MISMATCH", "2", {"displayed": "display_text", "actual": "domain"}),
+    (f"{_NAMED} AND lower(scheme) = 'http' AND regexp_matches(path, '(?i){rules.CREDENTIAL_WORDS}')", "NON_HTTPS_CREDENTIAL_PAGE", "1", {"path": "path"}),
+    (f"{_NAMED} AND (age_days < 30 OR unknown_age)", "DOMAIN_VERY_NEW", "CASE WHEN age_days < 30 THEN 2 ELSE 0 END", {"domain": "domain", "age_days": "age_days"}),
 ]
-URL_EVIDENCE = "url_ev AS (" + " UNION ALL ".join(f"SELECT msg_id, ord, {i} AS pos, '{t}' AS type, {s} AS severity FROM urls JOIN facts USING (host) WHERE {c}" for i, (c, t, s) in enumerate(_CHECKS)) + ")"
+
+
+def _slots(given: dict) -> str:
+    return ", ".join(f"({given[k]})::VARCHAR AS {k}" if k in given else f"NULL::VARCHAR AS {k}" for k in SLOTS)
+
+
+def url_evidence(urls: str = "urls", shown: str = "NULL::VARCHAR") -> str:
+    """url_ev over links ``urls``; ``shown``: what HTML shows for a link."""
+    each = f"links AS (SELECT msg_id, ord, scheme, path, start, stop, display_text, facts.* FROM (SELECT msg_id, ord, host AS link_host, scheme, path, start::INT AS start, (start + length(raw))::INT AS stop, {shown} AS display_text FROM {urls}) JOIN facts ON host = link_host)"
+    return f"{each}, url_ev AS (" + " UNION ALL ".join(f"SELECT msg_id, ord, {i} AS pos, '{t}' AS type, {s} AS severity, start, stop, {_slots(given)} FROM links WHERE {c}" for i, (c, t, s, given) in enumerate(_CHECKS)) + ")"
+
+
+URL_EVIDENCE = url_evidence()
+
+
+def anchors(pages: str) -> str:
+    """anchor_links (msg_id, ord, raw, scheme, host, path, shown, start) over ``pages`` (msg_id, html, url)."""
+    inside = r"""(?:[^>"'']|"[^"]*"|''[^'']*'')*"""
+    href = r"""(?is)^<a\s(?:[^>"'']|"[^"]*"|''[^'']*'')*?\bhref\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)"""
+    quotes = "'\"'''"
+
+    def read(text: str) -> str:  # the entities of the data, "&" last
+        for k, v in (("&#32;", " "), ("&#x6c;", "l"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+            text = f"replace({text}, '{k}', '{v}')"
+        return text
+
+    bare = f"regexp_replace(a, '(?s)<{inside}>', '', 'g')"
+    return rf"""pages_in AS ({pages}),
+bared AS (SELECT msg_id, url, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>', '', 'g') AS h FROM pages_in),
+anchor_rows AS (SELECT msg_id, url, regexp_extract_all(h, '(?is)<a\s{inside}>.*?</a\s*>') AS l FROM bared),
+anchor_each AS (SELECT msg_id, url, unnest(l) AS a, generate_subscripts(l, 1) AS n FROM anchor_rows),
+anchor_named AS (SELECT *, {read(f"trim(regexp_extract(a, '{href}', 1), {quotes})")} AS raw, trim(regexp_replace({read(bare)}, '\s+', ' ', 'g')) AS shown FROM anchor_each),
+anchor_kept AS (SELECT *, (row_number() OVER (PARTITION BY msg_id ORDER BY n) - 1)::INT AS ord FROM anchor_named WHERE raw <> ''),
+anchor_links AS (SELECT msg_id, ord, raw, shown, NULL::INT AS start, CASE WHEN contains(raw, '://') THEN split_part(raw, '://', 1) ELSE split_part(url, '://', 1) END AS scheme,
+  regexp_extract(CASE WHEN contains(raw, '://') THEN raw ELSE url END, '://([^/?#:]*)', 1) AS host,
+  CASE WHEN contains(raw, '://') THEN nullif(regexp_extract(raw, '(?s)://[^/?#:]*(.*)$', 1), '') ELSE raw END AS path FROM anchor_kept WHERE NOT starts_with(raw, 'mailto:') AND (contains(raw, '://') OR url IS NOT NULL))"""
 
 
 def _alias(a: str) -> str:
@@ -147,10 +208,22 @@ y AS (SELECT *, ((0.25::FLOAT * uw + 0.12::FLOAT * sw + 0.08::FLOAT * pw) / (0.2
 v AS (SELECT *, CASE WHEN forced THEN 'SCAM' WHEN score >= 0.35::FLOAT THEN 'SUSPICIOUS' ELSE 'SAFE' END AS verdict,
   CASE WHEN forced THEN 'HIGH' WHEN score >= 0.5::FLOAT THEN 'MEDIUM' WHEN score >= 0.35::FLOAT THEN 'LOW' WHEN score <= 0.15::FLOAT THEN 'HIGH' ELSE 'LOW' END AS confidence FROM y)"""
 CHAIN = ", ".join([MESSAGES, URLS, FACTS, URL_EVIDENCE, CLAIMS, SENDER, FIRED, VERDICT])
-EVIDENCE = """ev AS (SELECT msg_id, severity, uw AS weight, 1 AS sig, ord AS a, pos AS b, type FROM url_ev JOIN v USING (msg_id)
-  UNION ALL SELECT msg_id, ss, sw, 2, 0, 0, sender FROM v WHERE sender IS NOT NULL
-  UNION ALL SELECT msg_id, severity, pw, 3, ord, 0, type FROM fired JOIN v USING (msg_id)),
+_NONE = ", ".join(f"NULL::VARCHAR AS {k}" for k in SLOTS)
+_OWNERS = "CASE regexp_extract(sender_hint, '-(.*)$', 1) " + " ".join(f"WHEN '{h}' THEN '{', '.join(sorted({b[1] for b in rules.BRANDS if h in b[4]}))}'" for h in dict.fromkeys(h for b in rules.BRANDS for h in b[4])) + " END"
+_MISMATCH = ", ".join({"claimed_brand": "CASE WHEN sender = 'DLT_HEADER_MISMATCH' THEN first_name END AS claimed_brand", "header_brands": f"CASE WHEN sender = 'DLT_HEADER_MISMATCH' THEN {_OWNERS} END AS header_brands"}.get(k, f"NULL::VARCHAR AS {k}") for k in SLOTS)
+FIRST_CLAIM = """first_claim AS (SELECT msg_id, arg_min(name, [place, brand_ord, alias_ord]) AS first_name FROM (SELECT claims.*, strpos(text, matched) AS place FROM claims JOIN messages USING (msg_id)) GROUP BY msg_id)"""
+EVIDENCE = f"""{FIRST_CLAIM}, ev AS (SELECT msg_id, severity, uw AS weight, 1 AS sig, ord AS a, pos AS b, type, {', '.join(SLOTS)} FROM url_ev JOIN v USING (msg_id)
+  UNION ALL SELECT v.msg_id, ss, sw, 2, 0, 0, sender, {_MISMATCH} FROM v JOIN messages USING (msg_id) LEFT JOIN first_claim USING (msg_id) WHERE sender IS NOT NULL
+  UNION ALL SELECT msg_id, severity, pw, 3, ord, 0, type, {_NONE} FROM fired JOIN v USING (msg_id)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY severity DESC, weight DESC, sig, a, b) AS rank FROM ev)"""
+
+
+def worded(words: str) -> str:
+    for k in SLOTS:
+        words = f"replace({words}, '{{{k}}}', coalesce({k}, ''))"
+    return words
+
+
 _HINTS = [(i, c, h) for i, r in enumerate(rules.PATTERNS) for c, h in r[7].items()]
 HINTS = f"""hint_rules AS (SELECT * FROM {rules.values_sql([(k + 2, i, c, h) for k, (i, c, h) in enumerate(_HINTS)], 'v', 'first, ord, category, hint')}),
 hints AS (SELECT DISTINCT msg_id, 0 AS first, 'KYC_PHISHING' AS category, 0.3 AS hint FROM url_ev WHERE type IN ('TYPOSQUAT_OF_KNOWN_BRAND', 'HOMOGRAPH_CHARACTERS', 'NON_HTTPS_CREDENTIAL_PAGE', 'IP_ADDRESS_HOST')

@@ -6,7 +6,11 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Short rows that may be broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -18,3 +22,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     where = tempfile.mkdtemp(prefix="vigil-checkpoint-")
     atexit.register(shutil.rmtree, where, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(f"file://{where}")
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it was counted to be small."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigil.operators import anchors
 from vigil.operators import urls as U
-from vigil.operators.analyzers import analyzed
+from vigil.operators.analyzers import analyzed, header_body, header_names
 from vigil.operators.scoring import CATEGORY_WEIGHT, scored
 from vigil.sources import rules
 from vigil.sources.rules import BUILT_IN, Pack
@@ -25,14 +29,34 @@ def severity_weight(severity: Column) -> Column:
     return out
 
 
-def signals(messages: DataFrame, pack: Pack = BUILT_IN) -> DataFrame:
-    """Analyzed messages with url_evidence (array in order), sender and pattern evidence and the three weights."""
-    spark = messages.sparkSession
-    base = analyzed(messages, pack)
+SLOTS = "struct<" + ", ".join(f"{s}: string" for s in U.SLOTS) + ">"
+URL_ITEM = f"struct<ord: int, pos: int, type: string, severity: int, start: int, end: int, slots: {SLOTS}>"
+ITEM = f"struct<s: int, w: float, sig: int, a: int, b: int, type: string, start: int, end: int, slots: {SLOTS}>"
+
+
+def slots(given: dict[str, Column] | None = None) -> Column:
+    """The struct of what an evidence names."""
+    return F.struct(*[(given or {}).get(k, F.lit(None)).cast("string").alias(k) for k in U.SLOTS])
+
+
+def url_evidence(messages: DataFrame, pack: Pack = BUILT_IN, ages: DataFrame | None = None) -> DataFrame:
+    """msg_id, url_evidence: the evidence of all links of a message in order; messages without any are left out. The links of
+    a column html, where there is one, follow those of the text."""
     links = U.extract(messages, pack)
-    found = U.evidence(links, U.host_facts(links, pack.suffix_rows(spark), pack))
-    per = found.groupBy("msg_id").agg(F.array_sort(F.collect_list(F.struct("ord", "pos", "type", "severity"))).alias("url_evidence"))
-    out = base.join(per, "msg_id", "left").withColumn("url_evidence", F.coalesce("url_evidence", F.array().cast("array<struct<ord: int, pos: int, type: string, severity: int>>")))
+    if "html" in messages.columns:
+        after = F.lit(1 << 24)
+        shown = anchors.links(messages.select("msg_id", "html", F.lit(None).cast("string").alias("url"))).withColumn("ord", F.col("ord") + after)
+        links = links.withColumn("display_text", F.lit(None).cast("string")).unionByName(shown)
+    found = U.evidence(links, U.host_facts(links, pack.suffix_rows(messages.sparkSession), pack, ages), pack)
+    return found.groupBy("msg_id").agg(F.array_sort(F.collect_list(F.struct("ord", "pos", "type", "severity", "start", "end", "slots"))).alias("url_evidence"))
+
+
+def signals(messages: DataFrame, pack: Pack = BUILT_IN, ages: DataFrame | None = None) -> DataFrame:
+    """Analyzed messages with url_evidence (array in order), sender and pattern evidence and the three weights."""
+    base, per = analyzed(messages, pack), url_evidence(messages, pack, ages)
+    out = base.join(per, "msg_id", "left").withColumn("url_evidence", F.coalesce("url_evidence", F.array().cast(f"array<{URL_ITEM}>")))
+    mismatch = {"claimed_brand": F.get("claims.name", F.lit(0)), "header_brands": header_names(header_body(F.col("sender_hint")), pack)}
+    out = out.withColumn("sender_slots", F.when(F.col("sender") == "DLT_HEADER_MISMATCH", slots(mismatch)).otherwise(slots()))
     sender_severity = F.coalesce(*[F.when(F.col("sender") == t, F.lit(s)) for t, s in SENDER_SEVERITY.items()])
     url_severity = F.array_max(F.col("url_evidence.severity"))
     return (
@@ -74,14 +98,18 @@ def fuse(df: DataFrame) -> DataFrame:
 
 def ordered_evidence(df: DataFrame) -> DataFrame:
     """Adds evidence: array<struct<rank keys, type, severity>>, gravest first, then heavier signals, then in order of finding."""
-    item = lambda sev, w, sig, a, b, t: F.struct((-sev).alias("s"), (-w).alias("w"), F.lit(sig).alias("sig"), a.alias("a"), b.alias("b"), t.alias("type"))
-    url = F.transform("url_evidence", lambda e: item(e["severity"], F.col("url_weight"), 0, e["ord"], e["pos"], e["type"]))
-    sender = F.when(F.col("sender").isNotNull(), F.array(item(F.col("sender_severity"), F.col("sender_weight"), 1, F.lit(0), F.lit(0), F.col("sender")))).otherwise(F.array().cast("array<struct<s: int, w: float, sig: int, a: int, b: int, type: string>>"))
+    no = F.lit(None).cast("int")
+
+    def item(sev, w, sig, a, b, t, start=no, end=no, named=None):
+        return F.struct((-sev).alias("s"), (-w).alias("w"), F.lit(sig).alias("sig"), a.alias("a"), b.alias("b"), t.alias("type"), start.alias("start"), end.alias("end"), (slots() if named is None else named).alias("slots"))
+
+    url = F.transform("url_evidence", lambda e: item(e["severity"], F.col("url_weight"), 0, e["ord"], e["pos"], e["type"], e["start"], e["end"], e["slots"]))
+    sender = F.when(F.col("sender").isNotNull(), F.array(item(F.col("sender_severity"), F.col("sender_weight"), 1, F.lit(0), F.lit(0), F.col("sender"), named=F.col("sender_slots")))).otherwise(F.array().cast(f"array<{ITEM}>"))
     pattern = F.transform("fired", lambda e: item(e["severity"], F.col("pattern_weight"), 2, e["ord"], F.lit(0), e["type"]))
     parts = [url, sender, pattern]
     if "model" in df.columns:
         m = F.col("model")
-        parts.append(F.when(m["type"].isNotNull(), F.array(item(m["severity"], m["weight"].cast("float"), 3, F.lit(0), F.lit(0), m["type"]))).otherwise(F.array().cast("array<struct<s: int, w: float, sig: int, a: int, b: int, type: string>>")))
+        parts.append(F.when(m["type"].isNotNull(), F.array(item(m["severity"], m["weight"].cast("float"), 3, F.lit(0), F.lit(0), m["type"]))).otherwise(F.array().cast(f"array<{ITEM}>")))
     return df.withColumn("evidence", F.array_sort(F.concat(*parts)))
 
 
@@ -116,11 +144,20 @@ def categories(df: DataFrame, pack: Pack = BUILT_IN) -> DataFrame:
     return out.select("msg_id", "verdict", F.when(safe, "NOT_SCAM").otherwise(F.coalesce("best.category", F.lit("OTHER_SCAM"))).alias("category"), sure.alias("category_confidence"))
 
 
+def worded(template: str, named: Column) -> Column:
+    """A template with what an evidence names in its places."""
+    return reduce(lambda text, k: F.replace(text, F.lit(f"{{{k}}}"), F.coalesce(named[k], F.lit(""))), re.findall(r"\{(\w+)\}", template), F.lit(template))
+
+
+def evidence_text(e: Column) -> Column:
+    """The sentence of an evidence (type, slots); null for an unknown type."""
+    aged = [F.when((e["type"] == t) & e["slots"]["age_days"].isNotNull(), worded(s, e["slots"])) for t, s in rules.AGED.items()]
+    return F.coalesce(*aged, *[F.when(e["type"] == t, worded(s, e["slots"])) for t, s in rules.TEMPLATES.items()])
+
+
 def explained(df: DataFrame) -> DataFrame:
     """msg_id, verdict, top1..top3 (texts), remaining, n_actions."""
-    text = F.lit(None).cast("string")
-    kind = lambda e: F.coalesce(*[F.when(e["type"] == t, F.lit(s)) for t, s in rules.TEMPLATES.items()], text)
-    texts = F.transform("evidence", kind)
+    texts = F.transform("evidence", evidence_text)
     return df.select("msg_id", "verdict", *[F.get(texts, F.lit(i)).alias(f"top{i + 1}") for i in range(3)], F.greatest(F.size("evidence") - 3, F.lit(0)).alias("remaining"), F.when(F.col("verdict") == "SAFE", 0).otherwise(5).alias("n_actions"))
 
 
@@ -147,7 +184,7 @@ def results(df: DataFrame, pack_version: str, model_version: str | None = None)
     return df.select("msg_id", "verdict", F.array(*map(F.lit, sorted(ran))).alias("analyzers"), F.lit(pack_version).alias("pack_version"), F.lit(model_version).cast("string").alias("model_version"), latency.alias("latency_ms"))
 
 
-def verdicts(messages: DataFrame, temperature: float | None = None, pack: Pack = BUILT_IN) -> DataFrame:
+def verdicts(messages: DataFrame, temperature: float | None = None, pack: Pack = BUILT_IN, ages: DataFrame | None = None) -> DataFrame:
     """Signals and verdict of each message; with ``temperature`` the model signal takes part."""
-    found = signals(messages, pack)
+    found = signals(messages, pack, ages)
     return fuse(found if temperature is None else scored(found, temperature))

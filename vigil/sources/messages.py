@@ -46,6 +46,35 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(messages_sql("{orders}", "{customer}"), orders=dealt(read("orders").select("o_orderkey", "o_custkey"), "o_orderkey"), customer=read("customer"))
 
 
+#: Domains that are known to be established, and how old some others are; the same text runs on the oracle.
+RANKED_SQL = "SELECT 'northpay-' || (p_partkey % 9000 + 1000) || '.xyz' AS domain FROM {part} WHERE p_partkey % 2 = 0 UNION SELECT 'soal.in' FROM {part}"
+AGES_SQL = "SELECT 'verify-' || (p_partkey % 9000 + 1000) || '.top' AS domain, min(p_partkey % 60) AS age_days FROM {part} WHERE p_partkey % 3 <> 1 GROUP BY 1"
+#: A link and the domain that it leads to, and HTML around it in seven forms.
+HTML_SQL = """SELECT o_orderkey AS msg_id, CASE o_orderkey % 7
+ WHEN 0 THEN '<p>Hello, <a href="' || u || '">' || d || '</a></p>'
+ WHEN 1 THEN '<A class=''x'' HREF=''' || u || '''><b>www.</b>' || upper(d) || '</A>'
+ WHEN 2 THEN '<div><a href=' || u || '>zenbank.in</a> and <a name="top">' || d || '</a></div>'
+ WHEN 3 THEN '<a title="a > b" href="' || u || '">Zen&#32;Bank &#x6c;ogin</a>'
+ WHEN 4 THEN '<!-- <a href="http://old.example.com/">old</a> --><a href="' || u || '">see <i>' || d || '</i>  </a>'
+ WHEN 5 THEN '<script>var x = 1; // <a href="http://js.example.com">x</a></script><a href="/local">' || d || '</a><a href="mailto:x@y.z">mail</a>'
+ ELSE 'no link' END AS html FROM (SELECT o_orderkey,
+   CASE o_orderkey % 3 WHEN 0 THEN 'https://northpay-' || (o_orderkey % 9000 + 1000) || '.xyz/login?a=1&amp;b=2' WHEN 1 THEN 'http://www.lumenpost.net/p/' || o_orderkey ELSE 'https://carrow.com/t/' || o_orderkey END AS u,
+   CASE o_orderkey % 3 WHEN 0 THEN 'northpay-' || (o_orderkey % 9000 + 1000) || '.xyz' WHEN 1 THEN 'lumenpost.net' ELSE 'carrow.com' END AS d FROM {orders}) AS o"""
+
+
+def ranked_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(RANKED_SQL, part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+
+
+def domain_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(AGES_SQL, part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+
+
+def html_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """msg_id, html: a message in HTML for each order."""
+    return spark.sql(HTML_SQL, orders=dealt(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey"), "o_orderkey"))
+
+
 def from_csv(spark: SparkSession, path: str, column: str) -> DataFrame:
     """text: one trimmed, non-empty value of a CSV column; no rows if the column is missing."""
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)

@@ -149,15 +149,7 @@ def read_reputation(spark: SparkSession, path: str) -> dict | None:
 
 def established(asked: DataFrame, reputation: dict) -> DataFrame:
     """domain, known: whether each distinct domain is on the allow list or may be in the filter."""
-    data = F.lit(bytearray(reputation["bits"]))
-
-    def is_set(p):
-        byte = F.conv(F.hex(F.substring(data, (F.floor(p / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
-        return F.getbit(byte, (p % 8).cast("int")) == 1
-
-    maybe = F.forall(bloom.positions(F.col("domain"), reputation["m"], reputation["k"]), is_set)
-    listed = F.lower("domain").isin(reputation["allow"]) if reputation["allow"] else F.lit(False)
-    return asked.select("domain").distinct().select("domain", (listed | maybe).alias("known"))
+    return asked.select("domain").distinct().select("domain", bloom.known_to(reputation, F.col("domain")).alias("known"))
 
 
 # checks

@@ -45,19 +45,20 @@ MODEL_SHARE, URL_SHARE, SENDER_SHARE, PATTERN_SHARE = 0.55, 0.25, 0.12, 0.08
 PATTERN_CAP = 0.5
 SCAM_FROM, SCAM_HIGH_FROM, SUSPICIOUS_FROM, MEDIUM_FROM, SAFE_HIGH_TO = 0.70, 0.85, 0.35, 0.50, 0.15
 KYC_HINT = 0.3
+NEW_DAYS = 30  # a domain younger than so many days is new
 CREDENTIAL_WORDS = "(login|verify|kyc|update|otp|pay)"
 TEMPLATES = {
-    "TYPOSQUAT_OF_KNOWN_BRAND": "The link's domain imitates a known brand.",
-    "HOMOGRAPH_CHARACTERS": "The link's domain mixes look-alike letters.",
-    "IP_ADDRESS_HOST": "The link leads to a bare network address.",
-    "URL_SHORTENER": "The link hides its destination.",
-    "SUSPICIOUS_TLD": "The link's ending is common in fraud.",
+    "TYPOSQUAT_OF_KNOWN_BRAND": "The link leads to {actual}, which imitates {brand} ({real_domain}).",
+    "HOMOGRAPH_CHARACTERS": "The address {host} mixes look-alike letters.",
+    "IP_ADDRESS_HOST": "The link leads to the bare network address {host}.",
+    "URL_SHORTENER": "The link hides its destination behind {host}.",
+    "SUSPICIOUS_TLD": "The link's ending .{tld} is common in fraud.",
     "NON_HTTPS_CREDENTIAL_PAGE": "The link asks for credentials without encryption.",
-    "LINK_TEXT_MISMATCH": "The link shows one site and opens another.",
-    "DOMAIN_VERY_NEW": "The link's domain is new or of unknown age.",
+    "LINK_TEXT_MISMATCH": "The link shows {displayed} and opens {actual}.",
+    "DOMAIN_VERY_NEW": "Nothing is known of the age of {domain}.",
     "BRAND_CLAIM_WITHOUT_DLT_HEADER": "The sender of this brand's message is unknown.",
     "UNREGISTERED_NUMERIC_SENDER": "A brand's message came from a private number.",
-    "DLT_HEADER_MISMATCH": "The sender's header belongs to someone else.",
+    "DLT_HEADER_MISMATCH": "The message speaks for {claimed_brand}, its header belongs to {header_brands}.",
     "OTP_SOLICITATION": "The message asks for a one-time code.",
     "URGENCY_DEADLINE": "The message sets a tight deadline.",
     "THREAT_OF_LOSS": "The message threatens a loss.",
@@ -69,6 +70,8 @@ TEMPLATES = {
     "MODEL_HIGH_SCAM_SCORE": "The wording is much like that of known scams.",
     "MODEL_LOW_SCAM_SCORE": "The wording is much like that of genuine messages.",
 }
+#: Where the age is known.
+AGED = {"DOMAIN_VERY_NEW": "The domain {domain} is only {age_days} days old."}
 LEAD_INS = {
     "KYC_PHISHING": "No bank closes an account over a link; ask it yourself.",
     "FAKE_JOB": "Pay nothing for an offer of work.",
