@@ -15,7 +15,7 @@ from vigil.operators import urls as U
 from vigil.plans import oracle as O
 from vigil.plans import verdict as V
 from vigil.sources import rules
-from vigil.sources.messages import HTML_SQL, domain_ages, html_messages, messages, ranked_domains
+from vigil.sources.messages import HTML_SQL, SPOKEN_SQL, domain_ages, html_messages, messages, ranked_domains, spoken_messages
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -181,6 +181,14 @@ def pattern_hits(spark, sf_dir):
     return A.hits(messages(spark, sf_dir)).select("msg_id", F.col("id").alias("rule_id"), "type", "severity")
 
 
+@query(O.q(f"spoken AS ({SPOKEN_SQL.format(orders='orders')})", f"told AS (SELECT *, {O.language_sql('normalized')} AS lang FROM (SELECT *, {O.normalize_sql('text')} AS normalized FROM spoken))", O.fired("told"), select="SELECT told.msg_id, lang, rule_id, type FROM told LEFT JOIN fired USING (msg_id)"))
+def pattern_languages(spark, sf_dir):
+    """Rules in seven languages, from a pack that was written and read again."""
+    m = spoken_messages(spark, sf_dir)
+    facts = T.bound(A.texts(F.col("text")), lambda t: F.struct(t["lang"].alias("lang"), A.fired(t["normalized"], t["lang"], _pack(spark, sf_dir)).alias("fired")))
+    return m.select("msg_id", facts.alias("f")).select("msg_id", "f.lang", F.explode_outer("f.fired").alias("r")).select("msg_id", "lang", F.col("r.id").alias("rule_id"), "r.type")
+
+
 @query(O.q(O.MESSAGES, O.FIRED, select="SELECT msg_id, round(least(sum(weight)::FLOAT, 0.5::FLOAT)::DOUBLE, 5) AS weight FROM fired GROUP BY msg_id"))
 def pattern_weight(spark, sf_dir):
     m = A.analyzed(messages(spark, sf_dir)).select("msg_id", F.explode_outer("fired").alias("f"), "pattern_weight").where("f is not null")
@@ -364,16 +372,29 @@ def per_lang_f1(spark, sf_dir):
     return M.binary(_labelled(spark, sf_dir), "lang")
 
 
-@query(O.q(_LAB, "l AS (SELECT unnest([0, 1]) AS v)", select="SELECT a.v AS actual, p.v AS predicted, count(lab.y) AS n FROM l a CROSS JOIN l p LEFT JOIN lab ON y = a.v AND pred = p.v GROUP BY ALL"))
+@query(O.q(_metric_sql("lang").removeprefix("WITH ").replace(" SELECT lang, round(", ", got AS (SELECT lang, round(", 1) + ")", "asked AS (SELECT unnest(['en', 'fr', 'de', 'hi', 'ta']) AS lang)", select="SELECT lang, macro_f1 FROM asked LEFT JOIN got USING (lang)"))
+def per_language_targets(spark, sf_dir):
+    """Every asked language has a row; one that does not occur has no figure."""
+    return M.per_language(_labelled(spark, sf_dir), ["en", "fr", "de", "hi", "ta", "UNKNOWN"])
+
+
+_CATS = "cats AS (SELECT doc_id, (doc_id * 7) % 11 AS y, (doc_id * 7 + CASE WHEN doc_id % 5 = 0 THEN n_chars % 3 ELSE 0 END) % 11 AS p FROM documents)"
+
+
+@query(O.q(_CATS, "names AS (SELECT * FROM " + rules.values_sql(list(enumerate(rules.CATEGORIES)), "v", "i, label") + ")", select="SELECT a.label AS actual, b.label AS predicted, count(doc_id) AS n FROM names a CROSS JOIN names b LEFT JOIN cats ON y = a.i AND p = b.i GROUP BY ALL"))
 def confusion_matrix(spark, sf_dir):
-    labels = spark.createDataFrame([(0,), (1,)], "label int")
-    return M.confusion(_labelled(spark, sf_dir), labels)
+    """All 13 x 13 cells; two categories never occur."""
+    names, i = F.array(*map(F.lit, rules.CATEGORIES)), F.col("doc_id")
+    d = read(spark, sf_dir, "documents")
+    off = F.when(i % 5 == 0, F.col("n_chars") % 3).otherwise(0)
+    rows = d.select(F.get(names, ((i * 7) % 11).cast("int")).alias("y"), F.get(names, ((i * 7 + off) % 11).cast("int")).alias("pred"))
+    return M.confusion(rows, spark.createDataFrame([(c,) for c in rules.CATEGORIES], "label string"))
 
 
-@query(O.q(_LAB, select="SELECT round(count(*) FILTER (pred = 1)::DOUBLE / nullif(count(*), 0), 6) AS fpr FROM lab WHERE y = 0 AND quality = 0"))
+@query(O.q(_LAB, select="SELECT round(count(*) FILTER (y = 1 AND pred = 1)::DOUBLE / nullif(count(*) FILTER (y = 1), 0), 6) AS recall, round(count(*) FILTER (y = 0 AND quality = 0 AND pred = 1)::DOUBLE / nullif(count(*) FILTER (y = 0 AND quality = 0), 0), 6) AS fpr, round(count(*) FILTER (y = 1 AND pred = 1)::DOUBLE / nullif(count(*) FILTER (y = 1), 0), 6) >= 0.93 AS recall_met, round(count(*) FILTER (y = 0 AND quality = 0 AND pred = 1)::DOUBLE / nullif(count(*) FILTER (y = 0 AND quality = 0), 0), 6) <= 0.03 AS fpr_met FROM lab"))
 def fpr_hard_negative(spark, sf_dir):
-    rows = _labelled(spark, sf_dir).where("y = 0 AND quality = 0")
-    return rows.agg(F.round(F.try_divide(F.count_if(F.col("pred") == 1).cast("double"), F.count("*").cast("double")), 6).alias("fpr"))
+    """Genuine rows of low quality are the hard ones."""
+    return M.targets(_labelled(spark, sf_dir).withColumn("is_hard_negative", F.col("quality") == 0))
 
 
 _GRID = [0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0]
@@ -419,6 +440,20 @@ def mean_pool(spark, sf_dir):
     return D.mean_pool(read(spark, sf_dir, "embeddings"))
 
 
+@query("WITH e AS (SELECT label, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding)::DOUBLE AS x, vec_id FROM embeddings), m AS (SELECT *, CASE WHEN pos % 9 = 8 OR (vec_id + pos) % 3 = 0 THEN 0 ELSE 1 END AS m FROM e) SELECT label, pos, round(sum(x * m) / greatest(sum(m), 1e-9), 5) AS mean FROM m GROUP BY label, pos")
+def masked_mean_pool(spark, sf_dir):
+    """Means under a mask; each ninth coordinate is masked everywhere."""
+    e = read(spark, sf_dir, "embeddings")
+    return D.mean_pool(e.withColumn("mask", F.transform("embedding", lambda _, i: F.when((i % 9 == 8) | ((F.col("vec_id") + i) % 3 == 0), 0).otherwise(1))))
+
+
+@query("WITH e AS (SELECT vec_id // 32 AS batch, label AS layer, unnest(embedding)::DOUBLE AS a, unnest(list_reverse(embedding))::DOUBLE AS b FROM embeddings) SELECT batch, round(avg(m), 6) AS loss FROM (SELECT batch, layer, avg((a - b) * (a - b)) AS m FROM e GROUP BY ALL) GROUP BY batch")
+def hidden_layer_loss(spark, sf_dir):
+    """The distance of two sets of hidden states, averaged over layers, for each batch."""
+    e = read(spark, sf_dir, "embeddings")
+    return R.layer_loss(e.select(F.floor(F.col("vec_id") / 32).alias("batch"), F.col("label").alias("layer"), F.col("embedding").alias("a"), F.reverse("embedding").alias("b")))
+
+
 _HOSTS = "SELECT DISTINCT lower(regexp_extract(url, '^[^:]*://([^/?#:]*)', 1)) AS domain FROM pages WHERE url IS NOT NULL"
 _M, _K = 2048, 7
 _HALF = lambda at: f"(('0x' || substr(sha256(domain), {at}, 16))::UBIGINT::HUGEINT - CASE WHEN ('0x' || substr(sha256(domain), {at}, 1))::INT >= 8 THEN 18446744073709551616::HUGEINT ELSE 0 END)"
@@ -457,10 +492,12 @@ def row_constraints(spark, sf_dir):
     return C.row_violations(d.select(i.alias("id"), F.when(i % 5 == 0, "XX").otherwise(F.upper("lang")).alias("lang"), F.when(i % 11 == 0, 2).otherwise(F.col("toxic")).alias("label"), F.when(i % 3 == 0, "NOT_SCAM").when(i % 13 == 0, None).otherwise("OTHER_SCAM").alias("category")))
 
 
-@query("SELECT coalesce(round(count(*) FILTER (quality = toxic)::DOUBLE / nullif(count(*), 0), 6), 1.0) AS agreement, count(*) AS sampled FROM labels")
+@query("SELECT count(*) AS sampled, count(*) FILTER (doc_id % 4 <> 0 AND quality = toxic) AS agreed, coalesce(round(count(*) FILTER (doc_id % 4 <> 0 AND quality = toxic)::DOUBLE / nullif(count(*), 0), 6), 1.0) AS rate FROM labels")
 def audit_agreement(spark, sf_dir):
-    same = F.try_divide(F.count_if(F.col("quality") == F.col("toxic")).cast("double"), F.count("*").cast("double"))
-    return read(spark, sf_dir, "labels").agg(F.coalesce(F.round(same, 6), F.lit(1.0)).alias("agreement"), F.count("*").alias("sampled"))
+    """A second look at all labels, in which each fourth row was skipped."""
+    rows = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"), F.col("quality").alias("answer"))
+    got = Lb.agreement(rows.select("id", "label"), rows.where("id % 4 <> 0").select("id", "answer"))
+    return got.select("sampled", "agreed", F.round("rate", 6).alias("rate"))
 
 
 @query("SELECT doc_id AS id FROM labels ORDER BY md5('0:' || doc_id::VARCHAR), doc_id LIMIT (SELECT greatest(1, round_even(count(*) * 0.05, 0))::BIGINT FROM labels)")
@@ -637,17 +674,34 @@ def kept_tokens(spark, sf_dir):
     return _kept(spark, sf_dir)
 
 
-@query(O.q(_TOKENS, _KEPT, select="SELECT new_id, (length(token) + 0.5)::DOUBLE AS first FROM kept WHERE token IN (SELECT token FROM cnt)"))
+_CASED = r"tok AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{M}\p{Nd}\p{Pc}]+|[^\p{L}\p{M}\p{Nd}\p{Pc}\s\x{85}\x{A0}\x{2000}-\x{200A}\x{202F}\x{3000}]+')) AS token FROM documents), cnt AS MATERIALIZED (SELECT token, count(*) AS freq FROM tok GROUP BY token)"
+_CASED_KEPT = _KEPT.replace("kept AS (", "kept AS MATERIALIZED (")
+
+
+def _cased(spark, sf_dir):
+    from vigil.plans.staging import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    counts = D.token_counts(read(spark, sf_dir, "documents"), lower=False).checkpoint()
+    return counts, R.kept_tokens(counts, ["<unk>", "<pad>", "<unk>"], 300).checkpoint()
+
+
+@query(O.q(_CASED, _CASED_KEPT, "numbered AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS old_id FROM cnt)", select="SELECT new_id, round(embedding[1]::DOUBLE, 6) AS first, round(embedding[-1]::DOUBLE, 6) AS last, len(embedding) AS width FROM kept JOIN numbered USING (token) JOIN embeddings ON vec_id = old_id"))
 def remapped_embedding(spark, sf_dir):
-    vectors = D.token_counts(read(spark, sf_dir, "documents")).select("token", F.array(F.length("token") + F.lit(0.5).cast("double")).alias("embedding"))
-    return R.remapped(vectors, _kept(spark, sf_dir)).select("new_id", F.get("embedding", F.lit(0)).alias("first"))
+    """Rows of the embedding table (a token's row is that of its place among all tokens) under the ids of the kept ones."""
+    counts, kept = _cased(spark, sf_dir)
+    vectors = read(spark, sf_dir, "embeddings").join(R.placed(counts.select("token"), "token"), F.col("vec_id") == F.col("place")).select("token", "embedding")
+    e = F.col("embedding")
+    return R.remapped(vectors, kept).select("new_id", _r(F.get(e, F.lit(0))).alias("first"), _r(F.element_at(e, -1)).alias("last"), F.size(e).cast("long").alias("width"))
 
 
-@query(O.q(_TOKENS, _KEPT, "w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) AS token FROM documents)", select="SELECT doc_id, count(*) AS n, sum(coalesce(new_id, (SELECT new_id FROM kept WHERE token = '<unk>')))::BIGINT AS id_sum FROM w LEFT JOIN kept USING (token) GROUP BY doc_id"))
+@query(O.q(_CASED, _CASED_KEPT, "unknown AS MATERIALIZED (SELECT new_id AS unk FROM kept WHERE token = '<unk>')", select="SELECT doc_id, count(*) AS n, sum(coalesce(new_id, unk))::BIGINT AS id_sum, count(*) FILTER (new_id IS NULL) AS unknown FROM tok LEFT JOIN kept USING (token), unknown GROUP BY doc_id"))
 def pruned_tokens(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    e = R.encoded(docs, _kept(spark, sf_dir), "<unk>")
-    return e.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n"), F.sum("token_id").alias("id_sum"))
+    kept = _cased(spark, sf_dir)[1]
+    unk = F.broadcast(kept.where("token = '<unk>'").select(F.col("new_id").alias("unk")))
+    e = R.encoded(docs, kept, "<unk>").crossJoin(unk)  # one row
+    return e.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n"), F.sum("token_id").alias("id_sum"), F.count_if(F.col("token_id") == F.col("unk")).alias("unknown"))
 
 
 _POOL = ", ".join(f"round(list_avg(list_slice(embedding::DOUBLE[], (floor(len(embedding) * {i} / 5) + 1)::BIGINT, ceil(len(embedding) * {i + 1} / 5)::BIGINT)), 5) AS p{i}" for i in range(5))
@@ -659,11 +713,74 @@ def adaptive_pooling(spark, sf_dir):
     return e.select("vec_id", *[F.round(F.get("p", F.lit(i)), 5).alias(f"p{i}") for i in range(5)])
 
 
-@query("SELECT msg_id, text, sender_hint FROM (SELECT conv_id * 1000 + turn AS msg_id, text, NULL::VARCHAR AS sender_hint FROM conversations) WHERE trim(text) <> ''")
+#: Some turns are nothing but white space of one kind or another.
+_TYPED = "SELECT conv_id * 1000 + turn AS msg_id, CASE conv_id % 7 WHEN 0 THEN chr(9) || chr(10) WHEN 1 THEN chr(160) || ' ' WHEN 2 THEN ' ' || chr(13) || chr(10) || text WHEN 3 THEN '' ELSE text END AS text FROM {conversations}"
+
+
+@query(f"SELECT msg_id, text, NULL::VARCHAR AS sender_hint FROM ({_TYPED.format(conversations='conversations')}) WHERE regexp_matches(text, '[^\\s\\x{{A0}}]')")
 def entered_messages(spark, sf_dir):
     from vigil.sources.messages import entered
 
-    return entered(read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), "text"))
+    return entered(spark.sql(_TYPED, conversations=read(spark, sf_dir, "conversations")))
+
+
+@query(f"SELECT msg_id, CASE WHEN regexp_matches(text, '[^\\s\\x{{A0}}]') THEN text END AS text FROM ({_TYPED.format(conversations='conversations')})")
+def shared_messages(spark, sf_dir):
+    from vigil.sources.messages import shared
+
+    return shared(spark.sql(_TYPED, conversations=read(spark, sf_dir, "conversations")))
+
+
+# plug-ins and the SQL surface
+
+
+@query(O.q(O.CHAIN, O.MODEL, select="""SELECT v.msg_id, CASE WHEN contains(text, 'OTP') THEN v.verdict ELSE m.verdict END AS verdict, CASE WHEN contains(text, 'OTP') THEN v.confidence ELSE m.confidence END AS confidence,
+  'CLASSIFIER,EXTRA,PATTERN,SENDER,URL' AS analyzers, CASE WHEN contains(text, 'OTP') THEN 'PATTERN,SENDER,URL' ELSE 'CLASSIFIER,PATTERN,SENDER,URL' END AS scored, CASE WHEN contains(text, 'OTP') THEN 'EXTRA: no such file;CLASSIFIER: cannot read OTP' ELSE 'EXTRA: no such file' END AS unavailable
+  FROM v JOIN mverdict m USING (msg_id) JOIN messages USING (msg_id)"""))
+def plugin_verdicts(spark, sf_dir):
+    """Four analyzers and one that does not load; the classifier fails on some rows."""
+    from vigil.operators import plugins as P
+
+    def missing(df, name):
+        raise FileNotFoundError("no such file")
+
+    def classifier(df, name):
+        refused = F.contains("text", F.lit("OTP"))
+        on = P.model_plugin(1.5)(df, "_found")
+        return on.withColumn(name, F.when(refused, P.unavailable(F.lit("cannot read OTP"))).otherwise(F.col("_found").cast(P.SIGNAL))).drop("_found")
+
+    plugins = {"EXTRA": missing, P.CLASSIFIER: classifier, **P.built_in(_known(spark, sf_dir), domain_ages(spark, sf_dir))}
+    got = P.fused(P.orchestrated(messages(spark, sf_dir), plugins))
+    return got.select("msg_id", "verdict", "confidence", F.array_join("analyzers", ",").alias("analyzers"), F.array_join("scored", ",").alias("scored"), F.array_join(F.transform("unavailable", lambda u: F.concat_ws(": ", u["id"], u["reason"])), ";").alias("unavailable"))
+
+
+@query(O.q(O.MESSAGES, "c AS (SELECT msg_id, count(*) AS n FROM msgs WHERE contains(normalized, 'z') GROUP BY msg_id)", select="SELECT msg_id, CASE WHEN length(text) % 5 = 0 THEN NULL ELSE round(length(text) / 1000.0::FLOAT, 4) END AS weight, CASE WHEN length(text) % 5 = 0 THEN 'a fifth of all' END AS reason FROM msgs"))
+def guarded_plugin(spark, sf_dir):
+    """A plug-in in Python that raises on some rows: they have a reason, the others a weight."""
+    from vigil.operators import plugins as P
+
+    def analyze(text, hint):
+        if len(text) % 5 == 0:
+            raise ValueError("a fifth of all")
+        return {"weight": len(text) / 1000}
+
+    df = P.guarded(analyze)(messages(spark, sf_dir), "s")
+    return df.select("msg_id", F.round(F.col("s.weight").cast("double"), 4).alias("weight"), "s.reason")
+
+
+@query(O.q(O.MESSAGES, O.URLS, O.registrable("urls"), O.CLAIMS, select=f"""SELECT u.msg_id, u.ord, u.host, m.lang_text, registrable, {O.IS_IP.replace('host', 'u.host')} AS ip, {O._fold("split_part(registrable, '.', 1)")} AS folded, {O._SQUASH("split_part(registrable, '.', 1)")} AS bare, brand_id
+  FROM urls u JOIN (SELECT host AS h, CASE registrable {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in O._WIRE)} ELSE registrable END AS registrable FROM reg) r ON h = u.host JOIN (SELECT msg_id, normalized AS lang_text FROM msgs) m USING (msg_id) LEFT JOIN claims USING (msg_id)"""))
+def sql_surface(spark, sf_dir):
+    """The same functions from SQL text alone, table functions in lateral joins included."""
+    from vigil.functions import sql
+
+    sql.register(spark)
+    return spark.sql(
+        """SELECT m.msg_id, u.ord, u.host, norm_text(m.text) AS lang_text, registrable_domain(u.host) AS registrable, is_ip_literal(u.host) AS ip,
+             fold_label(split_part(registrable_domain(u.host), '.', 1)) AS folded, squash_label(split_part(registrable_domain(u.host), '.', 1)) AS bare, b.brand_id
+           FROM {m} m, LATERAL extract_urls(m.text) u LEFT JOIN LATERAL extract_brands(m.text) b ON true""",
+        m=messages(spark, sf_dir),
+    )
 
 
 # a pack that was written and loaded again
@@ -700,7 +817,7 @@ def established_domains(spark, sf_dir):
     return pack.established(h.union(own), _pack(spark, sf_dir).reputation)
 
 
-@query("SELECT * FROM (VALUES ('aliases', 12), ('brands', 8), ('domains', 9), ('folds', 14), ('patterns', 8), ('shorteners', 4), ('suffixes', 13)) v(part, n)")
+@query("SELECT * FROM (VALUES ('aliases', 12), ('brands', 8), ('domains', 9), ('folds', 14), ('patterns', 14), ('shorteners', 4), ('suffixes', 13)) v(part, n)")
 def pack_counts(spark, sf_dir):
     from vigil.sources import pack
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.text import scrub
-from vigil.operators.rows import placed
+from vigil.operators.rows import placed, pretokens
 from vigil.plans.staging import ensure_checkpoint_dir
 
 HASHES, K, THRESHOLD = 64, 5, 0.8
@@ -146,9 +146,10 @@ def require_no_leaks(pairs: DataFrame, splits: DataFrame) -> None:
         raise ValueError(f"rows {found['a']} and {found['b']} are near copies in different splits")
 
 
-def token_counts(docs: DataFrame) -> DataFrame:
-    """token, freq over words and runs of punctuation."""
-    return docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"), 0)).alias("token")).groupBy("token").agg(F.count("*").alias("freq"))
+def token_counts(docs: DataFrame, lower: bool = True) -> DataFrame:
+    """token, freq over words and runs of punctuation; without ``lower`` over the tokens that a pruned vocabulary is asked for."""
+    tokens = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"), 0) if lower else pretokens(F.col("text"))
+    return docs.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("freq"))
 
 
 def vocabulary(counts: DataFrame, size: int, least: int = 5) -> DataFrame:
@@ -158,6 +159,11 @@ def vocabulary(counts: DataFrame, size: int, least: int = 5) -> DataFrame:
 
 
 def mean_pool(vectors: DataFrame) -> DataFrame:
-    """label, pos, mean: the mean of every coordinate."""
-    each = vectors.select("label", F.posexplode("embedding").alias("pos", "x"))
-    return each.groupBy("label", "pos").agg(F.round(F.avg(F.col("x").cast("double")), 5).alias("mean"))
+    """label, pos, mean: the mean of every coordinate; where there is a column mask, of the coordinates whose mask is not 0
+    (the number of those is at least 1e-9, so a position without any has mean 0)."""
+    if "mask" not in vectors.columns:
+        each = vectors.select("label", F.posexplode("embedding").alias("pos", "x"))
+        return each.groupBy("label", "pos").agg(F.round(F.avg(F.col("x").cast("double")), 5).alias("mean"))
+    each = vectors.select("label", F.posexplode(F.arrays_zip("embedding", "mask")).alias("pos", "z"))
+    x, m = F.col("z.embedding").cast("double"), F.col("z.mask").cast("double")
+    return each.groupBy("label", "pos").agg(F.round(F.sum(x * m) / F.greatest(F.sum(m), F.lit(1e-9)), 5).alias("mean"))

@@ -9,6 +9,8 @@ from vigil.operators.selection import MOST, bottom, places
 
 #: Fixed value: what the 95th percentile of a verdict without a model may take, in milliseconds.
 LATENCY_BUDGET_MS = 50.0
+# Least recall of the positive class, most false positives among genuine hard negatives
+LEAST_RECALL, MOST_FPR = 0.93, 0.03
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -27,12 +29,26 @@ def binary(df: DataFrame, *by: str) -> DataFrame:
 
 
 def confusion(df: DataFrame, labels: DataFrame) -> DataFrame:
-    """actual, predicted, n for every pair of ``labels`` (label), zero where none."""
-    grid = labels.select(F.col("label").alias("actual")).withColumn("predicted", F.explode(F.array(*[F.lit(r["label"]) for r in labels.collect()])))
+    """actual, predicted, n for every pair of ``labels`` (label; a bounded list such as the categories), zero where none."""
+    grid = labels.select(F.col("label").alias("actual")).crossJoin(F.broadcast(labels.select(F.col("label").alias("predicted"))))
     got = df.groupBy(F.col("y").alias("actual"), F.col("pred").alias("predicted")).agg(F.count("*").alias("n"))
     return grid.join(got, ["actual", "predicted"], "left").select("actual", "predicted", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def per_language(df: DataFrame, languages: list[str]) -> DataFrame:
+    """lang, macro_f1 for each of ``languages`` (without UNKNOWN); null for a language without rows."""
+    asked = df.sparkSession.createDataFrame([(x,) for x in languages if x != "UNKNOWN"], "lang string")
+    return asked.join(binary(df, "lang").select("lang", "macro_f1"), "lang", "left")
+
+
+def targets(df: DataFrame) -> DataFrame:
+    """recall of label 1, fpr on genuine rows marked is_hard_negative, and whether each meets its target; null where there are no such rows."""
+    y, p, hard = F.col("y"), F.col("pred"), F.col("is_hard_negative") & (F.col("y") == 0)
+    share = lambda a, b: F.try_divide(F.count_if(a).cast("double"), F.count_if(b).cast("double"))
+    got = df.agg(F.round(share((y == 1) & (p == 1), y == 1), 6).alias("recall"), F.round(share(hard & (p == 1), hard), 6).alias("fpr"))
+    return got.select("recall", "fpr", (F.col("recall") >= LEAST_RECALL).alias("recall_met"), (F.col("fpr") <= MOST_FPR).alias("fpr_met"))
+
+
 def nearest_rank(df: DataFrame, value: str, *by: str, most: int = MOST) -> DataFrame:
     """p50 at index n // 2 and p95 at index min(int(0.95 n), n - 1) of the sorted values, without interpolation."""
     n = F.col("n")

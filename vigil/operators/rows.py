@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.operators.selection import MOST, bottom, hashed
-from vigil.plans.staging import ensure_checkpoint_dir
+from vigil.plans.staging import ensure_checkpoint_dir, small
 
 # Common nouns that may not stand alone as an alias, and sources whose texts need no check of names
 COMMON_NOUNS = ["bank", "pay", "card", "post", "service", "account", "office", "department", "app", "mobile", "online", "secure", "support", "helpline", "customer"]
@@ -86,6 +86,21 @@ def mean_loss(losses: DataFrame) -> DataFrame:
     return losses.groupBy("batch").agg(F.avg("loss").alias("m")).agg(F.round(F.avg("m"), 6).alias("mean_loss"))
 
 
+def layer_loss(losses: DataFrame) -> DataFrame:
+    """batch, loss: the mean over hidden layers of the mean squared difference of each (batch, layer, a, b: arrays of one length)."""
+    each = losses.select("batch", "layer", F.explode(F.arrays_zip("a", "b")).alias("z"))
+    d = F.col("z.a").cast("double") - F.col("z.b").cast("double")
+    return each.groupBy("batch", "layer").agg(F.avg(d * d).alias("m")).groupBy("batch").agg(F.round(F.avg("m"), 6).alias("loss"))
+
+
+def require_name_safe(rows: DataFrame, verified: bool = False) -> DataFrame:
+    """``rows``, if names in them need no check or are ``verified``; raises with the sources that do otherwise."""
+    found = unsafe_sources(rows, verified).limit(5).collect()
+    if found:
+        raise ValueError("names are unchecked in rows of " + ", ".join(sorted(str(r["source"]) for r in found)))
+    return rows
+
+
 def age_days(first_seen_ms: Column, now_ms: Column) -> Column:
     """Whole days between two times in milliseconds; null if either is."""
     return F.floor((now_ms - first_seen_ms) / DAY_MS)
@@ -96,6 +111,11 @@ def flat_line(text: Column) -> Column:
     return F.regexp_replace(text, r"\r\n|\r|\n", " ")
 
 
+def pretokens(text: Column) -> Column:
+    """Words (letters, marks, digits, connectors) and runs of what is neither word nor white space, in order, case kept."""
+    return F.regexp_extract_all(text, F.lit(r"(?U)\w+|[^\w\s]+"), F.lit(0))
+
+
 def kept_tokens(counts: DataFrame, specials: list[str], target: int, least: int = 5) -> DataFrame:
     """token, new_id: the specials and the most frequent other tokens up to ``target``, numbered by token.
 
@@ -109,14 +129,14 @@ def kept_tokens(counts: DataFrame, specials: list[str], target: int, least: int
 
 def remapped(vectors: DataFrame, kept: DataFrame) -> DataFrame:
     """new_id, embedding: the rows of an embedding table (token, embedding) that stay, under their new ids."""
-    return vectors.join(F.broadcast(kept), "token").select("new_id", "embedding")
+    return vectors.join(small(kept), "token").select("new_id", "embedding")
 
 
 def encoded(docs: DataFrame, kept: DataFrame, unknown: str) -> DataFrame:
-    """id, pos, token_id: words between blanks under a pruned vocabulary; words outside it are ``unknown``'s."""
-    words = docs.select("id", F.posexplode(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")).alias("pos", "token"))
+    """id, pos, token_id: words and runs of punctuation, as they are written, under a pruned vocabulary; tokens outside it are ``unknown``'s."""
+    tokens = docs.select("id", F.posexplode(pretokens(F.col("text"))).alias("pos", "token"))
     own = kept.where(F.col("token") == unknown).select(F.col("new_id").alias("_unk"))
-    return words.join(F.broadcast(kept), "token", "left").crossJoin(F.broadcast(own)).select("id", "pos", F.coalesce("new_id", "_unk").alias("token_id"))  # one row
+    return tokens.join(small(kept), "token", "left").crossJoin(F.broadcast(own)).select("id", "pos", F.coalesce("new_id", "_unk").alias("token_id"))  # one row
 
 
 def adaptive_pool(values: Column, n: int) -> Column:

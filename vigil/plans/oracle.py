@@ -193,11 +193,15 @@ owners AS (SELECT header, list(brand_id) AS owners FROM {rules.values_sql(_HEADE
 sender AS (SELECT msg_id, CASE WHEN sender_hint IS NULL THEN 'BRAND_CLAIM_WITHOUT_DLT_HEADER' WHEN regexp_matches(sender_hint, '^[0-9]{{10}}$') THEN 'UNREGISTERED_NUMERIC_SENDER'
   WHEN regexp_matches(sender_hint, '^[A-Z]{{2}}-[A-Z0-9]{{3,9}}$') AND owners IS NOT NULL AND NOT list_has_any(owners, ids) THEN 'DLT_HEADER_MISMATCH' END AS sender
   FROM claimed JOIN messages USING (msg_id) LEFT JOIN owners ON header = regexp_extract(sender_hint, '-(.*)$', 1))"""
-FIRED = "fired AS (" + " UNION ALL ".join(
-    f"SELECT msg_id, {i} AS ord, '{n}' AS rule_id, '{k}' AS type, {s} AS severity, {w}::DOUBLE AS weight FROM msgs WHERE lang IN {_in(langs)} AND regexp_matches(normalized, '{p.replace(chr(39), chr(39) * 2)}')"
+def fired(msgs: str = "msgs") -> str:
+    return "fired AS (" + " UNION ALL ".join(
+    f"SELECT msg_id, {i} AS ord, '{n}' AS rule_id, '{k}' AS type, {s} AS severity, {w}::DOUBLE AS weight FROM {msgs} WHERE lang IN {_in(langs)} AND regexp_matches(normalized, '{p.replace(chr(39), chr(39) * 2)}')"
     + (f" AND NOT regexp_matches(normalized, '{sup.replace(chr(39), chr(39) * 2)}')" if sup else "")
     for i, (n, langs, p, sup, k, s, w, _) in enumerate(rules.PATTERNS)
 ) + ")"
+
+
+FIRED = fired()
 _SEV = lambda x: f"(CASE {x} WHEN 2 THEN 0.9 WHEN 1 THEN 0.4 WHEN 0 THEN 0.1 ELSE 0 END)::FLOAT"
 VERDICT = f"""u AS (SELECT msg_id, max(severity) AS us FROM url_ev GROUP BY msg_id),
 p AS (SELECT msg_id, least(sum(weight)::FLOAT, 0.5::FLOAT) AS pw FROM fired GROUP BY msg_id),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: One template for each remainder of the order key; the text runs on Spark and on the oracle alike.
@@ -62,6 +62,18 @@ HTML_SQL = """SELECT o_orderkey AS msg_id, CASE o_orderkey % 7
    CASE o_orderkey % 3 WHEN 0 THEN 'northpay-' || (o_orderkey % 9000 + 1000) || '.xyz' WHEN 1 THEN 'lumenpost.net' ELSE 'carrow.com' END AS d FROM {orders}) AS o"""
 
 
+#: Messages in the seven languages that rules are written for, and one that no rule is.
+SPOKEN_SQL = """SELECT o_orderkey AS msg_id, CASE o_orderkey % 9
+ WHEN 0 THEN 'आपको इनाम मिला है ' || o_orderkey WHEN 1 THEN 'अपना ओटीपी ' || o_orderkey || ' बताएं' WHEN 2 THEN 'तुमचे खाते उद्या बंद होणार आहे ' || o_orderkey
+ WHEN 3 THEN 'আপনি একটি পুরস্কার পেয়েছেন ' || o_orderkey WHEN 4 THEN 'உங்களுக்கு பரிசு கிடைத்தது ' || o_orderkey WHEN 5 THEN 'మీకు బహుమతి వచ్చింది ' || o_orderkey
+ WHEN 6 THEN 'aapko inaam mila hai ' || o_orderkey WHEN 7 THEN 'You won a prize ' || o_orderkey ELSE 'विज्ञापन: इनाम ' || o_orderkey END AS text FROM {orders}"""
+
+
+def spoken_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """msg_id, text: a message in one of seven languages for each order."""
+    return spark.sql(SPOKEN_SQL, orders=dealt(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey"), "o_orderkey"))
+
+
 def ranked_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(RANKED_SQL, part=spark.read.parquet(f"{sf_dir}/part.parquet"))
 
@@ -75,17 +87,33 @@ def html_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(HTML_SQL, orders=dealt(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey"), "o_orderkey"))
 
 
+#: White space of every kind: blanks, tabs, line ends, the separators among control characters, no-break and other wide blanks.
+WHITE = r"[\s\x0B\x1C-\x1F\p{Z}]"
+#: Files are stripped of the next-line character too.
+WHITE_OF_FILES = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
+
+
+def is_blank(text: Column) -> Column:
+    """Whether a text holds nothing but white space; null for null."""
+    return text.rlike(rf"^{WHITE}*\z")
+
+
+def stripped(text: Column) -> Column:
+    """``text`` without white space at both ends."""
+    return F.regexp_replace(F.regexp_replace(text, rf"^{WHITE_OF_FILES}+", ""), rf"{WHITE_OF_FILES}+\z", "")
+
+
 def from_csv(spark: SparkSession, path: str, column: str) -> DataFrame:
     """text: one trimmed, non-empty value of a CSV column; no rows if the column is missing."""
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     if column not in raw.columns:
         return spark.createDataFrame([], "text string")
-    return raw.selectExpr(f"trim(`{column}`) AS text").where("text <> ''")
+    return raw.select(stripped(F.col(f"`{column}`")).alias("text")).where("text <> ''")
 
 
 def from_lines(spark: SparkSession, path: str) -> DataFrame:
     """text: one trimmed, non-empty line."""
-    return spark.read.text(path).selectExpr("trim(value) AS text").where("text <> ''")
+    return spark.read.text(path).select(stripped(F.col("value")).alias("text")).where("text <> ''")
 
 
 def from_tsv(spark: SparkSession, path: str) -> DataFrame:
@@ -95,12 +123,12 @@ def from_tsv(spark: SparkSession, path: str) -> DataFrame:
 
 def shared(texts: DataFrame) -> DataFrame:
     """``texts`` with a blank or null text as null: what a share or a selection without text gives."""
-    return texts.withColumn("text", F.when(F.trim("text") != "", F.col("text")))
+    return texts.withColumn("text", F.when(~is_blank(F.col("text")), F.col("text")))
 
 
 def entered(texts: DataFrame) -> DataFrame:
     """Rows with a text that is not blank, as typed or pasted by hand; these never have a sender."""
-    return texts.where(F.trim("text") != "").withColumn("sender_hint", F.lit(None).cast("string"))
+    return texts.where(~is_blank(F.col("text"))).withColumn("sender_hint", F.lit(None).cast("string"))
 
 
 ROW = "id string, text string, lang string, source string, collected_at string, label int, category string, is_hard_negative boolean, split string, labeled_by string, labeled_at string"

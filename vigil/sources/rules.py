@@ -37,6 +37,12 @@ PATTERNS = [
     ("collect", ["EN", "HI_LATN"], r"(approve|accept).{0,15}(collect|request)", None, "UPI_COLLECT_FRAMING", 2, 0.25, {"UPI_COLLECT": 0.5}),
     ("jeeta", ["HI_LATN"], r"inaam (jeeta|mila)", None, "UNREALISTIC_REWARD", 2, 0.3, {"LOTTERY_PRIZE": 0.4}),
     ("premium", ["EN"], r"call 0?9[0-9]{2}[ -]?[0-9]{6}", None, "PREMIUM_RATE_NUMBER", 1, 0.2, {"OTHER_SCAM": 0.2}),
+    ("inaam_hi", ["HI", "MR"], "(इनाम|बक्षीस|लॉटरी)", "विज्ञापन", "UNREALISTIC_REWARD", 2, 0.3, {"LOTTERY_PRIZE": 0.4}),
+    ("code_hi", ["HI"], "(ओटीपी|पिन).{0,15}(बताएं|भेजें)", "न बताएं", "OTP_SOLICITATION", 2, 0.3, {"KYC_PHISHING": 0.4}),
+    ("khate_mr", ["MR"], "खाते.{0,15}बंद", None, "THREAT_OF_LOSS", 2, 0.25, {"KYC_PHISHING": 0.3}),
+    ("puroskar_bn", ["BN"], "পুরস্কার", None, "UNREALISTIC_REWARD", 2, 0.3, {"LOTTERY_PRIZE": 0.4}),
+    ("parisu_ta", ["TA"], "பரிசு", None, "UNREALISTIC_REWARD", 2, 0.3, {"LOTTERY_PRIZE": 0.4}),
+    ("bahumati_te", ["TE"], "బహుమతి", None, "UNREALISTIC_REWARD", 2, 0.3, {"LOTTERY_PRIZE": 0.4}),
 ]
 # Categories and severities in order; severity weights; fusion weights without a model
 CATEGORIES = ["KYC_PHISHING", "FAKE_JOB", "LOTTERY_PRIZE", "DIGITAL_ARREST", "COURIER_CUSTOMS", "LOAN_APP", "UPI_COLLECT", "INVESTMENT_TRADING", "TECH_SUPPORT", "SEXTORTION", "ELECTRICITY_DISCONNECTION", "OTHER_SCAM", "NOT_SCAM"]
