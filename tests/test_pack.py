@@ -35,7 +35,7 @@ def test_a_bad_core_table_brings_the_built_in_pack(spark, tmp_path, broken):
     full(tmp_path)
     write(tmp_path, "patterns.json", broken) if broken else (tmp_path / "patterns.json").unlink()
     got = P.load(spark, str(tmp_path))
-    assert got.fallback and got.brands == P.BUILT_IN.brands and got.shorteners == P.BUILT_IN.shorteners and got.suffixes == ["com", "*.ck", "!www.ck"]
+    assert got.fallback and got.brands == P.BUILT_IN.brands[:5] and len(got.shorteners) == 4 and len(got.suspicious_tlds) == 5 and not got.patterns and not got.single_folds and not got.sequence_folds and got.suffixes == ["com", "*.ck", "!www.ck"]
 
 
 def test_a_written_pack_is_the_same_pack(spark, tmp_path):
@@ -56,7 +56,8 @@ def test_a_loaded_pack_drives_the_verdict(spark, tmp_path):
 
 
 def test_pack_checks(spark):
-    assert P.violations(spark, P.BUILT_IN).count() == 0
+    assert P.violations(spark, P.BUILT_IN, 0).count() == 0
+    assert [tuple(r) for r in P.violations(spark, P.BUILT_IN).collect()] == [("suffixes", "13", "too few rules")]
     bad = P.Pack(brands=[*P.BUILT_IN.brands, ("sola", "S", ["Pay", "orbit"], [], [])], shorteners=["a.b", "a.b"], brand_operated={"x.y": "none"}, short_distance=3, single_folds={"ab": "c"}, patterns=[*P.BUILT_IN.patterns, ("prize", ["EN"], "(", None, "OTP_SOLICITATION", 1, 0.1, {})])
     got = sorted((r.part, r.rule) for r in P.violations(spark, bad, 1_000).collect())
     assert got == [("brands", "alias of two brands"), ("brands", "bare common noun"), ("brands", "repeated id"), ("folds", "key of more than one character"), ("folds", "short labels allow more edits than long ones"), ("patterns", "does not compile"), ("patterns", "repeated id"), ("shorteners", "repeated domain"), ("shorteners", "unknown brand"), ("suffixes", "too few rules")]
@@ -116,3 +117,15 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(60)
     r = spark.read.parquet(str(tmp_path / "out")).first()
     assert (r.sender, r.lang) == ("UNREGISTERED_NUMERIC_SENDER", "EN")
+
+
+def test_verdicts_with_the_fallback(spark):
+    from vigil.plans import verdict as V
+    from vigil.sources import rules
+
+    pack = P.Pack(**rules.FALLBACK, suffixes=["com", "xyz"])
+    rows = [(1, None, "NorthPay http://northpay-1.xyz/login"), (2, None, "won a prize"), (3, None, "NorthPay http://n0rthpay.com/")]
+    df = spark.createDataFrame(rows, "msg_id long, sender_hint string, text string")
+    got = {r.msg_id: (r.verdict, [e.type for e in r.evidence]) for r in V.ordered_evidence(V.verdicts(df, pack=pack)).collect()}
+    assert got[1][0] == "SCAM" and got[2] == ("SAFE", []) and got[3][1][0] == "TYPOSQUAT_OF_KNOWN_BRAND"
+    assert V.hints(V.verdicts(df, pack=pack), pack).count() == 2

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from uuid import uuid4
 
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from vigil.operators import scoring as Sc
 from vigil.operators import urls as U
 from vigil.plans import oracle as O
 from vigil.plans import verdict as V
+from vigil.plans.staging import ensure_checkpoint_dir
 from vigil.sources import rules
 from vigil.sources.messages import HTML_SQL, SPOKEN_SQL, domain_ages, html_messages, messages, ranked_domains, spoken_messages
 
@@ -35,6 +37,13 @@ def read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _folder(spark, name):
+    """A new folder that driver and executors share."""
+    ensure_checkpoint_dir(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{base.rstrip('/')}/vigil-{name}-{uuid4().hex}"
+
+
 def _known(spark, sf_dir):
     """The built-in pack with a reputation filter of the ranked domains."""
     from vigil.sources import pack
@@ -250,8 +259,6 @@ def minhash_signature(spark, sf_dir):
 
 
 def _near(spark, sf_dir):
-    from vigil.plans.staging import ensure_checkpoint_dir
-
     ensure_checkpoint_dir(spark)
     rows = _conversation_rows(spark, sf_dir)
     sigs = D.signatures(rows).checkpoint()
@@ -313,8 +320,6 @@ def _document_rows(spark, sf_dir):
 
 
 def _document_near(spark, sf_dir):
-    from vigil.plans.staging import ensure_checkpoint_dir
-
     ensure_checkpoint_dir(spark)
     rows = _document_rows(spark, sf_dir)
     return rows, D.near_pairs(D.signatures(rows).checkpoint()).checkpoint()
@@ -465,21 +470,18 @@ def bloom_membership(spark, sf_dir):
     return B.probe(hosts, B.build(hosts.where(F.contains("domain", F.lit("th"))), _M, _K), _M, _K)
 
 
-_BROKEN = [("north_two", ["North Pay", "n2"]), ("solo", ["SOLA"])]
-
-
-@query("WITH a AS (SELECT * FROM " + rules.values_sql([(b[0], x) for b in rules.BRANDS for x in b[2]] + [(b, x) for b, xs in _BROKEN for x in xs], "v", "brand_id, alias") + ") SELECT lower(alias) AS alias, count(DISTINCT brand_id) AS owners FROM a GROUP BY lower(alias) HAVING count(DISTINCT brand_id) > 1")
+@query("SELECT alias, count(DISTINCT s_suppkey) AS owners FROM (SELECT s_suppkey, lower(unnest([s_name, n_name, 'The ' || n_name])) AS alias FROM supplier JOIN nation ON s_nationkey = n_nationkey) GROUP BY alias HAVING count(DISTINCT s_suppkey) > 1")
 def duplicate_aliases(spark, sf_dir):
-    extra = spark.createDataFrame(_BROKEN, "brand_id string, aliases array<string>")
-    return C.duplicate_aliases(rules.brands(spark).select("brand_id", "aliases").union(extra))
-
+    """Suppliers as brands: each has its own name, and that of its nation in two forms."""
+    both = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return C.duplicate_aliases(both.select(F.col("s_suppkey").alias("brand_id"), F.array("s_name", "n_name", F.concat(F.lit("THE "), "n_name")).alias("aliases")))
 
-_OPERATED = [*rules.BRAND_OPERATED.items(), ("gone.click", "nobody")]
 
-
-@query("SELECT domain, brand_id FROM " + rules.values_sql(_OPERATED, "v", "domain, brand_id") + f" WHERE brand_id NOT IN {O._in([b[0] for b in rules.BRANDS])}")
+@query("SELECT 'p' || p_partkey || '.click' AS domain, 's' || (p_partkey % 2500) AS brand_id FROM part WHERE p_partkey % 2500 NOT IN (SELECT s_suppkey FROM supplier)")
 def fk_violations(spark, sf_dir):
-    return C.unknown_brands(spark.createDataFrame(_OPERATED, "domain string, brand_id string"), rules.brands(spark))
+    """Domains that parts stand for, operated by suppliers, some of which do not exist."""
+    operated = read(spark, sf_dir, "part").selectExpr("'p' || p_partkey || '.click' AS domain", "'s' || (p_partkey % 2500) AS brand_id")
+    return C.unknown_brands(operated, read(spark, sf_dir, "supplier").selectExpr("'s' || s_suppkey AS brand_id"))
 
 
 @query("""WITH r AS (SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN 'XX' ELSE upper(lang) END AS lang, CASE WHEN doc_id % 11 = 0 THEN 2 ELSE toxic END AS label, CASE WHEN doc_id % 3 = 0 THEN 'NOT_SCAM' WHEN doc_id % 13 = 0 THEN NULL ELSE 'OTHER_SCAM' END AS category FROM documents JOIN labels USING (doc_id))
@@ -574,13 +576,11 @@ def analysis_results(spark, sf_dir):
     return V.results(V.verdicts(m, None, _known(spark, sf_dir), domain_ages(spark, sf_dir)), "1").withColumn("analyzers", F.array_join("analyzers", ","))
 
 
-_HEADER_NAMES = "SELECT header, string_agg(name, ', ' ORDER BY name) AS names FROM " + rules.values_sql([(h, b[1]) for b in rules.BRANDS for h in b[4]], "v", "header, name") + " GROUP BY header"
-
-
-@query(_HEADER_NAMES)
+@query("SELECT upper(r_name) AS header, string_agg(DISTINCT n_name, ', ' ORDER BY n_name) AS names FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
 def header_brand_names(spark, sf_dir):
-    each = rules.brands(spark).select("name", F.explode("headers").alias("header"))
-    return each.groupBy("header").agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("names"))  # a bounded table
+    """Nations as brands, regions as the headers that they share."""
+    both = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return A.header_owners(both.select(F.col("n_name").alias("name"), F.array(F.upper("r_name")).alias("headers")))
 
 
 _ROWS = "r AS (SELECT d.doc_id AS id, d.source, CASE WHEN d.doc_id % 4 = 0 THEN NULL ELSE toxic END AS label, CASE d.doc_id % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'val' WHEN 2 THEN NULL ELSE 'train' END AS split FROM documents d JOIN labels USING (doc_id))"
@@ -614,8 +614,6 @@ def parity_rows(spark, sf_dir):
 
 @query(O.q(_ROWS, "a AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS place FROM r), b AS (SELECT id % 3 AS prediction, row_number() OVER (ORDER BY id) - 1 AS place FROM r)", select="SELECT place, id, prediction FROM a JOIN b USING (place)"))
 def zipped_predictions(spark, sf_dir):
-    from vigil.plans.staging import ensure_checkpoint_dir
-
     ensure_checkpoint_dir(spark)
     rows = _rows(spark, sf_dir).select("id")
     return R.zipped(rows, rows.select("id", (F.col("id") % 3).alias("prediction")), "id").select("place", "id", "prediction")
@@ -632,12 +630,11 @@ def dotted_ascii_domains(spark, sf_dir):
     return R.dotted_ascii(h)
 
 
-_NOUNS = [("north_two", ["North Pay", "Pay", "SECURE"]), ("solo", ["sola", "helpline"])]
-
-
-@query("SELECT * FROM (VALUES ('north_two', 'Pay'), ('north_two', 'SECURE'), ('solo', 'helpline')) v(brand_id, alias)")
+@query("SELECT p_partkey AS brand_id, CASE p_partkey % 4 WHEN 0 THEN 'Pay' ELSE 'SECURE' END AS alias FROM part WHERE p_partkey % 4 < 2")
 def bare_noun_aliases(spark, sf_dir):
-    return R.bare_nouns(rules.brands(spark).select("brand_id", "aliases").union(spark.createDataFrame(_NOUNS, "brand_id string, aliases array<string>")))
+    """Parts as brands; half of them are called by a common noun as well."""
+    alias = F.when(F.col("p_partkey") % 4 == 0, "Pay").when(F.col("p_partkey") % 4 == 1, "SECURE").otherwise(F.col("p_name"))
+    return R.bare_nouns(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("brand_id"), F.array(alias, "p_brand").alias("aliases")))
 
 
 @query("SELECT lang, count(*) AS n FROM documents GROUP BY lang HAVING count(*) > 1")
@@ -679,8 +676,6 @@ _CASED_KEPT = _KEPT.replace("kept AS (", "kept AS MATERIALIZED (")
 
 
 def _cased(spark, sf_dir):
-    from vigil.plans.staging import ensure_checkpoint_dir
-
     ensure_checkpoint_dir(spark)
     counts = D.token_counts(read(spark, sf_dir, "documents"), lower=False).checkpoint()
     return counts, R.kept_tokens(counts, ["<unk>", "<pad>", "<unk>"], 300).checkpoint()
@@ -731,6 +726,65 @@ def shared_messages(spark, sf_dir):
     return shared(spark.sql(_TYPED, conversations=read(spark, sf_dir, "conversations")))
 
 
+_ZED = "z AS (SELECT CASE WHEN event_id % 2 = 1 THEN z1 ELSE -z1 END AS m FROM (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN -1 ELSE 1 END * (CASE WHEN event_id % 2 = 1 THEN 1 ELSE -1 END) * value / 50 AS z1 FROM events WHERE value IS NOT NULL))"
+
+
+@query("WITH RECURSIVE " + _ZED + ", s AS (SELECT 0 AS i, ln(0.05) AS low, ln(20.0) AS high UNION ALL SELECT i + 1, CASE WHEN (SELECT sum(m / (1 + exp(exp((low + high) / 2) * m))) FROM z) > 0 THEN (low + high) / 2 ELSE low END, CASE WHEN (SELECT sum(m / (1 + exp(exp((low + high) / 2) * m))) FROM z) > 0 THEN high ELSE (low + high) / 2 END FROM s WHERE i < 40) SELECT round(exp(-(low + high) / 2), 3) AS temperature FROM s WHERE i = 40")
+def fitted_temperature(spark, sf_dir):
+    """The temperature of the calibration grid's logits."""
+    e = read(spark, sf_dir, "events").where("value is not null")
+    sign = F.when(F.col("event_id") % 5 == 0, -1).otherwise(1) * F.when(F.col("event_id") % 2 == 1, 1).otherwise(-1)
+    rows = e.select((F.col("event_id") % 2).cast("int").alias("y"), F.lit(0.0).alias("z0"), (sign * F.col("value") / 50).alias("z1"))
+    return spark.createDataFrame([(round(Lb.fit_temperature(rows), 3),)], "temperature double")
+
+
+def _trained(spark, sf_dir):
+    """Documents with labels and a fold: 0 and 1 train, 3 validation, 2 held out; and the folder of a model trained on them."""
+    from vigil.operators import training as Tr
+
+    folder = _folder(spark, "model")
+    d = read(spark, sf_dir, "documents").select("doc_id", "text").join(read(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")), "doc_id")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
+    rows = d.withColumn("fold", fold).withColumn("category", F.when(F.col("label") == 0, "NOT_SCAM").otherwise(T.keyword_category(F.col("text")))).withColumn("is_val", F.col("fold") == 3)
+    weights, history = Tr.train(rows.where("fold <> 2"))
+    Tr.write_model(spark, folder, weights, 1.0, history)
+    scored = Tr.scored_by(folder)(rows.where("fold = 3").withColumn("normalized", A.texts(F.col("text"))["normalized"]))
+    logit = F.log(F.col("model.weight") / (1 - F.col("model.weight")))
+    Tr.write_model(spark, folder, weights, Lb.fit_temperature(scored.select(F.col("label").alias("y"), F.lit(0.0).alias("z0"), logit.alias("z1"))), history)
+    return rows, folder
+
+
+@query()
+def trained_signal(spark, sf_dir):
+    """The model signal of every labelled document from weights that were trained, calibrated, written and read again."""
+    from vigil.operators import training as Tr
+
+    rows, folder = _trained(spark, sf_dir)
+    on = Tr.scored_by(folder)(rows.withColumn("normalized", A.texts(F.col("text"))["normalized"]))
+    return on.select("doc_id", "fold", "label", F.round("model.weight", 5).alias("p"), "model.type", "model.category")
+
+
+@query()
+def trained_metrics(spark, sf_dir):
+    """Class metrics of the trained scorer on each fold; fold 2 was neither trained on nor chosen by."""
+    from vigil.operators import training as Tr
+
+    rows, folder = _trained(spark, sf_dir)
+    on = Tr.scored_by(folder)(rows.withColumn("normalized", A.texts(F.col("text"))["normalized"]))
+    return M.binary(on.select("fold", F.col("label").alias("y"), (F.col("model.weight") >= 0.5).cast("int").alias("pred")), "fold")
+
+
+@query()
+def trained_verdict(spark, sf_dir):
+    """Verdicts of the messages with the trained scorer as the classifier's plug-in."""
+    from vigil.operators import plugins as P
+    from vigil.operators import training as Tr
+
+    plugins = {**P.built_in(_known(spark, sf_dir), domain_ages(spark, sf_dir)), P.CLASSIFIER: P.model_plugin(None, Tr.scored_by(_trained(spark, sf_dir)[1]))}
+    got = P.fused(P.orchestrated(messages(spark, sf_dir), plugins))
+    return got.select("msg_id", "verdict", "confidence", _r("score", 4).alias("score"), F.array_join("scored", ",").alias("scored"))
+
+
 # plug-ins and the SQL surface
 
 
@@ -754,7 +808,7 @@ def plugin_verdicts(spark, sf_dir):
     return got.select("msg_id", "verdict", "confidence", F.array_join("analyzers", ",").alias("analyzers"), F.array_join("scored", ",").alias("scored"), F.array_join(F.transform("unavailable", lambda u: F.concat_ws(": ", u["id"], u["reason"])), ";").alias("unavailable"))
 
 
-@query(O.q(O.MESSAGES, "c AS (SELECT msg_id, count(*) AS n FROM msgs WHERE contains(normalized, 'z') GROUP BY msg_id)", select="SELECT msg_id, CASE WHEN length(text) % 5 = 0 THEN NULL ELSE round(length(text) / 1000.0::FLOAT, 4) END AS weight, CASE WHEN length(text) % 5 = 0 THEN 'a fifth of all' END AS reason FROM msgs"))
+@query(O.q(O.MESSAGES, "c AS (SELECT msg_id, count(*) AS n FROM msgs WHERE contains(normalized, 'z') GROUP BY msg_id)", select="SELECT msg_id, CASE WHEN length(text) % 5 = 0 THEN NULL ELSE round((length(text) / 1000.0::FLOAT)::DOUBLE, 4) END AS weight, CASE WHEN length(text) % 5 = 0 THEN 'a fifth of all' END AS reason FROM msgs"))
 def guarded_plugin(spark, sf_dir):
     """A plug-in in Python that raises on some rows: they have a reason, the others a weight."""
     from vigil.operators import plugins as P
@@ -786,17 +840,12 @@ def sql_surface(spark, sf_dir):
 # a pack that was written and loaded again
 
 
-def _pack(spark, sf_dir):
-    from uuid import uuid4
-
-    from vigil.plans.staging import ensure_checkpoint_dir
+def _pack(spark, sf_dir, **parts):
     from vigil.sources import pack
 
-    ensure_checkpoint_dir(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    folder = f"{base.rstrip('/')}/vigil-pack-{uuid4().hex}"
+    folder = _folder(spark, "pack")
     own = spark.createDataFrame([(d,) for b in rules.BRANDS for d in b[3]], "domain string")
-    pack.write(spark, pack.Pack(version="2"), folder, "2024-01-01", pack.reputation_bytes(ranked_domains(spark, sf_dir), own))
+    pack.write(spark, pack.Pack(version="2", **parts), folder, "2024-01-01", pack.reputation_bytes(ranked_domains(spark, sf_dir), own))
     return pack.load(spark, folder)
 
 
@@ -817,16 +866,113 @@ def established_domains(spark, sf_dir):
     return pack.established(h.union(own), _pack(spark, sf_dir).reputation)
 
 
-@query("SELECT * FROM (VALUES ('aliases', 12), ('brands', 8), ('domains', 9), ('folds', 14), ('patterns', 14), ('shorteners', 4), ('suffixes', 13)) v(part, n)")
+def _nations(spark, sf_dir):
+    """Nations, a bounded table, as the brands of a pack: their region's name is an alias that several share."""
+    both = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = both.select("n_nationkey", "n_name", "r_name").orderBy("n_nationkey").collect()
+    return [(r.n_name.lower(), r.n_name, [r.n_name, r.r_name, "card"][: 2 + (r.n_nationkey % 10 == 0)], [f"n{r.n_nationkey}.com"], [f"N{r.n_nationkey}"]) for r in rows]
+
+
+@query("WITH n AS (SELECT count(*) AS n, count(*) FILTER (n_nationkey % 10 = 0) AS more FROM nation) SELECT 'aliases' AS part, (2 * n + more)::INT AS n FROM n UNION ALL SELECT 'brands', n FROM n UNION ALL SELECT 'domains', n FROM n UNION ALL SELECT * FROM (VALUES ('folds', 14), ('patterns', 14), ('shorteners', 4), ('suffixes', 13)) v(part, n)")
 def pack_counts(spark, sf_dir):
+    """What a pack holds that was written with the nations as brands and read again."""
     from vigil.sources import pack
 
-    return spark.createDataFrame(sorted(pack.counts(_pack(spark, sf_dir)).items()), "part string, n int")
+    return spark.createDataFrame(sorted(pack.counts(_pack(spark, sf_dir, brands=_nations(spark, sf_dir))).items()), "part string, n int")
 
 
-@query("SELECT * FROM (VALUES ('brands', 'orbit', 'alias of two brands'), ('brands', 'Pay', 'bare common noun'), ('shorteners', 'x.y', 'unknown brand')) v(part, subject, rule)")
+@query("""WITH n AS (SELECT n_nationkey, n_name, r_name, row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) AS k FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT 'brands' AS part, r_name AS subject, 'alias of two brands' AS rule FROM n WHERE k > 1 UNION ALL SELECT 'brands', 'card', 'bare common noun' FROM n WHERE n_nationkey % 10 = 0
+UNION ALL SELECT 'brands', 'card', 'alias of two brands' FROM n WHERE n_nationkey % 10 = 0 AND n_nationkey > 0 UNION ALL SELECT * FROM (VALUES ('shorteners', 'x.y', 'unknown brand'), ('suffixes', '13', 'too few rules')) v""")
 def pack_violations(spark, sf_dir):
     from vigil.sources import pack
 
-    bad = pack.Pack(brands=[*rules.BRANDS, ("two", "Two", ["Pay", "orbit"], [], [])], brand_operated={"x.y": "none"})
-    return pack.violations(spark, bad)
+    return pack.violations(spark, pack.Pack(brands=_nations(spark, sf_dir), brand_operated={"x.y": "none"}))
+
+
+_FIELDS = """b AS (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS i, n_nationkey AS k, lower(n_name) AS id, substr(n_name, 1, (n_nationkey % 5)::INT) AS alias, lower(n_name) || '.com' AS domain, n_name AS header FROM nation)"""
+
+
+@query(O.q(_FIELDS, select=r"""SELECT 'banks.json' AS file, path, message FROM (
+  SELECT '/brands/' || i || '/id' AS path, 'does not match ^[a-z][a-z0-9_]*$' AS message FROM b WHERE NOT regexp_matches(id, '^[a-z][a-z0-9_]*$')
+  UNION ALL SELECT '/brands/' || i || '/aliases/0', 'is shorter than 3' FROM b WHERE length(alias) < 3
+  UNION ALL SELECT '/brands/' || i || '/domains/0', 'does not match ^[a-z0-9.-]+\.[a-z]{2,}$' FROM b WHERE NOT regexp_matches(domain, '^[a-z0-9.-]+\.[a-z]{2,}$')
+  UNION ALL SELECT '/brands/' || i || '/dlt_headers/0', 'does not match ^[A-Z0-9]{3,9}$' FROM b WHERE NOT regexp_matches(header, '^[A-Z0-9]{3,9}$')
+  UNION ALL SELECT '/brands/' || i || '/display_name', 'is missing' FROM b WHERE k % 7 = 3 UNION ALL SELECT '/brands/' || i || '/colour', 'is unknown' FROM b WHERE k % 7 = 4
+  UNION ALL SELECT '/brands', 'has fewer than 120 items')"""))
+def pack_schema(spark, sf_dir):
+    """Everything that is wrong with a table of brands made of the nations."""
+    import json
+
+    from vigil.sources import pack, schema
+
+    rows = read(spark, sf_dir, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey").collect()  # a bounded table
+
+    def brand(r):
+        b = {"id": r.n_name.lower(), "display_name": r.n_name, "aliases": [r.n_name[: r.n_nationkey % 5]], "domains": [f"{r.n_name.lower()}.com"], "dlt_headers": [r.n_name], "_remark": 1}
+        if r.n_nationkey % 7 == 3:
+            del b["display_name"]
+        return b | ({"colour": "red"} if r.n_nationkey % 7 == 4 else {})
+
+    folder = _folder(spark, "schema")
+    pack.put(spark, f"{folder}/{pack.FILES['brands']}", json.dumps({"schema_version": 1, "brands": [brand(r) for r in rows]}).encode())
+    return schema.violations(spark, folder, {"brands": pack.FILES["brands"]}).select("file", "path", "message")
+
+
+# files that are written and read again
+
+
+@query(f"SELECT row_number() OVER (ORDER BY domain) AS rank, domain FROM ({_HOSTS}) WHERE contains(domain, '.') AND NOT regexp_matches(domain, '[^\\x00-\\x7F]')")
+def ranked_archive(spark, sf_dir):
+    """The hosts of the pages, ranked by name, through an archive."""
+    from vigil.sources import archive
+
+    h = read(spark, sf_dir, "pages").where("url is not null").select(F.lower(F.regexp_extract("url", "^[^:]*://([^/?#:]*)", 1)).alias("domain")).distinct()
+    path = _folder(spark, "archive") + "/top.zip"
+    archive.write_archive(spark, R.placed(R.dotted_ascii(h), "domain").select((F.col("place") + 1).alias("rank"), "domain"), path)
+    return archive.ranked(spark, path)[0]
+
+
+@query(O.q(O.CHAIN, O.MODEL, select="SELECT (row_number() OVER (ORDER BY msg_id) - 1)::INT AS ord, text, round(p, 5) AS p_scam, 0.02::DOUBLE AS max_delta FROM model JOIN messages USING (msg_id) ORDER BY msg_id LIMIT 200"))
+def parity_fixture(spark, sf_dir):
+    """The first 200 messages with their scores, through a fixture file."""
+    from vigil.sources import aligned
+
+    first = messages(spark, sf_dir).orderBy("msg_id").limit(200).select(F.col("msg_id").alias("id"), "text", A.texts(F.col("text"))["normalized"].alias("normalized"))
+    path = _folder(spark, "fixture") + "/parity.json"
+    aligned.write_fixture(spark, Sc.scored(first, 1.5).select("id", "text", F.col("model.weight").alias("p_scam")), path, "stand-in")
+    return aligned.read_fixture(spark, path).withColumn("p_scam", F.round("p_scam", 5))
+
+
+@query("SELECT md5(coalesce(regexp_replace(text, '\\r\\n|\\r|\\n', ' ', 'g'), '')) AS line, toxic::VARCHAR AS label FROM documents JOIN labels USING (doc_id)")
+def aligned_files(spark, sf_dir):
+    """Texts and labels through files that correspond line by line."""
+    from vigil.sources import aligned
+
+    d = read(spark, sf_dir, "documents").select("doc_id", "text").join(read(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")), "doc_id")
+    folder = _folder(spark, "aligned")
+    aligned.write_aligned(d, folder, "doc_id")
+    return aligned.read_aligned(spark, folder).select(F.md5("text").alias("line"), "label")
+
+
+_EXTRA = "SELECT doc_id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark"
+
+
+@query(f"WITH tok AS (SELECT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]+')) AS token FROM ({_EXTRA})) SELECT token, count(*) AS freq FROM tok GROUP BY token HAVING count(*) >= 5")
+def vocab_with_extra(spark, sf_dir):
+    """Frequent tokens of the corpus together with extra sample texts."""
+    extra = read(spark, sf_dir, "benchmark").select("text")
+    return D.token_counts(R.together(read(spark, sf_dir, "documents").select("text"), extra)).where("freq >= 5")
+
+
+@query(O.q(O.CHAIN, select="SELECT msg_id, verdict, confidence FROM v"))
+def stream_verdicts(spark, sf_dir):
+    """The messages as a stream of files, each written with its verdict once."""
+    from vigil.streaming import verdicts as St
+
+    folder = _folder(spark, "stream")
+    m = messages(spark, sf_dir).select("msg_id", "sender_hint", "text", (F.timestamp_seconds(F.col("msg_id") % 1000)).alias("received_at"))
+    m.repartition(8, "msg_id").write.json(f"{folder}/in")
+    stream = spark.readStream.schema("msg_id long, sender_hint string, text string, received_at timestamp").option("maxFilesPerTrigger", 4).json(f"{folder}/in")
+    St.verdicts_stream(stream, f"{folder}/out", f"{folder}/state", _known(spark, sf_dir), domain_ages(spark, sf_dir)).awaitTermination()
+    return St.read_verdicts(spark, f"{folder}/out").select("msg_id", "verdict", "confidence")

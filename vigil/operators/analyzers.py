@@ -52,6 +52,12 @@ def header_names(header: Column, pack: Pack = BUILT_IN) -> Column:
     return F.coalesce(*[F.when(header == h, F.lit(", ".join(sorted(names)))) for h, names in owners.items()], F.lit(None).cast("string"))
 
 
+def header_owners(brands: DataFrame) -> DataFrame:
+    """header, names: the sorted distinct display names of the brands (name, headers; a bounded table) that own each header, joined."""
+    each = brands.select("name", F.explode("headers").alias("header"))
+    return each.groupBy("header").agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("names"))
+
+
 def header_body(hint: Column) -> Column:
     """What stands behind the operator's part of a sender header."""
     return F.regexp_extract(hint, "-(.*)$", 1)
@@ -77,7 +83,7 @@ def fired(normalized: Column, lang: Column, pack: Pack = BUILT_IN) -> Column:
         if suppress:
             hit = hit & ~normalized.rlike(suppress)
         out.append(F.when(hit, F.struct(F.lit(i).alias("ord"), F.lit(name).alias("id"), F.lit(kind).alias("type"), F.lit(severity).alias("severity"), F.lit(weight).alias("weight"))))
-    return F.array_compact(F.array(*out))
+    return F.array_compact(F.array(*out)).cast("array<struct<ord: int, id: string, type: string, severity: int, weight: double>>")
 
 
 def pattern_weight(hits: Column) -> Column:

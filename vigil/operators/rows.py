@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,6 +103,11 @@ def require_name_safe(rows: DataFrame, verified: bool = False) -> DataFrame:
     return rows
 
 
+def together(*tables: DataFrame) -> DataFrame:
+    """The rows of all tables, repeated ones included; a column that a table lacks is null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
 def age_days(first_seen_ms: Column, now_ms: Column) -> Column:
     """Whole days between two times in milliseconds; null if either is."""
     return F.floor((now_ms - first_seen_ms) / DAY_MS)

@@ -21,10 +21,10 @@ LEAST_CATEGORY, CATEGORY_WEIGHT = 0.45, 0.6
 IDS = 1_000
 
 
-def token_ids(normalized: Column) -> Column:
-    """Ids of the words of a normalised text, by hash."""
+def token_ids(normalized: Column, ids: int = IDS) -> Column:
+    """Ids (from 1 to ``ids``) of the words of a normalised text, by hash."""
     words = F.filter(F.split(normalized, " "), lambda w: w != "")
-    return F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("long") % IDS + 1)
+    return F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("long") % ids + 1)
 
 
 def pack(ids: Column, width: int = WIDTH) -> Column:

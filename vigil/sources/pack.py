@@ -15,6 +15,7 @@ from vigil.operators import bloom
 from vigil.operators.rows import COMMON_NOUNS
 from vigil.sources import rules
 from vigil.sources.rules import BUILT_IN, Pack
+from vigil.sources.schema import LEAST_SUFFIXES
 
 # File names and keys of a pack, names of severities in order, evidence types
 FILES = {"brands": "banks.json", "shorteners": "shorteners.json", "folds": "typosquat.json", "patterns": "patterns.json", "meta": "pack_meta.json", "suffixes": "public_suffix_list.dat", "reputation": "reputation.bin"}
@@ -80,14 +81,14 @@ def read_suffixes(spark: SparkSession, path: str) -> list:
 
 
 def load(spark: SparkSession, folder: str) -> Pack:
-    """The pack of a folder. If one of its four core tables fails, all four come from the built-in pack; the suffix
+    """The pack of a folder. If one of its four core tables fails, all four come from the fallback; the suffix
     list, the reputation filter and the version fail each alone (no suffixes, no filter, version ``unknown``)."""
     at = {k: f"{folder}/{v}" for k, v in FILES.items()}
     try:
         shorteners, operated = read_shorteners(spark, at["shorteners"])
         core = {"brands": read_brands(spark, at["brands"]), "shorteners": shorteners, "brand_operated": operated, "patterns": read_patterns(spark, at["patterns"]), **read_folds(spark, at["folds"])}
     except UNREADABLE:
-        core = {"fallback": True}
+        core = dict(rules.FALLBACK)
     try:
         suffixes = read_suffixes(spark, at["suffixes"])
     except UNREADABLE:
@@ -191,7 +192,7 @@ def shape_errors(kind: str, document) -> list[tuple[str, str]]:
     return sorted(out)
 
 
-def violations(spark: SparkSession, pack: Pack, least_suffixes: int = 0) -> DataFrame:
+def violations(spark: SparkSession, pack: Pack, least_suffixes: int = LEAST_SUFFIXES) -> DataFrame:
     """part, subject, rule: what is wrong with a pack that reads well."""
     out: list[tuple[str, str, str]] = []
     again = lambda xs: sorted({x for x in xs if list(xs).count(x) > 1})

@@ -150,6 +150,8 @@ class Pack:
 
 
 BUILT_IN = Pack()
+#: What stands in for a pack that does not read: a few brands, shorteners and top levels, no folds and no patterns.
+FALLBACK = {"brands": BRANDS[:5], "shorteners": SHORTENERS[:4], "brand_operated": {}, "suspicious_tlds": [*SUSPICIOUS_TLDS, "buzz", "icu"], "single_folds": {}, "sequence_folds": [], "patterns": [], "fallback": True}
 
 
 def brands(spark: SparkSession) -> DataFrame:
