@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vigil.llm import bpe_tree, edit_match, lang_mixture, near_dup, toxic_crf
-from vigil.llm.common import staged, table
+from vigil.llm.common import discard, staged, table, where
 
 #: A document stays if its leading language has at least this share and certainty.
 LEAST_LANGUAGE = 0.5
@@ -55,7 +55,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), name)
+        if last:  # nothing reads the stage before any more
+            discard(spark, last)
+        last = where(docs)
     return docs

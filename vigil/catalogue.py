@@ -181,8 +181,7 @@ def brand_claims(spark, sf_dir):
 @query(O.q(O.MESSAGES, O.CLAIMS, O.SENDER, select="SELECT msg_id, sender FROM sender WHERE sender IS NOT NULL"))
 def sender_evidence(spark, sf_dir):
     m = messages(spark, sf_dir)
-    claimed = F.array_distinct(A.claims(F.col("text"))["brand_id"])
-    return m.select("msg_id", A.sender_evidence(F.col("sender_hint"), claimed).alias("sender")).where("sender is not null")
+    return m.select("msg_id", A.sender_evidence(F.col("sender_hint"), A.claimed_brands(F.col("text"))).alias("sender")).where("sender is not null")
 
 
 @query(O.q(O.MESSAGES, O.FIRED, select="SELECT msg_id, rule_id, type, severity::INT AS severity FROM fired"))

@@ -67,18 +67,17 @@ def normalize(text: Column) -> Column:
 
 def language(normalized: Column) -> Column:
     """Script shares of at least a fifth in fixed order, then Latin with or without romanised Hindi."""
-    seen = F.regexp_replace(normalized, r"\s", "")
-    total = F.length(seen)
-    share = lambda a, b: F.length(F.regexp_replace(seen, f"[^\\u{a}-\\u{b}]", "")) / total >= 0.2
+    other = normalized.rlike("[\\u0900-\\u09FF\\u0B80-\\u0BFF\\u0C00-\\u0C7F]")  # most texts hold none of these, and are not counted
+    share = lambda a, b: other & (F.regexp_count(normalized, F.lit(f"[\\u{a}-\\u{b}]")) / F.regexp_count(normalized, F.lit(r"\S")) >= 0.2)
     marathi = F.arrays_overlap(F.split(normalized, r"[^\p{L}\p{M}]+"), F.array(*map(F.lit, rules.MARATHI)))
     hits = F.size(F.filter(F.split(normalized, "[^a-z0-9]+"), lambda w: w.isin(rules.ROMANISED_HINDI)))
     return (
-        F.when(F.coalesce(total, F.lit(0)) == 0, "UNKNOWN")
+        F.when(~F.coalesce(normalized.rlike(r"\S"), F.lit(False)), "UNKNOWN")
         .when(share("0900", "097F"), F.when(marathi, "MR").otherwise("HI"))
         .when(share("0980", "09FF"), "BN")
         .when(share("0B80", "0BFF"), "TA")
         .when(share("0C00", "0C7F"), "TE")
-        .when(seen.rlike("[A-Za-z]"), F.when(hits >= 2, "HI_LATN").otherwise("EN"))
+        .when(normalized.rlike("[A-Za-z]"), F.when(hits >= 2, "HI_LATN").otherwise("EN"))
         .otherwise("UNKNOWN")
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,12 @@ def claims(text: Column, pack: Pack = BUILT_IN) -> Column:
     return F.array_sort(F.flatten(F.array_compact(F.array(*found))))
 
 
+def claimed_brands(text: Column, pack: Pack = BUILT_IN) -> Column:
+    """Ids of the brands that a text claims, in the pack's order; where they stand is not asked."""
+    hit = [F.when(reduce(lambda a, b: a | b, [text.rlike(_alias_pattern(x)) for x in aliases]), F.lit(brand)) for brand, _, aliases, _, _ in pack.brands if aliases]
+    return F.array_compact(F.array(*hit)).cast("array<string>")
+
+
 def header_brands(header: Column, pack: Pack = BUILT_IN) -> Column:
     owners: dict[str, list[str]] = {}
     for b in pack.brands:
@@ -108,7 +116,7 @@ def analyzed(messages: DataFrame, pack: Pack = BUILT_IN) -> DataFrame:
         .select("*", "_facts.normalized", "_facts.lang", "_facts.fired")
         .drop("_facts")
         .withColumn("claims", claims(F.col("text"), pack))
-        .withColumn("claimed", F.array_distinct(F.col("claims.brand_id")))
+        .withColumn("claimed", F.coalesce(claimed_brands(F.col("text"), pack), F.array().cast("array<string>")))
         .withColumn("sender", sender_evidence(F.col("sender_hint"), F.col("claimed"), pack))
         .withColumn("pattern_weight", pattern_weight(F.col("fired")))
     )

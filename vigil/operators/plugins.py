@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.operators.analyzers import analyzed, claims, sender_evidence, texts
+from vigil.operators.analyzers import analyzed, claimed_brands, sender_evidence, texts
 from vigil.operators.scoring import scored
 from vigil.plans import verdict as V
 from vigil.sources import rules
@@ -56,7 +56,7 @@ def guarded(analyze: Callable[[str | None, str | None], dict]) -> Plugin:
 def url_plugin(pack: Pack = BUILT_IN, ages: DataFrame | None = None) -> Plugin:
     def run(messages: DataFrame, name: str) -> DataFrame:
         per = V.url_evidence(messages, pack, ages)
-        on = messages.join(per, "msg_id", "left").withColumn("_claimed", F.size(claims(F.col("text"), pack)) > 0)
+        on = messages.join(per, "msg_id", "left").withColumn("_claimed", F.size(claimed_brands(F.col("text"), pack)) > 0)
         worst = F.array_max(F.col("url_evidence.severity"))
         items = F.transform("url_evidence", lambda e: F.struct(e["type"].alias("type"), e["severity"].alias("severity")))
         return on.withColumn(name, signal(V.severity_weight(worst), (worst == 2) & F.col("_claimed"), F.coalesce(items, F.array().cast("array<struct<type: string, severity: int>>")))).drop("url_evidence", "_claimed")
@@ -66,7 +66,7 @@ def url_plugin(pack: Pack = BUILT_IN, ages: DataFrame | None = None) -> Plugin:
 
 def sender_plugin(pack: Pack = BUILT_IN) -> Plugin:
     def run(messages: DataFrame, name: str) -> DataFrame:
-        kind = sender_evidence(F.col("sender_hint"), F.array_distinct(claims(F.col("text"), pack)["brand_id"]), pack)
+        kind = sender_evidence(F.col("sender_hint"), claimed_brands(F.col("text"), pack), pack)
         on = messages.withColumn("_kind", kind)
         severity = F.coalesce(*[F.when(F.col("_kind") == t, F.lit(s)) for t, s in V.SENDER_SEVERITY.items()])
         items = F.when(F.col("_kind").isNotNull(), F.array(F.struct(F.col("_kind").alias("type"), severity.alias("severity")))).otherwise(F.array().cast("array<struct<type: string, severity: int>>"))

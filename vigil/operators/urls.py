@@ -7,13 +7,14 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.text import bound, spans
 from vigil.operators.bloom import known_to
-from vigil.plans.staging import ensure_checkpoint_dir, small
+from vigil.plans.staging import BROADCAST_ROWS, bounded, ensure_checkpoint_dir
 from vigil.sources import rules
 from vigil.sources.rules import BUILT_IN, Pack
 
@@ -139,17 +140,18 @@ def typosquat(labels: DataFrame, pack: Pack = BUILT_IN) -> DataFrame:
         return asked.limit(0).select("label", *[F.lit(None).cast("string").alias(c) for c in ("brand_id", "known", "domain")])
     most = max(pack.short_distance, pack.long_distance)
     budget = F.when(F.length("known") <= pack.short_label, pack.short_distance).otherwise(pack.long_distance)
+    n_keys = sum(comb(len(x[3]), i) for x in known for i in range(most + 1))
     fit = F.length("label").between(min(map(len, own)) - most, max(map(len, own)) + most)  # others are too far from every known one
     left = k.select("*", budget.alias("budget"), F.explode(deletions(F.col("known"), most)).alias("key"))
-    met = asked.where(fit).select("label", F.explode(deletions(F.col("label"), most)).alias("key")).join(small(left), "key")
+    met = asked.where(fit).select("label", F.explode(deletions(F.col("label"), most)).alias("key")).join(bounded(left, n_keys), "key")
     near = met.select("label", "ord", "brand_id", "known", "domain", "budget").distinct().where(within(F.col("label"), F.col("known"), F.col("budget"))).drop("budget")
-    bare = asked.withColumn("key", squash(F.col("label"))).join(small(k.withColumn("key", squash(F.col("known")))), "key").select("label", "ord", "brand_id", "known", "domain")
+    bare = asked.withColumn("key", squash(F.col("label"))).join(bounded(k.withColumn("key", squash(F.col("known"))), len(known)), "key").select("label", "ord", "brand_id", "known", "domain")
     long = [x for x in own if len(x) >= rules.LEAST_CONTAINED]
     holds = asked.limit(0).select("label", F.lit("").alias("known"))
     if long:
         some = F.col("label").rlike("|".join(re.escape(x) for x in sorted(long, key=len)))
         holds = asked.where(some).select("label", F.explode(F.filter(F.array(*map(F.lit, long)), lambda x: F.contains("label", x))).alias("known"))
-    inside = holds.join(small(k), "known").select("label", "ord", "brand_id", "known", "domain")
+    inside = holds.join(bounded(k, len(known)), "known").select("label", "ord", "brand_id", "known", "domain")
     hits = near.unionByName(bare).unionByName(inside)
     return hits.groupBy("label").agg(F.min_by(F.struct("brand_id", "known", "domain"), "ord").alias("h")).select("label", "h.*")
 
@@ -184,6 +186,7 @@ def host_facts(hosts: DataFrame, suffixes: DataFrame, pack: Pack = BUILT_IN, age
         out = out.join(own, out["registrable"] == own["_domain"], "left")
     established = F.lit(True) if pack.reputation is None else known_to(pack.reputation, F.col("registrable"))
     operated = list(pack.brand_operated)
+    out = F.broadcast(out) if base.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else out  # a row for each host
     return out.select(
         *["host", "ip", "registrable", "original", "label", "tld", squat["brand_id"].alias("squat"), squat["domain"].alias("squat_domain"), mixed_script(F.col("label")).alias("mixed")],
         (F.col("registrable").isin(pack.shorteners) & ~F.col("registrable").isin(operated)).alias("shortener"),
@@ -196,7 +199,7 @@ def host_facts(hosts: DataFrame, suffixes: DataFrame, pack: Pack = BUILT_IN, age
 def evidence(urls: DataFrame, facts: DataFrame, pack: Pack = BUILT_IN) -> DataFrame:
     """msg_id, ord, pos, type, severity, start, end, slots: evidence of each link in the order of the checks. slots: what the
     explanations name. A link's display_text (links of HTML have one) must hold the domain that it leads to."""
-    on = urls.join(small(facts), "host")
+    on = urls.join(facts, "host")  # few hosts come marked for broadcast, of many a common one is split by AQE
     named = F.col("registrable").isNotNull() & ~F.col("ip")
     names = F.coalesce(*[F.when(F.col("squat") == b[0], F.lit(b[1])) for b in pack.brands], F.col("squat"))
     shown = F.col("display_text") if "display_text" in urls.columns else F.lit(None).cast("string")

@@ -41,6 +41,7 @@ def scrub_sql(t: str) -> str:
       ' <NAME>\x01((?i:customer|sir|madam|user|member|team|friend|valued|guest|all)(?:\\s+[A-Z][a-z]+)?)\x02', ' \\1', 'g'), '\x01[^\x02]*\x02', '', 'g')"""
 
 
+# The keyword table as the oracle states it, first match wins
 def keyword_category_sql(t: str) -> str:
     has = lambda *words: "(" + " OR ".join(f"regexp_matches(lower({t}), '\\b{w}\\b')" for w in words) + ")"
     return f"""CASE WHEN {has('won', 'winner', 'prize', 'award', 'claim', 'congratulations')} THEN 'LOTTERY_PRIZE'
@@ -52,6 +53,7 @@ def keyword_category_sql(t: str) -> str:
       WHEN {has('virus', 'your pc', 'your computer', 'tech support')} THEN 'TECH_SUPPORT' ELSE 'OTHER_SCAM' END"""
 
 
+# The grammar of links and labels as the oracle states it
 LABEL = r"[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,61}[\p{L}\p{N}])?"
 PATH = r"(?:/[^\s<>\"'\x{A0}]*)?"
 _RE = rf"https?://[^\s<>\"''\x{{A0}}]+|www\.{LABEL}(?:\.{LABEL})+{PATH.replace(chr(39), chr(39) * 2)}|{LABEL}(?:\.{LABEL})+{PATH.replace(chr(39), chr(39) * 2)}"

@@ -27,3 +27,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it was counted to be small."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, whose rows are known to be at most ``rows``, marked for broadcast if those are few."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
