@@ -102,3 +102,15 @@ def test_difference_equals_the_plain_method():
         sums, where = differencing.difference(parts)
         assert sums.max() - sums.min() == plain_difference(sizes, shards)
         assert np.bincount(where[:, 0], weights=sizes, minlength=shards).tolist() == sums.tolist()
+
+
+def test_other_tokenizer_files_are_refused(spark):
+    from vigil.llm import bpe_tree, chunk_store, cross_align
+
+    docs = documents(spark, [(1, "a")])
+    with pytest.raises(ValueError, match="not known"):
+        bpe_tree.encode_documents(docs, cross_align.byte_path())
+    with pytest.raises(ValueError, match="not known"):
+        chunk_store.write_store(docs, bpe_tree.default_path(), 0, "unused")
+    with pytest.raises(ValueError, match="not known"):
+        cross_align.aligned(docs, bpe_tree.default_path(), cross_align.piece_path())

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.llm.common import by_bytes, spread, table, trimmed
-from vigil.llm.textcodec import LITTLE, PLAIN, WORD_SPLIT, Memo, encode_units, memo, model_encoder, tokenizer
+from vigil.llm.textcodec import LITTLE, PLAIN, WORD_KIND, WORD_SPLIT, Memo, encode_units, memo, model_encoder, require, tokenizer
 
 #: Characters in a leaf. Longer texts are encoded by several tasks.
 LEAF_CHARS = 32_768
@@ -290,6 +290,7 @@ def _roots(path: str):
 
 def encode_documents(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS) -> DataFrame:
     """One row of digests for each row of ``docs`` (doc_id, text); the ids themselves come from ``encode_ids``."""
+    require(path, WORD_KIND)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     long = F.coalesce(F.length("text") > leaf_chars, F.lit(False))
     short = base.where(~long).mapInArrow(trimmed(_short(path)), SCHEMA)

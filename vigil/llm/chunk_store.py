@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm.common import by_bytes, discard, fresh_path, partitions, running, table, trimmed
-from vigil.llm.textcodec import SLICE, byte_level_ids
+from vigil.llm.textcodec import BYTE_KIND, SLICE, byte_level_ids, require
 
 #: Rolling hash: ids it looks back on; a cut where the low bits are zero (a chunk has 512 ids on average).
 LOOK_BACK = 8
@@ -131,6 +131,7 @@ MANIFEST = "file string, documents long, tokens long, root string"
 
 def write_store(docs: DataFrame, path: str, end_id: int, to: str) -> str:
     """Encode ``docs`` (doc_id, text) with the tokenizer file at ``path`` and write the store under ``to``."""
+    require(path, BYTE_KIND)
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
     schema = f"kind byte, doc_id long, row long, n_tokens long, keys binary, root binary, {CHUNK}"

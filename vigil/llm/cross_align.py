@@ -313,6 +313,7 @@ def _count(most: int):
 
 def aligned(docs: DataFrame, a_path: str, b_path: str, block: int = BLOCK, window: int = WINDOW, held: int = HELD, share: int = LEAST_SHARE) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row of ``docs`` (doc_id, text)."""
+    T.require(a_path, T.BYTE_KIND)
     spark = docs.sparkSession
     parts = partitions(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

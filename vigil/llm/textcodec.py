@@ -6,6 +6,7 @@ units again and again, so each worker encodes a unit once with the library and j
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -36,6 +37,22 @@ def tokenizer(path: str):
     return _loaded[path]
 
 
+# How the two kinds of tokenizer files normalise and split texts; splitting them here relies on it
+WORD_KIND = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+)
+BYTE_KIND = (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True})
+
+
+def require(path: str, kind: tuple) -> None:
+    """Refuse a tokenizer file whose texts are not normalised and split as ``kind`` says: it would be encoded wrongly."""
+    tok = tokenizer(path)
+    found = tuple(None if x is None else json.loads(x.__getstate__()) for x in (tok.normalizer, tok.pre_tokenizer))
+    if found != kind:
+        raise ValueError(f"{path}: the normaliser or pre-tokenizer of this file is not known here: {found}")
+
+
 def encode_plain(path: str, texts: list[str]) -> list[bytes]:
     """Little-endian unsigned 32-bit ids, one library call for all texts."""
     return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer(path).encode_batch(texts, add_special_tokens=False)]
