@@ -104,6 +104,17 @@ def test_difference_equals_the_plain_method():
         assert np.bincount(where[:, 0], weights=sizes, minlength=shards).tolist() == sums.tolist()
 
 
+def test_another_operators_memory_goes():
+    own = common.remembered({})
+    common.begin("one")
+    own["x"] = 1
+    common.begin("one")
+    assert own == {"x": 1}
+    common.begin("two")
+    assert own == {}
+    common._remembered.remove(own)
+
+
 def test_other_tokenizer_files_are_refused(spark):
     from vigil.llm import bpe_tree, chunk_store, cross_align
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -94,10 +95,35 @@ def by_bytes(batch: pa.RecordBatch, column: str = "text", most: int = HELD):
         at = end
 
 
-def trimmed(run):
-    """``run`` for mapInArrow whose worker gives memory back to the system at the end of a task."""
+#: What this worker remembers between tasks, and the operator that it last worked for.
+_remembered: list = []
+_owner: str | None = None
+
+
+def remembered(cache):
+    """Register a worker's memory (anything with ``clear``) that only one operator's tasks use."""
+    _remembered.append(cache)
+    return cache
+
+
+def begin(owner: str) -> None:
+    """Workers outlive an operator: what the last one remembered goes when another one's task comes."""
+    global _owner
+    if _owner not in (None, owner):
+        for cache in _remembered:
+            cache.clear()
+        gc.collect()
+        give_back()
+    _owner = owner
+
+
+def trimmed(run, owner: str | None = None):
+    """``run`` for mapInArrow whose worker gives memory back to the system at the end of a task, and what other operators
+    (modules) than ``owner`` remembered at its start."""
+    owner = owner or run.__module__
 
     def task(batches):
+        begin(owner)
         try:
             yield from run(batches)
         finally:
@@ -128,7 +154,7 @@ def filtered(docs: DataFrame, keep) -> DataFrame:
             for b in by_bytes(whole):
                 yield b.filter(pa.array(test(b.column("text").cast(pa.string()).cast(pa.binary()).to_pylist()), pa.bool_()))
 
-    return docs.mapInArrow(trimmed(run), docs.schema)
+    return docs.mapInArrow(trimmed(run, keep.__module__), docs.schema)
 
 
 def spread(df: DataFrame, *key: str) -> DataFrame:

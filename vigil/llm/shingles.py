@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from vigil.llm.common import remembered
+
 #: Signature: BANDS bands of ROWS values, or more values for other bands.
 BANDS, ROWS = 24, 6
 HASHES = BANDS * ROWS
@@ -27,7 +29,7 @@ class WordHash(dict):
         return h
 
 
-_words = WordHash()
+_words = remembered(WordHash())
 _rng = np.random.default_rng(7)
 _A = (_rng.integers(0, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)

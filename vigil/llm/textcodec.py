@@ -15,6 +15,8 @@ from array import array
 import numpy as np
 import pyarrow as pa
 
+from vigil.llm.common import remembered
+
 #: Units that a worker remembers. Bounds memory, never results.
 MEMO_UNITS = 400_000
 #: Longer units are forgotten after the call that met them.
@@ -22,7 +24,7 @@ MEMO_CHARS = 64
 
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
-_loaded: dict = {}
+_loaded: dict = remembered({})
 
 
 def tokenizer(path: str):
