@@ -64,22 +64,22 @@ def _blocks(batches):
     fields = ["block", "words", "counts", "docs", "train", "lengths", "tokens"]
 
     def emit():
-        texts = [(t or b"").lower().split() for _, _, t in held]
-        names: dict[bytes, int] = {}
-        setdefault = names.setdefault
-        numbers = [np.fromiter((setdefault(w, len(names)) for w in ws), dtype=np.uint32, count=len(ws)) for ws in texts]
-        n = np.zeros(len(names), dtype=np.int64)
-        for (_, train, _), x in zip(held, numbers, strict=True):
-            if train:
-                n += np.bincount(x, minlength=len(n))
-        flat = np.concatenate(numbers)
-        order = np.argsort(-np.bincount(flat, minlength=len(n)), kind="stable")  # frequent words get small numbers
+        words: list[bytes] = []
+        lengths = []
+        for _, _, t in held:
+            own = (t or b"").lower().split()
+            words += own
+            lengths.append(len(own))
+        coded = pa.array(words, pa.binary()).dictionary_encode()
+        flat, names = coded.indices.to_numpy(), coded.dictionary
+        trained = np.repeat(np.array([bool(t) for _, t, _ in held], dtype=bool), lengths)
+        n = np.bincount(flat[trained], minlength=len(names))
+        order = np.argsort(-np.bincount(flat, minlength=len(names)), kind="stable")  # frequent words get small numbers
         rank = np.empty(len(order), dtype=np.uint32)
         rank[order] = np.arange(len(order))
-        tokens, n, names = planes(rank[flat]), n[order], list(names)
-        names = [names[i] for i in order.tolist()]
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
         return pa.RecordBatch.from_arrays(
-            [pa.array([part + made], pa.int64()), pa.array([names], pa.list_(pa.binary())), pa.array([n], pa.list_(pa.int64())), pa.array([[d for d, _, _ in held]], pa.list_(pa.int64())), pa.array([[t for _, t, _ in held]], pa.list_(pa.bool_())), pa.array([[len(w) for w in texts]], pa.list_(pa.int32())), pa.array([tokens], pa.binary())],
+            [pa.array([part + made], pa.int64()), one(names.take(pa.array(order))), one(pa.array(n[order], pa.int64())), pa.array([[d for d, _, _ in held]], pa.list_(pa.int64())), pa.array([[t for _, t, _ in held]], pa.list_(pa.bool_())), pa.array([lengths], pa.list_(pa.int32())), pa.array([planes(rank[flat])], pa.binary())],
             fields,
         )
 
@@ -217,37 +217,48 @@ WIDTH = 2 * STATES + STATES * STATES + STATES * CLASSES
 
 
 def expected(model: Model, obs: np.ndarray, is_first: np.ndarray, out: np.ndarray) -> float:
-    """Add the expected counts of stretches (rows; -1 after their end) to ``out``; returns the log-likelihood."""
-    n, t = obs.shape
-    k = STATES
-    emit = np.concatenate([model.emit.T, np.ones((1, k))])  # class -1 is certain
-    alpha, scale = np.empty((t, n, k)), np.empty((t, n))
+    """Add the expected counts of stretches (rows; -1 after their end) to ``out``; returns the log-likelihood.
+
+    Rows are put in order of length, so those that still go on at a step are the last ones, and states are rows of
+    every array: sums over states and products with the transitions then run along memory.
+    """
+    k, size = STATES, (obs >= 0).sum(axis=1)
+    order = np.argsort(size, kind="stable")
+    obs, is_first, size = np.ascontiguousarray(obs[order].T), is_first[order], size[order]
+    t, n = obs.shape
+    dead = np.searchsorted(size, np.arange(t), side="right").tolist()  # rows that end before a step
+    emit, forward, back = model.emit, np.ascontiguousarray(model.move.T), model.move
+    alpha, weight, scale, ll = [], [], [], 0.0
+    x = np.where(is_first, model.first[:, None], model.inner[:, None])[:, dead[0] :]
     for s in range(t):
-        x = np.where(is_first[:, None], model.first, model.inner) if s == 0 else alpha[s - 1] @ model.move
-        x = x * emit[obs[:, s]]
-        scale[s] = x.sum(axis=1)
-        alpha[s] = x / scale[s][:, None]
-    beta = np.ones((n, k))
-    pairs = np.zeros((k, k))
-    gamma = np.empty((t, n, k))
+        if s:
+            x = forward @ alpha[-1][:, dead[s] - dead[s - 1] :]
+        e = np.take(emit, obs[s, dead[s] :], axis=1, mode="clip")
+        x = x * e
+        z = x.sum(axis=0)
+        ll += float(np.log(z).sum())
+        alpha.append(x / z)
+        weight.append(e)
+        scale.append(z)
+    pairs, gamma = np.zeros((k, k)), [None] * t
+    beta = np.ones((k, n - dead[t - 1]))
     gamma[t - 1] = alpha[t - 1]
     for s in range(t - 2, -1, -1):
-        x = emit[obs[:, s + 1]] * beta / scale[s + 1][:, None]
-        live = obs[:, s + 1] >= 0
-        pairs += alpha[s][live].T @ x[live]
-        beta = np.where(live[:, None], x @ model.move.T, 1.0)
+        live = dead[s + 1] - dead[s]
+        x = weight[s + 1] * beta / scale[s + 1]
+        pairs += alpha[s][:, live:] @ x.T
+        beta = np.ones((k, n - dead[s]))
+        beta[:, live:] = back @ x
         gamma[s] = alpha[s] * beta
-    out[:k] += gamma[0][is_first].sum(axis=0)
-    out[k : 2 * k] += gamma[0][~is_first].sum(axis=0)
+    first = is_first[dead[0] :]
+    out[:k] += gamma[0][:, first].sum(axis=1)
+    out[k : 2 * k] += gamma[0][:, ~first].sum(axis=1)
     out[2 * k : 2 * k + k * k] += (pairs * model.move).ravel()
-    flat = obs.T.ravel()
-    on = flat >= 0
-    flat = flat[on]
-    g = gamma.reshape(-1, k)[on]
+    flat, g = np.concatenate([obs[s, dead[s] :] for s in range(t)]), np.concatenate(gamma, axis=1)
     for j in range(k):
         at = 2 * k + k * k + j * CLASSES
-        out[at : at + CLASSES] += np.bincount(flat, weights=g[:, j], minlength=CLASSES)
-    return float(np.log(scale).sum())
+        out[at : at + CLASSES] += np.bincount(flat, weights=g[j], minlength=CLASSES)
+    return ll
 
 
 def stretches(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
