@@ -22,8 +22,8 @@ any; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import os
 import re
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +32,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm import textcodec as T
-from vigil.llm.common import by_bytes, partitions, staged, table, trimmed
+from vigil.llm.common import by_bytes, partitions, remembered, staged, table, trimmed
 
-#: Bytes and rows of texts that are one block, tokens of side A that are aligned together.
-BLOCK, BLOCK_ROWS, WINDOW = 8 << 20, 50_000, 1 << 22
+#: Bytes and rows of texts that are one block, tokens of side A that are aligned together (about 150 bytes of arrays each).
+BLOCK, BLOCK_ROWS, WINDOW = 5 << 19, 50_000, 1 << 20
+#: Words of side B that a worker remembers.
+UNITS = 200_000
 #: Bytes of sums that a task holds before they leave it.
 HELD = 32 << 20
 #: Postings of one id that a task takes in any case.
@@ -69,22 +71,28 @@ class Side:
 
 class ByteSide(Side):
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.path = path
+        value = {c: i for i, c in enumerate(T.BYTE_NAMES)}
+        super().__init__({i: bytes(value[c] for c in s) for s, i in T.tokenizer(path).get_vocab().items() if all(c in value for c in s)})
+
+    @cached_property
+    def tok(self):
+        """A tokenizer to which the strings of special tokens are plain text; only texts that may hold one need it."""
         from tokenizers import Tokenizer
 
-        self.path, self.tok = path, Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings are plain text
-        self.tok.no_truncation()
-        self.tok.no_padding()
-        value = {c: i for i, c in enumerate(T.BYTE_NAMES)}
-        super().__init__({i: bytes(value[c] for c in s) for s, i in self.tok.get_vocab().items() if all(c in value for c in s)})
+        tok = Tokenizer.from_file(self.path)
+        tok.encode_special_tokens = True
+        tok.no_truncation()
+        tok.no_padding()
+        return tok
 
     def encode(self, texts: list[str]) -> list[bytes]:
         own = [i for i, t in enumerate(texts) if "<|" in t]
         marked = set(own)
         out = T.byte_level_ids(self.path, [None if i in marked else " " + t for i, t in enumerate(texts)])
-        for i, e in zip(own, self.tok.encode_batch([" " + texts[i] for i in own], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, dtype="<u4").tobytes()
+        if own:
+            for i, e in zip(own, self.tok.encode_batch([" " + texts[i] for i in own], add_special_tokens=False), strict=True):
+                out[i] = np.array(e.ids, dtype="<u4").tobytes()
         return out
 
 
@@ -96,7 +104,7 @@ class PieceSide(Side):
         names = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         super().__init__({i: bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)})
         self.words = not any("▁" in p.lstrip("▁") for p in names)
-        self.memo = T.Memo(self._unit)
+        self.memo = T.Memo(self._unit, UNITS)
 
     def _unit(self, unit: str) -> bytes:
         ids = [self.sp.piece_to_id("▁")] if unit == " " else self.sp.encode(unit[1:], num_threads=1)  # which puts a blank before all but an empty text
@@ -109,7 +117,7 @@ class PieceSide(Side):
         return [b"".join(map(get, _UNITS(" " + t))) if t else b"" for t in texts]
 
 
-_sides: dict = {}
+_sides: dict = remembered({})
 
 
 def side(kind, path: str) -> Side:

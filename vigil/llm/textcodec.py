@@ -63,14 +63,14 @@ def encode_plain(path: str, texts: list[str]) -> list[bytes]:
 class Memo(dict):
     """Unit -> what ``encode`` makes of it. A full memory starts anew: frequent units are soon back, and no entry is ever moved."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, most: int | None = None):
         super().__init__()
-        self.encode = encode
+        self.encode, self.most = encode, most
 
     def __missing__(self, unit):
         got = self.encode(unit)
         if len(unit) <= MEMO_CHARS:
-            if len(self) >= MEMO_UNITS:
+            if len(self) >= (self.most or MEMO_UNITS):
                 self.clear()
             self[unit] = got
         return got
