@@ -30,3 +30,22 @@ def test_logits_sum_what_is_under_the_mask(spark):
         total, want = lambda f: reduce(lambda a, i: a + f(i), ids, 0.0), [0.0]
         assert list(r.z.binary) == want + [total(lambda i: (i % 41 - 20) / 40.0)]
         assert list(r.z.category) == [total(lambda i: (i % (k + 7) - (k + 6) / 2.0) / (k + 7)) for k in range(len(r.z.category))]
+
+
+def test_sums_of_postings_are_a_row_for_each_block(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from vigil.llm import cross_align as C
+
+    pack = lambda ids, docs, m: b"".join(np.array(x, "<u2").tobytes() for x in (ids, docs, m))
+    rows = [(7, 0, 0, None, None, None, 3, 5), (7, 0, 0, None, None, None, 4, 2), (7, 0, 1, 1, 9, pack([3, 4], [0, 8], [2, 1]), None, None), (7, 0, 1, 2, 9, pack([4], [5], [3]), None, None)]
+    names = ["b", "salt", "kind", "block", "n", "payload", "one_a", "one_c"]
+    types = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+    once = list(C._count(1 << 20)([batch]))
+    assert sum(x.num_rows for x in once) == 2  # three documents of two blocks
+    monkeypatch.setattr(C, "MERGED", 2)
+    three = pa.Table.from_batches(once * 3).sort_by("block").combine_chunks().to_batches()
+    got = [r for x in C._whole(three) for r in x.to_pylist()]
+    assert [(r["block"], r["pos"], r["best"], r["total"]) for r in got] == [(1, 0, 6, 30), (1, 8, 0, 6), (2, 5, 0, 18)]

@@ -7,7 +7,7 @@ its pair counts, and one row of figures for every document.
 
 Postings are shuffled by the id of B and sorted, pair counts before postings. A task reads the counts of one id, knows its
 highest, and lets the postings stream past: each adds to its document's sums, which leave the task whenever ``HELD``
-bytes of them are full. The sums of all tasks are added up by document. An id whose postings are more than a task's share
+bytes of them are full, as one packed row for each block. A block's rows meet and are added up by document. An id whose postings are more than a task's share
 is dealt over several tasks, each of which gets its counts. So no task holds more than one id's counts (at most the
 vocabulary of A) and a bounded part of the sums, and sorting can spill.
 
@@ -40,6 +40,8 @@ BLOCK, BLOCK_ROWS, WINDOW = 5 << 19, 50_000, 1 << 20
 UNITS = 200_000
 #: Bytes of sums that a task holds before they leave it.
 HELD = 32 << 20
+#: Packed sums of one block that are held before they are added up.
+MERGED = 64
 #: Postings of one id that a task takes in any case.
 LEAST_SHARE = 1 << 16
 
@@ -267,7 +269,49 @@ def _encode(paths: tuple[str, str], size: int, window: int):
     return run
 
 
-SUMS = {"block": pa.int64(), "pos": pa.int32(), "best": pa.int64(), "total": pa.int64()}
+#: A row of sums: places in a block and their sums, packed as 32, 64 and 64 bits.
+SUMS = {"block": pa.int64(), "sums": pa.binary()}
+
+
+def _added(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, best, total) over the packed sums of one block."""
+    at, best, total = [], [], []
+    for raw in parts:
+        n = len(raw) // 20
+        at.append(np.frombuffer(raw, "<i4", n))
+        best.append(np.frombuffer(raw, "<i8", n, 4 * n))
+        total.append(np.frombuffer(raw, "<i8", n, 12 * n))
+    place, of = np.unique(np.concatenate(at), return_inverse=True)
+    sums = np.zeros((2, len(place)), dtype=np.int64)
+    np.add.at(sums[0], of, np.concatenate(best))
+    np.add.at(sums[1], of, np.concatenate(total))
+    return place, sums[0], sums[1]
+
+
+def _packed(at: np.ndarray, best: np.ndarray, total: np.ndarray) -> bytes:
+    return at.astype("<i4").tobytes() + best.astype("<i8").tobytes() + total.astype("<i8").tobytes()
+
+
+def _whole(batches):
+    """Worker function over rows (block, sums) sorted by block: block, pos, best, total of each document. What a block has so far
+    is added up whenever ``MERGED`` parts are held."""
+    own = None, []
+
+    def rows(block, parts):
+        place, best, total = _added(parts)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(place), block), pa.int64()), pa.array(place, pa.int32()), pa.array(best), pa.array(total)], ["block", "pos", "best", "total"])
+
+    for batch in batches:
+        for block, raw in zip(batch.column("block").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+            if block != own[0]:
+                if own[1]:
+                    yield rows(*own)
+                own = block, []
+            own[1].append(raw)
+            if len(own[1]) >= MERGED:
+                own[1][:] = [_packed(*_added(own[1]))]
+    if own[1]:
+        yield rows(*own)
 
 
 def _count(most: int):
@@ -280,7 +324,7 @@ def _count(most: int):
         def flush():
             for block, (best, total) in held.items():
                 at = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), block), pa.int64()), pa.array(at, pa.int32()), pa.array(best[at]), pa.array(total[at])], list(SUMS))
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([_packed(at, best[at], total[at])], pa.binary())], list(SUMS))
             held.clear()
 
         for batch in batches:
@@ -334,7 +378,8 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, block: int = BLOCK, windo
     first = counts.join(salts, "b").select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("block"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("binary").alias("payload"), "one_a", "one_c")
     then = postings.join(salts, "b").select("b", F.pmod(F.xxhash64("block"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "block", "n", "payload", F.lit(None).cast("int").alias("one_a"), F.lit(None).cast("long").alias("one_c"))
     streams = first.union(then).repartition(parts, "b", "salt").sortWithinPartitions("b", "salt", "kind")
-    sums = streams.mapInArrow(trimmed(_count(held)), "block long, pos int, best long, total long").groupBy("block", "pos").agg(F.sum("best").alias("best"), F.sum("total").alias("total"))
+    some_sums = streams.mapInArrow(trimmed(_count(held)), "block long, sums binary").repartition(parts, "block").sortWithinPartitions("block")
+    sums = some_sums.mapInArrow(trimmed(_whole), "block long, pos int, best long, total long")
     figures = made.where(F.col("kind") == DOCUMENTS).select("block", "pos", "doc_id", *FIGURES, "groups_sha256")
     some = lambda c, name: F.coalesce(c, F.lit(0)).cast("long").alias(name)
     return figures.join(sums, ["block", "pos"], "left").select("doc_id", *FIGURES, some("best", "n_best"), some("total", "count_sum"), "groups_sha256")
