@@ -49,3 +49,19 @@ def test_sums_of_postings_are_a_row_for_each_block(monkeypatch):
     three = pa.Table.from_batches(once * 3).sort_by("block").combine_chunks().to_batches()
     got = [r for x in C._whole(three) for r in x.to_pylist()]
     assert [(r["block"], r["pos"], r["best"], r["total"]) for r in got] == [(1, 0, 6, 30), (1, 8, 0, 6), (2, 5, 0, 18)]
+
+
+def test_sure_models_are_calibrated(spark, tmp_path):
+    import numpy as np
+
+    from vigil.operators import labels as Lb
+    from vigil.operators import training as Tr
+
+    w = np.zeros((101, Tr.OUT))
+    w[0, 1] = 100.0  # the probability is 1 in doubles
+    Tr.write_model(spark, str(tmp_path), w, 1.0, [])
+    rows = spark.createDataFrame([("a b", 1), ("c", 1), ("d", 0)], "normalized string, label int")
+    got = Tr.binary_logits(rows, str(tmp_path))
+    assert sorted((r.y, r.z1 - r.z0) for r in got.collect()) == [(0, 100.0), (1, 100.0), (1, 100.0)]
+    assert Lb.COLDEST <= Lb.fit_temperature(got) <= Lb.HOTTEST
+    assert {r.p for r in Tr.scored_by(str(tmp_path))(rows).selectExpr("model.weight AS p").collect()} == {1.0}

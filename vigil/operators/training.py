@@ -32,7 +32,7 @@ OUT = BINARY + CATEGORIES
 def packed(rows: DataFrame, ids: int = IDS) -> DataFrame:
     """ids (the first WIDTH), y, category (its place), is_val of ``rows`` (text, label, category, is_val)."""
     names = F.array(*map(F.lit, rules.CATEGORIES))
-    tokens = F.slice(token_ids(texts(F.col("text"))["normalized"], ids), 1, WIDTH)
+    tokens = token_ids(texts(F.col("text"))["normalized"], ids, WIDTH)
     place = F.array_position(names, F.col("category")) - 1
     out = rows.where("label IN (0, 1) AND text IS NOT NULL").select(tokens.cast("array<int>").alias("ids"), F.col("label").cast("int").alias("y"), place.cast("int").alias("category"), F.col("is_val").cast("boolean").alias("is_val"))
     return out.where("category >= 0 AND size(ids) > 0")
@@ -154,15 +154,28 @@ def trained_logits(ids: Column) -> list[Column]:
     return [total(F.col(f"w{k}")) for k in range(OUT)]
 
 
+def _with_logits(messages: DataFrame, folder: str) -> tuple[DataFrame, float]:
+    """(``messages`` with _z, a logit for each output; the fitted temperature)."""
+    row, fitted, ids = read_model(messages.sparkSession, folder)
+    on = messages.withColumn("_ids", token_ids(F.col("normalized"), ids, WIDTH)).crossJoin(F.broadcast(row))  # one row
+    z = bound(F.col("_ids"), lambda i: F.array(*trained_logits(i)))
+    return on.withColumn("_z", z).drop("_ids", *[f"w{k}" for k in range(OUT)]), fitted
+
+
+def binary_logits(rows: DataFrame, folder: str) -> DataFrame:
+    """y, z0, z1 of ``rows`` (normalized, label), to fit a temperature by. The logits themselves: a sure probability is 0 or 1 in doubles
+    and has no finite logit. They are written once, since a fit passes over them several times."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    on = _with_logits(rows, folder)[0]
+    return on.select(F.col("label").alias("y"), F.get("_z", F.lit(0)).alias("z0"), F.get("_z", F.lit(1)).alias("z1")).checkpoint()
+
+
 def scored_by(folder: str):
     """``scored`` of the stand-in with trained weights from ``folder``: for the model plug-in, or on its own."""
 
     def score(messages: DataFrame, temperature: float | None = None) -> DataFrame:
-        row, fitted, ids = read_model(messages.sparkSession, folder)
-        on = messages.withColumn("_ids", F.slice(token_ids(F.col("normalized"), ids), 1, WIDTH)).crossJoin(F.broadcast(row))  # one row
-        z = bound(F.col("_ids"), lambda i: F.array(*trained_logits(i)))
-        on = on.withColumn("_z", z)
+        on, fitted = _with_logits(messages, folder)
         model = signal(F.slice("_z", 1, BINARY), F.slice("_z", BINARY + 1, CATEGORIES), temperature or fitted)
-        return on.withColumn("model", model).drop("_ids", "_z", *[f"w{k}" for k in range(OUT)])
+        return on.withColumn("model", model).drop("_z")
 
     return score
