@@ -65,3 +65,7 @@ def test_sure_models_are_calibrated(spark, tmp_path):
     assert sorted((r.y, r.z1 - r.z0) for r in got.collect()) == [(0, 100.0), (1, 100.0), (1, 100.0)]
     assert Lb.COLDEST <= Lb.fit_temperature(got) <= Lb.HOTTEST
     assert {r.p for r in Tr.scored_by(str(tmp_path))(rows).selectExpr("model.weight AS p").collect()} == {1.0}
+
+
+def test_texts_are_searched_for_links_once(spark):
+    assert "posexplode(" not in plan(spark, "fusion_verdict")
