@@ -1,6 +1,7 @@
 """Plans do each piece of work once, and results stay those of plain programs."""
 
 import hashlib
+import re
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -69,3 +70,23 @@ def test_sure_models_are_calibrated(spark, tmp_path):
 
 def test_texts_are_searched_for_links_once(spark):
     assert "posexplode(" not in plan(spark, "fusion_verdict")
+
+
+def test_messages_are_analysed_once_for_what_follows(spark):
+    for name in ("fusion_verdict", "category_argmax", "presentation"):
+        assert plan(spark, name).count("Zen Bank: your statement") == 1, name
+
+
+def test_categories_sum_hints_in_the_row(spark):
+    from vigil.plans import verdict as V
+    from vigil.sources.rules import BUILT_IN
+
+    one = F.array(*[F.struct(F.lit(i).alias("ord")) for i in (3, 4)])  # 0.5 for LOTTERY_PRIZE, then 0.2 and 0.3
+    none, model = F.array().cast("array<struct<ord: int>>"), "struct<category: string, hint: double>"
+    df = spark.createDataFrame([(1, "SCAM"), (2, "SAFE"), (3, "SCAM"), (4, "SUSPICIOUS")], "msg_id long, verdict string")
+    df = df.withColumn("sender", F.when(F.col("msg_id") == 4, "DLT_HEADER_MISMATCH")).withColumn("url_evidence", F.array(F.struct(F.lit("URL_SHORTENER").alias("type"))))
+    df = df.withColumn("fired", F.when(F.col("msg_id") == 3, none).otherwise(F.when(F.col("msg_id") == 4, none).otherwise(one)))
+    got = {r.msg_id: (r.category, r.category_confidence) for r in V.categories(df, BUILT_IN).collect()}
+    assert got == {1: ("LOTTERY_PRIZE", "HIGH"), 2: ("NOT_SCAM", "HIGH"), 3: ("OTHER_SCAM", "LOW"), 4: ("KYC_PHISHING", "LOW")}
+    tied = df.withColumn("model", F.when(F.col("msg_id") == 4, F.struct(F.lit("FAKE_JOB").alias("category"), F.lit(0.5).alias("hint"))).otherwise(F.lit(None).cast(model)))
+    assert {r.msg_id: r.category for r in V.categories(tied, BUILT_IN).collect()}[4] == "KYC_PHISHING"  # first met
