@@ -90,3 +90,37 @@ def test_categories_sum_hints_in_the_row(spark):
     assert got == {1: ("LOTTERY_PRIZE", "HIGH"), 2: ("NOT_SCAM", "HIGH"), 3: ("OTHER_SCAM", "LOW"), 4: ("KYC_PHISHING", "LOW")}
     tied = df.withColumn("model", F.when(F.col("msg_id") == 4, F.struct(F.lit("FAKE_JOB").alias("category"), F.lit(0.5).alias("hint"))).otherwise(F.lit(None).cast(model)))
     assert {r.msg_id: r.category for r in V.categories(tied, BUILT_IN).collect()}[4] == "KYC_PHISHING"  # first met
+
+
+def test_language_does_not_compare_each_word_with_each(spark):
+    from vigil.functions.text import language
+    from vigil.sources import rules
+
+    assert "kripya," not in plan(spark, "language_detect")
+    texts = [f"{a}{c}{b}" for a in ("aap", "aapk", "xaap", "aap2", "aapka", "zzz") for b in ("hai", "haii", "AAP", "hain", "aap") for c in (" ", "-", "", "_", "\u00e9", " ok ")]
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", language(F.col("t")).alias("lang")).collect():
+        hits = sum(w in rules.ROMANISED_HINDI for w in re.split("[^a-z0-9]+", r.t))
+        assert r.lang == ("HI_LATN" if hits >= 2 else "EN"), r.t
+
+
+def test_rules_look_for_words_that_a_match_needs(spark):
+    from vigil.operators.analyzers import needed
+
+    assert needed(r"(share|send).{0,20}(otp|code|pin)") == ["share", "send"]
+    assert needed("(within|in) [0-9]+ (hours?|minutes?)|expires today") == ["hour", "minute", "expires today"]
+    for unclear in ("(a|b)?c", "x(ab)+", "foo|", "(foo(bar)|z) q", "[a|b]c", "(?i)abc", "a{2}b", r"\bab", "(ab|c?)", ""):
+        assert needed(unclear) is None, unclear
+    assert plan(spark, "pattern_hits").count("Contains(") or "contains(" in plan(spark, "pattern_hits").lower()
+
+
+def test_places_of_a_few_matches(spark):
+    import random
+
+    from vigil.functions.text import spans
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab@ .\u00e9\U0001f600") for _ in range(rng.randrange(14))) for _ in range(400)] + ["a@b.a b.a", "", None]
+    pattern = r"(?<![\w@.])([ab]+\.[ab]+|\u00e9)"
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", spans(F.col("t"), pattern).alias("s")).collect():
+        want = None if r.t is None else [(m.start(), m.end(), m[0]) for m in re.finditer(pattern, r.t, re.ASCII)]
+        assert (None if r.s is None else [tuple(x) for x in r.s]) == want, r.t

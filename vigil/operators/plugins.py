@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.operators.analyzers import analyzed, claimed_brands, sender_evidence, texts
+from vigil.functions.text import normalize
+from vigil.operators.analyzers import analyzed, claimed_brands, sender_evidence
 from vigil.operators.scoring import scored
 from vigil.plans import verdict as V
 from vigil.sources import rules
@@ -88,7 +89,7 @@ def model_plugin(temperature: float, score=scored) -> Plugin:
     """The model signal; ``score`` adds a column model to messages with a column normalized."""
 
     def run(messages: DataFrame, name: str) -> DataFrame:
-        on = score(messages.withColumn("normalized", texts(F.col("text"))["normalized"]), temperature)
+        on = score(messages.withColumn("normalized", normalize(F.col("text"))), temperature)
         m = F.col("model")
         items = F.when(m["type"].isNotNull(), F.array(F.struct(m["type"].alias("type"), m["severity"].alias("severity")))).otherwise(F.array().cast("array<struct<type: string, severity: int>>"))
         return on.withColumn(name, signal(m["weight"], F.lit(False), items)).select(*messages.columns, name)
