@@ -124,3 +124,8 @@ def test_places_of_a_few_matches(spark):
     for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", spans(F.col("t"), pattern).alias("s")).collect():
         want = None if r.t is None else [(m.start(), m.end(), m[0]) for m in re.finditer(pattern, r.t, re.ASCII)]
         assert (None if r.s is None else [tuple(x) for x in r.s]) == want, r.t
+
+
+def test_token_pack_makes_ids_once_and_asks_no_language(spark):
+    seen = plan(spark, "token_pack")
+    assert seen.count("md5(") == 1 and "HI_LATN" not in seen
