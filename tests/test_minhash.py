@@ -1,5 +1,6 @@
 """Signatures in batches equal plain ones, whatever is remembered and however long a text is."""
 
+import hashlib
 import random
 
 from tests.test_document_chain import documents, signature
@@ -23,3 +24,25 @@ def test_shingles_are_never_rows(spark):
     df = D.signatures(documents(spark, [(1, "some text"), (2, None)]).selectExpr("doc_id AS id", "text"))
     assert "Generate" not in df._jdf.queryExecution().optimizedPlan().toString()
     assert {r.id: list(r.sig) for r in df.collect()} == {1: signature("some text"), 2: [0] * 64}
+
+
+def test_many_are_hashed_at_a_time():
+    raw = [s.encode() for s in ("", "abcde", "a\u00e9\u4e00\U0001f600b", "x" * 52, "x" * 53, "x" * 70)] + [f"{i:05}".encode() for i in range(1_200)]
+    want = [[int(hashlib.md5(salt + r).hexdigest()[:15], 16) for salt in (b"7:", b"63:")] for r in raw]
+    assert M.hashed(raw, [b"7:", b"63:"]).tolist() == want
+
+
+def test_a_full_memory_keeps_what_comes_often():
+    memory, often = M.Memory(4, 100), [f"often{i}" for i in range(20)]
+    for i in range(30):
+        at = memory.rows([*often, *[f"once{i}-{k}" for k in range(20)]])
+        assert len(memory.row) <= 100 and (memory.values[at[:20]] == M.hashed([s.encode() for s in often], memory.salts)).all()
+        assert not i or set(often) <= set(memory.row)
+    asked, hashed = [], M.hashed
+    M.hashed = lambda raw, salts: asked.extend(raw) or hashed(raw, salts)
+    try:
+        for i in range(30):
+            memory.rows([*often, *[f"later{i}-{k}" for k in range(20)]])
+    finally:
+        M.hashed = hashed
+    assert len(asked) == 600
