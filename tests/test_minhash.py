@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 from tests.test_document_chain import documents, signature
 from vigil.operators import datasets as D
@@ -46,3 +47,31 @@ def test_a_full_memory_keeps_what_comes_often():
     finally:
         M.hashed = hashed
     assert len(asked) == 600
+
+
+def test_common_bands_are_dealt_out_and_lose_no_pair(spark, monkeypatch):
+    """Rows that share three bands alone never meet; what shares more meets in blocks."""
+    rng = random.Random(5)
+    some = lambda n: [rng.randrange(1 << 60) for _ in range(n)]
+    common, rows = some(12), []
+    for _ in range(300):
+        rows.append(common + some(52))
+    base = some(64)
+    for i in range(90):  # near each other, or just not
+        sig = list(base)
+        for k in rng.sample(range(64), rng.choice([3, 6, 7, 12])):
+            sig[k] = rng.randrange(1 << 60)
+        rows.append(sig)
+    for i in range(40):  # 12 or 13 values differ from a row
+        sig = list(rows[i])
+        for k in rng.sample(range(64), 12 + i % 2):
+            sig[k] += 64  # the same last bits
+        rows.append(sig)
+    sigs = spark.createDataFrame(list(enumerate(rows)), "id long, sig array<long>")
+    monkeypatch.setattr(D, "BLOCK", 16)
+    kept = D.rare_bands(sigs.withColumnRenamed("id", "rep")).collect()
+    alone = {r.rep for r in kept if 40 <= r.rep < 300}
+    assert not alone and max(Counter((r.band, r.key, r.block) for r in kept).values()) < 40
+    want = {(a, b): v for a in range(len(rows)) for b in range(a + 1, len(rows)) if (v := sum(x == y for x, y in zip(rows[a], rows[b])) / 64) > 0.8}
+    got = D.near_pairs(sigs).collect()
+    assert len(got) == len(want) > 100 and {(r.a, r.b): r.agreement for r in got} == want
