@@ -68,6 +68,22 @@ def test_sure_models_are_calibrated(spark, tmp_path):
     assert {r.p for r in Tr.scored_by(str(tmp_path))(rows).selectExpr("model.weight AS p").collect()} == {1.0}
 
 
+def test_weights_go_to_tasks_and_not_to_rows(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    from vigil.operators import training as Tr
+
+    w = np.random.default_rng(4).normal(size=(51, Tr.OUT))
+    Tr.write_model(spark, str(tmp_path), w, 1.0, [])
+    monkeypatch.setattr(Tr, "SCORED", 2)
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(["a b c a", "", None, "d", "e " * 200, None, "", "f g"])], "k int, normalized string").coalesce(1)
+    on = Tr._with_logits(rows, str(tmp_path))[0].withColumn("ids", Sc.token_ids(F.col("normalized"), 50, Sc.WIDTH))
+    assert "Join" not in on._jdf.queryExecution().optimizedPlan().toString()
+    for r in on.collect():
+        want = None if r.normalized is None else [sum(w[i, k] for i in r.ids) / max(1, len(r.ids)) ** 0.5 + w[0, k] for k in range(Tr.OUT)]
+        assert r._z is None if want is None else np.allclose(r._z, want, rtol=1e-12)
+
+
 def test_texts_are_searched_for_links_once(spark):
     assert "posexplode(" not in plan(spark, "fusion_verdict")
 

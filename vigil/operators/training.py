@@ -3,7 +3,7 @@
 One head tells two classes apart, the positive one with a weight of its own, the other the categories. A round is one pass: every
 partition adds up the gradient of its rows, sums are added in two steps, and the driver takes one step on a vector of
 a fixed size. Rows of the validation split are judged in the same pass, by the weights that the round began with; the weights
-of the best round stay. They are written and read as files, and scored as columns of one broadcast row.
+of the best round stay. They are written and read as files, and score whole batches of rows.
 """
 
 from __future__ import annotations
@@ -15,8 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.functions.text import bound
-from vigil.operators.analyzers import texts
+from vigil.functions.text import normalize
 from vigil.operators.scoring import WIDTH, signal, token_ids
 from vigil.plans.staging import ensure_checkpoint_dir
 from vigil.sources import rules
@@ -32,7 +31,7 @@ OUT = BINARY + CATEGORIES
 def packed(rows: DataFrame, ids: int = IDS) -> DataFrame:
     """ids (the first WIDTH), y, category (its place), is_val of ``rows`` (text, label, category, is_val)."""
     names = F.array(*map(F.lit, rules.CATEGORIES))
-    tokens = token_ids(texts(F.col("text"))["normalized"], ids, WIDTH)
+    tokens = token_ids(normalize(F.col("text")), ids, WIDTH)
     place = F.array_position(names, F.col("category")) - 1
     out = rows.where("label IN (0, 1) AND text IS NOT NULL").select(tokens.cast("array<int>").alias("ids"), F.col("label").cast("int").alias("y"), place.cast("int").alias("category"), F.col("is_val").cast("boolean").alias("is_val"))
     return out.where("category >= 0 AND size(ids) > 0")
@@ -132,34 +131,51 @@ def write_model(spark: SparkSession, folder: str, weights: np.ndarray, temperatu
     put(spark, f"{folder}/meta.json", json.dumps({"temperature": temperature, "ids": len(weights) - 1, "outputs": OUT, "history": history}, sort_keys=True).encode())
 
 
-def read_model(spark: SparkSession, folder: str) -> tuple[DataFrame, float, int]:
-    """(one row with an array of weights for each output, temperature, ids). Missing or unfitting files fail."""
+def read_model(spark: SparkSession, folder: str) -> tuple[np.ndarray, float, int]:
+    """(weights (id, output), temperature, ids). Missing or unfitting files fail. The table's size is the model's."""
     from vigil.sources.pack import read_calibration
 
     temperature = read_calibration(spark, f"{folder}/meta.json")
-    table = spark.read.parquet(f"{folder}/weights")
-    n = table.count()
-    order = F.array_sort(F.collect_list(F.struct("id", "values")))
-    one = lambda k: F.transform("t", lambda r: F.get(r["values"], F.lit(k))).alias(f"w{k}")
-    row = table.agg(order.alias("t")).select(*[one(k) for k in range(OUT)])
-    if n < 2:
+    rows = spark.read.parquet(f"{folder}/weights").orderBy("id").collect()
+    if len(rows) < 2:
         raise ValueError(f"{folder}: no weights")
-    return row, temperature, n - 1
+    return np.array([r["values"] for r in rows], dtype=np.float64), temperature, len(rows) - 1
 
 
-def trained_logits(ids: Column) -> list[Column]:
-    """A logit for each output over the packed ``ids`` and the weights in columns w0, w1, ..."""
-    scale = F.sqrt(F.greatest(F.size(ids), F.lit(1)).cast("double"))
-    total = lambda w: F.aggregate(ids, F.lit(0.0), lambda a, i: a + F.get(w, i.cast("int"))) / scale + F.get(w, F.lit(0))
-    return [total(F.col(f"w{k}")) for k in range(OUT)]
+#: Rows whose weights are gathered together.
+SCORED = 1_024
+
+
+def logits(weights: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """(row, output): logits of rows whose ids lie side by side in ``flat``; a row without ids has the constant's."""
+    total, some = np.zeros((len(sizes), weights.shape[1])), sizes > 0
+    if some.any():
+        starts = np.cumsum(sizes) - sizes
+        total[some] = np.add.reduceat(weights[flat], starts[some], axis=0)
+    return total / np.sqrt(np.maximum(sizes, 1))[:, None] + weights[0]
+
+
+def trained_logits(ids: Column, weights: np.ndarray) -> Column:
+    """array<double>: a logit for each output over the packed ``ids``; null for null. The weights go to each task once, not to each row."""
+
+    @F.arrow_udf("array<double>")
+    def score(batch: pa.Array) -> pa.Array:
+        out = [pa.array([], pa.list_(pa.float64()))]
+        for at in range(0, len(batch), SCORED):
+            b = batch.slice(at, SCORED)
+            sizes = b.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+            z = logits(weights, sizes, b.flatten().to_numpy())
+            places = np.arange(len(b) + 1, dtype=np.int32) * OUT
+            out.append(pa.ListArray.from_arrays(pa.array(places), pa.array(z[:, :OUT].ravel()), mask=b.is_null()))
+        return pa.concat_arrays(out)
+
+    return score(ids)
 
 
 def _with_logits(messages: DataFrame, folder: str) -> tuple[DataFrame, float]:
     """(``messages`` with _z, a logit for each output; the fitted temperature)."""
-    row, fitted, ids = read_model(messages.sparkSession, folder)
-    on = messages.withColumn("_ids", token_ids(F.col("normalized"), ids, WIDTH)).crossJoin(F.broadcast(row))  # one row
-    z = bound(F.col("_ids"), lambda i: F.array(*trained_logits(i)))
-    return on.withColumn("_z", z).drop("_ids", *[f"w{k}" for k in range(OUT)]), fitted
+    weights, fitted, ids = read_model(messages.sparkSession, folder)
+    return messages.withColumn("_z", trained_logits(token_ids(F.col("normalized"), ids, WIDTH), weights)), fitted
 
 
 def binary_logits(rows: DataFrame, folder: str) -> DataFrame:
